@@ -90,11 +90,11 @@ class Words:
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(offsets) - 1), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first `most` bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        length = self.end - self.start
+        length = self.end - self.start if most is None else np.minimum(self.end - self.start, most)
         first = np.concatenate([[0], np.cumsum(length)[:-1]])
         inside = np.arange(int(length.sum())) - np.repeat(first, length)
         power = np.ones(int(length.max()), np.uint64)
