@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from barloom.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
 from barloom.llm.neardup import op6_near_duplicates
+from barloom.llm.quality import op1_quality_classifier
+from barloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_toxicity": op8_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_benchmark_decontamination": OP7_SQL,
+}
