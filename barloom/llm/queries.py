@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from barloom.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
+from barloom.llm.media import op10_media_columns
+from barloom.llm.mixing import op9_mixing
 from barloom.llm.neardup import op6_near_duplicates
 from barloom.llm.quality import op1_quality_classifier
 from barloom.llm.toxicity import op8_toxicity
@@ -12,6 +14,8 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {
