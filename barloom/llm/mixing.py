@@ -8,12 +8,11 @@ yes or no: it moves three undecided documents at a time along the null space of
 two balancing constraints (number of documents, number of words) until one of them
 is decided, so both totals stay exactly where they were. Blocks of a source fly
 independently and keep at most two undecided documents each; these meet in larger
-levels, until two a source remain. Landing decides those two, which moves a source's
-total by less than two documents.
+levels, until two a source remain. Landing decides those two, and exchanges one pair of
+the last level's documents whose lengths differ by what the total is then off.
 
 Blocks are dealt by hash, so a source of any share is spread over many tasks, and no
-block needs more than about BLOCK rows. Long documents fly first, so that landing is
-left with short ones. Random choices are seeded by the rows of a
+block needs more than about BLOCK rows. Random choices are seeded by the rows of a
 block: reruns agree.
 
 Defined cases: null and empty texts have size 0 and are taken 0 words; null sources
@@ -101,16 +100,33 @@ def _flight(p: list[float], size: list[int], rng: np.random.RandomState, land: b
     return p
 
 
+def _exchanged(p: np.ndarray, size: np.ndarray, goal: float) -> np.ndarray:
+    """One taken and one left document change places if that brings the words nearer to the goal."""
+    off = goal - float(p @ size)
+    taken, left = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+    if len(taken) and len(left):
+        left = left[np.argsort(size[left], kind="stable")]
+        near = np.searchsorted(size[left], size[taken] + off)
+        pairs = [(abs(off - (size[left[k]] - size[i])), i, left[k]) for i, n in zip(taken, near, strict=True) for k in (n - 1, n) if 0 <= k < len(left)]
+        gap, i, j = min(pairs)
+        if gap < abs(off):
+            p[i], p[j] = 0.0, 1.0
+    return p
+
+
 def _flown(last: bool, level: int):
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").fill_null(0).to_numpy()
         size = group.column("size").to_numpy()
         p = group.column("p").to_numpy()
         turn = np.array([zlib.crc32(x.tobytes()) for x in ids], np.int64)
-        order = np.lexsort((p, ids, turn, -size))  # long documents first: what stays undecided is short
+        order = np.lexsort((p, size, ids, turn))
         group, p, size = group.take(pa.array(order)), p[order], size[order]
         rng = np.random.RandomState(zlib.crc32(ids[order].tobytes(), level))
-        new = _flight(p.tolist(), size.tolist(), rng, last)
+        new = np.array(_flight(p.tolist(), size.tolist(), rng, last), np.float64)
+        if last:
+            moved = (p > 0) & (p < 1)
+            new[moved] = _exchanged(new[moved], size[moved].astype(float), float(p[moved] @ size[moved]))
         return group.drop_columns(["block"]).set_column(group.schema.get_field_index("p"), "p", pa.array(new, pa.float64()))
 
     return run

@@ -11,10 +11,13 @@ query over the postings:
 * prefix: of its m shared pairs a class posts only the m - MATCHES + 1 rarest,
   as two classes with MATCHES collisions must meet in one of those. A passage
   that a third of all documents hold sits in the part that isn't posted;
-* skip: the classes of a posting are first linked to its ends only, by exact
-  comparison. A posting whose classes are then all connected is skipped, and
-  elsewhere only classes of different components are counted against each other,
-  lengths that can't reach the similarity being passed over.
+* skip: classes that meet in postings of more than CROWD entries are gathered into
+  clusters of overlapping postings. A cluster is cut into blocks by hash, each pair
+  of blocks is one group that compares whole sets as a matrix product and returns a
+  spanning forest of its links, so what is returned grows with the classes, not with
+  their pairs. In the other postings classes are first linked to the ends only; those
+  of different components are then counted against each other, once, in the first
+  posting that they share, lengths that can't reach the similarity being passed over.
 
 Every link is confirmed on the full shingle sets of both whole texts.
 
@@ -40,6 +43,9 @@ from barloom.llm._text import mix, shingles, slices
 COORDINATES = 32
 MATCHES = 12
 WORDS = 5
+#: Classes in a posting that are still counted pair by pair.
+CROWD = 64
+BLOCK = 256
 #: Jaccard similarity of a link, in hundredths.
 SIMILAR = 75
 
@@ -99,6 +105,66 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _set_rows(batches):
+    for b in batches:
+        sets = _sets(b.column("text"))
+        size = np.array([len(x) for x in sets], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), b.column("blocks"), lists], ["node", "cluster", "blocks", "shingles"])
+
+
+def _forest(group: pa.Table) -> pa.Table:
+    """A spanning forest of the links between two blocks, or within one block."""
+    order = np.argsort(group.column("node").to_numpy(), kind="stable")
+    node, block = group.column("node").to_numpy()[order], group.column("block").to_numpy()[order]
+    lists = group.column("shingles").combine_chunks().take(pa.array(order))
+    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    value, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), size)
+    _, col, many = np.unique(value, return_inverse=True, return_counts=True)
+    place = np.cumsum(many > 1) - 1
+    shared = many[col] > 1
+    row, col = row[shared], place[col[shared]]
+    cut = np.argsort(col, kind="stable")
+    row, col = row[cut], col[cut]
+    both = np.zeros((len(node), len(node)), np.float32)
+    step = 4096
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        low, high = np.searchsorted(col, [c, c + step])
+        part = np.zeros((len(node), step), np.float32)
+        part[row[low:high], col[low:high] - c] = 1
+        both += part @ part.T
+    link = 100 * both >= SIMILAR * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, False)
+    if block[0] != block[-1] or (block != block[0]).any():
+        link &= block[:, None] != block[None, :]
+    edges, seen = [], np.zeros(len(node), bool)
+    for start in range(len(node)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(link[i] & ~seen):
+                seen[j] = True
+                edges.append((node[i], node[j]))
+                todo.append(j)
+    e = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.table({"a": e.min(1) if len(e) else e[:, 0], "b": e.max(1) if len(e) else e[:, 1]})
+
+
+def _crowded(hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what the classes of crowded postings (node, token) link among themselves."""
+    groups = components(hot.select(F.col("node").alias("a"), F.xxhash64("token", F.lit("posting")).alias("b")))
+    own = groups.join(hot.select("node").distinct(), "node", "left_semi").withColumnRenamed("label", "cluster")
+    sizes = own.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = texts.join(own, "node").join(sizes, "cluster").select("node", "cluster", "blocks", "text").mapInArrow(_set_rows, "node long, cluster long, blocks int, shingles array<long>")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", "cluster", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.groupBy("cluster", "i", "j").applyInArrow(_forest, "a long, b long")
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the similarity."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -142,31 +208,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared"))
     prefix = shared.where(F.size("shared") >= MATCHES).select("node", F.expr(f"slice(shared, 1, size(shared) - {MATCHES - 1})").alias("prefix"))
     found = written(prefix.join(classes, "node"))
-    posts = written(found.select("node", "n", F.explode("prefix.token").alias("token")))
+    posts = found.select("node", "n", F.explode("prefix.token").alias("token"))
+    full = posts.groupBy("token").count().where(f"count > {CROWD}").select("token")
+    posts = written(posts.join(full.withColumn("hot", F.lit(True)), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
     wanted = found.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
     some_null = docs.where("doc_id IS NULL")
     texts = docs.join(wanted, "doc_id", "left_semi").unionByName(some_null).mapInArrow(_rekeyed, "doc_id long, text string, k1 long, k2 long")
     texts = texts.withColumn("node", F.xxhash64("k1", "k2")).join(found.select("node", "rep"), "node")
     texts = written(texts.where("doc_id <=> rep").select("node", "text").dropDuplicates(["node"]))
 
+    links = written(_crowded(posts.where("hot"), texts))
+    posts = posts.where("NOT hot")
+
     # First the ends of each posting: one exact comparison a class.
     near = f"100 * least(n, m) >= {SIMILAR} * greatest(n, m)"
     ends = posts.groupBy("token").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
     met = posts.join(ends, "token").select("node", "n", F.explode(F.array("low", "high")).alias("end")).select("node", "n", F.col("end.node").alias("end"), F.col("end.n").alias("m"))
     best = met.where("node <> end").where(near).groupBy("node", "end").count().groupBy("node").agg(F.max(F.struct("count", "end")).alias("best"))
     star = best.select(F.least("node", "best.end").alias("a"), F.greatest("node", "best.end").alias("b")).distinct()
-    links = written(_links(star, texts))
+    links = written(links.unionByName(_links(star, texts)))
     labels = components(links)
 
     # Then what different components still share.
     marked = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    held = written(marked.join(mixed, "token").join(found.select("node", "sig"), "node"))
-    a, b = held.alias("a"), held.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"))
+    held = written(marked.join(mixed, "token").join(found.select("node", "sig", F.col("prefix.token").alias("own")), "node"))
+    a, b = held.alias("a"), held.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"), F.col("own").alias("other_own"))
     collide = F.size(F.filter(F.zip_with("sig", "other_sig", lambda x, y: x == y), lambda x: x)) >= MATCHES
-    pairs = a.join(b, (F.col("a.token") == b["token"]) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & F.expr(near) & collide)
-    pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    more = written(_links(pairs, texts))
+    once = F.array_min(F.array_intersect("own", "other_own")) == F.col("a.token")
+    pairs = a.join(b, (F.col("a.token") == b["token"]) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & F.expr(near) & collide & once)
+    more = written(_links(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), texts))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
