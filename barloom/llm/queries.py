@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barloom.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
+from barloom.llm.langid import op5_language_id
 from barloom.llm.media import op10_media_columns
 from barloom.llm.mixing import op9_mixing
 from barloom.llm.neardup import op6_near_duplicates
@@ -11,6 +12,7 @@ from barloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op5_language_id": op5_language_id,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
