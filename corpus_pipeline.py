@@ -18,18 +18,24 @@ from barloom.llm._run import table, written
 from barloom.llm.decontaminate import contained
 from barloom.llm.mixing import mixed
 from barloom.llm.neardup import near_duplicates
-from barloom.llm.quality import quality
-from barloom.llm.toxicity import toxicity, train
+from barloom.llm.quality import GOOD, score, train
+from barloom.llm.toxicity import toxicity
+from barloom.llm.toxicity import train as train_toxicity
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column beside text, so that no column can clash with an operator's own."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier doesn't predict to be good."""
-    return quality(docs, table(spark, sf_dir, "labels"), *docs.columns).where("predicted = 1").select(*docs.columns)
+    return score(_packed(docs), train(docs, table(spark, sf_dir, "labels")), "row").where(F.col("score") >= GOOD).select("row.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are predicted to be toxic."""
-    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")), *docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity(_packed(docs), train_toxicity(docs, table(spark, sf_dir, "labels")), "row").where("predicted = 0").select("row.*")
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
