@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                     edge = np.ones(len(best), bool)
                     edge[1:] = (best[1:] != best[:-1]) | (w.text[1:] != w.text[:-1])
                     begin = np.flatnonzero(edge)
-                    end = np.append(begin[1:], len(best)) - 1
+                    end = np.append(begin[1:], len(best))[: len(begin)] - 1
                     own: list[list] = [[] for _ in w.count]
                     for a, z in zip(begin, end, strict=True):
                         t = w.text[a]
