@@ -25,17 +25,25 @@ def squash(x: Column, scale: float) -> Column:
     return x / scale / (1 + F.abs(x / scale))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is referred to: also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def median(xs: Column) -> Column:
     """The median of an array, the mean of the two middle values if their number is even; null if empty."""
-    s = F.array_sort(xs)
-    n = F.size(s)
-    mid = F.floor(n / 2).cast("int")
-    return F.when(n == 0, None).when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
+
+    def middle(s):
+        n = F.size(s)
+        mid = F.floor(n / 2).cast("int")
+        return F.when(n == 0, None).when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
+
+    return let(F.array_sort(xs), middle)
 
 
 def mad_scale(xs: Column, centre: Column) -> Column:
     """1.4826 times the median distance from the centre: sigma, for normal data."""
-    return median(F.transform(xs, lambda x: F.abs(x - centre))) * 1.4826
+    return let(centre, lambda c: median(F.transform(xs, lambda x: F.abs(x - c)))) * 1.4826
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numbers import mad_scale, median
+from barloom.functions.numbers import mad_scale
 
 KEY = ("asset", "source", "timeframe")
 #: Severities, their default by kind, and the budget's limits.
@@ -35,8 +35,8 @@ def _alert(df: DataFrame, when: Column, kind: Column | str, title: Column, value
 def volume_rule(bars: DataFrame, threshold: float = 3.5, key=KEY) -> DataFrame:
     """A volume far above the median of up to 200 earlier ones, of at least 30 that are positive."""
     w = Window.partitionBy(*key).orderBy("open_time").rowsBetween(-200, -1)
-    df = bars.where("volume > 0").withColumn("_v", F.collect_list("volume").over(w)).withColumnRenamed("open_time", "at")
-    df = df.withColumn("_c", median(F.col("_v"))).withColumn("_s", mad_scale(F.col("_v"), F.col("_c")))
+    df = bars.where("volume > 0").withColumn("_v", F.collect_list("volume").over(w)).withColumn("_c", F.percentile("volume", F.lit(0.5)).over(w)).withColumnRenamed("open_time", "at")
+    df = df.withColumn("_s", mad_scale(F.col("_v"), F.col("_c")))
     z = F.when((F.size("_v") >= 30) & (F.col("_s") > 0), (F.col("volume") - F.col("_c")) / F.col("_s"))
     return _alert(df.withColumn("z", z), F.col("z") >= threshold, "volume_anomaly", F.concat(F.lit("unusual volume in "), "asset"), F.col("z"), F.col("timeframe"))
 

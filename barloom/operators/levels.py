@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.numbers import let
 from barloom.operators.patterns import swings
 
 KEY = ("asset", "source", "timeframe")
@@ -40,31 +41,42 @@ def clusters(points: Column) -> Column:
 
 def profile(frame: Column) -> Column:
     """Volume by BINS equal price bins of an array of (high, low, volume), each bar's volume spread evenly over the bins it touches."""
-    low, high = F.array_min(F.transform(frame, lambda b: b["low"])), F.array_max(F.transform(frame, lambda b: b["high"]))
-    width = (high - low) / BINS
-    bin_of = lambda x: F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((x - low) / width))).cast("int")
-    spans = F.transform(frame, lambda b: F.struct(bin_of(b["low"]).alias("a"), bin_of(b["high"]).alias("z"), b["volume"].alias("v")))
-    share = lambda i: F.aggregate(spans, F.lit(0.0), lambda acc, s: acc + F.when((s["a"] <= i) & (s["z"] >= i), s["v"] / (s["z"] - s["a"] + 1)).otherwise(0.0))
-    return F.when(width > 0, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.struct((low + width * i).alias("low"), (low + width * (i + 1)).alias("high"), share(i).alias("volume"))))
+    ends = F.struct(F.array_min(F.transform(frame, lambda b: b["low"])).alias("low"), F.array_max(F.transform(frame, lambda b: b["high"])).alias("high"))
+
+    def binned(e):
+        width = (e["high"] - e["low"]) / BINS
+        bin_of = lambda x: F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((x - e["low"]) / width))).cast("int")
+        spans = F.transform(frame, lambda b: F.struct(bin_of(b["low"]).alias("a"), bin_of(b["high"]).alias("z"), b["volume"].alias("v")))
+
+        def shares(ss):
+            share = lambda i: F.aggregate(ss, F.lit(0.0), lambda acc, x: acc + F.when((x["a"] <= i) & (x["z"] >= i), x["v"] / (x["z"] - x["a"] + 1)).otherwise(0.0))
+            return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.struct((e["low"] + width * i).alias("low"), (e["low"] + width * (i + 1)).alias("high"), share(i).alias("volume")))
+
+        return F.when(width > 0, let(spans, shares))
+
+    return let(ends, binned)
 
 
 def value_area(bins: Column) -> Column:
     """Struct (poc, low, high): the price of the fullest bin (lowest on ties) and the area around it that holds VALUE_AREA of the volume, growing to the fuller side, upwards on ties."""
-    total = F.aggregate(bins, F.lit(0.0), lambda a, b: a + b["volume"])
-    top = F.array_max(F.transform(bins, lambda b: b["volume"]))
-    poc = (F.array_position(F.transform(bins, lambda b: b["volume"]), top) - 1).cast("int")
-    at = lambda i: F.coalesce(F.get(bins, i)["volume"], F.lit(-1.0))
-    start = F.struct(poc.alias("a"), poc.alias("z"), top.alias("v"))
+    start = F.struct(F.aggregate(bins, F.lit(0.0), lambda a, b: a + b["volume"]).alias("total"), F.array_max(F.transform(bins, lambda b: b["volume"])).alias("top"))
+
+    def around(m):
+        poc = (F.array_position(F.transform(bins, lambda b: b["volume"]), m["top"]) - 1).cast("int")
+
+        def step(s, _):
+            up = F.coalesce(F.get(bins, s["z"] + 1)["volume"], F.lit(-1.0))
+            down = F.when(s["a"] > 0, F.get(bins, s["a"] - 1)["volume"]).otherwise(-1.0)
+            rise = up >= down
+            grown = F.struct(F.when(rise, s["a"]).otherwise(s["a"] - 1).alias("a"), F.when(rise, s["z"] + 1).otherwise(s["z"]).alias("z"), (s["v"] + F.greatest(up, down)).alias("v"))
+            return F.when((s["v"] >= VALUE_AREA * m["total"]) | (F.greatest(up, down) < 0), s).otherwise(grown)
 
-    def step(s, _):
-        up, down = at(s["z"] + 1), F.when(s["a"] > 0, at(s["a"] - 1)).otherwise(-1.0)
-        rise = up >= down
-        grown = F.struct(F.when(rise, s["a"]).otherwise(s["a"] - 1).alias("a"), F.when(rise, s["z"] + 1).otherwise(s["z"]).alias("z"), (s["v"] + F.greatest(up, down)).alias("v"))
-        return F.when((s["v"] >= VALUE_AREA * total) | (F.greatest(up, down) < 0), s).otherwise(grown)
+        first = F.struct(poc.alias("a"), poc.alias("z"), m["top"].alias("v"))
+        area = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), first, step)
+        mid = F.get(bins, poc)
+        return F.when(m["total"] > 0, let(area, lambda x: F.struct(((mid["low"] + mid["high"]) / 2).alias("poc"), F.get(bins, x["a"])["low"].alias("low"), F.get(bins, x["z"])["high"].alias("high"))))
 
-    area = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), start, step)
-    mid = F.get(bins, poc)
-    return F.when(total > 0, F.struct(((mid["low"] + mid["high"]) / 2).alias("poc"), F.get(bins, area["a"])["low"].alias("low"), F.get(bins, area["z"])["high"].alias("high")))
+    return let(start, around)
 
 
 def structure(bars: DataFrame, key=KEY) -> DataFrame:
@@ -82,7 +94,8 @@ def structure(bars: DataFrame, key=KEY) -> DataFrame:
     two = lambda c: (F.try_element_at(F.col(c), F.lit(-2))["price"], F.try_element_at(F.col(c), F.lit(-1))["price"])
     (h1, h2), (l1, l2) = two("highs"), two("lows")
     trend = F.when((h2 > h1) & (l2 > l1), 1).when((h2 <= h1) & (l2 <= l1), -1).otherwise(0)
-    df = df.withColumn("trend", F.when((F.size("highs") >= 2) & (F.size("lows") >= 2), trend).otherwise(0)).withColumn("levels", clusters(F.concat("highs", "lows"))).withColumn("bins", profile(F.col("frame")))
+    df = df.withColumn("trend", F.when((F.size("highs") >= 2) & (F.size("lows") >= 2), trend).otherwise(0)).withColumn("_l", clusters(F.concat("highs", "lows"))).withColumn("_b", profile(F.col("frame")))
+    df = df.select("*", F.inline(F.array(F.struct(F.col("_l").alias("levels"), F.col("_b").alias("bins")))))  # built once, not for each reference
     df = df.withColumn("area", value_area(F.col("bins")))
     prices = F.transform("levels", lambda x: x["price"])
     df = df.withColumn("support", F.array_max(F.filter(prices, lambda x: x < F.col("close")))).withColumn("resistance", F.array_min(F.filter(prices, lambda x: x > F.col("close"))))

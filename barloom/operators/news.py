@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.numbers import clip
+from barloom.functions.numbers import clip, let
 
 #: Words that tell stories apart by nothing, names of assets, rules and lexicons.
 STOPWORDS = """a an the and or but if then than that this these those of in on at to for from by with without into over under about as is are was were be been being
@@ -102,9 +102,12 @@ def title_tokens(title: Column) -> Column:
 
 
 def title_shingles(title: Column, size: int = 2) -> Column:
-    w = title_tokens(title)
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.array_distinct(F.when(F.size(w) < size, w).otherwise(grams))
+
+    def grams(w):
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.array_distinct(F.when(F.size(w) < size, w).otherwise(pairs))
+
+    return let(title_tokens(title), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -214,11 +217,16 @@ def lexicon(text: Column) -> Column:
     """Struct (score, hits): the mean weight of the lexicon's words, turned by a negation up to three words before."""
     weights = F.create_map(*(F.lit(x) for p in LEXICON.items() for x in p))
     nots = F.array(*map(F.lit, NEGATIONS))
-    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z\-]+)"), F.lit(1))
-    around = F.transform(w, lambda x, i: F.struct(F.try_element_at(weights, x).alias("v"), F.arrays_overlap(F.slice(w, F.greatest(F.lit(1), i + 1 - NEGATION_REACH), F.least(i, F.lit(NEGATION_REACH))), nots).alias("n")))
-    hits = F.filter(around, lambda x: x["v"].isNotNull())
-    total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + F.when(x["n"], -x["v"]).otherwise(x["v"]))
-    return F.struct(F.when(F.size(hits) > 0, total / F.size(hits)).otherwise(0.0).alias("score"), F.size(hits).alias("hits"))
+
+    def reading(w):
+        around = F.transform(w, lambda x, i: F.struct(F.try_element_at(weights, x).alias("v"), F.arrays_overlap(F.slice(w, F.greatest(F.lit(1), i + 1 - NEGATION_REACH), F.least(i, F.lit(NEGATION_REACH))), nots).alias("n")))
+        return let(F.filter(around, lambda x: x["v"].isNotNull()), mean)
+
+    def mean(hits):
+        total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + F.when(x["n"], -x["v"]).otherwise(x["v"]))
+        return F.struct(F.when(F.size(hits) > 0, total / F.size(hits)).otherwise(0.0).alias("score"), F.size(hits).alias("hits"))
+
+    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z\-]+)"), F.lit(1)), reading)
 
 
 def sentiment_label(score: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numbers import mad_scale, median, two_proportion_p, wilson
+from barloom.functions.numbers import mad_scale, two_proportion_p, wilson
 
 KEY = ("asset", "source", "timeframe")
 #: Patterns and the conventional reading of each.
@@ -77,7 +77,7 @@ def detect(bars: DataFrame, warmup: int = WARMUP, key=KEY) -> DataFrame:
     w = base.select(
         *key, "open_time", "bar", "open", "high", "low", "close", "volume", last.alias("last"),
         F.max("high").over(frame(20, -1)).alias("top"), F.min("low").over(frame(20, -1)).alias("bottom"),
-        F.avg("volume").over(frame(20, -1)).alias("mean_volume"), F.collect_list("volume").over(frame(20, -1)).alias("volumes"),
+        F.percentile("volume", F.lit(0.5)).over(frame(20, -1)).alias("centre"), F.avg("volume").over(frame(20, -1)).alias("mean_volume"), F.collect_list("volume").over(frame(20, -1)).alias("volumes"),
         *(F.avg("tr").over(frame(n)).alias(f"range_{n}") for n in (5, 10, 14, 50)),
         F.max("high").over(frame(30)).alias("top_30"), F.min("low").over(frame(30)).alias("bottom_30"), F.lag("close", 29).over(order).alias("close_30"),
         F.sum("up_volume").over(frame(29)).alias("up_30"), F.sum("down_volume").over(frame(29)).alias("down_30"),
@@ -89,8 +89,7 @@ def detect(bars: DataFrame, warmup: int = WARMUP, key=KEY) -> DataFrame:
     )
     w = w.where(F.col("bar") >= warmup - 1)
     w = w.withColumn("volume_ratio", F.when(F.col("mean_volume") > 0, F.col("volume") / F.col("mean_volume")).otherwise(1.0))
-    centre = median(F.col("volumes"))
-    w = w.withColumn("centre", centre).withColumn("scale", mad_scale(F.col("volumes"), F.col("centre")))
+    w = w.withColumn("scale", mad_scale(F.col("volumes"), F.col("centre")))
     closes_40 = F.slice("closes", 21, 40)
     w = w.withColumn("rsi_now", local_rsi(closes_40, F.lit(39))).withColumn("rsi_before", local_rsi(closes_40, F.lit(36)))
     c = F.col

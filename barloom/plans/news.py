@@ -48,16 +48,16 @@ def news_categories(spark, sf):
     return articles(spark, sf).select("item_id", n.category(F.concat_ws(" ", "title", "body")).alias("category"))
 
 
-_LEX = "MAP {" + ", ".join(f"'{w}': {v}" for w, v in n.LEXICON.items()) + "}"
+_LEX = ", ".join(f"('{w}', {v})" for w, v in n.LEXICON.items())
 _NEG = ", ".join(f"'{w}'" for w in n.NEGATIONS)
 
 
 @query(
     "lexicon_scores",
-    f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z\\-]+')) AS w, unnest(range(1, len(regexp_extract_all(lower(text), '[a-z\\-]+')) + 1)) AS i FROM documents),
-    h AS (SELECT w.doc_id, w.i, {_LEX}[w.w] AS v FROM w WHERE map_contains({_LEX}, w.w)),
-    g AS (SELECT h.doc_id, h.i, h.v, bool_or(x.w IN ({_NEG})) AS neg FROM h LEFT JOIN w x ON x.doc_id = h.doc_id AND x.i BETWEEN h.i - 3 AND h.i - 1 GROUP BY 1, 2, 3)
-    SELECT d.doc_id AS item_id, round(coalesce(avg(CASE WHEN neg THEN -v ELSE v END), 0), 6) AS score, count(v)::INT AS hits FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""",
+    f"""WITH lex(w, v) AS (VALUES {_LEX}), l AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z\\-]+') AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM l), g AS (SELECT *, coalesce(bool_or(w IN ({_NEG})) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS neg FROM w),
+    h AS (SELECT doc_id, CASE WHEN neg THEN -v ELSE v END AS v FROM g JOIN lex USING (w))
+    SELECT d.doc_id AS item_id, round(coalesce(avg(v), 0), 6) AS score, count(v)::INT AS hits FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id""",
 )
 def lexicon_scores(spark, sf):
     return rounded(articles(spark, sf).select("item_id", n.lexicon(F.col("body")).alias("x")).select("item_id", "x.score", "x.hits"))
