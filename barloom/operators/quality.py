@@ -26,10 +26,10 @@ STALE_BARS = 3
 def shape_fault() -> Column:
     """The first thing that is wrong with a bar's own numbers, else null."""
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
-    any_of = lambda test: F.coalesce(test(prices[0]) | test(prices[1]) | test(prices[2]) | test(prices[3]), F.lit(True))
+    any_of = lambda test: test(prices[0]) | test(prices[1]) | test(prices[2]) | test(prices[3])
     o, h, low, c = prices
     return (
-        F.when(any_of(F.isnan), "not a number")
+        F.when(any_of(lambda x: x.isNull() | F.isnan(x)), "not a number")
         .when(any_of(lambda x: F.abs(x) == float("inf")), "infinite")
         .when(any_of(lambda x: x <= 0), "not positive")
         .when(F.isnan("volume") | (F.col("volume") < 0), "volume")

@@ -13,10 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def rollup(ticks: DataFrame, duration: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Final bars of a stream (asset, ts, price, tick_id): a bar is emitted once, when the watermark has passed its end."""
     at = F.struct("ts", "tick_id")
+    ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time with a zone: UTC sessions
     bars = ticks.withWatermark("ts", late).groupBy("asset", F.window("ts", duration).alias("w")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").cast("double").alias("volume")
     )
-    return bars.select("asset", F.col("w.start").alias("open_time"), "open", "high", "low", "close", "volume")
+    return bars.select("asset", F.col("w.start").cast("timestamp_ntz").alias("open_time"), "open", "high", "low", "close", "volume")
 
 
 def close_once(polled: DataFrame, key: tuple[str, ...] = ("asset",)) -> DataFrame:
