@@ -265,3 +265,31 @@ def test_synthetic_faults_are_seen(spark):
     kept, events = quality.validated(b, "1h", "arrival")
     kinds = {r.event_type for r in events.collect()}
     assert {"shape_invalid", "missing", "impossible_move"} <= kinds and kept.count() < 200
+
+
+def test_venue_bodies(spark):
+    from barloom.sources import venues
+
+    at = int(START.timestamp()) if START.tzinfo else int((START - datetime(1970, 1, 1)).total_seconds())
+    one = f'[[{at * 1000},"1","3","0.5","2","10",{at * 1000 + 3599999},"20",7]]'
+    two = f"[[{at + 3600},0.5,3,1,2,10],[{at},0.4,2,1,1.5,9]]"
+    three = f'{{"error":[],"result":{{"XBT":[[{at},"1","3","0.5","2","1.5","10",7]],"last":5}}}}'
+    df = lambda body: spark.createDataFrame([("btc", "1h", body, START + timedelta(minutes=90))], "asset string, timeframe string, body string, fetched_at timestamp")
+    a = venues.klines(df(one)).first()
+    assert (a.asset, a.open_time, a.high, a.quote_volume, a.trades, a.is_final) == ("BTC", START, 3.0, 20.0, 7, True)
+    assert {r.open_time: r.is_final for r in venues.candles(df(two)).collect()} == {START: True, START + timedelta(hours=1): False}
+    assert venues.ohlc(df(three)).first().quote_volume == 15.0
+    with pytest.raises(Exception, match="venue: bad pair"):
+        venues.ohlc(df('{"error":["bad pair"],"result":null}')).collect()
+
+
+def test_look_ahead_is_caught(bars):
+    from pyspark.sql import Window
+
+    from barloom.operators.universe import leaks
+
+    moment = str(START + timedelta(hours=150))
+    clean = leaks(bars, lambda b: indicators.windowed(b, "1h").select("asset", "source", "timeframe", "open_time", "sma_20", "roc_10"), moment)
+    w = Window.partitionBy("asset").orderBy("open_time")
+    leaky = leaks(bars, lambda b: b.select("asset", "source", "timeframe", "open_time", F.lead("close").over(w).alias("x")), moment)
+    assert clean[0] == 0 and clean[1] > 0 and leaky[0] > 0
