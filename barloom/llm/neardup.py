@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links.unionByName(more))
 
     of = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = of.groupBy("label").agg(F.min("rep").alias("component_id"))
+    of = written(of)
+    smallest = written(of.groupBy("label").agg(F.min("rep").alias("component_id")))  # a table, so that a join with a hot label can be split
     placed = of.join(smallest, "label").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(placed, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
