@@ -27,7 +27,8 @@ Losing a link needs fewer than 12 collisions of 32 at a probability of at least
 Defined cases: null and empty texts, or texts without words, have no shingles and
 link with nothing; texts of one to four words are one shingle; repeated rows are
 copies; a row with null doc_id links others but is never kept; other columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result. Rows that come with numbers are kept
+by these: exactly one of each component, and each row that links with nothing.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ def _sketches(batches):
     for b in batches:
         s = _sketch(b.column("text"))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s["n"]) * COORDINATES + 1, COORDINATES), pa.int32()), pa.array(s["sig"].ravel()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s["n"].astype(np.int64)), pa.array(s["k1"]), pa.array(s["k2"]), lists], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+        own = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(s["n"].astype(np.int64)), pa.array(s["k1"]), pa.array(s["k2"]), lists], [*own, "n_shingles", "k1", "k2", "sig"])
 
 
 def _rekeyed(batches):
@@ -194,13 +196,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = written(labels)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text).
+
+    number names a column with a number of its own for each row. It is returned as
+    `number`, and kept then marks the row of the smallest doc_id and number of each
+    component, null ids last, so that one row stays whatever the ids are.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(docs.mapInArrow(_sketches, f"doc_id long, n_shingles long, k1 long, k2 long, sig array<int>").withColumn("node", F.xxhash64("k1", "k2")))
-    classes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig")))
+    own = ["number"] if number else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(number).alias(n) for n in own))
+    rows = written(docs.mapInArrow(_sketches, "doc_id long, " + "".join(f"{n} long, " for n in own) + "n_shingles long, k1 long, k2 long, sig array<int>").withColumn("node", F.xxhash64("k1", "k2")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")).alias("first") if own else F.min("doc_id").alias("rep")
+    classes = rows.where("n_shingles > 0").groupBy("node").agg(first, F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
+    classes = written(classes.select("node", F.col("first.doc_id").alias("rep"), "first", "n", "sig") if own else classes)
 
     # Postings that at least two classes share, and of each class the rarest ones that its prefix needs.
     tokens = classes.select("node", F.posexplode("sig").alias("at", "value")).select("node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
@@ -211,11 +221,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     posts = found.select("node", "n", F.explode("prefix.token").alias("token"))
     full = posts.groupBy("token").count().where(f"count > {CROWD}").select("token")
     posts = written(posts.join(full.withColumn("hot", F.lit(True)), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
-    wanted = found.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
-    some_null = docs.where("doc_id IS NULL")
-    texts = docs.join(wanted, "doc_id", "left_semi").unionByName(some_null).mapInArrow(_rekeyed, "doc_id long, text string, k1 long, k2 long")
-    texts = texts.withColumn("node", F.xxhash64("k1", "k2")).join(found.select("node", "rep"), "node")
-    texts = written(texts.where("doc_id <=> rep").select("node", "text").dropDuplicates(["node"]))
+    if own:
+        texts = written(docs.join(found.select("node", F.col("first.number").alias("number")), "number").select("node", "text"))
+    else:
+        wanted = found.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
+        some_null = docs.where("doc_id IS NULL")
+        texts = docs.join(wanted, "doc_id", "left_semi").unionByName(some_null).mapInArrow(_rekeyed, "doc_id long, text string, k1 long, k2 long")
+        texts = texts.withColumn("node", F.xxhash64("k1", "k2")).join(found.select("node", "rep"), "node")
+        texts = written(texts.where("doc_id <=> rep").select("node", "text").dropDuplicates(["node"]))
 
     links = written(_crowded(posts.where("hot"), texts))
     posts = posts.where("NOT hot")
@@ -241,13 +254,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    of = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = "first" if own else "rep"
+    of = classes.select("node", least).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of = written(of)
-    smallest = written(of.groupBy("label").agg(F.min("rep").alias("component_id")))  # a table, so that a join with a hot label can be split
-    placed = of.join(smallest, "label").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(placed, "node", "left")
+    smallest = of.groupBy("label").agg(F.min(least).alias("component_id"))
+    smallest = smallest.select("label", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.number").alias("survivor")) if own else smallest
+    smallest = written(smallest)  # a table, so that a join with a hot label can be split
+    placed = of.join(smallest, "label").select("node", "component_id", *(["survivor"] if own else []))
+    out = rows.select("doc_id", *own, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(placed, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    kept = (F.col("n_shingles") == 0) | (F.col("number") == F.col("survivor")) if own else F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return out.select("doc_id", *own, "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:

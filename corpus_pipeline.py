@@ -2,9 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns the documents it keeps with the
 columns of documents; the last one returns the mix. Models are learned from the
-documents that reach the stage. Documents with a null doc_id can't be addressed by
-a decision: they pass the filters by their own rows' scores and leave at the near-
-duplicate stage, which keeps one document with an id of each group.
+documents that reach the stage. Decisions are about rows, not ids: a stage whose
+operator names the documents it means numbers the rows of its input first, so null
+and repeated ids lose nothing and shield nothing.
 """
 
 from __future__ import annotations
@@ -28,6 +28,14 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number of its own for each row, and the name of that column."""
+    name = "number"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier doesn't predict to be good."""
     return score(_packed(docs), train(docs, table(spark, sf_dir, "labels")), "row").where(F.col("score") >= GOOD).select("row.*")
@@ -39,15 +47,18 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near duplicates: the one with the smallest id, one without an id if none has one."""
+    rows, number = _numbered(docs)
+    kept = near_duplicates(rows, number).where("kept").select(F.col("number").alias(number))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that contain a benchmark item."""
-    hit = written(contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    rows, number = _numbered(docs)
+    found = contained(rows.select(F.col(number).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = written(found.select(F.col("doc_id").alias(number)).distinct())
+    return rows.join(hit, number, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

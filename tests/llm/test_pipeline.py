@@ -37,3 +37,15 @@ def test_null_ids_and_empty_tables(spark, sf):
             docs_out = stage(spark, docs, sf)
             assert docs_out.columns == docs.columns
             docs_out.count()
+
+
+def test_null_and_repeated_ids_neither_lose_nor_shield_rows(spark, sf):
+    schema = table(spark, sf, "documents").schema
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    item = table(spark, sf, "benchmark").where("size(split(text, ' ')) > 20").head().text
+    texts = [(None, a), (None, a), (None, b), (5, b), (4, b + " end"), (7, c), (7, item), (None, item + " and more"), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], schema).repartition(3)
+    single = [(r.doc_id, r.text) for r in p.no_near_copies(spark, docs, sf).collect()]
+    assert sorted(single, key=str) == sorted([(None, a), (4, b + " end"), (7, c), (7, item), (None, ""), (8, None)], key=str)
+    left = [(r.doc_id, r.text) for r in p.no_benchmark(spark, docs, sf).collect()]
+    assert sorted(left, key=str) == sorted([x for x in texts if item not in (x[1] or "")], key=str)
