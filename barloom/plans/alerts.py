@@ -42,13 +42,13 @@ def price_levels(spark, sf):
 
 @query("analogues")
 def analogues(spark, sf):
-    """The newest bar of every asset against all earlier ones, for two horizons."""
+    """Every bar divisible by 50, and the newest bar of every asset, against all earlier ones, for two horizons."""
     b = event_bars(spark, sf)
     f = recursive(windowed(b, "1h")).withColumn("bar", F.col("bars_seen") - 1)
-    newest = f.groupBy(*similarity.KEY).agg(F.max("bar").alias("bar"))
+    asked = f.groupBy(*similarity.KEY).agg(F.max("bar").alias("bar")).unionByName(f.where("bar % 50 = 0").select(*similarity.KEY, "bar"))
     out = None
     for h in (12, 48):
-        v = similarity.verdicts(similarity.analogues(f, newest, h), b, h).withColumn("horizon", F.lit(h))
+        v = similarity.verdicts(similarity.analogues(f, asked, h), b, h).withColumn("horizon", F.lit(h))
         out = v if out is None else out.unionByName(v)
     return rounded(out.drop("source", "timeframe"))
 

@@ -260,6 +260,31 @@ def test_analogues_find_planted_repeats(spark):
     assert out and all(r.bar <= 389 and abs(r.bar % 50 - 49) * 1.0 <= 25 for r in out) and [r.rank for r in out] == list(range(1, len(out) + 1))
 
 
+def test_analogues_see_only_their_past_below_its_own_ceiling(spark):
+    from statistics import median
+
+    rng = random.Random(4)
+    rows = [("A", "s", "1h", i, 100.0 + rng.random(), rng.gauss(0, 1) * (1 if i < 300 else 40), rng.gauss(0, 1)) for i in range(600)]
+    f = spark.createDataFrame(rows, "asset string, source string, timeframe string, bar int, close double, x double, y double")
+    h, asked = 10, (15, 100, 250, 590)
+    got = similarity.analogues(f, f.where(F.col("bar").isin(*asked)), h, ("x", "y"), top=1000).collect()
+    assert got and max(r.asked for r in got) == 590
+    for q in asked:
+        past = [r[5:] for r in rows[: max(0, q - h)]]
+        want = []
+        if len(past) >= 30:
+            c = [median(p[k] for p in past) for k in (0, 1)]
+            m = [median(abs(p[k] - c[k]) for p in past) * 1.4826 for k in (0, 1)]
+            z = [[(p[k] - c[k]) / m[k] for k in (0, 1)] for p in [*past, rows[q][5:]]]
+            far = lambda a, b: (((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) / 2) ** 0.5
+            some = z[:-1][:: max(1, len(past) // 200)]
+            pairs = [far(some[i], some[i + 1]) for i in range(0, len(some) - 1, 2)]
+            most = 1.5 if len(past) < 50 else min(1.5, 0.85 * sum(pairs) / len(pairs))
+            want = [(i, far(v, z[-1])) for i, v in enumerate(z[:-1]) if far(v, z[-1]) <= most]
+        mine = {r.bar: r.distance for r in got if r.asked == q}
+        assert set(mine) == {i for i, _ in want} and all(abs(mine[i] - d) < 1e-9 for i, d in want)
+
+
 def test_synthetic_faults_are_seen(spark):
     b = synthetic_bars(spark, [("AAA", 100.0)], "2025-06-02 00:00:00", 200, "1h", drop_every=50, swap_every=60, spike_every=90).withColumn("arrival", F.unix_seconds(F.col("open_time").cast("timestamp")))
     kept, events = quality.validated(b, "1h", "arrival")
