@@ -156,34 +156,61 @@ def _stories(pdf: pd.DataFrame) -> pd.DataFrame:
             mass[best] += weight[t]
         out.append(best)
     pdf["story"] = pd.array(out, dtype="Int64")
-    return pdf[pdf["story"].notna()][["cycle", "item_id", "story"]]
+    pdf["cycle_titles"] = len(sets)
+    return pdf[pdf["story"].notna()][["cycle", "item_id", "story", "cycle_titles"]]
 
 
 def stories(items: DataFrame, cycle: str = "day") -> DataFrame:
-    """items (item_id, source, title, published_at) with cycle and story, the number of its story within the cycle; untold titles drop out."""
+    """items (item_id, source, title, published_at) with cycle, story, the number of its story within the cycle, and cycle_titles; untold titles drop out."""
     keyed = items.withColumn("cycle", F.date_trunc(cycle, "published_at").cast("timestamp_ntz"))
     lean = keyed.select("cycle", "item_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"), F.array_distinct(title_tokens(F.col("title"))).alias("tokens"))
-    told = lean.groupBy("cycle").applyInPandas(_stories, "cycle timestamp_ntz, item_id long, story long")
+    told = lean.groupBy("cycle").applyInPandas(_stories, "cycle timestamp_ntz, item_id long, story long, cycle_titles long")
     return keyed.join(told, ["cycle", "item_id"])
 
 
 def story_events(told: DataFrame) -> DataFrame:
-    """One row a story: its id (hash of the first title), earliest, latest, outlets, coverage and the joined titles."""
+    """One row a story: its id (hash of the first title), earliest, latest, outlets, coverage, the joined titles and the words of each article."""
     first = F.struct("published_at", "item_id")
     out = told.groupBy("cycle", "story").agg(
         F.min_by("title", first).alias("title"), F.min("published_at").alias("earliest"), F.max("published_at").alias("latest"),
         F.array_sort(F.collect_set("source")).alias("outlets"), F.count("*").alias("articles"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("published_at", "item_id", "title"))), lambda x: x["title"]), " ").alias("titles"),
+        F.first("cycle_titles").alias("cycle_titles"), F.flatten(F.collect_list(F.array_distinct(title_tokens(F.col("title"))))).alias("words"),
     )
     return out.withColumn("cluster_id", F.substring(F.sha2(normal_title(F.col("title")), 256), 1, 16)).withColumn("coverage", F.size("outlets"))
 
 
 def recycled(events: DataFrame, hours: int = RECYCLED_HOURS) -> DataFrame:
-    """events with recycled_from: the first earlier story of the same normalised title that is more than `hours` older."""
+    """events with recycled_from: when the first earlier story began that is similar and more than `hours` older.
+
+    Similarity is the Jaccard similarity of the stories' words by the later story's cycle's weights, at least SAME_STORY; a word that the
+    cycle doesn't have weighs as much as its rarest. A story that reaches it shares a word outside the commonest ones that make up less than
+    SAME_STORY of its own weight, so only its other words, the rarest, are looked up among the earlier stories.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("cluster_id")
-    first = F.min("earliest").over(w)
-    return events.withColumn("recycled_from", F.when(F.col("earliest") > first + F.expr(f"INTERVAL {hours} HOURS"), first))
+    told = events.select("cycle", "story", "earliest", "cycle_titles", "words", F.array_sort(F.array_distinct("words")).alias("signature"))
+    used = told.select("cycle", "cycle_titles", F.explode("words").alias("token")).groupBy("cycle", "token").agg(F.count("*").alias("df"), F.first("cycle_titles").alias("n"))
+    weights = used.select("cycle", "token", F.greatest(F.lit(FLOOR), F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("w"))
+    unseen = weights.groupBy("cycle").agg(F.max("w").alias("unseen"))
+    # Of equal signatures the oldest comes first in any case.
+    known = told.groupBy("signature").agg(F.min("earliest").alias("began")).withColumn("known", F.sha2(F.array_join("signature", " "), 256))
+    posts = known.select("known", "began", "signature", F.explode("signature").alias("token"))
+    often = posts.groupBy("token").agg(F.count("*").alias("often"))
+    own = told.select("cycle", "story", "earliest", F.explode("signature").alias("token")).join(weights, ["cycle", "token"]).join(often, "token")
+    story = Window.partitionBy("cycle", "story")
+    own = own.withColumn("mass", F.sum("w").over(story)).withColumn("rest", F.sum("w").over(story.orderBy(F.desc("often"), "token").rowsBetween(Window.unboundedPreceding, 0)))
+    asked = own.where(F.col("rest") >= F.col("mass") * (SAME_STORY - 1e-9)).select("cycle", "story", "earliest", "token")
+    older = F.col("began") + F.expr(f"INTERVAL {hours} HOURS") < F.col("earliest")
+    pairs = asked.join(posts.select("token", "known", "began"), "token").where(older).select("cycle", "story", "known").distinct()
+    mine = own.groupBy("cycle", "story").agg(F.first("mass").alias("mass"), F.collect_list(F.struct("token", "w")).alias("weighed"))
+    both = pairs.join(mine, ["cycle", "story"]).join(known, "known")
+    shared = F.aggregate(F.filter("weighed", lambda x: F.array_contains(F.col("signature"), x["token"])), F.lit(0.0), lambda a, x: a + x["w"])
+    both = both.withColumn("shared", shared).where(F.col("shared") >= F.col("mass") * (SAME_STORY - 1e-9))
+    other = both.select("cycle", "story", "began", "known", "mass", "shared", F.explode_outer(F.array_except("signature", F.col("weighed.token"))).alias("token"))
+    other = other.join(weights, ["cycle", "token"], "left").join(unseen, "cycle").withColumn("w", F.when(F.col("token").isNotNull(), F.coalesce("w", "unseen")).otherwise(0.0))
+    union = other.groupBy("cycle", "story", "known", "began").agg(F.first("shared").alias("shared"), (F.first("mass") + F.sum("w")).alias("union"))
+    first = union.where(F.col("shared") / F.col("union") >= SAME_STORY).groupBy("cycle", "story").agg(F.min("began").alias("recycled_from"))
+    return events.join(first, ["cycle", "story"], "left")
 
 
 def mentions(text: Column, words: tuple[str, ...]) -> Column:

@@ -244,6 +244,29 @@ def test_stories_gather_and_recycle(spark):
     assert [(e.articles, e.coverage) for e in ev] == [(2, 2), (1, 1), (1, 1)] and ev[2].recycled_from == t(1)
 
 
+def test_reworded_stories_are_recycled_as_by_brute_force(spark):
+    import math
+
+    rng = random.Random(3)
+    t = lambda h: START + timedelta(hours=h)
+    items = [(1, "a", "exchange halts bitcoin withdrawals today", t(1)), (2, "b", "senate passes budget bill", t(2)), (3, "c", "withdrawals of bitcoin halted again by exchange", t(49)), (4, "c", "rain tomorrow", t(50))]
+    items += [(10 + i, "d", " ".join(rng.sample([f"w{k}" for k in range(25)], 5)), t(rng.randrange(0, 24 * 6))) for i in range(60)]
+    ev = news.recycled(news.story_events(news.stories(spark.createDataFrame(items, "item_id long, source string, title string, published_at timestamp_ntz")))).collect()
+    cycles = {}
+    for e in ev:
+        cycles.setdefault(e.cycle, []).extend(e.words)
+    n = {e.cycle: e.cycle_titles for e in ev}
+    hits = 0
+    for e in ev:
+        w = {k: max(0.15, math.log((n[e.cycle] + 1) / (cycles[e.cycle].count(k) + 1))) for k in set(cycles[e.cycle])}
+        mass = lambda words: sum(w.get(k, max(w.values())) for k in words)  # noqa: E731, B023
+        a = set(e.words)
+        older = [p.earliest for p in ev if e.earliest - p.earliest > timedelta(hours=36) and mass(a & set(p.words)) / mass(a | set(p.words)) >= 0.30]
+        assert e.recycled_from == (min(older) if older else None)
+        hits += bool(older)
+    assert 5 < hits < len(ev) and next(e for e in ev if "halted" in e.words).recycled_from == t(1)
+
+
 def test_budget_limits_and_reserve(spark):
     rows = [(f"A{i}", None, START + timedelta(minutes=i), "volume_anomaly", 20, f"t{i}", 1.0, "me") for i in range(8)]
     rows += [("A0", None, START + timedelta(minutes=9), "volume_anomaly", 20, "t0", 1.0, "me"), ("A1", None, START + timedelta(minutes=10), "volume_anomaly", 20, "other", 1.0, "me"), ("Z", None, START + timedelta(minutes=11), "super_prediction", 40, "s", 1.0, "me")]
