@@ -121,11 +121,10 @@ def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     version = F.lit("byte_bpe_50k-1").alias("tokenizer")
     none = F.lit(None).cast("long").alias("old_tokens")
     counts = written(with_tokens(docs, *keep))
-    first = written(counts.groupBy("mark").agg(F.min("doc_id").alias("first")))  # a table, so that a join with a hot mark can be split
+    first = written(counts.groupBy("mark").agg(F.min("doc_id").alias("first"), F.min("n_tokens").alias("old_tokens")))  # a table, so that a join with a hot mark can be split
     copies = counts.join(first, "mark").where("doc_id > first")
     short = docs.where("again").withColumn("text", F.array_join(F.array_distinct(lines), "\n")).select(*keep, "text")
-    fresh = with_tokens(short, *keep).join(first, "mark").where("doc_id = first OR doc_id IS NULL")
-    revised = fresh.join(counts.select("doc_id", "mark", F.col("n_tokens").alias("old_tokens")).distinct(), ["doc_id", "mark"])
+    revised = with_tokens(short, *keep).join(first, "mark").where("doc_id = first OR doc_id IS NULL")
     batches = {
         "load": counts.select("source", "lang", version, F.lit("insert").alias("kind"), "n_tokens", none),
         "copies": copies.select("source", "lang", version, F.lit("delete").alias("kind"), "n_tokens", none),

@@ -338,3 +338,11 @@ def test_equal_texts_equal_media(spark):
     docs = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other")], "doc_id long, text string")
     a, b, c = sorted(media.store(docs, "doc_id").collect())
     assert a.media == b.media and a.declared == b.declared and hashlib.sha256(a.media).digest() != hashlib.sha256(c.media).digest()
+
+
+def test_documents_without_id_are_recounted_too(spark, tmp_path):
+    rows = [(None, "same line here\nsame line here\nother", "en", "s"), (2, "x y z", "en", "s"), (3, "a b\na b\nc", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = spark.createDataFrame([("same line here\nother",), ("x y z",), ("a b\nc",)], "text string")
+    want = sum(r.n_tokens for r in tokencounts.with_tokens(texts, "text").collect())
+    assert [(r.documents, r.tokens) for r in tokencounts.op2_token_counts(spark, str(tmp_path)).collect()] == [(3, want)]
