@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor shares; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which every executor shares.
+
+    Without that setting a session in local mode uses a temporary folder, which goes with
+    the process; a cluster's is refused, as its executors share no local folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="spark-barloom-", dir=os.environ.get("TMPDIR", "/tmp")))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         base = _OWN[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -30,9 +40,25 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor re-reads it."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def cleared(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder, and counts them; for when their results are stored."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_MADE)
+    while _MADE:
+        place = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        place.getFileSystem(conf).delete(place, True)
+    return n
+
+
+def kept(names: tuple[str, ...], *own: str) -> list[str]:
+    """The names once each, without those that an operator gives to columns of its own, whatever their case."""
+    taken = {x.lower() for x in own}
+    return [c for c in dict.fromkeys(names) if c.lower() not in taken]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, not only by rows, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

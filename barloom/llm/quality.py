@@ -10,7 +10,8 @@ sparse dot product with the broadcast weights, whose size is fixed by BUCKETS.
 Defined cases: a null or empty text has only the bias, as the corpus' share of
 good rows; repeated rows get equal scores; rows without a label, a null label or
 a null doc_id are never learned from; without any usable label every score is
-0.5; other columns are ignored; an empty table gives an empty result.
+0.5; other columns are ignored, a kept one named score (or, in quality, predicted) gives
+way to the result; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._run import bounded_sample, held_out, small_batches, table
+from barloom.llm._run import bounded_sample, held_out, kept, small_batches, table
 from barloom.llm._text import WORDS_AND_SIGNS, Words, mix, slices
 
 BUCKETS = 1 << 18
@@ -113,7 +114,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     """The kept columns of docs and score: the probability of label 1."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, kept(keep, "score")
     small_batches(spark)
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))
 
