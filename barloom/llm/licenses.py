@@ -5,15 +5,17 @@ documents each template word occurs; a template is then posted, with relative
 positions, under its rarest words. A document's occurrences of posted words are
 looked up, each giving the place where the template would begin; a place that enough
 posted words agree on is kept if the template's other words stand where they should
-and if its mandatory key phrases occur.
+and if each of its mandatory key phrases stands whole at its own offset from that place;
+a key phrase elsewhere in the text proves nothing.
 
 A base phrase is posted under its single rarest word and must match word by word, so
 that every place is found, and no other. A notice is posted under its ANCHORS rarest
 words, two of which must agree, and SHARE of its words must be in place.
 
 Defined cases: null and empty texts have no words and no labels; repeated rows get
-equal results; other columns are ignored; an empty table gives an empty result; ties
-of document frequency go to the first word by code point.
+equal results; other columns are ignored, kept ones named n_words or places give way to
+the results; an empty table gives an empty result; ties of document frequency go to the
+first word by code point; a key phrase that its template doesn't contain is refused.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._run import table
+from barloom.llm._run import kept, table
 
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -62,8 +64,21 @@ def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]
     return dict.fromkeys(vocabulary, 0) | {r.word: r.n for r in docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
+def offsets(words: list[str], phrases: tuple[str, ...]) -> list[int]:
+    """Where a template has the words of its key phrases."""
+    found = set()
+    for phrase in phrases:
+        own = phrase.split()
+        at = next((i for i in range(len(words)) if words[i : i + len(own)] == own), None)
+        if at is None:
+            raise ValueError(f"not in its template: {phrase}")
+        found |= set(range(at, at + len(own)))
+    return sorted(found)
+
+
 def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, tuple[str, tuple[str, ...]]] = NOTICES, *keep: str) -> DataFrame:
     """The kept columns, n_words, places (template, first word, share in place) of docs (text), and base and all labels."""
+    keep = kept(keep, "n_words", "places")
     templates = [(label, phrase.split(), ()) for phrase, label in base.items()] + [(label, text.split(), keys) for label, (text, keys) in notices.items()]
     n_base = len(base)
     often = document_frequency(docs, sorted({w for _, words, _ in templates for w in words}))
@@ -83,34 +98,37 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, tuple[
     anchors = F.array(*map(F.lit, sorted(postings)))
     index = F.create_map(*(x for w, pairs in sorted(postings.items()) for x in (F.lit(w), posted(pairs))))
     texts = F.array(*(F.array(*map(F.lit, words)) for _, words, _ in templates))
-    keys = F.array(*(F.array(*(F.lit(f" {k} ") for k in ks)) if ks else F.array().cast("array<string>") for _, _, ks in templates))
+    keys = F.array(*(F.array(*map(F.lit, offsets(words, ks))).cast("array<int>") for _, words, ks in templates))  # of all words of the key phrases
     needs = F.array(*map(F.lit, need))
     names = F.array(*(F.lit(label) for label, _, _ in templates))
 
     rows = docs.select(*keep, normal(F.col("text")).alias("_norm"))
-    rows = rows.select(*keep, F.inline(F.array(F.struct("_norm", _words(F.col("_norm")).alias("_words")))))
+    rows = rows.select(*keep, F.inline(F.array(F.struct(_words(F.col("_norm")).alias("_words")))))
     seen = F.when(
         F.arrays_overlap("_words", anchors),
         F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(anchors, x["w"])),
     )
     place = F.flatten(F.transform(seen, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["i"]).alias("first")))))
     # Generate keeps the arrays below from being built again for each element that refers to them.
-    rows = rows.select(*keep, "_norm", "_words", F.inline(F.array(F.struct(F.array_sort(place).alias("_place")))))
+    rows = rows.select(*keep, "_words", F.inline(F.array(F.struct(F.array_sort(place).alias("_place")))))
     agreed = F.array_distinct(F.filter("_place", lambda p, i: (p["first"] >= 0) & ((F.element_at(needs, p["t"] + 1) == 1) | ((i > 0) & (F.get(F.col("_place"), i - 1) == p)))))
-    rows = rows.select(*keep, "_norm", "_words", F.inline(F.array(F.struct(agreed.alias("_place")))))
+    rows = rows.select(*keep, "_words", F.inline(F.array(F.struct(agreed.alias("_place")))))
 
-    def share(p):
+    def measured(p):
         own = F.element_at(texts, p["t"] + 1)
-        return F.size(F.filter(F.transform(own, lambda w, j: F.coalesce(F.get(F.col("_words"), p["first"] + j) == w, F.lit(False))), lambda x: x)) / F.size(own)
-
-    def whole(p):
-        padded = F.concat(F.lit(" "), F.col("_norm"), F.lit(" "))
-        return F.when(p["t"] < n_base, p["share"] == 1).otherwise((p["share"] >= SHARE) & F.forall(F.element_at(keys, p["t"] + 1), lambda k: F.contains(padded, k)))
-
-    measured = F.transform("_place", lambda p: F.struct(p["t"].alias("t"), p["first"].alias("first"), share(p).alias("share")))
-    rows = rows.select(*keep, "_norm", "_words", F.inline(F.array(F.struct(measured.alias("_place")))))
-    kept = F.coalesce(F.filter("_place", whole), F.array().cast("array<struct<t:int,first:int,share:double>>"))
-    rows = rows.select(*keep, F.size("_words").cast("long").alias("n_words"), F.inline(F.array(F.struct(kept.alias("_place")))))
+        fits = F.transform(own, lambda w, j: F.coalesce(F.get(F.col("_words"), p["first"] + j) == w, F.lit(False)))
+        return F.struct(p["t"].alias("t"), p["first"].alias("first"), fits.alias("fits"))
+
+    def judged(p):
+        share = F.size(F.filter(p["fits"], lambda x: x)) / F.size(p["fits"])
+        whole = F.forall(F.element_at(keys, p["t"] + 1), lambda j: F.get(p["fits"], j))
+        return F.struct(p["t"].alias("t"), p["first"].alias("first"), share.alias("share"), whole.alias("whole"))
+
+    rows = rows.select(*keep, "_words", F.inline(F.array(F.struct(F.transform("_place", measured).alias("_place")))))
+    rows = rows.select(*keep, "_words", F.inline(F.array(F.struct(F.transform("_place", judged).alias("_place")))))
+    enough = F.filter("_place", lambda p: F.when(p["t"] < n_base, p["share"] == 1).otherwise((p["share"] >= SHARE) & p["whole"]))
+    enough = F.coalesce(enough, F.array().cast("array<struct<t:int,first:int,share:double,whole:boolean>>"))
+    rows = rows.select(*keep, F.size("_words").cast("long").alias("n_words"), F.inline(F.array(F.struct(enough.alias("_place")))))
     found = F.transform("_place", lambda p: F.struct(F.element_at(names, p["t"] + 1).alias("label"), p["first"].cast("long").alias("first_word"), p["share"].alias("share"), (p["t"] < n_base).alias("is_base")))
     return rows.select(*keep, "n_words", found.alias("places"))
 
