@@ -1,24 +1,36 @@
 """Media columns: signature sniffing with Aho-Corasick and format validators.
 
-One automaton over all magic bytes finds every place where a known format may
-begin. A validator for that format then follows the structure from there (chunk
-and header lengths, checksums where the format has them) and gives the exact
-length, or rejects the place. A value whose start validates gets that type, whatever
-was declared; validated places further inside are carved as embedded media.
+One automaton over all magic bytes and end marks finds every place where a known
+format may begin or end. A validator for that format then follows the structure from
+there (chunk, page and header lengths, directories, checksums where the format has
+them) and gives the exact length, or rejects the place. A value whose start validates
+gets that type, whatever was declared; validated places further inside are carved as
+embedded media, but not the parts that a format has by itself: only samples and
+documents (OPEN) are searched within, other formats own their bytes. Ends are looked
+up in the marks of the one pass, so that many false beginnings don't each search on to
+the end of the value.
+
+Lengths: a WAVE, BMP, PGM, PNG, GIF or gzip says its own; a JPEG ends at the end mark
+that its segments lead to; a PDF at the last end mark before the next PDF's header whose
+startxref, if there is one, leads to a table of this file; a zip at the end record whose
+directory leads back to its first byte, comment included; an Ogg is a run of pages; a
+FLAC is its metadata blocks and frames, each frame held against its CRC.
 
 Payloads are stored as 8-bit mono PCM in a WAVE file, or as 8-bit grey samples in a
 BMP or PGM image; which of the three depends on the payload alone.
 
 Defined cases: a null value sniffs as null type, length 0 and nothing embedded; an
 empty text has the payload of 64 zero bytes; equal values give equal results; other
-columns are ignored; an empty table gives an empty result.
+columns are ignored, kept ones named like a result give way to it; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from barloom.llm._run import small_batches, table
+from barloom.llm._run import kept, small_batches, table
 
 BLOCK = 64
 ROW = 64
@@ -45,6 +57,10 @@ MAGIC = {
     "flac": b"fLaC",
     "ogg": b"OggS",
 }
+#: The marks by which formats end.
+ENDS = {"pdf": b"%%EOF", "zip": b"PK\x05\x06"}
+#: Formats within which media of other formats are looked for.
+OPEN = {"wav", "bmp", "pgm", "pdf"}
 
 
 def wav(payload: bytes) -> bytes:
@@ -65,7 +81,70 @@ def pgm(payload: bytes) -> bytes:
 STORES = (wav, bmp, pgm)
 
 
-def _wav(b: bytes, at: int):
+class Value:
+    """The bytes of one value, where formats may begin, and what validators share."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+        self.begins: list[tuple[int, str]] = []
+        self.ends: dict[str, list[int]] = {k: [] for k in ENDS}
+        for last, (kind, long, end) in _automaton().iter(b.decode("latin-1")):
+            if end:
+                self.ends[kind].append(last + 1 - long)
+            else:
+                self.begins.append((last + 1 - long, kind))
+        self.pdfs = [at for at, kind in self.begins if kind == "pdf"]
+        self._marks: list[int] | None = None
+        self._after: dict[int, int] = {}
+        self._zips: dict[int, int] | None = None
+
+    def jpeg_end(self, place: int) -> int:
+        """Behind the end mark that the scan at place leads to, or -1. Scans that meet lead to the same end."""
+        if self._marks is None:  # markers within or after entropy-coded data
+            self._marks = [m.start() for m in re.finditer(rb"\xff[\x01-\xcf\xd8-\xfe]", self.b)]
+        passed, end = [], -1
+        while True:
+            k = bisect_left(self._marks, place)
+            if k == len(self._marks):
+                break
+            at = self._marks[k]
+            if at in self._after:
+                end = self._after[at]
+                break
+            passed.append(at)
+            if self.b[at + 1] == 0xD9:
+                end = at + 2
+                break
+            if self.b[at + 1] == 0xD8 or at + 4 > len(self.b):
+                break
+            place = at + 2 + max(2, int.from_bytes(self.b[at + 2 : at + 4], "big"))
+        self._after |= dict.fromkeys(passed, end)
+        return end
+
+    def zip_end(self, at: int) -> int:
+        """Behind the end record whose directory begins the archive at `at`, or -1."""
+        if self._zips is None:
+            self._zips = {}
+            for end in self.ends["zip"]:
+                if end + 22 <= len(self.b):
+                    n, size, start, note = struct.unpack_from("<HIIH", self.b, end + 10)
+                    directory = end - size
+                    if directory - start >= 0 and end + 22 + note <= len(self.b) and self._listed(directory, end, n, directory - start):
+                        self._zips.setdefault(directory - start, end + 22 + note)
+        return self._zips.get(at, -1)
+
+    def _listed(self, place: int, end: int, n: int, base: int) -> bool:
+        """Whether n directory entries fill the bytes from place to end, each leading to a local header."""
+        while place + 46 <= end and self.b[place : place + 4] == b"PK\x01\x02":
+            sizes, local = struct.unpack_from("<HHH", self.b, place + 28), int.from_bytes(self.b[place + 42 : place + 46], "little")
+            if self.b[base + local : base + local + 4] != MAGIC["zip"]:
+                return False
+            place, n = place + 46 + sum(sizes), n - 1
+        return place == end and n == 0
+
+
+def _wav(v: Value, at: int):
+    b = v.b
     if at + 12 > len(b) or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
@@ -82,7 +161,8 @@ def _wav(b: bytes, at: int):
     return end - at, data[0], data[1]
 
 
-def _bmp(b: bytes, at: int):
+def _bmp(v: Value, at: int):
+    b = v.b
     if at + 54 > len(b):
         return None
     size, _, _, start, head, wide, high, planes, bits, packed = struct.unpack_from("<IHHIIiiHHI", b, at + 2)
@@ -92,37 +172,46 @@ def _bmp(b: bytes, at: int):
     return size, at + start, row * abs(high)
 
 
-def _pgm(b: bytes, at: int):
-    lines = b[at : at + 64].split(b"\n", 3)
+def _pgm(v: Value, at: int):
+    lines = v.b[at : at + 64].split(b"\n", 3)
     if len(lines) < 4 or lines[2] != b"255" or not all(x.isdigit() for x in lines[1].split(b" ")) or lines[1].count(b" ") != 1:
         return None
     wide, high = map(int, lines[1].split(b" "))
     start = at + sum(len(x) + 1 for x in lines[:3])
-    if not wide * high or start + wide * high > len(b):
+    if not wide * high or start + wide * high > len(v.b):
         return None
     return start + wide * high - at, start, wide * high
 
 
-def _png(b: bytes, at: int):
-    place = at + 8
+def _whole(at: int, end: int):
+    return None if end < 0 else (end - at, at, end - at)
+
+
+def _png(v: Value, at: int):
+    b, place, chunks = v.b, at + 8, []
+    if b[place : place + 8] != b"\0\0\0\x0dIHDR":
+        return None
     while place + 12 <= len(b):
         size = int.from_bytes(b[place : place + 4], "big")
-        if place + 12 + size > len(b) or zlib.crc32(b[place + 4 : place + 8 + size]) != int.from_bytes(b[place + 8 + size : place + 12 + size], "big"):
+        if place + 12 + size > len(b):
             return None
+        chunks.append((place + 4, place + 8 + size))
         place += 12 + size
-        if b[place - size - 8 : place - size - 4] == b"IEND":
-            return place - at, at, place - at
+        if b[chunks[-1][0] : chunks[-1][0] + 4] == b"IEND":
+            fits = all(zlib.crc32(b[x:y]) == int.from_bytes(b[y : y + 4], "big") for x, y in chunks)
+            return _whole(at, place) if fits else None
     return None
 
 
-def _gif(b: bytes, at: int):
+def _gif(v: Value, at: int):
+    b = v.b
     if b[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(b):
         return None
     place = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
     while place < len(b):
         kind = b[place]
         if kind == 0x3B:
-            return place + 1 - at, at, place + 1 - at
+            return _whole(at, place + 1)
         if kind == 0x21:
             place += 2
         elif kind == 0x2C and place + 10 <= len(b):
@@ -135,19 +224,21 @@ def _gif(b: bytes, at: int):
     return None
 
 
-def _jpeg(b: bytes, at: int):
-    place = at + 2
+def _jpeg(v: Value, at: int):
+    b, place = v.b, at + 2
     while place + 4 <= len(b) and b[place] == 0xFF:
-        if b[place + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", place)
-            return None if end < 0 else (end + 2 - at, at, end + 2 - at)
-        place += 2 + int.from_bytes(b[place + 2 : place + 4], "big")
+        size = int.from_bytes(b[place + 2 : place + 4], "big")
+        if size < 2:
+            return None
+        place += 2 + size
+        if b[place - size - 1] == 0xDA:
+            return _whole(at, v.jpeg_end(place))
     return None
 
 
-def _gzip(b: bytes, at: int):
+def _gzip(v: Value, at: int):
     d = zlib.decompressobj(31)
-    left, size = memoryview(b)[at:], 0
+    left, size = memoryview(v.b)[at:], 0
     try:
         while not d.eof and len(left):
             d.decompress(left[: 1 << 16])
@@ -155,30 +246,135 @@ def _gzip(b: bytes, at: int):
             left = left[1 << 16 :]
     except zlib.error:
         return None
-    return (size - len(d.unused_data), at, size - len(d.unused_data)) if d.eof else None
+    return _whole(at, at + size - len(d.unused_data)) if d.eof else None
+
+
+def _pdf(v: Value, at: int):
+    if not re.match(rb"\d\.\d", v.b[at + 5 : at + 8]):
+        return None
+    k = bisect_left(v.pdfs, at + 1)
+    marks = v.ends["pdf"]
+    low, high = bisect_left(marks, at), bisect_left(marks, v.pdfs[k]) if k < len(v.pdfs) else len(marks)
+    for end in reversed(marks[low:high]):
+        said = re.search(rb"startxref\s+(\d{1,15})\s*$", v.b[max(at, end - 48) : end])
+        if said is None or said[1] == b"0" or re.match(rb"xref|\d+\s+\d+\s+obj", v.b[at + int(said[1]) : at + int(said[1]) + 32]):
+            return _whole(at, end + len(ENDS["pdf"]))
+    return None
+
+
+def _zip(v: Value, at: int):
+    return _whole(at, v.zip_end(at))
+
+
+def _crc(data: bytes, poly: int, bits: int) -> int:
+    """A checksum without reflection that begins with 0."""
+    table_, top, mask = _crc_table(poly, bits), bits - 8, (1 << bits) - 1
+    c = 0
+    for x in data:
+        c = (c << 8 & mask) ^ table_[c >> top ^ x]
+    return c
+
+
+@lru_cache
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for i in range(256):
+        c = i << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> bits - 1 else c << 1) & (1 << bits) - 1
+        out.append(c)
+    return out
 
 
-def _until(mark: bytes, more: int = 0):
-    def check(b: bytes, at: int):
-        end = b.find(mark, at)
-        return None if end < 0 or end + len(mark) + more > len(b) else (end + len(mark) + more - at, at, end + len(mark) + more - at)
+def _number(b: bytes, at: int) -> tuple[int, int] | None:
+    """A number in FLAC's variable-length code, and the bytes that it takes."""
+    n = 0
+    while n < 8 and at < len(b) and b[at] >> 7 - n & 1:
+        n += 1
+    if at + max(1, n) > len(b) or n in (1, 8):
+        return None
+    value = b[at] & 0xFF >> n + 1
+    for x in b[at + 1 : at + max(1, n)]:
+        if x >> 6 != 2:
+            return None
+        value = value << 6 | x & 0x3F
+    return value, max(1, n)
+
+
+def _frame(b: bytes, at: int, block: int) -> tuple[int, int] | None:
+    """(first sample, samples) of the FLAC frame whose header is at `at`."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 3] & 1:
+        return None
+    coded, rate = b[at + 2] >> 4, b[at + 2] & 15
+    number = _number(b, at + 4)
+    if number is None or coded == 0 or rate == 15:
+        return None
+    place = at + 4 + number[1]
+    if coded in (6, 7):
+        size = int.from_bytes(b[place : place + coded - 5], "big") + 1
+        place += coded - 5
+    else:
+        size = 192 if coded == 1 else 576 << coded - 2 if coded < 6 else 256 << coded - 8
+    place += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if place >= len(b) or _crc(b[at:place], 0x07, 8) != b[place]:
+        return None
+    return (number[0] if b[at + 1] & 1 else number[0] * block), size
+
+
+def _flac(v: Value, at: int):
+    b, place, last, first = v.b, at + 4, False, True
+    while not last:
+        if place + 4 > len(b):
+            return None
+        last, kind, size = b[place] >> 7, b[place] & 0x7F, int.from_bytes(b[place + 1 : place + 4], "big")
+        if (kind == 0) != first or (first and size != 34) or kind == 127 or place + 4 + size > len(b):
+            return None
+        place, first = place + 4 + size, False
+    block, total = int.from_bytes(b[at + 8 : at + 10], "big"), int.from_bytes(b[at + 21 : at + 26], "big") & 0xFFFFFFFFF
+    done, polynomial = 0, (0x8005, 16)
+    table_ = _crc_table(*polynomial)
+    while not total or done < total:  # an unknown total ends with the frames
+        head = _frame(b, place, block)
+        if head is None or head[0] != done:
+            return _whole(at, place) if not total else None
+        c, end = 0, -1
+        for i in range(place, len(b)):
+            c = (c << 8 & 0xFFFF) ^ table_[c >> 8 ^ b[i]]
+            # a frame's CRC brings the sum to 0; what follows must be the next frame, or the end of the samples
+            if c == 0 and i + 1 - place >= 8:
+                more = _frame(b, i + 1, block)
+                if (more is not None and more[0] == done + head[1]) or (total and done + head[1] >= total) or (not total and i + 1 == len(b)):
+                    end = i + 1
+                    break
+        if end < 0:
+            return None
+        place, done = end, done + head[1]
+    return _whole(at, place)
+
 
-    return check
+_TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
-def _flac(b: bytes, at: int):
-    return (len(b) - at, at, len(b) - at) if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else None
+def _ogg_sum(page: bytes) -> int:
+    """Ogg's checksum is zlib's on reversed bits, begun with 0 and not inverted."""
+    c = zlib.crc32(page.translate(_TURNED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{c:032b}"[::-1], 2)
 
 
-def _ogg(b: bytes, at: int):
-    place = at
-    while b[place : place + 4] == b"OggS" and place + 27 + (b[place + 26] if place + 26 < len(b) else 0) <= len(b):
+def _ogg(v: Value, at: int):
+    """A run of pages; a page's checksum must fit, or be left 0."""
+    b, place = v.b, at
+    while b[place : place + 4] == b"OggS" and place + 27 <= len(b) and b[place + 4] == 0:
         n = b[place + 26]
-        place += 27 + n + sum(b[place + 27 : place + 27 + n])
-    return (place - at, at, place - at) if place > at and place <= len(b) else None
+        end = place + 27 + n + sum(b[place + 27 : place + 27 + n])
+        said = b[place + 22 : place + 26]
+        if place + 27 + n > len(b) or end > len(b) or (any(said) and _ogg_sum(b[place : place + 22] + bytes(4) + b[place + 26 : end]) != int.from_bytes(said, "little")):
+            break
+        place = end
+    return _whole(at, place) if place > at else None
 
 
-VALID = {"wav": _wav, "bmp": _bmp, "pgm": _pgm, "png": _png, "gif": _gif, "jpeg": _jpeg, "pdf": _until(b"%%EOF"), "zip": _until(b"PK\x05\x06", 18), "gzip": _gzip, "flac": _flac, "ogg": _ogg}
+VALID = {"wav": _wav, "bmp": _bmp, "pgm": _pgm, "png": _png, "gif": _gif, "jpeg": _jpeg, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "flac": _flac, "ogg": _ogg}
 
 
 @lru_cache(1)
@@ -186,8 +382,9 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, magic in MAGIC.items():
-        a.add_word(magic.decode("latin-1"), (kind, len(magic)))
+    for marks, end in ((MAGIC, False), (ENDS, True)):
+        for kind, mark in marks.items():
+            a.add_word(mark.decode("latin-1"), (kind, len(mark), end))
     a.make_automaton()
     return a
 
@@ -195,16 +392,16 @@ def _automaton():
 def sniffed(b: bytes) -> tuple[str | None, int, int, int, list[tuple[str, int, int]]]:
     """(type, length, start and length of the samples, embedded media as (type, start, length)) of one value."""
     kind, size, start, n, inside = None, 0, 0, 0, []
-    reach = 0
-    for last, (name, long) in _automaton().iter(b.decode("latin-1")):
-        at = last + 1 - long
-        if at and at < reach and inside and at < inside[-1][1] + inside[-1][2]:
-            continue  # within media that is carved already
-        got = VALID[name](b, at)
+    v, reach, own = Value(b), 0, 0
+    for at, name in v.begins:
+        if at < reach or (name == kind and at < own):
+            continue  # within media that own their bytes or are carved already
+        got = VALID[name](v, at)
         if got is None:
             continue
         if at == 0:
             kind, (size, start, n) = name, got
+            own, reach = size, 0 if name in OPEN else size
         else:
             inside.append((name, at, got[0]))
             reach = at + got[0]
@@ -214,6 +411,7 @@ def sniffed(b: bytes) -> tuple[str | None, int, int, int, list[tuple[str, int, i
 def sniff(df: DataFrame, column: str, declared: str, *keep: str) -> DataFrame:
     """The kept columns and media_type (sniffed, else the declared one), corrected, media_bytes, sample_start, sample_bytes, embedded."""
     small_batches(df.sparkSession)
+    keep = kept(keep, "media_type", "corrected", "media_bytes", "sample_start", "sample_bytes", "embedded")
     kind = pa.list_(pa.struct([("media_type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
     own = "media_type string, corrected boolean, media_bytes long, sample_start long, sample_bytes long, embedded array<struct<media_type:string,start:long,length:long>>"
     schema = StructType([df.schema[c] for c in keep] + [f for f in StructType.fromDDL(own)])
@@ -236,6 +434,7 @@ def sniff(df: DataFrame, column: str, declared: str, *keep: str) -> DataFrame:
 def store(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns of docs (with text), n_bytes, declared and media: the padded bytes as 8-bit samples of a file."""
     small_batches(docs.sparkSession)
+    keep = kept(keep, "n_bytes", "declared", "media")
     schema = StructType([docs.schema[c] for c in keep] + [f for f in StructType.fromDDL("n_bytes long, declared string, media binary")])
 
     def run(batches):
