@@ -4,8 +4,10 @@ A rule has a regular expression and the literal tokens that any match must conta
 One pass over the urls counts in how many of them each rule token occurs; a rule is
 then indexed under its rarest one. The tokens of a url fetch candidate rules, and only
 those run their expressions, so the cost of a url doesn't grow with the rules that
-share no rare token with it. All of it is built-in expressions without a shuffle but
-for the token counts.
+share no rare token with it. Up to INLINE rules the index is a literal map of the plan
+and nothing is shuffled but the token counts; a longer list is a table of postings that
+the urls' tokens are joined with, and each url's hits are gathered again. Both give the
+same rows.
 
 Host rules (a host, all its subdomains, and a path prefix) are such patterns too; of
 those that fit, the longest decides. Where none fits, any matching block pattern
@@ -14,7 +16,7 @@ blocks, else the url is allowed.
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule
 and is allowed; repeated rows get equal results; other columns are ignored; an empty
 table gives an empty result; equally long rules that both fit are decided by the
-larger rule string.
+larger rule string; kept columns named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._run import table
+from barloom.llm._run import kept, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules are part of the plan; a larger list is refused rather than shipped with every task.
-MAX_RULES = 20_000
+#: A longer list of rules isn't part of the plan, but a table.
+INLINE = 500
 
 
 @dataclass(frozen=True)
@@ -86,35 +88,63 @@ def _tokens(url: Column) -> Column:
     return F.array_distinct(F.split(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), "[^a-z0-9]+"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERNS, *keep: str) -> DataFrame:
-    """The kept columns, host, path, rule, verdict, matched (names of all matching rules) and n_candidates of pages (url)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+_HIT = "struct<size:int,name:string,verdict:string>"
+
+
+def _rarest(pages: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
+    """The rules under the token that the fewest urls have; rules without a token under the empty one."""
     words = sorted({t for r in rules for t in r.literals})
-    rows = pages.select(*keep, "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     often = dict.fromkeys(words, 0)
-    if words:
+    if 0 < len(words) <= INLINE:
         held = F.array_intersect(_tokens(F.col("url")), F.array(*map(F.lit, words)))
         often |= {r.token: r.n for r in pages.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
-    always = [i for i, r in enumerate(rules) if not r.literals]
+    elif words:
+        asked = pages.sparkSession.createDataFrame([(w,) for w in words], "token string")
+        counted = pages.select(F.explode(_tokens(F.col("url"))).alias("token")).join(asked, "token").groupBy("token").agg(F.count("*").alias("n"))
+        often |= {r.token: r.n for r in counted.collect()}  # as many as the caller's list has
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        if r.literals:
-            index.setdefault(min(r.literals, key=lambda t: (often[t], t)), []).append(i)
-
-    fields = "name string, verdict string, pattern string, target string, size int"
-    listed = F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"), F.lit(r.target).alias("target"), F.lit(r.size).alias("size")) for r in rules)) if rules else F.array().cast(f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
-    found = F.array(*map(F.lit, always)) if always else F.array().cast("array<int>")
-    if index:
-        postings = F.create_map(*(x for t, ids in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ids)))))
-        own = F.array_intersect(_tokens(F.col("url")), F.array(*map(F.lit, sorted(index))))
-        found = F.concat(found, F.flatten(F.transform(own, lambda t: F.element_at(postings, t))))
-    rows = rows.withColumn("_whole", F.translate(F.coalesce("url", F.lit("")), UPPER, LOWER)).withColumn("_site", F.concat("host", "path"))
+        index.setdefault(min(r.literals, key=lambda t: (often[t], t)) if r.literals else "", []).append(i)
+    return index
+
+
+def _inline(rows: DataFrame, rules: tuple[Rule, ...], index: dict[str, list[int]], keep: list[str]) -> DataFrame:
+    """The kept columns, host, path, n_candidates and _hits of rows; index and rules are literals."""
+    listed = F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"), F.lit(r.target).alias("target"), F.lit(r.size).alias("size")) for r in rules))
+    postings = F.create_map(*(x for t, ids in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ids)))))
+    own = F.array_intersect(F.concat(_tokens(F.col("_whole")), F.array(F.lit(""))), F.array(*map(F.lit, sorted(index))))
+    found = F.flatten(F.transform(own, lambda t: F.element_at(postings, t)))
     rows = rows.select(*keep, "host", "path", "_whole", "_site", F.inline(F.array(F.struct(found.alias("_found")))))
-    named = F.contains(F.col("_whole"), F.lit("://"))
-    hits = F.filter(F.transform("_found", lambda i: F.element_at(listed, i + 1)), lambda r: named & F.rlike(F.when(r["target"] == "site", F.col("_site")).otherwise(F.col("_whole")), r["pattern"]))
-    rows = rows.select(*keep, "host", "path", F.size("_found").cast("long").alias("n_candidates"), F.inline(F.array(F.struct(hits.alias("_hits")))))
-    longest = F.array_max(F.transform(F.filter("_hits", lambda r: r["size"] > 0), lambda r: F.struct(r["size"], r["name"].alias("name"), r["verdict"].alias("verdict"))))
+    hits = F.filter(F.transform("_found", lambda i: F.element_at(listed, i + 1)), lambda r: F.rlike(F.when(r["target"] == "site", F.col("_site")).otherwise(F.col("_whole")), r["pattern"]))
+    return rows.select(*keep, "host", "path", F.size("_found").cast("long").alias("n_candidates"), F.inline(F.array(F.struct(F.transform(hits, lambda r: F.struct(r["size"].alias("size"), r["name"].alias("name"), r["verdict"].alias("verdict"))).alias("_hits")))))
+
+
+def _joined(rows: DataFrame, rules: tuple[Rule, ...], index: dict[str, list[int]], keep: list[str]) -> DataFrame:
+    """The same from a table of postings, which Spark broadcasts if it is small enough."""
+    listed = [(t, r.name, r.verdict, r.pattern, r.target, r.size) for t, ids in index.items() for r in map(rules.__getitem__, ids)]
+    postings = rows.sparkSession.createDataFrame(listed, "_token string, name string, verdict string, pattern string, target string, size int")
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+    tokens = rows.select("_row", "_whole", "_site", F.explode(F.array_union(_tokens(F.col("_whole")), F.array(F.lit("")))).alias("_token"))
+    fits = F.rlike(F.when(F.col("target") == "site", F.col("_site")).otherwise(F.col("_whole")), F.col("pattern"))
+    met = tokens.join(postings, "_token").select("_row", F.when(fits, F.struct("size", "name", "verdict")).alias("hit"))
+    hits = met.groupBy("_row").agg(F.count("*").alias("n_candidates"), F.collect_list("hit").alias("_hits"))
+    out = rows.join(hits, "_row", "left")
+    return out.select(*keep, "host", "path", F.coalesce("n_candidates", F.lit(0).cast("long")).alias("n_candidates"), F.coalesce("_hits", F.array().cast(f"array<{_HIT}>")).alias("_hits"))
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERNS, *keep: str) -> DataFrame:
+    """The kept columns, host, path, rule, verdict, matched (names of all matching rules) and n_candidates of pages (url)."""
+    keep = kept(keep, "host", "path", "rule", "verdict", "matched", "n_candidates")
+    named = F.contains(F.col("url"), F.lit("://"))
+    whole = F.translate(F.when(named, F.col("url")), UPPER, LOWER)  # null where no rule may look
+    rows = pages.select(*keep, whole.alias("_whole"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    rows = rows.withColumn("_site", F.when(F.col("_whole").isNotNull(), F.concat("host", "path")))
+    if not rules:
+        rows = rows.select(*keep, "host", "path", F.lit(0).cast("long").alias("n_candidates"), F.array().cast(f"array<{_HIT}>").alias("_hits"))
+    else:
+        index = _rarest(pages, rules)
+        rows = (_inline if len(rules) <= INLINE else _joined)(rows, rules, index, keep)
+    longest = F.array_max(F.filter("_hits", lambda r: r["size"] > 0))
     blocked = F.exists("_hits", lambda r: (r["size"] == 0) & (r["verdict"] == "block"))
     return rows.select(
         *keep,
