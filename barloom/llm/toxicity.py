@@ -16,12 +16,14 @@ lambda S - ln(K m) over its significant segments; a logistic curve fitted on the
 labelled sample turns it into a probability.
 
 Labels come from a bounded sample (MAX_TRAIN_ROWS) outside the held-out fold, from
-which near copies are dropped; the prior counts every document.
+which near copies (texts that share two minimum hashes of their word triples) are
+dropped; the prior counts every document.
 
 Defined cases: null, empty and word-free texts have no segment and get the score
 of texts without evidence; repeated rows get equal scores; rows with null label or
 null doc_id are not learned from; without labels of both kinds every score is 0;
-other columns are ignored; an empty table gives an empty result.
+other columns are ignored, kept ones named like a result give way to it; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from barloom.llm._run import bounded_sample, held_out, small_batches, table
+from barloom.llm._run import bounded_sample, held_out, kept, small_batches, table, written
 from barloom.llm._text import LETTER_WORDS, Words, distinct, shingles, slices
 
 BUCKETS = 1 << 18
@@ -157,9 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
     sample = F.broadcast(bounded_sample(known, "doc_id", MAX_TRAIN_ROWS))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(_sketched, "doc_id long, text string, y int, m1 long, m2 long")
-    for mark in ("m1", "m2"):
-        first = rows.groupBy(mark).agg(F.min("doc_id").alias("doc_id"))
-        rows = rows.join(first, [mark, "doc_id"], "left_semi")
+    # Read by three jobs below, so written once: of each group of near copies the row with the smallest id.
+    rows = written(rows.groupBy("m1", "m2").agg(F.min_by(F.struct("text", "y"), F.struct("doc_id", "text", "y")).alias("row")).select("row.*"))
 
     def presence(batches):
         seen = np.zeros((2, BUCKETS), np.int64)
@@ -246,7 +247,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def toxicity(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     """The kept columns of docs, score, passages (first and last word, segment score, evidence) and predicted."""
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, kept(keep, "score", "n_words", "passages", "predicted")
     small_batches(spark)
     passage = "array<struct<first_word:long,last_word:long,gain:double,evidence:double>>"
     fields = StructType([docs.schema[c] for c in keep] + [StructField("score", DoubleType()), StructField("n_words", LongType())])
