@@ -9,13 +9,17 @@ be present (a containment of 0.75 fails that less than twice in a million). A
 partition is skipped for documents too short to contain its smallest item.
 Every candidate is verified by the exact containment of the whole shingle sets.
 
-The items' hashes are broadcast in blocks of at most BLOCK_SHINGLES, counted first;
-a larger benchmark takes more blocks, each one pass over the documents.
+Items of up to BROADCAST_SHINGLES shingles in sum, counted first, are broadcast as one
+index, and documents are read once without a shuffle. Beyond, the sketches are a table:
+each document's hashes that a bitmap of fixed size (FILTER_BITS) can't rule out are
+joined with it, candidates are counted by document and item, and those that reach the
+threshold are joined with both whole texts. Both ways give the same rows.
 
 Defined cases: null, empty and word-free texts contain nothing and are contained in
 nothing; an item of one to four words is one shingle and matches only a document of
 just these words; repeated documents repeat their hits, repeated items do not; null
-ids are reported as null; other columns are ignored; empty tables give an empty result.
+ids are reported as null; items are told apart by id and shingle set; other columns are
+ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._run import small_batches, table
-from barloom.llm._text import shingles, slices
+from barloom.llm._run import small_batches, table, written
+from barloom.llm._text import mix, shingles, slices
 
 WORDS = 5
 SKETCH = 32
 MATCHES = 12
 #: Least share of an item's shingles that a contaminated document holds, in hundredths.
 CONTAINED = 75
-#: Shingles of items that are broadcast at once, 8 bytes each.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles of items that are broadcast, 8 bytes each.
+BROADCAST_SHINGLES = 2_000_000
+#: Bits of the filter that decides which hashes of documents are shuffled beyond that.
+FILTER_BITS = 1 << 27
 
 
 def _item_sets(batches):
@@ -83,29 +89,79 @@ class _Index:
                     yield int(a), int(i), both
 
 
+def _bitmap(batches):
+    for b in batches:
+        bits = np.unique(mix(b.column("value").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+        byte, first = np.unique(bits >> 3, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(np.bitwise_or.reduceat(1 << (bits & 7), first))], ["byte", "bits"])
+
+
+def _verified(batches):
+    for b in batches:
+        both = []
+        lists = b.column("shingles")
+        for i, raw, offsets in slices(b.column("text")):
+            v, _, n = shingles(raw, offsets, WORDS)
+            both += [len(np.intersect1d(x, lists[i + k].values.to_numpy().view(np.uint64), assume_unique=True)) for k, x in enumerate(np.split(v, np.cumsum(n)[:-1]))]
+        own = [b.column(c) for c in ("doc_id", "item_id", "n_item")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(both, pa.int64())], ["doc_id", "item_id", "n_item", "n_common"])
+
+
+def _joined(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_item, n_common of docs (doc_id, text) and sets (item_id, n, shingles) of any number."""
+    spark = docs.sparkSession
+    sets = written(sets.withColumn("item", F.monotonically_increasing_id()))
+    order = F.array_sort("shingles", lambda x, y: F.when(x.bitwiseXOR(F.lit(-(1 << 63))) < y.bitwiseXOR(F.lit(-(1 << 63))), -1).when(x == y, 0).otherwise(1))  # as unsigned
+    heads = written(sets.select("item", "n", F.explode(F.slice(order, 1, SKETCH)).alias("value")))
+    parts = heads.select("value").mapInArrow(_bitmap, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()
+    filter_ = np.zeros(FILTER_BITS // 8, np.uint8)
+    filter_[parts.byte.to_numpy()] = parts.bits.to_numpy()
+    shared = spark.sparkContext.broadcast(filter_)
+    docs = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+
+    def hashes(batches):
+        for b in batches:
+            row, many, value = b.column("row").to_numpy(), [], []
+            at = []
+            for i, raw, offsets in slices(b.column("text")):
+                v, t, n = shingles(raw, offsets, WORDS)
+                bit = mix(v) % np.uint64(FILTER_BITS)
+                maybe = (shared.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                at.append(i + t[maybe])
+                many.append(n[t[maybe]])
+                value.append(v[maybe])
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(row[np.concatenate([*at, *none])]), pa.array(np.concatenate([*many, *none]).astype(np.int64)), pa.array(np.concatenate([*value, np.zeros(0, np.uint64)]).view(np.int64))], ["row", "many", "value"])
+
+    met = docs.select("row", "text").mapInArrow(hashes, "row long, many long, value long").join(heads, "value").where(f"100 * many >= {CONTAINED} * n")
+    need = F.when(F.col("n") > SKETCH, MATCHES).otherwise(F.ceil(F.col("n") * CONTAINED / 100))
+    pairs = met.groupBy("row", "item", "n").count().where(F.col("count") >= need)
+    both = pairs.select("row", "item").join(docs, "row").join(sets.select("item", "item_id", F.col("n").alias("n_item"), "shingles"), "item")
+    found = both.select("doc_id", "item_id", "n_item", "text", "shingles").mapInArrow(_verified, "doc_id long, item_id long, n_item long, n_common long")
+    return found.where(f"100 * n_common >= {CONTAINED} * n_item")
+
+
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_item, n_common, containment of every item of items (item_id, text) inside a row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(_item_sets, "item_id long, n long, shingles array<long>").where("n > 0").distinct()
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
-    out = None
-    for k in range(blocks):
-        own = sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("item_id", "n", F.lit(11)), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(_Index([(r.item_id, np.array(r.shingles, np.int64)) for r in own.collect()]))
-
-        def run(batches, index=index):
-            ix = index.value
-            for b in batches:
-                ids, rows = b.column("doc_id"), []
-                for i, raw, offsets in slices(b.column("text")):
-                    rows += [(i + a, ix.ids[j], int(ix.size[j]), both) for a, j, both in ix.hits(*shingles(raw, offsets, WORDS))]
-                at, item, size, both = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(size, pa.int64()), pa.array(both, pa.int64())], ["doc_id", "item_id", "n_item", "n_common"])
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, n_item long, n_common long")
-        out = part if out is None else out.unionByName(part)
+    if total > BROADCAST_SHINGLES:
+        return _joined(docs, sets).withColumn("containment", F.col("n_common") / F.col("n_item"))
+    index = spark.sparkContext.broadcast(_Index([(r.item_id, np.array(r.shingles, np.int64)) for r in sets.collect()]))
+
+    def run(batches):
+        ix = index.value
+        for b in batches:
+            ids, rows = b.column("doc_id"), []
+            for i, raw, offsets in slices(b.column("text")):
+                rows += [(i + a, ix.ids[j], int(ix.size[j]), both) for a, j, both in ix.hits(*shingles(raw, offsets, WORDS))]
+            at, item, size, both = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(size, pa.int64()), pa.array(both, pa.int64())], ["doc_id", "item_id", "n_item", "n_common"])
+
+    out = docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_common long")
     return out.withColumn("containment", F.col("n_common") / F.col("n_item"))
 
 

@@ -109,7 +109,7 @@ def test_contained_items_are_those_of_brute_force(spark, docs, monkeypatch):
                 want[(i, j, len(s), both)] += 1
     table = spark.createDataFrame(items + items[:1], "item_id long, text string")
     assert want and Counter(tuple(r)[:4] for r in decontaminate.contained(docs, table).collect()) == want
-    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 20)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 20)
     assert Counter(tuple(r)[:4] for r in decontaminate.contained(docs, table).collect()) == want
 
 
