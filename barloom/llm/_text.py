@@ -49,8 +49,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of whole texts of about SLICE_BYTES; null is empty."""
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of whole texts of about `most` bytes; null is empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64
     else:
@@ -65,7 +65,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = int(np.searchsorted(at, at[i] + SLICE_BYTES, side="right")) - 1
+        j = int(np.searchsorted(at, at[i] + most, side="right")) - 1
         j = min(max(j, i + 1), n)
         yield i, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j

@@ -191,17 +191,53 @@ def test_forward_backward_sums_all_paths():
     import numpy as np
 
     rng = np.random.RandomState(0)
-    score, move = rng.randn(1, 4, 3), rng.randn(3, 3)
-    p, pairs = langid._marginals(score, np.ones((1, 4), bool), move)
+    score, move = rng.randn(1, 4, 3), langid.Moves(*rng.randn(3, 3))
+    step = [[move.stay[a] if a == b else move.leave[a] + move.enter[b] for b in range(3)] for a in range(3)]
+    p, stay, leave, enter = langid._marginals(score, np.ones((1, 4), bool), move)
     want, steps, z = np.zeros((4, 3)), np.zeros((3, 3)), 0.0
     for path in itertools.product(range(3), repeat=4):
-        v = np.exp(sum(score[0, t, y] for t, y in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:], strict=False)))
+        v = np.exp(sum(score[0, t, y] for t, y in enumerate(path)) + sum(step[a][b] for a, b in zip(path, path[1:], strict=False)))
         z += v
         for t, y in enumerate(path):
             want[t, y] += v
         for a, b in zip(path, path[1:], strict=False):
             steps[a, b] += v
-    assert np.allclose(p[0], want / z) and np.allclose(pairs, steps / z)
+    steps /= z
+    between = steps - np.diag(np.diag(steps))
+    assert np.allclose(p[0], want / z)
+    assert np.allclose(stay, np.diag(steps)) and np.allclose(leave, between.sum(1)) and np.allclose(enter, between.sum(0))
+
+
+def test_a_long_text_is_one_chain(spark, monkeypatch):
+    """Pieces that hand on what they know give what one pass over the whole text gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcde" if i % 2 else "cdefg", k=3)) for _ in range(30)), "xy"[i % 2]) for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model.move.stay[:] = 4  # so that a word matters far away
+    texts = pa.array([" ".join("".join(rng.choices("cde", k=3)) for _ in range(n)) for n in (500, 64, 65, 0, 1, 129)])
+    pieces = list(langid.labelled(texts, model))
+    monkeypatch.setattr(langid, "CELLS", 64 * 2 * 3)
+    split = list(langid.labelled(texts, model))
+    monkeypatch.setattr(langid, "CHAIN", 512)
+    whole = list(langid.labelled(texts, model))
+    for got in (pieces, split):
+        assert len(got) == len(whole) and all((a[2] == b[2]).all() and np.allclose(a[3], b[3], atol=1e-9) for a, b in zip(got, whole, strict=True))
+
+
+def test_rare_and_many_languages_are_learned(spark):
+    """600 languages, one of them with a thousandth of the rows."""
+    rng = random.Random(9)
+    spell = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)] for _ in range(600)]
+    rows = [(i, " ".join(rng.choices(spell[j], k=12)), f"l{j}") for i in range(9000) for j in [i % 599 if i % 1000 else 599]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = langid.stratified(docs, 3000).groupBy("lang").count().collect()
+    assert len(sample) == 600 and sum(r["count"] for r in sample) <= 3000 and {r.lang: r["count"] for r in sample}["l599"] >= 4
+    got = langid.identify(docs, langid.train(docs), "doc_id").collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in held) >= 0.97 * len(held)
 
 
 def test_license_places(spark, docs):
