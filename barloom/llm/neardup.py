@@ -11,18 +11,24 @@ query over the postings:
 * prefix: of its m shared pairs a class posts only the m - MATCHES + 1 rarest,
   as two classes with MATCHES collisions must meet in one of those. A passage
   that a third of all documents hold sits in the part that isn't posted;
-* skip: classes that meet in postings of more than CROWD entries are gathered into
-  clusters of overlapping postings. A cluster is cut into blocks by hash, each pair
-  of blocks is one group that compares whole sets as a matrix product and returns a
-  spanning forest of its links, so what is returned grows with the classes, not with
-  their pairs. In the other postings classes are first linked to the ends only; those
-  of different components are then counted against each other, once, in the first
-  posting that they share, lengths that can't reach the similarity being passed over.
+* skip: of each posting classes are first compared with its two ends only, one exact
+  comparison a class, and what links is contracted to one component; classes of
+  different components are then counted against each other, once, in the first
+  posting that they share, lengths that can't reach the similarity being passed over;
+* a posting of more than CROWD classes that is still in several components is
+  contracted again and again with other ends, as long as that pays: variants of one
+  template become one component in time linear in their number. What then is left of it
+  is met in a sharper index, of shingles: similar sets share one of the rarest quarter
+  of their shingles, by any one order of all shingles, and far enough in front in both.
+  Documents that only share a passage, however many, don't meet there. Of a crowded
+  posting of that index whole sets are compared block by block as matrix products,
+  each giving a spanning forest of its links.
 
 Every link is confirmed on the full shingle sets of both whole texts.
 
 Losing a link needs fewer than 12 collisions of 32 at a probability of at least
-0.75 each: less than two in a million for a pair exactly at the threshold.
+0.75 each: less than two in a million for a pair exactly at the threshold. The index of
+shingles loses none. Classes are keyed by two digests of 64 bits each.
 
 Defined cases: null and empty texts, or texts without words, have no shingles and
 link with nothing; texts of one to four words are one shingle; repeated rows are
@@ -47,6 +53,8 @@ WORDS = 5
 #: Classes in a posting that are still counted pair by pair.
 CROWD = 64
 BLOCK = 256
+#: Columns in which the shingles of crowded classes are counted, to put them in order.
+COUNTS = 1 << 20
 #: Jaccard similarity of a link, in hundredths.
 SIMILAR = 75
 
@@ -167,6 +175,53 @@ def _crowded(hot: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInArrow(_forest, "a long, b long")
 
 
+def _column_counts(batches):
+    total = np.zeros(COUNTS, np.int64)
+    for b in batches:
+        for _, raw, offsets in slices(b.column("text")):
+            total += np.bincount((shingles(raw, offsets, WORDS)[0] % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+
+
+def _rest(hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what the classes hot (node, label, n) of different labels link, found in an index of their shingles."""
+    spark = hot.sparkSession
+    rows = written(texts.join(hot, "node"))
+    counts = rows.select("text").mapInArrow(_column_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNTS, np.int64)
+    often[counts["at"].to_numpy()] = counts.n.to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def rarest(batches):
+        for b in batches:
+            at, value, place = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i, raw, offsets in slices(b.column("text")):
+                v, t, n = shingles(raw, offsets, WORDS)
+                c = shared.value[(v % np.uint64(COUNTS)).astype(np.int64)]
+                order = np.lexsort((v, c, t))
+                v, c = v[order], c[order]
+                rank = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
+                front = (rank <= n[t] - -(-SIMILAR * n[t] // 100)) & (c > 1)  # a column counted once holds a shingle that no other class has
+                at.append(i + t[front])
+                value.append(v[front])
+                place.append(rank[front])
+            at = pa.array(np.concatenate(at))
+            own = [b.column(x).take(at) for x in ("node", "label", "n")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(value).view(np.int64)), pa.array(np.concatenate(place))], ["node", "label", "n", "token", "place"])
+
+    posts = rows.mapInArrow(rarest, "node long, label long, n long, token long, place long")
+    size = written(posts.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "many"))
+    posts = written(posts.join(size, "token"))
+    a, b = posts.where(f"many <= {CROWD}").alias("a"), posts.where(f"many <= {CROWD}").alias("b")
+    near = f"100 * least(a.n, b.n) >= {SIMILAR} * greatest(a.n, b.n)"
+    far = f"{100 + SIMILAR} * least(a.n - a.place, b.n - b.place) >= {SIMILAR} * (a.n + b.n)"  # what is left can still be shared
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & F.expr(near) & F.expr(far))
+    found = written(_links(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), texts))
+    crowd = posts.where(f"many > {CROWD}")
+    return found if crowd.isEmpty() else found.unionByName(_crowded(crowd.select("node", "token"), texts))
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the similarity."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -196,6 +251,36 @@ def components(edges: DataFrame) -> DataFrame:
         labels = written(labels)
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after components that links (a, b) connect got one label."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    to = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return written(labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
+def _star(posts: DataFrame, turn: int, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of the classes in posts (token, node, n, label) with an end of one of their postings, in another component: one comparison a class."""
+    key = F.struct(F.xxhash64("label", F.lit(turn)).alias("key"), F.xxhash64("node", F.lit(turn)).alias("own"), "node", "n", "label")
+    ends = written(posts.groupBy("token").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low.label <> high.label"))  # a table, so that a hot posting can be split
+    met = posts.join(ends, "token").select("node", "n", "label", F.explode(F.array("low", "high")).alias("end")).where("label <> end.label")
+    met = met.where(f"100 * least(n, end.n) >= {SIMILAR} * greatest(n, end.n)")
+    best = met.groupBy("node", F.col("end.node").alias("end")).count().groupBy("node").agg(F.max(F.struct("count", "end")).alias("best"))
+    star = best.select(F.least("node", "best.end").alias("a"), F.greatest("node", "best.end").alias("b")).distinct()
+    star = star.join(signatures.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(signatures.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    return _links(star.where(_collide("x", "y")).select("a", "b"), texts)
+
+
+def _collide(x: str, y: str):
+    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda p: p)) >= MATCHES
+
+
+def _mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """posts with label and many, the size of the posting; only postings of several components."""
+    marked = posts.join(labels, "node")
+    size = written(marked.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "many"))
+    return written(marked.join(size, "token"))
+
+
 def near_duplicates(docs: DataFrame, number: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text).
 
@@ -207,61 +292,67 @@ def near_duplicates(docs: DataFrame, number: str | None = None) -> DataFrame:
     small_batches(spark)
     own = ["number"] if number else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(number).alias(n) for n in own))
-    rows = written(docs.mapInArrow(_sketches, "doc_id long, " + "".join(f"{n} long, " for n in own) + "n_shingles long, k1 long, k2 long, sig array<int>").withColumn("node", F.xxhash64("k1", "k2")))
+    rows = written(docs.mapInArrow(_sketches, "doc_id long, " + "".join(f"{n} long, " for n in own) + "n_shingles long, k1 long, k2 long, sig array<int>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")).alias("first") if own else F.min("doc_id").alias("rep")
-    classes = rows.where("n_shingles > 0").groupBy("node").agg(first, F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
-    classes = written(classes.select("node", F.col("first.doc_id").alias("rep"), "first", "n", "sig") if own else classes)
+    classes = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(first, F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
+    # A number of its own, scattered: the hash of a long is one to one.
+    classes = classes.withColumn("node", F.xxhash64(F.monotonically_increasing_id()))
+    classes = written(classes.withColumn("rep", F.col("first.doc_id")) if own else classes)
 
     # Postings that at least two classes share, and of each class the rarest ones that its prefix needs.
     tokens = classes.select("node", F.posexplode("sig").alias("at", "value")).select("node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    often = written(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
     shared = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared"))
     prefix = shared.where(F.size("shared") >= MATCHES).select("node", F.expr(f"slice(shared, 1, size(shared) - {MATCHES - 1})").alias("prefix"))
     found = written(prefix.join(classes, "node"))
-    posts = found.select("node", "n", F.explode("prefix.token").alias("token"))
-    full = posts.groupBy("token").count().where(f"count > {CROWD}").select("token")
-    posts = written(posts.join(full.withColumn("hot", F.lit(True)), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    posts = written(found.select("node", "n", F.explode("prefix.token").alias("token")))
     if own:
         texts = written(docs.join(found.select("node", F.col("first.number").alias("number")), "number").select("node", "text"))
     else:
         wanted = found.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
         some_null = docs.where("doc_id IS NULL")
         texts = docs.join(wanted, "doc_id", "left_semi").unionByName(some_null).mapInArrow(_rekeyed, "doc_id long, text string, k1 long, k2 long")
-        texts = texts.withColumn("node", F.xxhash64("k1", "k2")).join(found.select("node", "rep"), "node")
+        texts = texts.join(found.select("node", "rep", "k1", "k2"), ["k1", "k2"])
         texts = written(texts.where("doc_id <=> rep").select("node", "text").dropDuplicates(["node"]))
 
-    links = written(_crowded(posts.where("hot"), texts))
-    posts = posts.where("NOT hot")
-
-    # First the ends of each posting: one exact comparison a class.
-    near = f"100 * least(n, m) >= {SIMILAR} * greatest(n, m)"
-    ends = posts.groupBy("token").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
-    met = posts.join(ends, "token").select("node", "n", F.explode(F.array("low", "high")).alias("end")).select("node", "n", F.col("end.node").alias("end"), F.col("end.n").alias("m"))
-    best = met.where("node <> end").where(near).groupBy("node", "end").count().groupBy("node").agg(F.max(F.struct("count", "end")).alias("best"))
-    star = best.select(F.least("node", "best.end").alias("a"), F.greatest("node", "best.end").alias("b")).distinct()
-    links = written(links.unionByName(_links(star, texts)))
-    labels = components(links)
+    # First the ends of each posting; crowded postings go on with other ends while a tenth of their classes finds a link.
+    labels = found.select("node", F.col("node").alias("label"))
+    links = written(_star(posts.join(labels, "node"), 0, found, texts))
+    labels, turn = _joined(labels, links), 1
+    mixed = _mixed(posts, labels)
+    while True:
+        crowd = mixed.where(f"many > {CROWD}")
+        waiting = crowd.select("node").distinct().count()
+        if not waiting:
+            break
+        links = written(_star(crowd, turn, found, texts))
+        if not links.isEmpty():
+            labels, turn = _joined(labels, links), turn + 1
+            mixed = _mixed(posts, labels)
+        if 10 * links.count() < waiting:
+            break
 
     # Then what different components still share.
-    marked = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    held = written(marked.join(mixed, "token").join(found.select("node", "sig", F.col("prefix.token").alias("own")), "node"))
+    crowd = mixed.where(f"many > {CROWD}").select("node", "label", "n").distinct()
+    more = None if crowd.isEmpty() else written(_rest(crowd, texts))
+    held = written(mixed.where(f"many <= {CROWD}").join(found.select("node", "sig", F.col("prefix.token").alias("own")), "node"))
     a, b = held.alias("a"), held.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"), F.col("own").alias("other_own"))
-    collide = F.size(F.filter(F.zip_with("sig", "other_sig", lambda x, y: x == y), lambda x: x)) >= MATCHES
     once = F.array_min(F.array_intersect("own", "other_own")) == F.col("a.token")
-    pairs = a.join(b, (F.col("a.token") == b["token"]) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & F.expr(near) & collide & once)
-    more = written(_links(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), texts))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    near = F.expr(f"100 * least(n, m) >= {SIMILAR} * greatest(n, m)")
+    pairs = a.join(b, (F.col("a.token") == b["token"]) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & near & _collide("sig", "other_sig") & once)
+    last = written(_links(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), texts))
+    last = last if more is None else last.unionByName(more)
+    if not last.isEmpty():
+        labels = _joined(labels, last)
 
     least = "first" if own else "rep"
-    of = classes.select("node", least).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = classes.select("node", "k1", "k2", least).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of = written(of)
     smallest = of.groupBy("label").agg(F.min(least).alias("component_id"))
     smallest = smallest.select("label", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.number").alias("survivor")) if own else smallest
     smallest = written(smallest)  # a table, so that a join with a hot label can be split
-    placed = of.join(smallest, "label").select("node", "component_id", *(["survivor"] if own else []))
-    out = rows.select("doc_id", *own, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(placed, "node", "left")
+    placed = of.join(smallest, "label").select("k1", "k2", "component_id", *(["survivor"] if own else []))
+    out = rows.where("n_shingles > 0").join(placed, ["k1", "k2"]).unionByName(rows.where("n_shingles = 0"), allowMissingColumns=True)
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     kept = (F.col("n_shingles") == 0) | (F.col("number") == F.col("survivor")) if own else F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return out.select("doc_id", *own, "n_shingles", "component_id", kept.alias("kept"))
