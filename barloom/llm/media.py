@@ -94,10 +94,18 @@ class Value:
             else:
                 self.begins.append((last + 1 - long, kind))
         self.pdfs = [at for at, kind in self.begins if kind == "pdf"]
+        self._zeros: list[int] | None = None
         self._marks: list[int] | None = None
         self._after: dict[int, int] = {}
         self._zips: dict[int, int] | None = None
 
+    def zero(self, place: int) -> int:
+        """The next zero byte, or -1."""
+        if self._zeros is None:
+            self._zeros = [m.start() for m in re.finditer(b"\0", self.b)]
+        k = bisect_left(self._zeros, place)
+        return self._zeros[k] if k < len(self._zeros) else -1
+
     def jpeg_end(self, place: int) -> int:
         """Behind the end mark that the scan at place leads to, or -1. Scans that meet lead to the same end."""
         if self._marks is None:  # markers within or after entropy-coded data
@@ -237,6 +245,16 @@ def _jpeg(v: Value, at: int):
 
 
 def _gzip(v: Value, at: int):
+    flags, place = v.b[at + 3] if at + 10 <= len(v.b) else 0xFF, at + 10
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        place += 2 + int.from_bytes(v.b[place : place + 2], "little")
+    for bit in (8, 16):  # file name and comment
+        if flags & bit:
+            place = v.zero(place) + 1
+            if not place:
+                return None
     d = zlib.decompressobj(31)
     left, size = memoryview(v.b)[at:], 0
     try:
