@@ -1,8 +1,12 @@
 """The corpus pipeline against its stages applied by brute force."""
 
+import re
+
 import corpus_pipeline as p
+from barloom.llm import toxicity
 from barloom.llm._run import table
 from barloom.llm.decontaminate import contained
+from tests.llm import plain
 from tests.llm.test_operators import expected_components
 
 
@@ -11,9 +15,13 @@ def test_each_stage_keeps_what_it_should(spark, sf):
     columns = docs.columns
     good = p.good_quality(spark, docs, sf)
     assert good.columns == columns
-    rows = good.collect()
+    rows, every, marks = good.collect(), docs.collect(), table(spark, sf, "labels").collect()
+    order = dict(docs.select("text", p.F.xxhash64("text")).collect())
+    scores = plain.quality_scores(every, marks, order)
+    assert {r.doc_id for r in rows} == {r.doc_id for r, x in zip(every, scores, strict=True) if x >= 0.7} and len(rows) < len(every)
     clean = p.not_toxic(spark, good, sf)
-    assert clean.columns == columns and {r.doc_id for r in clean.collect()} <= {r.doc_id for r in rows}
+    model = toxicity.train(good, table(spark, sf, "labels"))
+    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in rows if plain.toxic_score(r.text, model) < 0.3}
     single = p.no_near_copies(spark, docs, sf)
     want = {i for i, _, c in expected_components([(r.doc_id, r.text) for r in docs.collect()]) if i == c}
     assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == sorted(want)
@@ -22,6 +30,10 @@ def test_each_stage_keeps_what_it_should(spark, sf):
     assert hit and left.columns == columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - hit
     mix = p.mix(spark, left, sf).collect()
     assert len(mix) == left.count() and all(r.taken <= 2 * r.size for r in mix)
+    for source in {r.source for r in mix}:
+        own = [r for r in mix if r.source == source]
+        size = sum(len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) for d in left.where(p.F.col("source").eqNullSafe(source)).collect())
+        assert {r.source_size for r in own} == {size} and abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own)
 
 
 def test_the_whole_run(spark, sf):
