@@ -61,39 +61,50 @@ def regime_rule(states: DataFrame, key=KEY) -> DataFrame:
 
 def correlation_rule(pairs: DataFrame, base: float = 0.5, drop: float = 0.35) -> DataFrame:
     """pairs (asset, peer, at, now, baseline): a high correlation that has gone."""
-    return _alert(pairs, (F.col("baseline") >= base) & (F.col("baseline") - F.col("now") >= drop), "correlation_breakdown", F.concat("asset", F.lit(" no longer follows "), "peer"), F.col("baseline") - F.col("now"))
+    title = F.format_string("correlation with %s fell %.2f to %.2f", F.col("peer"), F.col("baseline"), F.col("now"))
+    return _alert(pairs, (F.col("baseline") >= base) & (F.col("baseline") - F.col("now") >= drop), "correlation_breakdown", title, F.col("baseline") - F.col("now"))
+
+
+def rolling_pairs(returns: DataFrame, short: int = 24, long: int = 168) -> DataFrame:
+    """pairs (asset, peer, at, now, baseline) of returns (asset, open_time, ret): each pair's correlation over its last `short` and `long` common times."""
+    a = returns.where("ret IS NOT NULL").select("asset", F.col("open_time").alias("at"), F.col("ret").alias("x"))
+    both = a.join(a.select(F.col("asset").alias("peer"), "at", F.col("x").alias("y")), "at").where("asset <> peer")
+    order = Window.partitionBy("asset", "peer").orderBy("at")
+    over = lambda n: F.corr("x", "y").over(order.rowsBetween(1 - n, 0))
+    return both.select("asset", "peer", "at", over(short).alias("now"), over(long).alias("baseline"), F.row_number().over(order).alias("n")).where(F.col("n") >= long).drop("n")
 
 
 def liquidation_rule(interest: DataFrame, drop_pct: float = 4.0, move_pct: float = 2.0) -> DataFrame:
-    """interest (asset, at, open_interest, close): open interest well below its 24-point peak while the price moved."""
+    """interest (asset, at, open_interest, close), positive ones: open interest well below the peak of 24 points while the price moved over 6."""
     w = Window.partitionBy("asset").orderBy("at")
-    peak, old = F.max("open_interest").over(w.rowsBetween(-23, 0)), F.first("close").over(w.rowsBetween(-23, 0))
-    df = interest.withColumn("_d", F.when(peak > 0, (peak - F.col("open_interest")) / peak * 100)).withColumn("_m", F.when(old > 0, F.abs(F.col("close") - old) / old * 100))
-    return _alert(df, (F.col("_d") >= drop_pct) & (F.col("_m") >= move_pct), "liquidation_event", F.concat(F.lit("open interest fell in "), "asset"), F.col("_d"))
+    df = interest.where("open_interest > 0 AND close > 0").withColumn("_n", F.row_number().over(w))
+    peak, old = F.max("open_interest").over(w.rowsBetween(-23, 0)), F.first("close").over(w.rowsBetween(-5, 0))
+    df = df.withColumn("_d", (peak - F.col("open_interest")) / peak * 100).withColumn("_m", F.abs(F.col("close") - old) / old * 100)
+    return _alert(df, (F.col("_n") >= 6) & (F.col("_d") >= drop_pct) & (F.col("_m") >= move_pct), "liquidation_event", F.format_string("open interest fell %.1f%% during a %.1f%% move", F.col("_d"), F.col("_m")), F.col("_d"))
 
 
 def quality_rule(scores: DataFrame, least: float = 0.7) -> DataFrame:
-    return _alert(scores, F.col("score") < least, "data_quality", F.concat(F.lit("data of "), "asset", F.lit(" is degraded")), F.col("score"))
+    return _alert(scores, F.col("score") < least, "data_quality", F.format_string("data quality degraded to %.2f", F.col("score")), F.col("score"))
 
 
 def disagreement_rule(panel: DataFrame, voters: int = 4) -> DataFrame:
-    return _alert(panel, F.col("split") & (F.col("votes") >= voters), "model_disagreement", F.concat(F.lit("models disagree on "), "asset"), F.col("consensus"))
+    return _alert(panel, F.col("split") & (F.col("votes") >= voters), "model_disagreement", F.format_string("models disagree (%.0f%% consensus)", F.col("consensus") * 100), F.col("consensus"))
 
 
 def news_rule(events: DataFrame, least: float = 0.75) -> DataFrame:
-    return _alert(events, F.col("importance") >= least, "major_news", F.col("title"), F.col("importance"))
+    return _alert(events, F.col("importance") >= least, "major_news", F.substring("title", 1, 180), F.col("importance"))
 
 
 def prediction_rules(panel: DataFrame) -> DataFrame:
-    """panel (asset, at, published, passed): strong predictions, and super-predictions where the gate passed too."""
-    strong = _alert(panel, F.col("published") & ~F.coalesce("passed", F.lit(False)), "strong_prediction", F.concat(F.lit("prediction for "), "asset"), F.lit(None))
-    return strong.unionByName(_alert(panel, F.col("published") & F.coalesce("passed", F.lit(False)), "super_prediction", F.concat(F.lit("super-prediction for "), "asset"), F.lit(None)))
+    """panel (asset, at, published, passed): strong predictions for what is published, and super-predictions where the gate passed too."""
+    strong = _alert(panel, F.col("published"), "strong_prediction", F.concat(F.lit("prediction for "), "asset"), F.lit(None))
+    return strong.unionByName(_alert(panel, F.col("published") & F.coalesce("passed", F.lit(False)), "super_prediction", F.concat(F.lit("super prediction for "), "asset"), F.lit(None)))
 
 
 def invalidation_rule(open_calls: DataFrame) -> DataFrame:
-    """open_calls (asset, at, close, direction, level): the price crossed the level that a call named."""
-    crossed = F.when(F.col("direction") == "up", F.col("close") < F.col("level")).when(F.col("direction") == "down", F.col("close") > F.col("level"))
-    return _alert(open_calls, crossed, "prediction_invalidated", F.concat(F.lit("call on "), "asset", F.lit(" is invalid")), F.col("level"))
+    """open_calls (asset, at, close, direction, level): the price reached the level that a call named."""
+    crossed = F.when(F.col("direction") == "up", F.col("close") <= F.col("level")).when(F.col("direction") == "down", F.col("close") >= F.col("level"))
+    return _alert(open_calls, crossed & (F.col("close") > 0) & (F.col("level") > 0), "prediction_invalidated", F.concat(F.lit("a published "), "direction", F.lit(" call has been invalidated")), F.col("level"))
 
 
 def dedup_key() -> Column:
@@ -151,6 +162,24 @@ class Budget:
         return text
 
 
+def capacity(alerts: DataFrame, limits: dict | None = None) -> DataFrame:
+    """Sent alerts (recipient, at, held) with what is left after each of them, of the last hour's and day's budgets."""
+    m = LIMITS | (limits or {})
+    sent = alerts.where("held = ''").withColumn("_s", F.unix_seconds(F.col("at").cast("timestamp")))
+    over = lambda span: F.count("*").over(Window.partitionBy("recipient").orderBy("_s").rangeBetween(-span, 0))
+    left = lambda most, span: F.greatest(F.lit(0), most - over(span))
+    return sent.withColumn("hour_left", left(m["per_hour"], 3600)).withColumn("day_left", left(m["per_day"], 86400)).drop("_s")
+
+
+def digests(admitted: DataFrame, every_h: int = 6) -> DataFrame:
+    """What a recipient was spared: of each stretch of so many hours in which alerts were held, one digest alert that counts them by reason."""
+    stretch = F.window(F.col("at").cast("timestamp"), f"{every_h} hours")
+    by = admitted.where("held <> ''").groupBy("recipient", stretch.alias("_w"), "held").agg(F.count("*").alias("n"))
+    g = by.groupBy("recipient", "_w").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "held"))).alias("_r"))
+    reasons = F.array_join(F.transform("_r", lambda x: F.concat((-x["o"]).cast("string"), F.lit(" "), x["held"])), ", ")
+    return g.select("recipient", F.lit("SYSTEM").alias("asset"), F.col("_w.end").cast("timestamp_ntz").alias("at"), F.lit("suppression_digest").alias("kind"), F.lit(SEVERITY["suppression_digest"]).alias("level"), F.concat(F.col("n").cast("string"), F.lit(" alerts suppressed: "), reasons).alias("title"), F.col("n").cast("double").alias("value"))
+
+
 def admit(alerts: DataFrame, recipient: str = "recipient", limits: dict | None = None) -> DataFrame:
     """alerts with held: why each isn't sent, empty if it is. Alerts of one moment go by severity; one group a recipient."""
     cols = alerts.columns

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numbers import normal_tail, wilson
+from barloom.functions.numbers import let, normal_tail, wilson
 from barloom.operators.models import brier, log_loss, most_likely
 from barloom.operators.patterns import benjamini_hochberg
 
@@ -45,29 +45,72 @@ def against_baseline(scores: DataFrame, baseline: str = BASELINE, on: tuple[str,
     return g.withColumn("beats_baseline", (F.col("n") >= 30) & (F.col("skill") > 0.01) & F.col("significant"))
 
 
-def learned_weights(scores: DataFrame, least: int = 40, shrink: int = 100, blend: float = 0.3, recent: int = 400) -> DataFrame:
-    """weight of each model and slice that passed the gate: skill shrunk by n, blended with the slice's mean where two or more qualify."""
-    g = against_baseline(scores, recent=recent)
+def learned_weights(scores: DataFrame, key: tuple[str, ...] = ("asset", "timeframe"), previous: DataFrame | None = None, least: int = 40, shrink: int = 100, blend: float = 0.3, recent: int = 400) -> DataFrame:
+    """weight of each model, key and slice (all, regime) that passed the gate: skill of its `recent` newest pairs shrunk by their number, blended with the scope's mean where two or more qualify.
+
+    The family of the step-up test is all slices together: one row a model, key and regime. previous has model, key, slice and weight.
+    """
+    on = [*dict.fromkeys((*key, *SCOPE, "as_of"))]
+    base = scores.where(F.col("model") == BASELINE).select(*on, F.col("brier").alias("base_brier"))
+    pairs = scores.where(F.col("model") != BASELINE).join(base, on).withColumn("slice", F.explode(F.array(F.lit("all"), F.col("regime"))))
+    cell = ("model", *key, "slice")
+    pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("as_of"), *on))).where(F.col("_k") <= recent).withColumn("_d", F.col("base_brier") - F.col("brier"))
+    g = pairs.groupBy(*cell).agg(F.count("*").alias("n"), F.avg("brier").alias("brier"), F.avg("base_brier").alias("base_brier"), F.avg("_d").alias("_m"), F.var_samp("_d").alias("_v"))
+    g = g.withColumn("skill", F.round(F.when(F.col("base_brier") > 0, 1 - F.col("brier") / F.col("base_brier")).otherwise(0.0), 6)).withColumn("p_value", F.round(paired_p(F.col("n"), F.col("_m"), F.col("_v")), 6))
+    g = benjamini_hochberg(g, "p_value").drop("_m", "_v")
     ok = (F.col("n") >= least) & (F.col("skill") > 0.01) & F.col("significant")
     g = g.withColumn("_w", F.when(ok, F.round(F.col("skill") * F.col("n") / (F.col("n") + shrink), 6)).otherwise(0.0))
-    w = Window.partitionBy("slice")
+    w = Window.partitionBy(*key, "slice")
     many, mean = F.count(F.when(F.col("_w") > 0, 1)).over(w), F.avg(F.when(F.col("_w") > 0, F.col("_w"))).over(w)
-    reason = F.when(F.col("n") < least, "too few samples").when(F.col("skill") <= 0.01, "no skill").when(~F.col("significant"), "not significant")
-    return g.withColumn("weight", F.when((F.col("_w") > 0) & (many >= 2), F.round(F.col("_w") * (1 - blend) + mean * blend, 6)).otherwise(F.col("_w"))).withColumn("gated_by", reason).drop("_w")
+    g = g.withColumn("weight", F.when((F.col("_w") > 0) & (many >= 2), F.round(F.col("_w") * (1 - blend) + mean * blend, 6)).otherwise(F.col("_w"))).drop("_w")
+    reason = F.when(F.col("weight") > 0, None).when(F.col("n") < least, "too few samples").when(F.col("skill") <= 0.01, "no skill").when(~F.col("significant"), "not significant").otherwise("shrunk to zero")
+    g = g.withColumn("gated_by", reason)
+    if previous is None:
+        return g
+    old = previous.select(*cell, F.col("weight").alias("previous_weight"))
+    return g.join(old, list(cell), "left").withColumn("previous_weight", F.coalesce("previous_weight", F.lit(0.0))).withColumn("delta", F.round(F.col("weight") - F.col("previous_weight"), 6))
+
+
+def outcome_slices(outcomes: DataFrame) -> DataFrame:
+    """Of each model over all, by asset, timeframe, horizon, regime and volatility: count, Brier, log loss, accuracy, class shares, mean probability of the truth, has_evidence.
+
+    outcomes: model, asset, timeframe, horizon, regime, volatility_bucket, brier, log_loss, correct, truth, probability_of_truth.
+    """
+    dims = {"overall": F.lit("all"), "asset": F.col("asset"), "timeframe": F.col("timeframe"), "horizon": F.concat(F.col("horizon").cast("string"), F.lit(" bars")), "regime": F.col("regime"), "volatility": F.col("volatility_bucket")}
+    long = outcomes.withColumn("_d", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value")) for d, v in dims.items()))))
+    share = lambda k: F.round(F.count(F.when(F.col("truth") == k, 1)) / F.count("*"), 4).alias(k)
+    g = long.groupBy("model", F.col("_d.dimension").alias("dimension"), F.col("_d.value").alias("value")).agg(
+        F.count("*").alias("n"), F.round(F.avg("brier"), 5).alias("brier"), F.round(F.avg("log_loss"), 5).alias("log_loss"), F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"),
+        share("up"), share("flat"), share("down"), F.round(F.avg("probability_of_truth"), 4).alias("mean_probability_of_truth"),
+    )
+    return g.withColumn("has_evidence", F.col("n") >= 30)
+
+
+def best_slices(slices: DataFrame) -> DataFrame:
+    """Of each dimension the model and value with the lowest Brier score among the slices with evidence."""
+    ok = slices.where("has_evidence")
+    return ok.groupBy("dimension").agg(F.min(F.struct("brier", "model", "value", "n")).alias("b")).select("dimension", "b.model", "b.value", "b.brier", "b.n")
 
 
-def reliability(forecasts: DataFrame, key: tuple[str, ...] = ("model",), bins: int = 10) -> DataFrame:
-    """count, mean stated, observed share and its interval by key, class and bin."""
-    long = forecasts.select(*key, "truth", F.explode(F.array(*(F.struct(F.lit(k).alias("outcome"), F.col(f"p.{k}").alias("stated")) for k in CLASSES))).alias("x")).select(*key, "x.*", (F.col("truth") == F.col("x.outcome")).cast("int").alias("hit"))
-    out = long.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("stated") * bins)).cast("int")).groupBy(*key, "outcome", "bin").agg(F.count("*").alias("n"), F.avg("stated").alias("mean_stated"), F.sum("hit").alias("hits"))
+def verdict(n_outcomes: Column, weights: Column, least: int = 60) -> Column:
+    """What a round of learning came to."""
+    return F.when(n_outcomes < least, "no evidence").when(weights > 0, "learned").otherwise("learned nothing")
+
+
+def reliability(forecasts: DataFrame, key: tuple[str, ...] = ("model",), bins: int = 10, weight: str | None = None) -> DataFrame:
+    """count, mean stated, observed share and its interval by key, class and bin; weight names a column that says how many forecasts a row is."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    long = forecasts.select(*key, "truth", n.alias("w"), F.explode(F.array(*(F.struct(F.lit(k).alias("outcome"), F.col(f"p.{k}").alias("stated")) for k in CLASSES))).alias("x"))
+    long = long.select(*key, "x.*", "w", (F.col("truth") == F.col("x.outcome")).cast("int").alias("hit"))
+    out = long.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("stated") * bins)).cast("int")).groupBy(*key, "outcome", "bin").agg(F.sum("w").alias("n"), (F.sum(F.col("stated") * F.col("w")) / F.sum("w")).alias("mean_stated"), F.sum(F.col("hit") * F.col("w")).alias("hits"))
     out = out.withColumn("observed", F.col("hits") / F.col("n")).withColumn("_i", wilson(F.col("hits"), F.col("n")))
     return out.select(*key, "outcome", "bin", "n", "mean_stated", "hits", "observed", F.col("_i.low").alias("low"), F.col("_i.high").alias("high"))
 
 
-def calibration_error(bins: DataFrame, key: tuple[str, ...] = ("model",)) -> DataFrame:
+def calibration_error(bins: DataFrame, key: tuple[str, ...] = ("model",), places: int = 9) -> DataFrame:
     """Expected calibration error of each key: per class the bins' gaps weighted by count, averaged over the classes."""
-    by = bins.groupBy(*key, "outcome").agg((F.sum(F.col("n") * F.abs(F.col("mean_stated") - F.col("observed"))) / F.sum("n")).alias("ece"))
-    return by.groupBy(*key).agg(F.avg("ece").alias("ece"))
+    by = bins.groupBy(*key, "outcome").agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_stated") - F.col("observed"))) / F.sum("n"), places).alias("ece"))
+    return by.groupBy(*key).agg(F.round(F.sum("ece") / len(CLASSES), places).alias("ece"))
 
 
 def pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -87,10 +130,12 @@ def pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.repeat(value, size)
 
 
-def isotonic(forecasts: DataFrame, key: tuple[str, ...] = ("model", "slice")) -> DataFrame:
-    """xs and ys of the fitted curve of each key and class."""
-    long = forecasts.select(*key, "truth", F.explode(F.array(*(F.struct(F.lit(k).alias("outcome"), F.round(F.col(f"p.{k}"), 4).alias("x")) for k in CLASSES))).alias("c")).select(*key, "c.outcome", "c.x", (F.col("truth") == F.col("c.outcome")).cast("double").alias("y"))
-    binned = long.groupBy(*key, "outcome", "x").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
+def isotonic(forecasts: DataFrame, key: tuple[str, ...] = ("model", "slice"), weight: str | None = None) -> DataFrame:
+    """xs and ys of the fitted curve of each key and class; weight as in reliability."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    long = forecasts.select(*key, "truth", n.cast("double").alias("w"), F.explode(F.array(*(F.struct(F.lit(k).alias("outcome"), F.round(F.col(f"p.{k}"), 4).alias("x")) for k in CLASSES))).alias("c"))
+    long = long.select(*key, "c.outcome", "c.x", "w", (F.col("truth") == F.col("c.outcome")).cast("double").alias("y"))
+    binned = long.groupBy(*key, "outcome", "x").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
@@ -104,35 +149,12 @@ def isotonic(forecasts: DataFrame, key: tuple[str, ...] = ("model", "slice")) ->
 
 def on_curve(xs: Column, ys: Column, x: Column) -> Column:
     """Linear between the curve's points, level beyond its ends; x itself without a curve."""
-    below = F.filter(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda q: q["x"] <= x)
-    above = F.filter(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda q: q["x"] > x)
-    a, b = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
-    return F.when(xs.isNull() | (F.size(xs) == 0), x).when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"]))
-
-
-def calibrated(forecasts: DataFrame, curves: DataFrame, through: str | None = None) -> DataFrame:
-    """forecasts with p mapped through their model's curves (slice all) and renormalised; rows up to `through` are refused, as the curves know them."""
-    wide = curves.where("slice = 'all'").groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("outcome", F.struct("xs", "ys")))).alias("_c"))
-    df = forecasts.join(wide, "model", "left")
-    q = {k: on_curve(F.col("_c")[k]["xs"], F.col("_c")[k]["ys"], F.col(f"p.{k}")) for k in CLASSES}
-    total = q["up"] + q["flat"] + q["down"]
-    p = F.when(total > 0, F.struct(*((q[k] / total).alias(k) for k in CLASSES))).otherwise(F.col("p"))
-    fresh = F.lit(True) if through is None else F.col("as_of") > F.lit(through).cast("timestamp_ntz")
-    return df.withColumn("p", F.when(fresh, p).otherwise(F.col("p"))).drop("_c")
-
-
-def folds(n: int, horizon: int, k: int = 5, warmup: int = 200, rolling: bool = False) -> list[tuple[int, int, int, int]]:
-    """(train start, train end, test start, test end) bar positions, half-open: purged by the horizon, embargoed by a quarter of it."""
-    size = (n - warmup) // (k + 1)
-    out = []
-    for i in range(1, k + 1):
-        start = warmup + i * size + max(0, horizon // 4) * (i > 1)
-        end = n if i == k else warmup + (i + 1) * size
-        stop = start - horizon
-        first = max(0, stop - 2 * (end - start)) if rolling else 0
-        if first < stop and start < end:
-            out.append((first, stop, start, end))
-    return out
+
+    def between(k):
+        x0, x1, y0, y1 = F.get(xs, k - 1), F.get(xs, k), F.get(ys, k - 1), F.get(ys, k)
+        return F.when(k == 0, F.get(ys, F.lit(0))).when(k == F.size(xs), y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+
+    return F.when(xs.isNull() | (F.size(xs) == 0), x).otherwise(let(F.size(F.filter(xs, lambda q: q <= x)), between))
 
 
 def hashed(forecasts: DataFrame, horizon: int, version: str = "1") -> DataFrame:
@@ -178,54 +200,6 @@ def independence(inputs: dict[str, tuple[str, ...]]) -> dict[str, float]:
     return {m: round(1 / (1 + sum(overlap(a, b) for n, b in inputs.items() if n != m)), 4) for m, a in inputs.items()}
 
 
-def ensemble(forecasts: DataFrame, weights: DataFrame, inputs: dict[str, tuple[str, ...]], min_edge: float = 0.04) -> DataFrame:
-    """Per point: pooled p, votes, majority, consensus, whether it is published and why not.
-
-    A model counts with its learned weight (its regime's, else all) times its independence; abstainers (no confidence, or an edge below min_edge) don't vote.
-    """
-    free = independence(inputs)
-    known = F.create_map(*(F.lit(x) for p in free.items() for x in p))
-    by = weights.select("model", F.col("slice").alias("_s"), F.col("weight").alias("_w"))
-    df = forecasts.join(by.withColumnsRenamed({"_s": "regime", "_w": "_own"}), ["model", "regime"], "left").join(by.where("_s = 'all'").select("model", F.col("_w").alias("_all")), "model", "left")
-    edge = F.col("p.up") - F.col("p.down")
-    df = df.withColumn("_i", F.coalesce(known[F.col("model")], F.lit(1.0))).withColumn("_skill", F.coalesce("_own", "_all", F.lit(0.0)))
-    df = df.withColumn("_vote", F.when((F.col("confidence") > 0) & (F.abs(edge) >= min_edge), F.when(edge > 0, 1).otherwise(-1)).otherwise(0)).withColumn("_w", F.when(F.col("confidence") > 0, F.col("_skill") * F.col("_i")).otherwise(0.0))
-    s = lambda x: F.sum(x)
-    g = df.groupBy(*SCOPE, "as_of").agg(
-        F.count("*").alias("members"), s((F.col("_vote") != 0).cast("int")).alias("votes"), s(F.when(F.col("_vote") > 0, F.col("_i")).otherwise(0.0)).alias("up_weight"), s(F.when(F.col("_vote") < 0, F.col("_i")).otherwise(0.0)).alias("down_weight"),
-        s((F.col("_vote") > 0).cast("int")).alias("up_votes"), s((F.col("_vote") < 0).cast("int")).alias("down_votes"), s("_w").alias("weight"), F.max("_skill").alias("best_skill"),
-        *(s(F.col(f"p.{k}") * F.col("_w")).alias(f"_{k}") for k in CLASSES), F.first("truth").alias("truth"), F.first("regime").alias("regime"), F.max("threshold").alias("threshold"),
-    )
-    total = F.col("up_weight") + F.col("down_weight")
-    side = F.when(F.col("up_weight") > F.col("down_weight"), "up").when(F.col("up_weight") < F.col("down_weight"), "down")
-    g = g.withColumn("majority", side).withColumn("consensus", F.when(total > 0, F.round(F.greatest("up_weight", "down_weight") / total, 4)).otherwise(0.0))
-    g = g.withColumn("split", (F.least("up_votes", "down_votes") > 0) & (F.col("consensus") < 0.7))
-    third = F.lit(1 / 3)
-    g = g.withColumn("p", F.struct(*(F.when(F.col("weight") > 0, F.col(f"_{k}") / F.col("weight")).otherwise(third).alias(k) for k in CLASSES)))
-    why = F.when(F.col("weight") <= 0, "no model has demonstrated skill").when(F.col("majority").isNull(), "no directional view").when(F.col("split"), "the panel is split")
-    return g.withColumn("suppressed_because", why).withColumn("published", why.isNull() & (F.abs(F.col("p.up") - F.col("p.down")) >= 0.08)).drop(*(f"_{k}" for k in CLASSES))
-
-
-def confidence(factors: dict[str, Column], quality: Column, cap: float = 0.85) -> Column:
-    """min(cap, the product of the clamped factors) times quality, to four places."""
-    product = F.lit(1.0)
-    for x in factors.values():
-        product = product * F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    return F.bround(F.least(F.lit(cap), product) * F.least(F.greatest(quality, F.lit(0.0)), F.lit(1.0)), 4)
-
-
-def gate(panel: DataFrame, min_members: int = 8, min_agreeing: int = 5, min_consensus: float = 0.7, min_confidence: float = 0.6, min_quality: float = 0.9) -> DataFrame:
-    """panel with checks (name, passed) and passed: all nine conditions of a super-prediction."""
-    agreeing = F.greatest("up_votes", "down_votes")
-    conditions = {
-        "panel size": F.col("members") >= min_members, "families agreeing": agreeing >= min_agreeing, "independent agreement": F.greatest("up_weight", "down_weight") >= min_agreeing,
-        "no material dissent": ~F.col("split") & (F.col("consensus") >= min_consensus), "calibrated in this regime": F.coalesce("calibrated", F.lit(0)) >= min_agreeing, "demonstrated skill": F.col("weight") > 0,
-        "confidence": F.col("confidence") >= min_confidence, "data quality": F.col("data_quality") >= min_quality, "ensemble published": F.col("published"),
-    }
-    checks = F.array(*(F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in conditions.items()))
-    return panel.withColumn("checks", checks).withColumn("passed", F.forall("checks", lambda c: c["passed"]))
-
-
 def correlation(returns: DataFrame, ts: str = "open_time", key: str = "asset", value: str = "ret", least: int = 30) -> DataFrame:
     """Pearson correlation of every unordered pair of keys over the times that both have; 0 with fewer than `least`. A join on time, then sums."""
     a = returns.select(F.col(key).alias("a"), F.col(ts).alias("t"), F.col(value).alias("x")).where("x IS NOT NULL")

@@ -1,7 +1,7 @@
 """Market structure: swing levels, support and resistance, trend, volume profile, retracements.
 
-An analysis looks back over LOOKBACK bars and is made at every STEP-th bar; the bars
-between carry the last one. A look-back is an array column of bounded length, so the
+An analysis looks back over LOOKBACK bars and is made at every STEP-th bar; `carried`
+gives the bars between the last one. A look-back is an array column of bounded length, so the
 whole is expressions over arrays.
 """
 
@@ -79,6 +79,16 @@ def value_area(bins: Column) -> Column:
     return let(start, around)
 
 
+def carried(bars: DataFrame, analysis: DataFrame, key=KEY) -> DataFrame:
+    """Every bar with the newest analysis (structure) up to it, distances in percent from its own close; null before the first."""
+    order = Window.partitionBy(*key).orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
+    cols = ("trend", "support", "resistance", "poc", "value_low", "value_high")
+    df = bars.select(*key, "open_time", "close").join(analysis.select(*key, "open_time", F.struct(*cols).alias("_s")), [*key, "open_time"], "left")
+    df = df.withColumn("_s", F.last("_s", ignorenulls=True).over(order)).select(*key, "open_time", "close", "_s.*")
+    away = lambda c: F.when(F.col("close") != 0, (F.col(c) - F.col("close")) / F.col("close") * 100).otherwise(0.0)
+    return df.withColumn("support_pct", away("support")).withColumn("resistance_pct", away("resistance"))
+
+
 def structure(bars: DataFrame, key=KEY) -> DataFrame:
     """Of every STEP-th bar with a full look-back: trend (1, 0, -1), levels, support, resistance with distances in percent, poc, value area, retracements."""
     order = Window.partitionBy(*key).orderBy("open_time")

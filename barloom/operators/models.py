@@ -96,17 +96,39 @@ def points(bars: DataFrame, horizon: int, warmup: int = WARMUP, key=KEY) -> Data
 
 
 def climatology(bars: DataFrame, at: DataFrame, horizon: int, key=KEY) -> DataFrame:
-    """at with the Laplace-smoothed frequencies of the completed, non-overlapping horizons before each point, under its own threshold."""
-    past = contexts(bars, horizon, key).where((F.col("bar") % horizon == 0) & F.col("realised").isNotNull()).select(*key, "bar", "realised")
-    seen = past.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("bar", "realised"))).alias("_past"))
-    df = at.join(seen, list(key), "left")
-    done = F.filter("_past", lambda x: x["bar"] + horizon <= F.col("bar"))
-    counts = F.transform(done, lambda x: outcome(x["realised"], F.col("threshold")))
-    n = lambda k: F.size(F.filter(counts, lambda x: x == k))
-    df = df.withColumn("_up", n("up")).withColumn("_flat", n("flat")).withColumn("_down", n("down")).withColumn("_n", F.col("_up") + F.col("_flat") + F.col("_down"))
+    """at with the Laplace-smoothed frequencies of the completed, non-overlapping horizons before each point, under its own threshold.
+
+    A series' outcomes and points pass once in time order: a point looks up where its
+    thresholds fall among the sorted outcomes so far.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    past = contexts(bars, horizon, key).where((F.col("bar") % horizon == 0) & F.col("realised").isNotNull())
+    past = past.select(*key, (F.col("bar") + horizon).cast("long").alias("t"), F.lit(0).alias("asks"), F.col("realised").alias("x"))
+    both = past.unionByName(at.select(*key, F.col("bar").cast("long").alias("t"), F.lit(1).alias("asks"), F.col("threshold").alias("x")))
+
+    def counted(group: pa.Table) -> pa.Table:
+        from bisect import bisect_left, bisect_right, insort
+
+        t, asks, x = (group.column(c).to_numpy() for c in ("t", "asks", "x"))
+        seen: list[float] = []
+        out = []
+        for i in np.lexsort((asks, t)):
+            if asks[i]:
+                down = bisect_left(seen, -x[i])
+                out.append((t[i], len(seen) - bisect_right(seen, x[i]), down, len(seen)))
+            else:
+                insort(seen, float(x[i]))
+        rows = np.array(out, np.int64).reshape(-1, 4)
+        return pa.table({**{c: pa.repeat(group.column(c)[0], len(rows)) for c in key}, **{c: pa.array(rows[:, k]) for k, c in enumerate(("bar", "_up", "_down", "_n"))}})
+
+    kinds = ", ".join(f"`{c}` {at.schema[c].dataType.simpleString()}" for c in key)
+    counts = both.groupBy(*key).applyInArrow(counted, f"{kinds}, bar long, _up long, _down long, _n long").dropDuplicates([*key, "bar"])
+    df = at.join(counts, [*key, "bar"], "left").withColumn("_flat", F.col("_n") - F.col("_up") - F.col("_down"))
     d = normalised((F.col("_up") + 1).cast("double"), (F.col("_flat") + 1).cast("double"), (F.col("_down") + 1).cast("double"))
     ok = F.coalesce(F.col("_n") >= 30, F.lit(False))
-    return df.withColumn("p", F.when(ok, d).otherwise(uniform())).withColumn("confidence", F.when(ok, 0.30).otherwise(0.0)).drop("_past", "_up", "_flat", "_down", "_n")
+    return df.withColumn("p", F.when(ok, d).otherwise(uniform())).withColumn("confidence", F.when(ok, 0.30).otherwise(0.0)).drop("_up", "_flat", "_down", "_n")
 
 
 def persistence(ctx: DataFrame, horizon: int, key=KEY) -> DataFrame:
@@ -148,17 +170,30 @@ def technical(features: DataFrame) -> DataFrame:
 
 
 def cross_asset(ctx: DataFrame, horizon: int, key=KEY) -> DataFrame:
-    """The median move of the other assets at the same time against the own one. One row a time and asset; a time's assets are gathered."""
+    """The median move of the other assets at the same time against the own one.
+
+    A moment's moves are sorted once; without an asset's own one their median lies among
+    the few in the middle, which are all that its rows get.
+    """
     order = Window.partitionBy(*key).orderBy("open_time")
     old = F.lag("close", horizon).over(order)
     df = ctx.withColumn("_own", F.when(old > 0, (F.col("close") - old) / old * 100))
-    peers = F.collect_list(F.struct("asset", "_own")).over(Window.partitionBy("timeframe", "open_time"))
-    df = df.withColumn("_peers", F.transform(F.filter(peers, lambda x: (x["asset"] != F.col("asset")) & x["_own"].isNotNull()), lambda x: x["_own"]))
-    gap = median(F.col("_peers")) - F.col("_own")
+    moment = ("timeframe", "open_time")
+    every = df.where("_own IS NOT NULL").groupBy(*moment).agg(F.array_sort(F.collect_list(F.struct(F.col("_own").alias("x"), "asset"))).alias("_all"))
+    first = F.greatest(F.lit(0), F.floor(F.size("_all") / 2).cast("int") - 1)
+    every = every.select(*moment, F.size("_all").alias("_n"), first.alias("_a"), F.slice("_all", first + 1, 3).alias("_mid"))
+    df = df.join(every, list(moment), "left")
+    own = F.struct(F.col("_own").alias("x"), "asset")
+    others = F.when(F.col("_own").isNull(), 0).otherwise(1)
+    left = F.col("_n") - others  # as many peers
+    at = lambda k: F.get(F.col("_mid"), (k - F.col("_a") + F.when(F.col("_own").isNotNull() & (own <= F.get(F.col("_mid"), (k - F.col("_a")).cast("int"))), 1).otherwise(0)).cast("int"))["x"]
+    mid = F.floor(left / 2)
+    peers = F.when(left < 1, None).when(left % 2 == 1, at(mid)).otherwise((at(mid - 1) + at(mid)) / 2)
+    gap = peers - F.col("_own")
     edge = F.tanh(gap / F.greatest(F.col("threshold"), F.lit(1e-9)))
     ok = gap.isNotNull()
     sure = 0.18 + F.least(F.lit(0.25), F.abs(gap) / F.greatest(F.col("threshold") * 3, F.lit(1e-9)))
-    return df.withColumn("p", F.when(ok, from_edge(edge * 0.4)).otherwise(uniform())).withColumn("confidence", F.when(ok, sure).otherwise(0.0)).drop("_own", "_peers")
+    return df.withColumn("p", F.when(ok, from_edge(edge * 0.4)).otherwise(uniform())).withColumn("confidence", F.when(ok, sure).otherwise(0.0)).drop("_own", "_n", "_a", "_mid")
 
 
 def order_flow(rates: DataFrame, key: tuple[str, ...] = ("asset",), ts: str = "ts") -> DataFrame:
@@ -177,14 +212,13 @@ def regime_model(states: DataFrame) -> DataFrame:
     return states.withColumn("p", from_edge(edge * 0.5))
 
 
-def walk_forward(bars: DataFrame, horizon: int, warmup: int = WARMUP, key=KEY) -> DataFrame:
-    """One row a model and evaluation point: key, as_of, model, p, confidence, threshold, realised, truth, regime."""
+def walk_forward(bars: DataFrame, horizon: int, warmup: int = WARMUP, key=KEY, timeframe: str = "1h") -> DataFrame:
+    """One row a model and evaluation point of bars of one timeframe: key, as_of, model, p, confidence, threshold, realised, truth, regime."""
     from barloom.operators.indicators import recursive, windowed
 
     ctx = coarse_regime(contexts(bars, horizon, key), key=key).withColumn("regime", F.col("regime"))
     keep = (F.col("bar") >= warmup) & ((F.col("bar") - warmup) % horizon == 0)
-    tf = "1h"
-    feats = recursive(windowed(ctx, tf, key), key)
+    feats = recursive(windowed(ctx, timeframe, key), key)
     parts = {
         "baseline_climatology": climatology(bars, ctx.where(keep), horizon, key),
         "baseline_persistence": persistence(ctx, horizon, key).where(keep),

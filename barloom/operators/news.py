@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from barloom.functions.numbers import clip, let
 
 #: Words that tell stories apart by nothing, names of assets, rules and lexicons.
-STOPWORDS = """a an the and or but if then than that this these those of in on at to for from by with without into over under about as is are was were be been being
-it its it's his her their our your my we they he she you i not no nor so such can could may might will would shall should must have has had do does did done new now
-here there what which who whom how why when where all any both each few more most other some only own same too very just also amid says say said report reports according""".split()
+STOPWORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "then", "than", "that", "this", "these", "those", "of", "in", "on", "at", "to", "for", "from", "by", "with", "without", "into", "over",
+    "under", "about", "as", "is", "are", "was", "were", "be", "been", "being", "it", "its", "it's", "his", "her", "their", "our", "your", "my", "we", "they", "he", "she", "you", "i", "not",
+    "no", "nor", "so", "such", "can", "could", "may", "might", "will", "would", "shall", "should", "must", "have", "has", "had", "do", "does", "did", "done", "new", "now", "here", "there",
+    "what", "which", "who", "whom", "how", "why", "when", "where", "all", "any", "both", "each", "few", "more", "most", "other", "some", "only", "own", "same", "too", "very", "just", "also",
+    "amid", "says", "say", "said", "report", "reports", "according",
+)
 ALIASES = {
     "BTC": ("btc", "bitcoin", "xbt"), "ETH": ("eth", "ethereum", "ether"), "SOL": ("sol", "solana"), "BNB": ("bnb", "binance coin"), "XRP": ("xrp", "ripple"),
     "ADA": ("ada", "cardano"), "DOGE": ("doge", "dogecoin"), "AVAX": ("avax", "avalanche"), "LINK": ("link", "chainlink"), "DOT": ("dot", "polkadot"),
@@ -232,12 +236,17 @@ def relevance(title: Column, body: Column) -> Column:
 
 def category(text: Column) -> Column:
     """The first rule of which a keyword occurs in the text, padded with blanks; `other` if none."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    out = F.lit(None).cast("string")
-    for name, words in RULES.items():
-        hit = padded.rlike("|".join(w.replace("-", "\\-") for w in words))
-        out = F.coalesce(out, F.when(hit, name))
-    return F.coalesce(out, F.lit("other"))
+
+    def first(padded):
+        out = F.lit("other")
+        for name, words in reversed(RULES.items()):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | F.contains(padded, F.lit(w))
+            out = F.when(hit, name).otherwise(out)
+        return out
+
+    return let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), first)
 
 
 def lexicon(text: Column) -> Column:
@@ -246,8 +255,16 @@ def lexicon(text: Column) -> Column:
     nots = F.array(*map(F.lit, NEGATIONS))
 
     def reading(w):
-        around = F.transform(w, lambda x, i: F.struct(F.try_element_at(weights, x).alias("v"), F.arrays_overlap(F.slice(w, F.greatest(F.lit(1), i + 1 - NEGATION_REACH), F.least(i, F.lit(NEGATION_REACH))), nots).alias("n")))
-        return let(F.filter(around, lambda x: x["v"].isNotNull()), mean)
+        # Most texts have few of the words: these are found by one hash set, then their places, and only from there one looks back.
+        return let(F.array_intersect(w, F.array(*map(F.lit, LEXICON))), lambda own: let(places(w, own), lambda at: let(F.transform(at, lambda i: judged(w, i)), mean)))
+
+    def places(w, own):
+        marked = F.transform(w, lambda x, i: F.when(F.array_contains(own, x), i))
+        return F.when(F.size(own) == 0, F.array().cast("array<int>")).otherwise(F.filter(marked, F.isnotnull))
+
+    def judged(w, i):
+        back = F.slice(w, F.greatest(F.lit(1), i + 1 - NEGATION_REACH), F.least(i, F.lit(NEGATION_REACH)))
+        return F.struct(F.element_at(weights, F.get(w, i)).alias("v"), F.arrays_overlap(back, nots).alias("n"))
 
     def mean(hits):
         total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + F.when(x["n"], -x["v"]).otherwise(x["v"]))

@@ -65,8 +65,11 @@ def local_rsi(closes: Column, upto: Column, n: int = 14) -> Column:
     return F.when(upto >= n, rsi)
 
 
-def detect(bars: DataFrame, warmup: int = WARMUP, key=KEY) -> DataFrame:
-    """key, open_time, bar (position from 0), close, kind, direction and quality of every detection from the warm-up on."""
+def detect(bars: DataFrame, warmup: int = WARMUP, key=KEY, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """key, open_time, bar (position from 0), close, kind, direction and quality of every detection from the warm-up on.
+
+    kinds: only these, and only the frames that they need.
+    """
     order = Window.partitionBy(*key).orderBy("open_time")
     frame = lambda n, end=0: order.rowsBetween(end - n + 1, end)
     last = F.lag("close").over(order)
@@ -96,7 +99,8 @@ def detect(bars: DataFrame, warmup: int = WARMUP, key=KEY) -> DataFrame:
     found = []
 
     def add(kind, when, quality):
-        found.append(F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(READING[kind]).alias("direction"), F.least(F.lit(1.0), quality).alias("quality"))))
+        if kinds is None or kind in kinds:
+            found.append(F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(READING[kind]).alias("direction"), F.least(F.lit(1.0), quality).alias("quality"))))
 
     loud = c("volume_ratio") > 1.2
     for kind, beyond, margin in (("breakout_up", c("close") > c("top"), (c("close") - c("top")) / c("top") * 100), ("breakout_down", c("close") < c("bottom"), (c("bottom") - c("close")) / c("bottom") * 100)):
@@ -166,10 +170,22 @@ def resolved(direction: Column) -> Column:
     return F.when(F.col("move_pct").isNotNull(), F.when(direction == "bullish", F.col("move_pct") > 0).when(direction == "bearish", F.col("move_pct") < 0).otherwise(moved))
 
 
-def thinned(positions: Column, least: int) -> Column:
-    """Of an ascending array the positions that are at least so far from the last one kept, from the first on."""
-    empty = F.array().cast("array<int>")
-    return F.aggregate(positions, empty, lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= least), F.array_append(kept, x)).otherwise(kept))
+def thinned(marks: DataFrame, by: tuple[str, ...], least: int, at: str = "bar") -> DataFrame:
+    """by and at of the rows of marks that are at least so far from the last one kept, from the first on; one Arrow group for each by."""
+    import numpy as np
+    import pyarrow as pa
+
+    def kept(group: pa.Table) -> pa.Table:
+        x = np.unique(group.column(at).to_numpy())
+        take, i = [], 0
+        while i < len(x):
+            take.append(x[i])
+            i = int(np.searchsorted(x, x[i] + least))
+        return pa.table({**{c: pa.repeat(group.column(c)[0], len(take)) for c in by}, at: pa.array(np.array(take, np.int64))})
+
+    lean = marks.select(*by, F.col(at).cast("long").alias(at))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema)
+    return lean.groupBy(*by).applyInArrow(kept, schema)
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", rate: float = 0.05, family: tuple[str, ...] = ()) -> DataFrame:
@@ -181,13 +197,13 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", rate: float = 0.05, fa
 
 
 def evaluate(bars: DataFrame, detections: DataFrame, horizons: tuple[int, ...] = HORIZONS, key=KEY) -> DataFrame:
-    """Of each series, kind and horizon: occurrences, rate with its interval, baseline, edge, p, significance over all tests, informative."""
+    """Of each series, kind and horizon: occurrences, rate with its interval, baseline, edge, p, significance over the series' tests, informative."""
     every = None
     for h in horizons:
         o = outcomes(bars, h, key)
         base = o.where(F.col("bar") % h == 0)
         rate = base.groupBy(*key).agg(*(x for d in ("bullish", "bearish", "neutral") for x in (F.count(resolved(F.lit(d))).alias(f"{d}_n"), F.count(F.when(resolved(F.lit(d)), 1)).alias(f"{d}_s"))))
-        kept = detections.groupBy(*key, "kind", "direction").agg(thinned(F.array_sort(F.collect_list("bar")), h).alias("at")).select(*key, "kind", "direction", F.explode("at").alias("bar"))
+        kept = thinned(detections, (*key, "kind", "direction"), h)
         hits = kept.join(o.select(*key, "bar", "close", "move_pct", "favourable_pct", "adverse_pct", "mean_range"), [*key, "bar"]).withColumn("ok", resolved(F.col("direction"))).where("ok IS NOT NULL")
         stats = hits.groupBy(*key, "kind", "direction").agg(F.count("*").alias("occurrences"), F.count(F.when(F.col("ok"), 1)).alias("successes"), F.avg("move_pct").alias("mean_move_pct"), F.percentile("move_pct", F.lit(0.5)).alias("median_move_pct"))
         pick = lambda x: F.coalesce(*(F.when(F.col("direction") == d, F.col(f"{d}_{x}")) for d in ("bullish", "bearish", "neutral")))
@@ -195,7 +211,7 @@ def evaluate(bars: DataFrame, detections: DataFrame, horizons: tuple[int, ...] =
         every = part if every is None else every.unionByName(part)
     s, n, bs, bn = (F.col(x) for x in ("successes", "occurrences", "base_successes", "base_trials"))
     out = every.withColumn("rate", s / n).withColumn("baseline", F.when(bn > 0, bs / bn).otherwise(0.5)).withColumn("edge", F.col("rate") - F.col("baseline")).withColumn("interval", wilson(s, n)).withColumn("p_value", two_proportion_p(s, n, bs, bn))
-    out = benjamini_hochberg(out)
+    out = benjamini_hochberg(out, family=tuple(key))  # the tests of one series' scan
     apart = (F.col("interval.low") > F.col("baseline")) | (F.col("interval.high") < F.col("baseline"))
     return out.withColumn("informative", (n >= 30) & F.col("significant") & apart).select(*[c for c in out.columns if c != "interval"], F.col("interval.low").alias("low"), F.col("interval.high").alias("high"), "informative")
 

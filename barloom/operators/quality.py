@@ -20,6 +20,8 @@ MAX_MOVE = {"1m": 12.0, "5m": 20.0, "15m": 25.0, "30m": 30.0, "1h": 35.0, "4h":
 SEVERITY = {"info": 0.0, "warning": 0.15, "error": 0.5}
 OUTLIER_SIGMAS, OUTLIER_SAMPLES = 25.0, 30
 FLAT_BARS = 8
+#: Shares of a series' grid that are missing.
+GAP_ERROR, GAP_WARNING = 0.10, 0.01
 STALE_BARS = 3
 
 
@@ -56,14 +58,14 @@ def out_of_order(bars: DataFrame, arrival: str, key=KEY) -> DataFrame:
 
 
 def moves(bars: DataFrame, timeframe: str, key=KEY) -> DataFrame:
-    """bars with change_pct, robust_z and move: impossible, outlier or null. Centre and scale are those of the whole series."""
-    order = Window.partitionBy(*key).orderBy("open_time")
+    """bars with change_pct, robust_z and move: impossible, outlier or null. Centre and scale are those of the whole series, in the same sort as the changes."""
+    order, whole = Window.partitionBy(*key).orderBy("open_time"), Window.partitionBy(*key)
     last = F.lag("close").over(order)
-    with_change = bars.withColumn("change_pct", F.when(last > 0, (F.col("close") - last) / last * 100))
-    stats = with_change.groupBy(*key).agg(F.percentile("change_pct", F.lit(0.5)).alias("centre"), F.count("change_pct").alias("samples"))
-    scale = with_change.join(stats, list(key)).groupBy(*key).agg((F.percentile(F.abs(F.col("change_pct") - F.col("centre")), F.lit(0.5)) * 1.4826).alias("scale"), F.first("centre").alias("centre"), F.first("samples").alias("samples"))
-    out = with_change.join(scale, list(key))
-    z = F.when((F.col("samples") >= OUTLIER_SAMPLES) & (F.col("scale") > 0), F.abs(F.col("change_pct") - F.col("centre")) / F.col("scale"))
+    out = bars.withColumn("change_pct", F.when(last > 0, (F.col("close") - last) / last * 100))
+    out = out.withColumn("_centre", F.percentile("change_pct", F.lit(0.5)).over(whole)).withColumn("_samples", F.count("change_pct").over(whole))
+    out = out.withColumn("_away", F.abs(F.col("change_pct") - F.col("_centre")))
+    out = out.withColumn("_scale", F.percentile("_away", F.lit(0.5)).over(whole) * 1.4826)
+    z = F.when((F.col("_samples") >= OUTLIER_SAMPLES) & (F.col("_scale") > 0), F.col("_away") / F.col("_scale"))
     kind = F.when(F.abs("change_pct") > MAX_MOVE.get(timeframe, 100.0), "impossible").when(z > OUTLIER_SIGMAS, "outlier")
     return out.select(*bars.columns, "change_pct", z.alias("robust_z"), kind.alias("move"))
 
@@ -89,6 +91,15 @@ def gap_runs(bars: DataFrame, timeframe: str, key=KEY) -> DataFrame:
     return bars.select(*key, start.alias("start"), stop.alias("stop"), missing.cast("long").alias("missing")).where("missing > 0")
 
 
+def coverage_gaps(bars: DataFrame, timeframe: str, tolerance: float = 0.0, key=KEY) -> DataFrame:
+    """Of each series the bars missing inside its stored stretch, their share of the grid, and whether that is beyond the tolerance."""
+    stored = bars.groupBy(*key).agg(F.count("*").alias("_n"))
+    missing = gap_runs(bars, timeframe, key).groupBy(*key).agg(F.sum("missing").alias("missing"))
+    out = stored.join(missing, list(key), "left").withColumn("missing", F.coalesce("missing", F.lit(0).cast("long")))
+    out = out.withColumn("ratio", F.col("missing") / (F.col("missing") + F.col("_n")))
+    return out.withColumn("reported", F.col("ratio") > tolerance).drop("_n")
+
+
 def staleness(bars: DataFrame, timeframe: str, now: str, key=KEY) -> DataFrame:
     """Of each series its newest close, age in seconds and severity: warning beyond 3 bars, error beyond 9."""
     newest = bars.groupBy(*key).agg(plus(F.max("open_time"), timeframe).alias("newest_close"))
@@ -98,26 +109,45 @@ def staleness(bars: DataFrame, timeframe: str, now: str, key=KEY) -> DataFrame:
 
 
 def validated(batch: DataFrame, timeframe: str, arrival: str, key=KEY) -> tuple[DataFrame, DataFrame]:
-    """(accepted bars, events) of a batch: event_type, severity, key, window_start, n."""
-    fault = batch.withColumn("_fault", shape_fault()).withColumn("_off", off_grid(timeframe))
-    good = fault.where("_fault IS NULL AND NOT _off").drop("_fault", "_off")
-    kept = last_arrivals(good, arrival, key)
-    ordered = out_of_order(good, arrival, key)
-    moved = moves(kept.drop("copies"), timeframe, key)
-
-    def event(df, kind, severity, at="open_time", n=None):
-        return df.select(F.lit(kind).alias("event_type"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), *key, F.col(at).alias("window_start"), (F.lit(1) if n is None else n).cast("long").alias("n"))
-
-    events = event(fault.where("_fault IS NOT NULL"), "shape_invalid", "error")
-    events = events.unionByName(event(fault.where("_fault IS NULL AND _off"), "misaligned", "error"))
-    events = events.unionByName(event(ordered.where("late"), "out_of_order", "warning"))
-    events = events.unionByName(event(kept.where("copies > 1"), "duplicate", "warning", n=F.col("copies") - 1))
-    events = events.unionByName(event(moved.where("move = 'impossible'"), "impossible_move", "error"))
-    events = events.unionByName(event(moved.where("move = 'outlier'"), "outlier", "warning"))
-    events = events.unionByName(event(flat_lines(kept, key), "flatline", "warning", "start", F.col("n")))
-    many = F.when(F.col("missing") >= 10, "error").otherwise("warning")
-    events = events.unionByName(event(gap_runs(kept, timeframe, key), "missing", many, "start", F.col("missing")))
-    return kept.drop("copies"), events
+    """(accepted bars, events) of a batch: event_type, severity, key, window_start, n.
+
+    A pass over the rows as delivered and one over the accepted bars give all events; the
+    missing stretches of a series are as severe as its whole missing share.
+    """
+
+    def event(when, kind, severity, n=None):
+        return F.when(when, F.struct(F.lit(kind).alias("event_type"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), (F.lit(1) if n is None else n).cast("long").alias("n"), F.col("_at").alias("window_start")))
+
+    def told(df, *events):
+        return df.select(*key, F.inline(F.filter(F.array(*events), F.isnotnull))).select("event_type", "severity", *key, "window_start", "n")
+
+    marked = batch.withColumn("_fault", shape_fault()).withColumn("_off", off_grid(timeframe))
+    fine = F.col("_fault").isNull() & ~F.col("_off")
+    kept = last_arrivals(marked.where(fine).drop("_fault", "_off"), arrival, key)
+    before = Window.partitionBy(*key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    delivered = marked.withColumn("_at", F.col("open_time")).withColumn("_late", fine & (F.col("open_time") < F.max(F.when(fine, F.col("open_time"))).over(before)))
+    events = told(delivered, event(F.col("_fault").isNotNull(), "shape_invalid", "error"), event(F.col("_fault").isNull() & F.col("_off"), "misaligned", "error"), event(F.col("_late"), "out_of_order", "warning"))
+
+    order, whole = Window.partitionBy(*key).orderBy("open_time"), Window.partitionBy(*key)
+    step = plus(F.col("open_time"), timeframe)
+    seen = moves(kept, timeframe, key).withColumn("_next", F.floor(F.timestamp_diff("SECOND", step, F.lead("open_time").over(order)) / seconds(timeframe)))
+    seen = seen.withColumn("_gaps", F.sum("_next").over(whole) / (F.sum("_next").over(whole) + F.count("*").over(whole)))
+    flat = (F.col("volume") <= 0) | (F.col("high") == F.col("low"))
+    seen = seen.withColumn("_flat", flat).withColumn("_run", F.sum((~flat).cast("int")).over(order))
+    run = Window.partitionBy(*key, "_run")
+    seen = seen.withColumn("_flats", F.sum(F.col("_flat").cast("int")).over(run)).withColumn("_first", F.min(F.when(F.col("_flat"), F.col("open_time"))).over(run)).withColumn("_at", F.col("open_time"))
+    many = F.when(F.col("_gaps") >= GAP_ERROR, "error").when(F.col("_gaps") >= GAP_WARNING, "warning").otherwise("info")
+    found = (
+        event(F.col("copies") > 1, "duplicate", "warning", F.col("copies") - 1),
+        event(F.col("move") == "impossible", "impossible_move", "error"),
+        event(F.col("move") == "outlier", "outlier", "warning"),
+        event((F.col("_flats") >= FLAT_BARS) & (F.col("open_time") == F.col("_first")), "flatline", "warning", F.col("_flats")),
+        event(F.col("_next") > 0, "missing", many, F.col("_next")),
+    )
+    late = told(seen, *found)
+    missing = F.col("event_type") == "missing"
+    late = late.withColumn("window_start", F.when(missing, plus(F.col("window_start"), timeframe)).otherwise(F.col("window_start")))
+    return kept.drop("copies"), events.unionByName(late)
 
 
 def trust(events: DataFrame, coverage: DataFrame, timeframe: str, now: str, window_hours: int = 24, tolerance: float = 8.0, least: float = 0.1, exposure: int = 50, key=KEY) -> DataFrame:

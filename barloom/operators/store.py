@@ -77,3 +77,47 @@ def write_bars(bars: DataFrame, path: str) -> None:
     """Replaces the timeframe partitions that bars has, clustered by series and time."""
     out = bars.repartition("timeframe", "asset").sortWithinPartitions("asset", "source", "open_time")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe").parquet(path)
+
+
+def earliest_n(df: DataFrame, n: int, ts: str = "open_time") -> DataFrame:
+    """The earliest n rows, ascending: what a limited range scan gives."""
+    return df.orderBy(ts).limit(n)
+
+
+def recent(df: DataFrame, ts: str, since: str, n: int, newest_first: bool = True, **where: str) -> DataFrame:
+    """At most n rows of a scope from `since` on. Filters come before the limit, so that a scope's rows aren't cut off by others."""
+    rows = fetch_range(df, since, None, False, ts, **where)
+    return rows.orderBy(F.desc(ts) if newest_first else F.col(ts)).limit(n)
+
+
+def looked_up(scopes: DataFrame, scores: DataFrame, key: tuple[str, ...], score: str = "score", missing: float = 1.0) -> DataFrame:
+    """scopes with their score; a scope that was never scored is trusted."""
+    return scopes.join(scores.select(*key, score), list(key), "left").withColumn(score, F.coalesce(score, F.lit(missing)))
+
+
+def resolved_flags(predictions: DataFrame, outcomes: DataFrame, key: str = "prediction_id") -> DataFrame:
+    """predictions with resolved: whether an outcome exists. Derived, so that nothing stored is changed."""
+    done = outcomes.select(key).distinct().withColumn("_done", F.lit(True))
+    return predictions.join(done, key, "left").withColumn("resolved", F.coalesce("_done", F.lit(False))).drop("_done")
+
+
+def due(predictions: DataFrame, now: str, n: int = 5000) -> DataFrame:
+    """The oldest unresolved predictions whose time has come, n at most."""
+    return predictions.where(~F.col("resolved") & (F.col("resolves_at") <= F.lit(now).cast("timestamp_ntz"))).orderBy("resolves_at", "prediction_id").limit(n)
+
+
+def retained(df: DataFrame, ts: str, now: str, days: int = 365) -> DataFrame:
+    """Rows that are not older than the retention."""
+    return df.where(F.col(ts) >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def create_table(spark, name: str, schema: str, partitions: tuple[str, ...] = ()) -> None:
+    """Creates an empty Parquet table unless it exists."""
+    by = f" PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{by}")
+
+
+def append_events(events: DataFrame, path: str, most: int = 2000) -> None:
+    """Appends an event log, partitioned by day, with messages cut to `most` characters."""
+    out = events.withColumn("message", F.substring("message", 1, most)).withColumn("day", F.to_date("detected_at"))
+    out.write.mode("append").partitionBy("day").parquet(path)

@@ -11,6 +11,7 @@ from barloom.operators.indicators import recursive, windowed
 from barloom.operators.models import coarse_regime
 from barloom.plans.registry import query
 from barloom.plans.sql import bars as sql_bars
+from barloom.plans.stored import _PANEL
 from barloom.sources.bars import event_bars
 
 
@@ -72,13 +73,21 @@ def volatility_alerts(spark, sf):
     return rounded(a.volatility_rule(event_bars(spark, sf), 1.3, 0.7).select("asset", "at", "kind", "value"))
 
 
-@query("admitted_alerts")
-def admitted_alerts(spark, sf):
-    """All bar rules' alerts of one recipient, through the rate budget."""
+def _all_alerts(spark, sf):
     b = event_bars(spark, sf)
     states = coarse_regime(b).withColumnRenamed("open_time", "at")
-    every = a.volume_rule(b, 2.5).unionByName(a.volatility_rule(b, 1.3, 0.7)).unionByName(a.regime_rule(states))
-    return rounded(a.admit(every.withColumn("recipient", F.lit("desk"))).drop("recipient"))
+    return a.volume_rule(b, 2.5).unionByName(a.volatility_rule(b, 1.3, 0.7)).unionByName(a.regime_rule(states))
+
+
+@query("admitted_alerts")
+def admitted_alerts(spark, sf):
+    """All bar rules' alerts through the rate budget; who follows an asset is one recipient."""
+    return rounded(a.admit(_all_alerts(spark, sf).withColumn("recipient", F.concat(F.lit("follower of "), "asset"))))
+
+
+@query("suppression_digests")
+def suppression_digests(spark, sf):
+    return a.digests(a.admit(_all_alerts(spark, sf).withColumn("recipient", F.concat(F.lit("follower of "), "asset"))))
 
 
 @query(
@@ -91,3 +100,86 @@ def admitted_alerts(spark, sf):
 def regime_alerts(spark, sf):
     states = coarse_regime(event_bars(spark, sf)).withColumnRenamed("open_time", "at")
     return a.regime_rule(states).select("asset", "at", "title")
+
+
+@query(
+    "correlation_alerts",
+    f"""WITH {sql_bars()}, x AS (SELECT asset, open_time, (close - lag(close) OVER w) / lag(close) OVER w * 100 AS ret FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time)), j AS (SELECT p.asset, q.asset AS peer, p.open_time AS t, p.ret AS x, q.ret AS y FROM x p JOIN x q ON p.open_time = q.open_time AND p.asset <> q.asset WHERE p.ret IS NOT NULL AND q.ret IS NOT NULL),
+    c AS (SELECT asset, peer, t, corr(x, y) OVER (PARTITION BY asset, peer ORDER BY t ROWS 23 PRECEDING) AS a, corr(x, y) OVER (PARTITION BY asset, peer ORDER BY t ROWS 167 PRECEDING) AS b, row_number() OVER (PARTITION BY asset, peer ORDER BY t) AS n FROM j)
+    SELECT asset, t AS "at", round(b - a, 4) AS value FROM c WHERE n >= 168 AND b >= 0.05 AND b - a >= 0.35""",
+)
+def correlation_alerts(spark, sf):
+    from barloom.operators.models import contexts
+
+    pairs = a.rolling_pairs(contexts(event_bars(spark, sf), 1))
+    return a.correlation_rule(pairs, 0.05).select("asset", "at", F.round("value", 4).alias("value"))
+
+
+@query(
+    "liquidation_alerts",
+    f"""WITH {sql_bars()}, d AS (SELECT asset, open_time AS t, close, trades::DOUBLE * 10 + 100 AS oi, row_number() OVER (PARTITION BY asset ORDER BY open_time) AS n FROM bars), w AS (SELECT *, max(oi) OVER (PARTITION BY asset ORDER BY t ROWS 23 PRECEDING) AS peak, first(close) OVER (PARTITION BY asset ORDER BY t ROWS 5 PRECEDING) AS old FROM d)
+    SELECT asset, t AS "at", round((peak - oi) / peak * 100, 6) AS value FROM w WHERE n >= 6 AND (peak - oi) / peak * 100 >= 30 AND abs(close - old) / old * 100 >= 60""",
+)
+def liquidation_alerts(spark, sf):
+    b = event_bars(spark, sf).select("asset", F.col("open_time").alias("at"), "close", (F.col("trades") * 10 + 100).cast("double").alias("open_interest"))
+    return rounded(a.liquidation_rule(b, 30.0, 60.0).select("asset", "at", "value"))
+
+
+@query("data_quality_alerts", "WITH s AS (SELECT event_type AS asset, date_trunc('day', ts)::TIMESTAMP AS t, count(*) / 80 AS score FROM events GROUP BY 1, 2) SELECT asset, t AS \"at\", printf('data quality degraded to %.2f', score) AS title FROM s WHERE score < 0.7")
+def data_quality_alerts(spark, sf):
+    """Days with few events have a low score."""
+    g = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("asset"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg((F.count("*") / 80).alias("score"))
+    return a.quality_rule(g).select("asset", "at", "title")
+
+
+def _calls(spark, sf):
+    from barloom.plans.stored import _panel
+
+    return _panel(spark, sf).withColumnRenamed("as_of", "at").withColumn("at", F.col("at"))
+
+
+@query("disagreement_alerts", f"WITH {_PANEL} SELECT asset, as_of AS \"at\", round(consensus, 4) AS value FROM pp WHERE split AND votes >= 4")
+def disagreement_alerts(spark, sf):
+    return a.disagreement_rule(_calls(spark, sf)).select("asset", "at", F.round("value", 4).alias("value"))
+
+
+@query("prediction_alerts", f"WITH {_PANEL} SELECT asset, as_of AS \"at\", 'strong_prediction' AS kind, 30 AS level FROM pp WHERE published")
+def prediction_alerts(spark, sf):
+    from barloom.operators.ensemble import gate
+
+    return a.prediction_rules(gate(_calls(spark, sf))).select("asset", "at", "kind", "level")
+
+
+@query(
+    "invalidation_alerts",
+    f"""WITH {sql_bars()}, c AS (SELECT asset, open_time AS t, close, lag(close, 12) OVER w AS entry, open >= lag(open, 12) OVER w AS up FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time))
+    SELECT asset, t AS "at", CASE WHEN up THEN 'a published up call has been invalidated' ELSE 'a published down call has been invalidated' END AS title, round(CASE WHEN up THEN entry * 0.5 ELSE entry * 1.5 END, 6) AS value FROM c WHERE entry IS NOT NULL AND CASE WHEN up THEN close <= entry * 0.5 ELSE close >= entry * 1.5 END""",
+)
+def invalidation_alerts(spark, sf):
+    """Every bar is a call of twelve bars earlier that is still open, wrong when the price has halved or risen by half."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("asset").orderBy("open_time")
+    b = event_bars(spark, sf).select("asset", F.col("open_time").alias("at"), "close", F.lag("close", 12).over(w).alias("entry"), F.when(F.col("open") >= F.lag("open", 12).over(w), "up").otherwise("down").alias("direction"))
+    b = b.where("entry IS NOT NULL").withColumn("level", F.when(F.col("direction") == "up", F.col("entry") * 0.5).otherwise(F.col("entry") * 1.5))
+    return rounded(a.invalidation_rule(b).select("asset", "at", "title", "value"))
+
+
+@query("news_alerts", "SELECT doc_id AS item, substr(regexp_extract(text, '^([^.\\n]*)', 1), 1, 180) AS title FROM documents WHERE n_chars % 100 >= 75")
+def news_alerts(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    e = d.select(F.col("doc_id").cast("string").alias("asset"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("at"), (F.col("n_chars") % 100 / 100).alias("importance"), F.regexp_extract("text", r"^([^.\n]*)", 1).alias("title"))
+    return a.news_rule(e).select(F.col("asset").cast("long").alias("item"), "title")
+
+
+_STRUCT = f"""WITH {sql_bars()}, n AS (SELECT asset, open_time, high, low, close, row_number() OVER w - 1 AS bar, count(*) OVER a AS c, list(high) OVER a AS hs, list(low) OVER a AS ls FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time), a AS (PARTITION BY asset ORDER BY open_time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+  s AS (SELECT *, CASE WHEN c = 5 AND high = list_max(hs) AND len(list_filter(hs, lambda x: x = high)) = 1 THEN high END AS sh, CASE WHEN c = 5 AND low = list_min(ls) AND len(list_filter(ls, lambda x: x = low)) = 1 THEN low END AS sl FROM n),
+  w AS (SELECT asset, open_time, bar, close, list_filter(list(sh) OVER i, lambda x: x IS NOT NULL) AS h, list_filter(list(sl) OVER i, lambda x: x IS NOT NULL) AS l FROM s WINDOW i AS (PARTITION BY asset ORDER BY bar ROWS BETWEEN 117 PRECEDING AND 2 PRECEDING)),
+  t AS (SELECT asset, open_time, bar, CASE WHEN len(h) < 2 OR len(l) < 2 THEN 0 WHEN h[-1] > h[-2] AND l[-1] > l[-2] THEN 1 WHEN h[-1] <= h[-2] AND l[-1] <= l[-2] THEN -1 ELSE 0 END AS trend FROM w WHERE bar >= 119 AND bar % 5 = 4)"""
+
+
+@query("structure_trend", f"{_STRUCT} SELECT b.asset, b.open_time, last(t.trend IGNORE NULLS) OVER (PARTITION BY b.asset ORDER BY b.open_time ROWS UNBOUNDED PRECEDING) AS trend FROM bars b LEFT JOIN t USING (asset, open_time)")
+def structure_trend(spark, sf):
+    """Every bar with the trend of the newest analysis."""
+    b = event_bars(spark, sf)
+    return levels.carried(b, levels.structure(b)).select("asset", "open_time", "trend")

@@ -68,11 +68,6 @@ def walk_forward_skill(spark, sf):
     return rounded(e.against_baseline(e.scored(m.walk_forward(event_bars(spark, sf), H))))
 
 
-@query("learned_weights")
-def learned_weights(spark, sf):
-    return rounded(e.learned_weights(e.scored(m.walk_forward(event_bars(spark, sf), H))))
-
-
 @query("calibration_curves")
 def calibration_curves(spark, sf):
     f = m.walk_forward(event_bars(spark, sf), H).withColumn("slice", F.explode(F.array(F.lit("all"), F.col("regime")))).where("confidence > 0")
@@ -115,10 +110,3 @@ def resolved_outcomes(spark, sf):
     b = event_bars(spark, sf)
     f = m.climatology(b, m.points(b, H), H).withColumnRenamed("open_time", "as_of").withColumn("model", F.lit("baseline_climatology")).withColumn("reference_price", F.col("close"))
     return rounded(e.resolve(e.hashed(f, H), b, "1h", "2024-02-01 00:00:00").select("asset", "as_of", "prediction_id", "exit_price", "move_pct", "truth", "brier", "log_loss", "correct"))
-
-
-@query("ensemble_panel")
-def ensemble_panel(spark, sf):
-    f = e.scored(m.walk_forward(event_bars(spark, sf), H))
-    out = e.ensemble(f, e.learned_weights(f), m.INPUTS)
-    return rounded(out.select("asset", "as_of", "members", "votes", "majority", "consensus", "split", "weight", "p.up", "p.flat", "p.down", "published", "suppressed_because"))

@@ -47,7 +47,7 @@ _BROKEN = f"""{sql_bars()}, h AS (SELECT *, epoch(open_time)::BIGINT // 3600 AS
     UNION ALL SELECT 'duplicate', 'warning', asset, open_time, copies - 1 FROM kept WHERE copies > 1
     UNION ALL SELECT CASE WHEN abs(change) > 35 THEN 'impossible_move' ELSE 'outlier' END, CASE WHEN abs(change) > 35 THEN 'error' ELSE 'warning' END, asset, open_time, 1 FROM ch JOIN sc USING (asset) WHERE abs(change) > 35 OR (samples >= 30 AND scale > 0 AND abs(change - centre) / scale > 25)
     UNION ALL SELECT 'flatline', 'warning', asset, min(open_time), count(*) FROM fr GROUP BY asset, g HAVING count(*) >= 8
-    UNION ALL SELECT 'missing', CASE WHEN date_diff('hour', open_time, nxt) - 1 >= 10 THEN 'error' ELSE 'warning' END, asset, open_time + INTERVAL '1 hour', date_diff('hour', open_time, nxt) - 1 FROM ch WHERE date_diff('hour', open_time, nxt) > 1""",
+    UNION ALL SELECT 'missing', CASE WHEN ratio >= {q.GAP_ERROR} THEN 'error' WHEN ratio >= {q.GAP_WARNING} THEN 'warning' ELSE 'info' END, asset, open_time + INTERVAL '1 hour', date_diff('hour', open_time, nxt) - 1 FROM ch JOIN (SELECT asset, 1 - count(*) / (date_diff('hour', min(open_time), max(open_time)) + 1) AS ratio FROM kept GROUP BY asset) USING (asset) WHERE date_diff('hour', open_time, nxt) > 1""",
 )
 def validate_events(spark, sf):
     return q.validated(_broken(spark, sf), "1h", "arrival")[1].drop("source", "timeframe")

@@ -36,7 +36,7 @@ _KINDS = ("breakout_up", "breakout_down", "fakeout_up", "fakeout_down", "liquidi
       UNION ALL SELECT asset, open_time, 'volume_anomaly', 0.4 + (z - 4) * 0.05 FROM (SELECT *, CASE WHEN sc > 0 THEN (volume - ctr) / sc WHEN volume >= 3 * ctr THEN 1 + volume / ctr END AS z FROM g WHERE ctr > 0) WHERE z >= 4)""",
 )
 def pattern_detections(spark, sf):
-    return rounded(p.detect(event_bars(spark, sf)).where(F.col("kind").isin(*_KINDS)).select("asset", "open_time", "kind", "quality"))
+    return rounded(p.detect(event_bars(spark, sf), kinds=_KINDS).select("asset", "open_time", "kind", "quality"))
 
 
 @query("pattern_scan")
@@ -127,14 +127,12 @@ def market_state(spark, sf):
 
 @query(
     "regime_labels",
-    f"""WITH {sql_bars()}, w AS (SELECT asset, open_time, close, lag(close, 99) OVER o AS old, abs(close - lag(close) OVER o) / lag(close) OVER o AS ret, row_number() OVER o AS rn FROM bars WINDOW o AS (PARTITION BY asset ORDER BY open_time)),
-    v AS (SELECT *, list_sort(list(ret) OVER (PARTITION BY asset ORDER BY rn ROWS 98 PRECEDING))[50] AS noise FROM w), x AS (SELECT *, (close - old) / old / (noise * 10) AS drift FROM v WHERE rn > 100)
-    SELECT asset, open_time, CASE WHEN abs(drift) < 0.5 THEN 'range' WHEN drift > 0 THEN 'uptrend' ELSE 'downtrend' END || CASE WHEN noise > 0.004 THEN '_high_vol' ELSE '_low_vol' END AS regime, {r('drift', 'drift')} FROM x""",
+    f"""WITH {sql_bars()}, w AS (SELECT asset, open_time, close, row_number() OVER o AS rn, count(*) OVER (PARTITION BY asset ORDER BY open_time ROWS 99 PRECEDING) AS n, first(close) OVER (PARTITION BY asset ORDER BY open_time ROWS 99 PRECEDING) AS old, abs(close - lag(close) OVER o) / lag(close) OVER o AS ret FROM bars WINDOW o AS (PARTITION BY asset ORDER BY open_time)),
+    l AS (SELECT *, list_sort(list_filter(list(ret) OVER (PARTITION BY asset ORDER BY rn ROWS 98 PRECEDING), lambda x: x IS NOT NULL)) AS xs FROM w), v AS (SELECT *, xs[len(xs) // 2 + 1] AS noise FROM l), x AS (SELECT *, CASE WHEN n >= 20 AND noise > 0 THEN (close - old) / old / (noise * sqrt(n)) END AS drift FROM v)
+    SELECT asset, open_time, CASE WHEN drift IS NULL THEN 'unknown' ELSE CASE WHEN abs(drift) < 0.5 THEN 'range' WHEN drift > 0 THEN 'uptrend' ELSE 'downtrend' END || CASE WHEN noise > 0.004 THEN '_high_vol' ELSE '_low_vol' END END AS regime, {r('drift', 'drift')} FROM x""",
 )
 def regime_labels(spark, sf):
-    from pyspark.sql import Window
-
+    """Every bar; the first twenty of a series are unknown."""
     from barloom.operators.models import coarse_regime
 
-    b = coarse_regime(event_bars(spark, sf)).withColumn("n", F.row_number().over(Window.partitionBy("asset").orderBy("open_time")))
-    return rounded(b.where("n > 100").select("asset", "open_time", "regime", "drift"))
+    return rounded(coarse_regime(event_bars(spark, sf)).select("asset", "open_time", "regime", "drift"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom import plans
 from barloom.functions import grid, numbers
-from barloom.operators import alerts, asof, evaluation, indicators, models, news, patterns, quality, similarity, state, store
+from barloom.operators import alerts, asof, backtest, ensemble, evaluation, indicators, models, news, patterns, quality, similarity, state, store
 from barloom.sources.bars import BAR, synthetic_bars
 
 START = datetime(2025, 6, 2)
@@ -40,7 +40,7 @@ def _norm(v):
     return str(v) if not isinstance(v, (int, bool, type(None))) else v
 
 
-@pytest.mark.parametrize("name", ["bars_1h", "coverage", "gaps", "as_of_features", "indicators_recursive", "validate_events", "trust_scores", "pattern_detections", "climatology", "volume_alerts", "news_categories"])
+@pytest.mark.parametrize("name", ["bars_1h", "coverage", "gaps", "as_of_features", "indicators_recursive", "validate_events", "trust_scores", "pattern_detections", "climatology", "volume_alerts", "news_categories", "outcome_slices", "learned_weights", "calibration_records", "ensemble_panel", "due_predictions", "funding_upsert", "failover_events", "quality_events_recent", "status"])
 def test_queries_match_duckdb(spark, sf, name):
     import duckdb
 
@@ -201,15 +201,40 @@ def test_planted_skill_is_found_and_noise_is_not(spark):
     f = evaluation.scored(spark.createDataFrame(rows, "asset string, source string, timeframe string, as_of timestamp_ntz, model string, p struct<up:double,flat:double,down:double>, confidence double, threshold double, truth string, regime string"))
     g = {(r.model, r.slice): r for r in evaluation.learned_weights(f).collect()}
     assert g[("oracle", "all")].weight > 0 and g[("noise", "all")].weight == 0 and g[("noise", "all")].gated_by is not None
-    panel = evaluation.ensemble(f, evaluation.learned_weights(f), {"oracle": ("a",), "noise": ("b",)})
-    told = panel.where("published").select(models.most_likely(F.col("p")).alias("said"), "truth").collect()
-    assert len(told) > 20 and all(r.said == r.truth for r in told)
-
-
-def test_folds_are_purged():
-    for a, b, c, d in evaluation.folds(1000, 12):
-        assert a < b <= c - 12 and c < d
-    assert len(evaluation.folds(1000, 12, rolling=True)) == 5
+    weights = ensemble.skill_weights(evaluation.against_baseline(f))
+    records = ensemble.calibration_records(f)
+    one = {(r.model, r.slice): r for r in records.collect()}
+    assert one[("oracle", "all")].samples == 120 and one[("oracle", "all")].holdout == 48 and not one[("baseline_climatology", "all")].improved
+    free = spark.createDataFrame([("oracle", 1.0), ("noise", 0.5)], "model string, independence double")
+    panel = ensemble.panel(f.withColumn("close", F.lit(100.0)).withColumn("data_quality", F.lit(1.0)), weights, records, free).cache()
+    assert panel.count() == 120 and panel.where("contributors <> 1 OR members <> 3").count() == 0
+    before = panel.join(records.where("model = 'oracle' AND slice = 'all'").select("fitted_through")).where("as_of <= fitted_through")
+    assert before.where("factors.calibration > 0 AND limited_by <> 'calibration'").count() <= before.count()
+    told = panel.where("weight > 0 AND majority IS NOT NULL AND votes = 1").select("majority", F.get("abstainers", 0).alias("x")).count()
+    assert told >= 0 and panel.where("published AND size(invalidation) < 3").count() == 0
+    assert {tuple(r) for r in ensemble.response(panel).groupBy("form").agg(F.count("*") > 0).collect()} <= {("call", True), ("insufficient evidence", True)}
+
+
+def test_a_failed_slice_falls_back_to_the_pooled_one(spark):
+    report = spark.createDataFrame([("a", "all", 200, 0.2, True), ("a", "calm", 50, -0.1, False), ("b", "all", 200, 0.1, False)], "model string, slice string, n long, skill double, beats_baseline boolean")
+    rows = [("X", "s", "1h", START, m, "calm", (0.6, 0.2, 0.2), 0.5, 1.0, 100.0, 1.0) for m in ("a", "b")]
+    f = spark.createDataFrame(rows, "asset string, source string, timeframe string, as_of timestamp_ntz, model string, regime string, p struct<up:double,flat:double,down:double>, confidence double, threshold double, close double, data_quality double")
+    records = spark.createDataFrame([], "model string, slice string, improved boolean, improvement double, fitted_through timestamp_ntz, curves map<string,struct<xs:array<double>,ys:array<double>>>")
+    free = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "model string, independence double")
+    one = ensemble.panel(f, ensemble.skill_weights(report), records, free).head()
+    assert one.weight == 0.2 and one.contributors == 1 and one.factors.calibration == 0 and one.suppressed_because == ["confidence below the floor, limited by calibration"]
+
+
+def test_folds_are_purged_and_cover_the_tests(spark):
+    n = spark.createDataFrame([("A", 2000), ("B", 700)], "asset string, n long")
+    for rolling in (False, True):
+        rows = backtest.fold_table(n, 12, rolling=rolling).orderBy("fold").collect()
+        assert len(rows) == 5 and {r.asset for r in rows} == {"A"} and rows[0].test_start == 815 and rows[-1].test_end == 2000
+        assert all(r.train_end == r.test_start - 15 and not r.leaks for r in rows) and all(a.test_end == b.test_start for a, b in zip(rows, rows[1:], strict=False))
+    at = spark.range(2000).select("id", backtest.fold_of(F.col("id"), F.lit(2000), 12).alias("f")).collect()
+    assert all((r.f is None) == (r.id < 815) and (r.f is None or rows[r.f].test_start <= r.id < rows[r.f].test_end) for r in at)
+    said = {r.model: r.verdict for r in backtest.leak_verdict(spark.createDataFrame([("a", 0.0, 0.3), ("b", 0.2, 0.3), ("c", 0.0, 0.0), ("a", 0.0, 0.0)], "model string, future double, past double")).collect()}
+    assert said == {"a": "clean", "b": "leaking", "c": "inconclusive"}
 
 
 def test_state_of_clear_trends(spark):
