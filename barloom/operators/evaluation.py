@@ -8,7 +8,7 @@ four decimals first, so it never holds more than 10,001 rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,14 +137,14 @@ def isotonic(forecasts: DataFrame, key: tuple[str, ...] = ("model", "slice"), we
     long = long.select(*key, "c.outcome", "c.x", "w", (F.col("truth") == F.col("c.outcome")).cast("double").alias("y"))
     binned = long.groupBy(*key, "outcome", "x").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        y = pooled(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.w.to_numpy())
-        head = {k: [pdf[k].iloc[0]] for k in (*key, "outcome")}
-        return pd.DataFrame(head | {"xs": [pdf.x.tolist()], "ys": [y.tolist()]})
+    def fit(group: pa.Table) -> pa.Table:
+        x, y, w = (group.column(c).to_numpy() for c in ("x", "y", "w"))
+        order = np.argsort(x, kind="stable")
+        head = {k: [group.column(k)[0].as_py()] for k in (*key, "outcome")}
+        return pa.table(head | {"xs": [x[order].tolist()], "ys": [pooled(x[order], y[order], w[order]).tolist()]})
 
     kinds = ", ".join(f"{k} string" for k in (*key, "outcome"))
-    return binned.groupBy(*key, "outcome").applyInPandas(fit, f"{kinds}, xs array<double>, ys array<double>")
+    return binned.groupBy(*key, "outcome").applyInArrow(fit, f"{kinds}, xs array<double>, ys array<double>")
 
 
 def on_curve(xs: Column, ys: Column, x: Column) -> Column:
