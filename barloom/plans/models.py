@@ -104,7 +104,16 @@ def prediction_ledger(spark, sf):
     return e.hashed(f, H).select("asset", "as_of", "prediction_id")
 
 
-@query("resolved_outcomes")
+@query(
+    "resolved_outcomes",
+    f"""{_CTX}, {_CLIMATE}, a AS (SELECT *, row_number() OVER () AS k, 'baseline_climatology|' || upper(asset) || '|1h|{H}|' || strftime(open_time, '%Y-%m-%dT%H:%M:%S+00:00') AS what FROM (SELECT c.asset, c.open_time, c.close, c.thr, c.bar FROM c WHERE bar >= 200 AND (bar - 200) % {H} = 0)),
+    k2 AS (SELECT a.asset, a.bar, count(*) FILTER (h.realised > a.thr) AS u, count(*) FILTER (h.realised < -a.thr) AS d, count(*) AS n FROM a JOIN c h ON h.asset = a.asset AND h.bar % {H} = 0 AND h.bar + {H} <= a.bar AND h.realised IS NOT NULL GROUP BY 1, 2),
+    x AS (SELECT a.asset, a.open_time, a.close, a.thr, a.what, e.close AS exit_price, (e.close - a.close) / a.close * 100 AS move, CASE WHEN n >= 30 THEN (u + 1) / (n + 3) ELSE 1 / 3.0 END AS pu, CASE WHEN n >= 30 THEN (n - u - d + 1) / (n + 3) ELSE 1 / 3.0 END AS pf, CASE WHEN n >= 30 THEN (d + 1) / (n + 3) ELSE 1 / 3.0 END AS pd
+      FROM a JOIN bars e ON e.asset = a.asset AND e.open_time = a.open_time + INTERVAL '{H} hours' LEFT JOIN k2 ON k2.asset = a.asset AND k2.bar = a.bar WHERE a.open_time + INTERVAL '{H + 2} hours' <= TIMESTAMP '2024-02-01'),
+    y AS (SELECT *, CASE WHEN move > thr THEN 'up' WHEN move < -thr THEN 'down' ELSE 'flat' END AS truth FROM x)
+    SELECT asset, open_time AS as_of, substr(sha256(what), 1, 40) AS prediction_id, round(exit_price, 6) AS exit_price, round(move, 6) AS move_pct, truth, round(power(pu - (truth = 'up')::INT, 2) + power(pf - (truth = 'flat')::INT, 2) + power(pd - (truth = 'down')::INT, 2), 6) AS brier,
+      round(-ln(CASE truth WHEN 'up' THEN pu WHEN 'flat' THEN pf ELSE pd END), 6) AS log_loss, CASE WHEN pu >= pf AND pu >= pd THEN 'up' WHEN pf >= pd THEN 'flat' ELSE 'down' END = truth AS correct FROM y""",
+)
 def resolved_outcomes(spark, sf):
     """Ledger rows recorded, verified and resolved against later bars."""
     b = event_bars(spark, sf)

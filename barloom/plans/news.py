@@ -97,3 +97,52 @@ def feed_items(spark, sf):
     entries = F.array_join(F.transform("hrefs", lambda h: F.concat(F.lit("<entry><title>t</title><link href=\""), h, F.lit("\"/><updated>2024-01-01T00:00:00Z</updated></entry>"))), "")
     bodies = p.select(F.col("page_id").cast("string").alias("source"), F.concat(F.lit("<feed>"), entries, F.lit("</feed>")).alias("body"), F.current_timestamp().alias("now"))
     return n.parse_feed(bodies).groupBy(F.col("source").cast("long").alias("page_id"), "url").agg(F.count("*").alias("n"))
+
+
+_CAT = f"cat AS (SELECT doc_id, n_chars, source, TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT) AS at_, CASE {' '.join(f'WHEN {_like(ws)} THEN {chr(39)}{c}{chr(39)}' for c, ws in n.RULES.items())} ELSE 'other' END AS category FROM (SELECT *, ' ' || lower({_TITLE} || ' ' || text) || ' ' AS p FROM documents))"
+
+
+def _stored_news(spark, sf):
+    """Stored stories: category from the text, relevance and importance from its length."""
+    a = articles(spark, sf).withColumn("size", F.length("body"))
+    sizes = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("item_id"), "n_chars")
+    a = a.join(sizes, "item_id")
+    share = F.col("n_chars") % 100 / 100
+    return a.select("item_id", "published_at", n.category(F.concat_ws(" ", "title", "body")).alias("category"), F.create_map(F.lit("BTC"), share).alias("relevance"), (F.col("n_chars") % 10 / 10).alias("importance"), F.array("source").alias("outlets"), (F.col("item_id") % 9 == 0).alias("is_recycled"))
+
+
+@query("news_category_counts", f"WITH {_CAT} SELECT category, count(*) AS n FROM cat WHERE at_ >= TIMESTAMP '2024-01-01 02:00:00' GROUP BY category")
+def news_category_counts(spark, sf):
+    from barloom.operators.store import fetch_range
+
+    return fetch_range(_stored_news(spark, sf), "2024-01-01 02:00:00", None, False, "published_at").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("recent_news", f"WITH {_CAT} SELECT doc_id AS item_id, category FROM cat WHERE category <> 'other' AND doc_id % 9 <> 0 AND at_ >= TIMESTAMP '2024-01-01 01:00:00' AND n_chars % 100 / 100 >= 0.5 ORDER BY at_ DESC, doc_id DESC LIMIT 100")
+def recent_news(spark, sf):
+    """The newest fresh stories about an asset; relevance is asked before the limit."""
+    rows = _stored_news(spark, sf).where("category <> 'other' AND NOT is_recycled AND relevance['BTC'] >= 0.5 AND published_at >= TIMESTAMP_NTZ '2024-01-01 01:00:00'")
+    return rows.orderBy(F.desc("published_at"), F.desc("item_id")).limit(100).select("item_id", "category")
+
+
+@query("relevant_news", f"WITH {_CAT} SELECT doc_id AS item_id, round(n_chars % 10 / 10, 6) AS importance FROM cat WHERE n_chars % 100 / 100 >= 0.5")
+def relevant_news(spark, sf):
+    from barloom.operators.records import relevant
+
+    return rounded(relevant(_stored_news(spark, sf), "BTC").select("item_id", "importance"))
+
+
+@query("source_weights", f"WITH {_CAT}, w AS (SELECT source, count(*) AS c FROM documents GROUP BY 1), v AS (SELECT source, least(1.0, c / 1000.0)::DOUBLE AS weight FROM w WHERE c > 20) SELECT doc_id AS item_id, round(coalesce(weight, 0.5), 6) AS source_weight FROM cat LEFT JOIN v USING (source)")
+def source_weights(spark, sf):
+    """Outlets weigh as much as they tell; a rare one weighs a half."""
+    from barloom.operators.records import source_weight
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").agg(F.count("*").alias("c")).where("c > 20").select("source", F.least(F.lit(1.0), F.col("c") / 1000).alias("weight"))
+    return rounded(source_weight(_stored_news(spark, sf).select("item_id", "outlets"), d).select("item_id", "source_weight"))
+
+
+@query("mood", f"WITH {_CAT}, m AS (SELECT category, n_chars % 10 / 10 AS w, (n_chars % 21 - 10) / 10 AS s FROM cat WHERE doc_id % 9 <> 0) SELECT category, round(sum(s * w) / sum(w), 6) AS sentiment, count(*) AS stories FROM m GROUP BY category")
+def mood(spark, sf):
+    sizes = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("item_id"), "n_chars")
+    e = _stored_news(spark, sf).join(sizes, "item_id").withColumn("recycled_from", F.when(F.col("is_recycled"), F.lit("x"))).withColumn("confidence", F.lit(1.0)).withColumn("sentiment_score", (F.col("n_chars") % 21 - 10) / 10)
+    return rounded(n.mood(e, ("category",)))
