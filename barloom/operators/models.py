@@ -206,10 +206,44 @@ def order_flow(rates: DataFrame, key: tuple[str, ...] = ("asset",), ts: str = "t
     return df.withColumn("p", F.when(ok, from_edge(-F.tanh(F.col("z") / 3) * 0.4)).otherwise(uniform())).withColumn("confidence", F.when(ok, 0.18 + F.least(F.lit(0.25), (F.abs("z") - 1.5) / 6)).otherwise(0.0)).drop("_xs", "_c")
 
 
+def built(df: DataFrame, quality: Column | None = None) -> DataFrame:
+    """Forecasts (p, confidence, threshold) as they are recorded: confidence within 0 and 1, times the data's quality, to four places, and the move that the edge expects."""
+    sure = clip(F.col("confidence"), 0, 1)
+    sure = sure if quality is None else sure * clip(quality, 0, 1)
+    return df.withColumn("confidence", F.round(sure, 4)).withColumn("expected_move_pct", F.round((F.col("p.up") - F.col("p.down")) * F.col("threshold"), 4))
+
+
+def _blend(a: Column, b: Column, share: float) -> Column:
+    return F.struct(*((a[k] * (1 - share) + b[k] * share).alias(k) for k in ("up", "flat", "down")))
+
+
 def regime_model(states: DataFrame) -> DataFrame:
-    """states (bias_score, agreement, confidence) with p; the bias counts as far as the timeframes agree."""
+    """states (bias_score, agreement, alignment, confidence) with p and confidence; the bias counts as far as the timeframes agree, and hardly where they conflict."""
     edge = F.col("bias_score") * (0.4 + 0.6 * F.col("agreement"))
-    return states.withColumn("p", from_edge(edge * 0.5))
+    torn = F.col("alignment").isin("conflicted", "possible_reversal")
+    p = F.when(torn, _blend(uniform(), from_edge(edge * 0.2), 0.4)).otherwise(from_edge(edge * 0.55))
+    return states.withColumn("p", p).withColumn("confidence", F.when(torn, 0.15).otherwise(0.20 + 0.4 * F.col("confidence")))
+
+
+def sentiment_model(moods: DataFrame, most: float = 0.25) -> DataFrame:
+    """moods (sentiment: the stories' mean weighted by importance and confidence, null without any) with p and a low confidence."""
+    some, x = F.col("sentiment").isNotNull(), F.col("sentiment")
+    return moods.withColumn("p", F.when(some, from_edge(F.tanh(x * 1.5) * 0.35)).otherwise(uniform())).withColumn("confidence", F.when(some, F.least(F.lit(most), 0.10 + F.abs(x) * 0.3)).otherwise(0.0))
+
+
+def sequence_model(detections: DataFrame, measured: DataFrame, key: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
+    """One row a key: p from the summed edges of the detections (key, on) that were measured (on, edge) to have one; a key whose detections have none abstains."""
+    met = detections.join(measured.where("edge <> 0").select(*on, "edge"), list(on), "left")
+    g = met.groupBy(*key).agg(F.sum("edge").alias("_e"), F.count("edge").alias("measured"))
+    some = F.col("measured") > 0
+    return g.withColumn("p", F.when(some, from_edge(F.tanh(F.col("_e") * 3) * 0.5)).otherwise(uniform())).withColumn("confidence", F.when(some, 0.20 + F.least(F.lit(0.3), F.col("measured") * 0.1)).otherwise(0.0)).drop("_e")
+
+
+def similarity_model(verdicts: DataFrame) -> DataFrame:
+    """verdicts of analogues (n, up_rate, baseline) with p: how much more often similar moments rose than any; at least twenty of them."""
+    some = F.col("n") >= 20
+    edge = F.tanh((F.col("up_rate") - F.col("baseline")) * 4)
+    return verdicts.withColumn("p", F.when(some, from_edge(edge * 0.6)).otherwise(uniform())).withColumn("confidence", F.when(some, 0.20 + F.least(F.lit(0.35), F.col("n") / 400)).otherwise(0.0))
 
 
 def walk_forward(bars: DataFrame, horizon: int, warmup: int = WARMUP, key=KEY, timeframe: str = "1h") -> DataFrame:

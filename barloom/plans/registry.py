@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("bars", "quality", "state", "models", "news", "alerts", "universe", "stored", "reads", "backtest")
+MODULES: tuple[str, ...] = ("bars", "quality", "state", "models", "news", "alerts", "universe", "stored", "reads", "backtest", "forecasters")
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
