@@ -114,3 +114,15 @@ def structure(bars: DataFrame, key=KEY) -> DataFrame:
     down = F.col("trend") < 0
     fib = F.when(top > bottom, F.array(*(F.struct(F.lit(r).alias("share"), F.when(down, bottom + (top - bottom) * r).otherwise(top - (top - bottom) * r).alias("price")) for r in RETRACEMENTS)))
     return df.select(*key, "open_time", "bar", "close", "trend", "levels", "support", "resistance", away("support").alias("support_pct"), away("resistance").alias("resistance_pct"), F.col("area.poc").alias("poc"), F.col("area.low").alias("value_low"), F.col("area.high").alias("value_high"), fib.alias("retracements"))
+
+
+def vector(bars: DataFrame, timeframe: str, least: int = 200, key=KEY) -> DataFrame:
+    """The whole feature vector of each final bar once its series has `least`: indicators, range and change, and the newest structure (structure_trend, support, resistance and distances)."""
+    from barloom.operators.indicators import recursive, windowed
+
+    bars = bars.where("is_final") if "is_final" in bars.columns else bars
+    f = recursive(windowed(bars, timeframe, key), key)
+    pct = lambda a, b: F.when(b > 0, (a - b) / b * 100).otherwise(0.0)
+    f = f.withColumn("range_pct", pct(F.col("high"), F.col("low"))).withColumn("change_pct", pct(F.col("close"), F.col("open")))
+    s = carried(bars, structure(bars, key), key).drop("close").withColumn("structure_trend", F.col("trend").cast("double")).drop("trend")
+    return f.join(s, [*key, "open_time"]).where(F.col("bars_seen") >= least)

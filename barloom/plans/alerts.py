@@ -183,3 +183,12 @@ def structure_trend(spark, sf):
     """Every bar with the trend of the newest analysis."""
     b = event_bars(spark, sf)
     return levels.carried(b, levels.structure(b)).select("asset", "open_time", "trend")
+
+
+@query(
+    "feature_vectors",
+    f"""{_STRUCT}, c AS (SELECT b.asset, b.open_time, b.high, b.low, b.open, b.close, last(t.trend IGNORE NULLS) OVER w AS trend, row_number() OVER w AS n, avg(b.close) OVER (PARTITION BY b.asset ORDER BY b.open_time ROWS 19 PRECEDING) AS m FROM bars b LEFT JOIN t USING (asset, open_time) WINDOW w AS (PARTITION BY b.asset ORDER BY b.open_time ROWS UNBOUNDED PRECEDING))
+    SELECT asset, open_time, round(m, 6) AS sma_20, round((high - low) / low * 100, 6) AS range_pct, round((close - open) / open * 100, 6) AS change_pct, trend::DOUBLE AS structure_trend FROM c WHERE n >= 200""",
+)
+def feature_vectors(spark, sf):
+    return rounded(levels.vector(event_bars(spark, sf), "1h").select("asset", "open_time", "sma_20", "range_pct", "change_pct", "structure_trend"))

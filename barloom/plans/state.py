@@ -8,7 +8,7 @@ from barloom.functions.grid import floor_to, plus
 from barloom.functions.numbers import rounded
 from barloom.operators import patterns as p
 from barloom.operators import state as s
-from barloom.operators.indicators import recursive, windowed
+from barloom.operators.indicators import windowed
 from barloom.plans.registry import query
 from barloom.plans.sql import bars as sql_bars
 from barloom.plans.sql import r
@@ -109,8 +109,9 @@ def momentum_state(spark, sf):
 
 
 def _features(spark, sf, tf):
-    b = event_bars(spark, sf, tf)
-    f = recursive(windowed(b, tf)).withColumn("change_pct", (F.col("close") - F.col("open")) / F.col("open") * 100)
+    from barloom.operators.levels import vector
+
+    f = vector(event_bars(spark, sf, tf), tf, 1)
     return s.classify(f).withColumn("volatility_pct", F.col("realised_vol_20")).withColumn("known", plus(F.col("open_time"), tf))
 
 

@@ -76,28 +76,25 @@ def admitted(alerts: DataFrame, recipient: str = "recipient") -> DataFrame:
     return alerts.withColumn("_key", dedup_key()).groupBy(recipient).applyInPandasWithState(step, f"{recipient} string, at timestamp_ntz, kind string, asset string, level int, held string", "budget string", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, key: tuple[str, ...] = ("asset", "source", "timeframe", "open_time")):
-    """A foreachBatch function that merges a batch of bars into the Parquet table at path; a replayed batch changes nothing.
+def upsert_sink(path: str):
+    """A foreachBatch function that adds a batch of bars to the table at path, one partition a batch; a replayed batch replaces its own partition.
 
-    Each version is a new folder and the newest complete one is read, so a failed batch leaves the old version in place.
+    Nothing stored is rewritten: `merged` makes the upsert when the table is read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        from barloom.operators.store import upsert_bars
-
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}/_SUCCESS"))
-        if done(number):
-            return
-        old = next((n for n in range(number - 1, -1, -1) if done(n)), None)
         rows = batch.withColumn("ingested_at", F.current_timestamp()) if "ingested_at" not in batch.columns else batch
-        if old is None:
-            stored = rows.limit(0).withColumn("revision", F.lit(0).cast("long"))
-        else:
-            stored = spark.read.parquet(f"{path}/v={old}")
-        upsert_bars(stored, rows, key).write.mode("overwrite").parquet(f"{path}/v={number}")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def merged(batches: DataFrame, key: tuple[str, ...] = ("asset", "source", "timeframe", "open_time"), arrival: str = "ingested_at") -> DataFrame:
+    """What upserts of the batches, in order, would have left of each key, and its revision: the last final row, else the last row; a final one is never replaced by a provisional one."""
+    cols = [c for c in batches.columns if c not in (*key, "batch")]
+    newest = F.struct("is_final", arrival)
+    each = batches.groupBy(*key, "batch").agg(F.max_by(F.struct(*cols), newest).alias("row"), F.max("is_final").alias("final"))
+    g = each.groupBy(*key).agg(F.max_by("row", F.struct("final", "batch")).alias("row"), F.count("*").alias("_n"), F.min(F.when(F.col("final"), F.col("batch"))).alias("_first"), F.array_sort(F.collect_list(F.struct("batch", "final"))).alias("_b"))
+    # Every batch up to the first final one counts, then final ones only; the first makes the row, the others revise it.
+    counted = F.size(F.filter("_b", lambda x: F.col("_first").isNull() | (x["batch"] <= F.col("_first")) | x["final"]))
+    return g.select(*key, "row.*", (counted - 1).cast("long").alias("revision"))

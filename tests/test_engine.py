@@ -3,7 +3,6 @@
 import math
 import os
 import random
-import statistics
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom import plans
 from barloom.functions import grid, numbers
 from barloom.operators import alerts, asof, backtest, ensemble, evaluation, indicators, models, news, patterns, quality, similarity, state, store
-from barloom.sources.bars import BAR, synthetic_bars
+from barloom.sources.bars import BAR
 
 START = datetime(2025, 6, 2)
 
@@ -333,11 +332,42 @@ def test_analogues_see_only_their_past_below_its_own_ceiling(spark):
         assert set(mine) == {i for i, _ in want} and all(abs(mine[i] - d) < 1e-9 for i, d in want)
 
 
-def test_synthetic_faults_are_seen(spark):
-    b = synthetic_bars(spark, [("AAA", 100.0)], "2025-06-02 00:00:00", 200, "1h", drop_every=50, swap_every=60, spike_every=90).withColumn("arrival", F.unix_seconds(F.col("open_time").cast("timestamp")))
+def test_faults_are_seen(spark):
+    """Dropped, swapped, tripled and flat bars of a quiet series."""
+    rows = []
+    for i in range(200):
+        mid = 100 + 5 * math.sin(i / 9) + 0.1 * (i * 7 % 5)
+        high, low = mid + 0.3, mid - 0.3
+        flat = 100 <= i < 110
+        rows.append(("AAA", "s", "1h", START + timedelta(hours=i), mid, mid if flat else low if i == 60 else high, mid if flat else high if i == 60 else low, mid * 3 if i == 90 else mid, 0.0 if flat else 10.0, i))
+    rows = [r if r[9] != 90 else (*r[:5], r[7] + 1, *r[6:]) for r in rows if r[9] % 50 != 49]
+    b = spark.createDataFrame(rows, "asset string, source string, timeframe string, open_time timestamp_ntz, open double, high double, low double, close double, volume double, arrival long")
     kept, events = quality.validated(b, "1h", "arrival")
-    kinds = {r.event_type for r in events.collect()}
-    assert {"shape_invalid", "missing", "impossible_move"} <= kinds and kept.count() < 200
+    got = {(r.event_type, r.severity, r.n) for r in events.collect()}
+    assert {("shape_invalid", "error", 1), ("impossible_move", "error", 1), ("flatline", "warning", 10), ("missing", "warning", 1)} <= got and kept.count() == 195
+
+
+def test_peers_are_the_others_of_the_moment(spark):
+    rng = random.Random(3)
+    rows = [(f"A{a}", "s", "1h", START + timedelta(hours=h), 100.0 + rng.randint(0, 5) if not (a == 2 and h == 3) else 0.0, 1.0) for a in range(5) for h in range(8)]
+    ctx = spark.createDataFrame(rows, "asset string, source string, timeframe string, open_time timestamp_ntz, close double, threshold double")
+    got = {(r.asset, r.open_time): r for r in models.cross_asset(ctx, 2).collect()}
+    close = {(r[0], r[3]): r[4] for r in rows}
+    for (asset, at), r in got.items():
+        move = {a: (close[a, at] - old) / old * 100 for a in (f"A{i}" for i in range(5)) if (old := close.get((a, at - timedelta(hours=2)), 0)) > 0}
+        others = sorted(v for a, v in move.items() if a != asset)
+        if asset not in move or not others:
+            assert r.confidence == 0
+            continue
+        mid = (others[(len(others) - 1) // 2] + others[len(others) // 2]) / 2
+        assert abs(r.confidence - (0.18 + min(0.25, abs(mid - move[asset]) / 3))) < 1e-9
+
+
+def test_thinning_and_digests(spark):
+    marks = spark.createDataFrame([("a", b) for b in (0, 1, 5, 6, 7, 12, 12, 13, 30)], "k string, bar long")
+    assert sorted(r.bar for r in patterns.thinned(marks, ("k",), 6).collect()) == [0, 6, 12, 30]
+    held = spark.createDataFrame([("me", START + timedelta(hours=h), why) for h, why in ((0, "cooldown"), (1, "cooldown"), (2, "hourly"), (3, ""), (7, "daily"))], "recipient string, at timestamp_ntz, held string")
+    assert sorted((r.at.hour, r.title) for r in alerts.digests(held).collect()) == [(6, "3 alerts suppressed: 2 cooldown, 1 hourly"), (12, "1 alerts suppressed: 1 daily")]
 
 
 def test_venue_bodies(spark):

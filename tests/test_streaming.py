@@ -60,9 +60,10 @@ def test_streamed_budget_is_the_batch_budget(spark, tmp_path):
 def test_upsert_sink_is_idempotent(spark, tmp_path):
     schema = "asset string, source string, timeframe string, open_time timestamp_ntz, close double, is_final boolean"
     sink = stream.upsert_sink(f"{tmp_path}/table")
-    one = spark.createDataFrame([("A", "s", "1h", T0, 1.0, False)], schema)
-    two = spark.createDataFrame([("A", "s", "1h", T0, 2.0, True), ("B", "s", "1h", T0, 5.0, True)], schema)
-    for n, b in ((0, one), (1, two), (1, two)):
-        sink(b, n)
-    rows = {r.asset: (r.close, r.revision) for r in spark.read.parquet(f"{tmp_path}/table/v=1").select("asset", "close", "revision").collect()}
-    assert rows == {"A": (2.0, 1), "B": (5.0, 0)} and F is not None
+    row = lambda a, close, fin: (a, "s", "1h", T0, close, fin)
+    batches = [[row("A", 1.0, False)], [row("A", 2.0, True), row("B", 5.0, True)], [row("A", 3.0, False), row("B", 6.0, True), row("C", 1.0, False)], [row("C", 2.0, False)]]
+    for n, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, schema), n)
+    sink(spark.createDataFrame(batches[1], schema), 1)
+    got = {r.asset: (r.close, r.revision) for r in stream.merged(spark.read.parquet(f"{tmp_path}/table")).collect()}
+    assert got == {"A": (2.0, 1), "B": (6.0, 1), "C": (2.0, 1)} and F is not None
