@@ -55,6 +55,7 @@ CROWD = 64
 BLOCK = 256
 #: Columns in which the shingles of crowded classes are counted, to put them in order.
 COUNTS = 1 << 20
+PACKS = 64
 #: Jaccard similarity of a link, in hundredths.
 SIMILAR = 75
 
@@ -175,23 +176,42 @@ def _crowded(hot: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInArrow(_forest, "a long, b long")
 
 
+def _packed_counts(total: np.ndarray) -> pa.RecordBatch:
+    """Counts of columns as one row for each COUNTS / PACKS neighbouring ones that has any."""
+    some = np.flatnonzero(total)
+    pack, first = np.unique(some // (COUNTS // PACKS), return_index=True)
+    ends = pa.array(np.append(first, len(some)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(pack), pa.ListArray.from_arrays(ends, pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(total[some]))], ["pack", "at", "n"])
+
+
 def _column_counts(batches):
     total = np.zeros(COUNTS, np.int64)
     for b in batches:
         for _, raw, offsets in slices(b.column("text")):
             total += np.bincount((shingles(raw, offsets, WORDS)[0] % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+    yield _packed_counts(total)
+
+
+def _added(group: pa.Table) -> pa.Table:
+    at, n = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "n"))
+    return pa.Table.from_batches([_packed_counts(np.bincount(at, n, COUNTS).astype(np.int64))])
+
+
+def _columns(texts: DataFrame) -> np.ndarray:
+    """In how many of texts (text) each column has a shingle. Tasks add up among themselves before the driver gets COUNTS numbers at most."""
+    kind = "pack long, at array<long>, n array<long>"
+    parts = texts.select("text").mapInArrow(_column_counts, kind).withColumn("some", F.spark_partition_id() % 64)
+    parts = parts.groupBy("pack", "some").applyInArrow(lambda g: _added(g), kind).groupBy("pack").applyInArrow(lambda g: _added(g), kind).toArrow()
+    often = np.zeros(COUNTS, np.int64)
+    often[parts.column("at").combine_chunks().flatten().to_numpy()] = parts.column("n").combine_chunks().flatten().to_numpy()
+    return often
 
 
 def _rest(hot: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect what the classes hot (node, label, n) of different labels link, found in an index of their shingles."""
     spark = hot.sparkSession
     rows = written(texts.join(hot, "node"))
-    counts = rows.select("text").mapInArrow(_column_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(COUNTS, np.int64)
-    often[counts["at"].to_numpy()] = counts.n.to_numpy()
-    shared = spark.sparkContext.broadcast(often)
+    shared = spark.sparkContext.broadcast(_columns(rows))
 
     def rarest(batches):
         for b in batches:
