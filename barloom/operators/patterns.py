@@ -226,6 +226,31 @@ def chains(detections: DataFrame, length: int = 2, within: int = 12, key=KEY) ->
     return steps.where(close).select(*key, F.array(*(F.col(f"k{i}") for i in reversed(range(length)))).alias("chain"), "bar")
 
 
+def chain_statistics(bars: DataFrame, detections: DataFrame, lengths: tuple[int, ...] = (2, 3), horizons: tuple[int, ...] = (12, 48), within: int = 12, least: int = 20, key=KEY) -> DataFrame:
+    """Of each series, chain and horizon: how often the close was higher after thinned occurrences than after any moment, tested over all chains of the series.
+
+    detections has key, bar and kind. A chain is tested if it occurred `least` times and five thinned occurrences have an outcome.
+    """
+    order = Window.partitionBy(*key).orderBy("open_time")
+    every = None
+    for n in lengths:
+        part = chains(detections, n, within, key).select(*key, F.array_join("chain", ">").alias("chain"), "bar")
+        every = part if every is None else every.unionByName(part)
+    often = every.groupBy(*key, "chain").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*key, "chain")
+    every = every.join(often, [*key, "chain"], "left_semi").distinct()
+    out = None
+    for h in horizons:
+        move = bars.select(*key, "open_time", "close", (F.row_number().over(order) - 1).alias("bar"), F.lead("close", h).over(order).alias("_end"))
+        move = move.where("close > 0 AND _end IS NOT NULL").select(*key, "bar", ((F.col("_end") - F.col("close")) / F.col("close") * 100).alias("ret"))
+        base = move.where(F.col("bar") % h == 0).groupBy(*key).agg(F.count("*").alias("bn"), F.count(F.when(F.col("ret") > 0, 1)).alias("bs"))
+        met = every.join(move, [*key, "bar"])
+        kept = met.join(thinned(met, (*key, "chain"), h), [*key, "chain", "bar"], "left_semi")
+        g = kept.groupBy(*key, "chain").agg(F.count("*").alias("occurrences"), F.count(F.when(F.col("ret") > 0, 1)).alias("rose"), F.sort_array(F.collect_list("ret")).alias("_r")).where("occurrences >= 5")
+        part = g.join(base, list(key)).select(*key, "chain", F.lit(h).alias("horizon"), "occurrences", (F.col("rose") / F.col("occurrences")).alias("rate"), F.when(F.col("bn") > 0, F.col("bs") / F.col("bn")).otherwise(0.5).alias("baseline"), two_proportion_p(F.col("rose"), F.col("occurrences"), F.col("bs"), F.col("bn")).alias("p_value"), F.get("_r", F.floor(F.size("_r") / 2).cast("int")).alias("median_return_pct"))
+        out = part if out is None else out.unionByName(part)
+    return benjamini_hochberg(out, family=tuple(key))
+
+
 def transitions(states: DataFrame, key: tuple[str, ...], ts: tuple[str, ...], state: str = "state", least: int = 20) -> DataFrame:
     """state, next_state, n, total, probability and its interval over changes of state, for states left at least `least` times."""
     w = Window.partitionBy(*key).orderBy(*ts)

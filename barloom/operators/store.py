@@ -74,8 +74,8 @@ def latest(df: DataFrame, key: tuple[str, ...], ts: str, *order: Column) -> Data
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Replaces the timeframe partitions that bars has, clustered by series and time."""
-    out = bars.repartition("timeframe", "asset").sortWithinPartitions("asset", "source", "open_time")
+    """Replaces the timeframe partitions that bars has, clustered by series and time; a series is spread by month, so that a long one isn't one task."""
+    out = bars.repartition("timeframe", "asset", F.date_trunc("month", "open_time")).sortWithinPartitions("asset", "source", "open_time")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe").parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.grid import floor_to, plus
-from barloom.functions.numbers import rounded
+from barloom.functions.numbers import rounded, sql_tail
 from barloom.operators import patterns as p
 from barloom.operators import state as s
 from barloom.operators.indicators import windowed
@@ -61,6 +61,12 @@ def swing_points(spark, sf):
     return p.swings(event_bars(spark, sf)).where("swing_high OR swing_low").select("asset", "open_time", "swing_high", "swing_low")
 
 
+def _two_tails(s: str, n: str, bs: str, bn: str) -> str:
+    pool = f"(({s} + {bs}) / ({n} + {bn}))"
+    z = f"(abs({s} / {n} - {bs} / {bn}) / sqrt({pool} * (1 - {pool}) * (1 / {n} + 1 / {bn})))"
+    return f"CASE WHEN {pool} > 0 AND {pool} < 1 THEN least(1.0, 2 * {sql_tail(z)}) ELSE 1.0 END"
+
+
 _STATES = "SELECT user_id, event_type AS state, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events"
 
 
@@ -137,3 +143,28 @@ def regime_labels(spark, sf):
     from barloom.operators.models import coarse_regime
 
     return rounded(coarse_regime(event_bars(spark, sf)).select("asset", "open_time", "regime", "drift"))
+
+
+@query(
+    "chain_statistics",
+    f"""WITH RECURSIVE {sql_bars()}, b AS (SELECT asset, close, volume, row_number() OVER w - 1 AS bar, lag(close) OVER w AS last, lead(close, 6) OVER w AS e6, lead(close, 12) OVER w AS e12 FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time)),
+    d AS (SELECT asset, bar, CASE WHEN close > 1.5 * last THEN 'jump' WHEN close * 1.5 < last THEN 'fall' WHEN volume >= 5 THEN 'busy' END AS kind FROM b), g AS (SELECT asset, bar, kind, lag(kind) OVER w AS k1, lag(bar) OVER w AS b1, lag(kind, 2) OVER w AS k2, lag(bar, 2) OVER w AS b2 FROM d WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY asset ORDER BY bar)),
+    c AS (SELECT asset, bar, k1 || '>' || kind AS chain FROM g WHERE bar - b1 <= 6 UNION ALL SELECT asset, bar, k2 || '>' || k1 || '>' || kind FROM g WHERE bar - b1 <= 6 AND b1 - b2 <= 6), f AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY asset, chain) >= 20),
+    o AS (SELECT f.asset, chain, h, f.bar, (CASE h WHEN 6 THEN e6 ELSE e12 END - close) / close * 100 AS ret, row_number() OVER (PARTITION BY f.asset, chain, h ORDER BY f.bar) AS k FROM f JOIN b USING (asset, bar), (VALUES (6), (12)) v(h) WHERE CASE h WHEN 6 THEN e6 ELSE e12 END IS NOT NULL),
+    r AS (SELECT asset, chain, h, k, bar AS last, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.asset, o.chain, o.h, o.k, CASE WHEN o.bar - r.last >= o.h THEN o.bar ELSE r.last END, o.bar - r.last >= o.h FROM r JOIN o ON o.asset = r.asset AND o.chain = r.chain AND o.h = r.h AND o.k = r.k + 1),
+    m AS (SELECT asset, h, count(*) AS bn, count(*) FILTER (CASE h WHEN 6 THEN e6 ELSE e12 END > close) AS bs FROM b, (VALUES (6), (12)) v(h) WHERE bar % h = 0 AND CASE h WHEN 6 THEN e6 ELSE e12 END IS NOT NULL GROUP BY 1, 2),
+    n AS (SELECT asset, chain, h, count(*) AS n, count(*) FILTER (ret > 0) AS s, list_sort(list(ret)) AS xs FROM o JOIN r USING (asset, chain, h, k) WHERE kept GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+    p AS (SELECT *, {_two_tails('s', 'n', 'bs', 'bn')} AS p_value FROM n JOIN m USING (asset, h)), q AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY p_value) AS i, count(*) OVER (PARTITION BY asset) AS c FROM p)
+    SELECT asset, chain, h::INT AS horizon, n AS occurrences, round(s / n, 6) AS rate, round(bs / bn, 6) AS baseline, round(p_value, 6) AS p_value, round(xs[n // 2 + 1], 6) AS median_return_pct, coalesce(p_value <= max(CASE WHEN p_value <= i * 0.05 / c THEN p_value END) OVER (PARTITION BY asset), false) AS significant FROM q""",
+)
+def chain_statistics(spark, sf):
+    """Jumps, falls and busy hours as detections; chains of two and three within six hours."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("asset").orderBy("open_time")
+    b = event_bars(spark, sf)
+    last = F.lag("close").over(w)
+    kind = F.when(F.col("close") > 1.5 * last, "jump").when(F.col("close") * 1.5 < last, "fall").when(F.col("volume") >= 5, "busy")
+    found = b.select("asset", "source", "timeframe", (F.row_number().over(w) - 1).alias("bar"), kind.alias("kind")).where("kind IS NOT NULL")
+    out = p.chain_statistics(b, found, horizons=(6, 12), within=6)
+    return rounded(out.drop("source", "timeframe"))
