@@ -30,16 +30,3 @@ def last_before(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
     if tolerance:
         met = met.withColumn("_v", F.when(F.col("_v._at") > F.col("_ts") - F.expr(f"INTERVAL {tolerance}"), F.col("_v")))
     return met.select("_row.*", *(F.col(f"_v.{c}").alias(c) for c in take))
-
-
-def first_after(left: DataFrame, bars: DataFrame, keys: list[str], left_ts: str, timeframe: str, probes: int = 8, take: tuple[str, ...] = ("open_time", "close")) -> DataFrame:
-    """left with the first bar that opens at or after left_ts, at most `probes` grid slots later; an equi-join on the slot."""
-    from barloom.functions.grid import ceil_to, plus
-
-    slot = ceil_to(F.col(left_ts), timeframe)
-    asked = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))))
-    asked = asked.withColumn("_slot", F.array(*(plus(slot, timeframe, k) if k else slot for k in range(probes)))[F.col("_k")])
-    b = bars.select(*keys, F.col("open_time").alias("_slot"), F.struct(*(F.col(c).alias(f"bar_{c}") for c in take)).alias("_bar"))
-    hit = asked.join(b, [*keys, "_slot"], "left")
-    out = hit.groupBy("_id").agg(*(F.first(c).alias(c) for c in left.columns), F.min_by("_bar", F.when(F.col("_bar").isNotNull(), F.col("_k"))).alias("_bar"))
-    return out.select(*left.columns, "_bar.*")

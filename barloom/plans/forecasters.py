@@ -74,3 +74,13 @@ def admitted_patterns(spark, sf):
 
     stats = e.learned_weights(scored(spark, sf)).where("slice = 'all'").select("asset", "model", (F.col("weight") > 0).alias("informative"))
     return admitted(forecasts(spark, sf), stats, ("asset", "model")).groupBy("asset").agg(F.count("*").alias("admitted"))
+
+
+@query(
+    "distribution_measures",
+    f"""WITH {_FC}, b AS (SELECT *, list_transform([pu, pf, pd], lambda x: CASE WHEN x > 0 THEN -x * log2(x) ELSE 0 END) AS h FROM fc)
+    SELECT model, asset, as_of, round(h[1] + h[2] + h[3], 6) AS entropy, CASE WHEN pu >= pf AND pu >= pd THEN 'up' WHEN pf >= pd THEN 'flat' ELSE 'down' END AS most_likely, CASE WHEN confidence < 0.15 THEN 'very_low' WHEN confidence < 0.3 THEN 'low' WHEN confidence < 0.55 THEN 'normal' WHEN confidence < 1 THEN 'high' ELSE 'very_high' END AS bucket FROM b""",
+)
+def distribution_measures(spark, sf):
+    f = forecasts(spark, sf)
+    return rounded(f.select("model", "asset", "as_of", m.entropy(F.col("p")).alias("entropy"), m.most_likely(F.col("p")).alias("most_likely"), m.volatility_bucket(F.col("confidence")).alias("bucket")))

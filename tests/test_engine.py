@@ -396,3 +396,11 @@ def test_look_ahead_is_caught(bars):
     w = Window.partitionBy("asset").orderBy("open_time")
     leaky = leaks(bars, lambda b: b.select("asset", "source", "timeframe", "open_time", F.lead("close").over(w).alias("x")), moment)
     assert clean[0] == 0 and clean[1] > 0 and leaky[0] > 0
+
+
+def test_written_partitions_are_replaced(spark, bars, tmp_path):
+    path = f"{tmp_path}/bars"
+    store.write_bars(bars, path)
+    store.write_bars(bars.where("asset = 'AAA'").withColumn("timeframe", F.lit("4h")), path)
+    store.write_bars(bars.limit(7), path)
+    assert {r.timeframe: r["count"] for r in spark.read.parquet(path).groupBy("timeframe").count().collect()} == {"1h": 7, "4h": bars.where("asset = 'AAA'").count()}
