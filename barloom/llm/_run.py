@@ -59,6 +59,17 @@ def kept(names: tuple[str, ...], *own: str) -> list[str]:
     return [c for c in dict.fromkeys(names) if c.lower() not in taken]
 
 
+def packed(df: DataFrame, keep: list[str], **own: Column) -> DataFrame:
+    """The kept columns as one struct, named row, beside an operator's own, so that no names can clash."""
+    row = F.struct(*(df[c] for c in keep)) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    return df.select(row.alias("row"), *(c.alias(name) for name, c in own.items()))
+
+
+def unpacked(df: DataFrame, keep: list[str], *own: str) -> DataFrame:
+    """The kept columns under their names, then the operator's own."""
+    return df.select(*(F.col("row")[c].alias(c) for c in keep), *own)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, not only by rows, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barloom.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
+from barloom.llm.fim import OP11_SQL, op11_fill_in_middle
 from barloom.llm.langid import op5_language_id
 from barloom.llm.licenses import op3_license_scan
 from barloom.llm.media import op10_media_columns
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
