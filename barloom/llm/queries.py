@@ -9,6 +9,7 @@ from barloom.llm.licenses import op3_license_scan
 from barloom.llm.media import op10_media_columns
 from barloom.llm.mixing import op9_mixing
 from barloom.llm.neardup import op6_near_duplicates
+from barloom.llm.neighbours import op13_nearest_neighbours
 from barloom.llm.periodic import op12_periodic_runs
 from barloom.llm.quality import op1_quality_classifier
 from barloom.llm.tokencounts import op2_token_counts
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLES: dict[str, str] = {
