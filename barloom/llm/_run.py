@@ -80,9 +80,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows, picked by the hash of their key; all rows if there are no more. Same rows on every run."""
-    n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(71)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+def bounded_sample(df: DataFrame, key: tuple[str, ...], most: int, text: str | None = None, most_bytes: int = 0) -> DataFrame:
+    """About `most` rows, of about `most_bytes` of text if one is named, picked by the hash of their key; all rows if there are no more. Same rows on every run."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(text) if text else F.lit(0))).first()
+    share = min(1.0, most / max(1, n), most_bytes / size if text and size else 1.0)
+    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(*key, F.lit(71)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int) -> DataFrame:
+    """doc_id, text and y of documents with a label 0 or 1 outside the held-out fold: different rows, at most about `most` of them and `most_bytes` of text.
+
+    Labels are cut first, so that they can be broadcast; the rows that they meet are cut again, as an id may be repeated.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    known = F.broadcast(bounded_sample(known, ("doc_id",), most))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").distinct()
+    return bounded_sample(written(rows), ("doc_id", "text"), most, "text", most_bytes)

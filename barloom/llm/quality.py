@@ -8,7 +8,7 @@ shards a bounded sample of labelled rows; each shard makes FTRL-proximal updates
 sparse dot product with the broadcast weights, whose size is fixed by BUCKETS.
 
 Defined cases: a null or empty text has only the bias, as the corpus' share of
-good rows; repeated rows get equal scores; rows without a label, a null label or
+good rows; repeated rows get equal scores and are learned from once; rows without a label, a null label or
 a null doc_id are never learned from; without any usable label every score is
 0.5; other columns are ignored, a kept one named score (or, in quality, predicted) gives
 way to the result; an empty table gives an empty result.
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._run import bounded_sample, held_out, kept, small_batches, table
+from barloom.llm._run import held_out, kept, labelled, small_batches, table
 from barloom.llm._text import WORDS_AND_SIGNS, Words, mix, slices
 
 BUCKETS = 1 << 18
-#: At most about so many labelled rows are learned from.
-MAX_TRAIN_ROWS = 20_000
+#: At most about so many labelled rows, and bytes of their texts, are learned from.
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 20_000, 128 << 20
 ROWS_A_SHARD = 2_500
 EPOCHS = 3
 GOOD = 0.7
@@ -94,14 +94,13 @@ def _trained(rule: Ftrl):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rule: Ftrl = Ftrl()) -> np.ndarray:  # noqa: B008
     """Weights by bucket, learned from labelled rows outside the held-out fold."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("double").alias("y"))
-    sample = bounded_sample(known, "doc_id", MAX_TRAIN_ROWS)
+    sample = labelled(docs, labels, label, MAX_TRAIN_ROWS, MAX_TRAIN_BYTES)
     n = sample.count()
     out = np.zeros(BUCKETS)
     if not n:
         return out
     shards = max(1, min(8, n // ROWS_A_SHARD))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).alias("shard"))
+    rows = sample.select("text", F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(shards)).alias("shard"))
     fits = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.xxhash64("text")).select("text", "y").mapInArrow(_trained(rule), "bucket long, w double")
     total = fits.groupBy("bucket").agg(F.sum("w").alias("w")).toPandas()
     size = float(total.loc[total.bucket == -1, "w"].sum())

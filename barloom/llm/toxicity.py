@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from barloom.llm._run import bounded_sample, held_out, kept, small_batches, table, written
+from barloom.llm._run import held_out, kept, labelled, small_batches, table, written
 from barloom.llm._text import LETTER_WORDS, Words, distinct, shingles, slices
 
 BUCKETS = 1 << 18
-MAX_TRAIN_ROWS = 20_000
+#: At most about so many labelled rows, and bytes of their texts, are learned from.
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 20_000, 128 << 20
 TOXIC = 0.3
 #: Weight of the prior, in words.
 PRIOR = 2_000.0
@@ -104,22 +105,26 @@ def segments(start: np.ndarray, gain: np.ndarray, before: np.ndarray) -> list[tu
     """All maximal-scoring segments of one text: (first win, last win, score).
 
     gain[i] is what the i-th winning run adds, before[i] the total up to its left end.
-    A candidate is kept as [first, last, total before, total after]; a new one joins
-    backwards while an earlier one starts lower and ends no higher.
+    A candidate is [first, last, total before, total after, nearest earlier candidate that
+    starts lower]; a new one joins backwards while that one ends no higher. Those that the
+    search passes start no lower than the new one, so none looks at them again: they go
+    with a join, or lie behind the new one's own link. So all searches take as many steps
+    as there are winning runs.
     """
     out: list[list] = []
-    for i in range(len(start)):
-        new = [i, i, before[i], before[i] + gain[i]]
+    for i, (lo, add) in enumerate(zip(before.tolist(), gain.tolist(), strict=True)):
+        new, j = [i, i, lo, lo + add, -1], len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= new[3]:
+                new[4] = j
                 out.append(new)
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
-            del out[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in out]
+            new = [out[j][0], i, out[j][2], new[3], -1]
+            j, cut = out[j][4], j
+            del out[cut:]
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in out]
 
 
 def found(column: pa.Array, scores: np.ndarray):
@@ -156,10 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
     counts = docs.select("text").mapInArrow(_corpus_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     corpus = np.zeros(BUCKETS)
     corpus[counts.bucket.to_numpy()] = counts.n.to_numpy()
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
-    sample = F.broadcast(bounded_sample(known, "doc_id", MAX_TRAIN_ROWS))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(_sketched, "doc_id long, text string, y int, m1 long, m2 long")
-    # Read by three jobs below, so written once: of each group of near copies the row with the smallest id.
+    rows = labelled(docs, labels, label, MAX_TRAIN_ROWS, MAX_TRAIN_BYTES).mapInArrow(_sketched, "doc_id long, text string, y int, m1 long, m2 long")
+    # Read by several jobs below, so written once: of each group of near copies the row with the smallest id.
     rows = written(rows.groupBy("m1", "m2").agg(F.min_by(F.struct("text", "y"), F.struct("doc_id", "text", "y")).alias("row")).select("row.*"))
 
     def presence(batches):
@@ -218,16 +221,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
     def best(batches):
         for b in batches:
             got = list(found(b.column("text"), shared.value.astype(np.float64)))
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([m for m, _ in got], pa.int64()), pa.array([[v for _, _, v in g] for _, g in got], pa.list_(pa.float64()))], ["y", "m", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in got], pa.int64()), pa.array([max((v for *_, v in g), default=0.0) for _, g in got], pa.float64())], ["m", "top"])
 
-    fit = rows.select("text", "y").mapInArrow(best, "y int, m long, s array<double>").toPandas()
-    clean = fit[(fit.y == 0) & (fit.m > 0)]
-    top = np.array([max(s) if len(s) else 0.0 for s in clean.s])
+    clean = rows.where("y = 0").select("text").mapInArrow(best, "m long, top double").where("m > 0").toPandas()
     m = clean.m.to_numpy(float)
     # K: the maximum-likelihood value of the extreme-value law for a known lambda.
-    k = max(1e-9, len(m) / max(1e-9, float((m * np.exp(-rate * top)).sum())))
-    x = np.array([_evidence(int(a), [(0, 0, v) for v in s], rate, k)[0] for a, s in zip(fit.m, fit.s, strict=True)])
-    slope, offset = _logistic(np.log1p(x), fit.y.to_numpy(float))
+    k = max(1e-9, len(m) / max(1e-9, float((m * np.exp(-rate * clean.top.to_numpy())).sum())))
+
+    def weighed(batches):
+        for b in batches:
+            x = [_evidence(n, got, rate, k)[0] for n, got in found(b.column("text"), shared.value.astype(np.float64))]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.float64())], ["y", "x"])
+
+    fit = rows.select("text", "y").mapInArrow(weighed, "y int, x double").toPandas()  # two numbers a row of the bounded sample
+    slope, offset = _logistic(np.log1p(fit.x.to_numpy()), fit.y.to_numpy(float))
     return Model(scores.astype(np.float32), float(rate), float(k), slope, offset)
 
 
