@@ -81,6 +81,42 @@ def pgm(payload: bytes) -> bytes:
 STORES = (wav, bmp, pgm)
 
 
+#: Bytes between two sums that long checksums are put together from.
+STEP = 1 << 12
+
+
+@lru_cache
+def _crc_powers() -> list[list[int]]:
+    """For each k, what 2^k zero bytes make of each bit of a CRC-32."""
+
+    def through(rows: list[int], x: int) -> int:
+        out = 0
+        for i in range(32):
+            if x >> i & 1:
+                out ^= rows[i]
+        return out
+
+    one = [0xEDB88320, *(1 << i for i in range(31))]
+    for _ in range(3):
+        one = [through(one, x) for x in one]
+    powers = [one]
+    for _ in range(40):
+        powers.append([through(powers[-1], x) for x in powers[-1]])
+    return powers
+
+
+def _crc_moved(crc: int, n: int) -> int:
+    """What n zero bytes make of a checksum, without what they add of their own."""
+    for k, rows in enumerate(_crc_powers()):
+        if n >> k & 1:
+            out = 0
+            for i in range(32):
+                if crc >> i & 1:
+                    out ^= rows[i]
+            crc = out
+    return crc
+
+
 class Value:
     """The bytes of one value, where formats may begin, and what validators share."""
 
@@ -98,6 +134,88 @@ class Value:
         self._marks: list[int] | None = None
         self._after: dict[int, int] = {}
         self._zips: dict[int, int] | None = None
+        self._riff: dict[int, tuple[int, int]] = {}
+        self._png: dict[int, int] = {}
+        self._gif: dict[int, int] = {}
+        self._gif_data: dict[int, int] = {}
+        self._sums: list[int] | None = None
+
+    def crc(self, start: int, end: int) -> int:
+        """zlib's CRC-32 of the bytes from start to end: of long ranges by the sums at every STEP bytes, so that ranges that overlap are read once."""
+        if end - start <= 2 * STEP:
+            return zlib.crc32(self.b[start:end])
+        if self._sums is None:
+            self._sums = [0]
+            for i in range(0, len(self.b), STEP):
+                self._sums.append(zlib.crc32(self.b[i : i + STEP], self._sums[-1]))
+        upto = lambda x: zlib.crc32(self.b[x // STEP * STEP : x], self._sums[x // STEP])
+        return upto(end) ^ _crc_moved(upto(start), end - start)
+
+    def walked(self, place: int, step, known: dict[int, object]):
+        """Where the walk from place ends. step(place) gives (next place, None) or (None, result); walks that meet are walked once."""
+        passed = []
+        while place not in known:
+            passed.append(place)
+            following, result = step(place)
+            if following is None:
+                break
+            place = following
+        else:
+            result = known[place]
+        known.update(dict.fromkeys(passed, result))
+        return result
+
+    def riff_chunks(self, place: int) -> tuple[int, int]:
+        """The first "fmt " and the first "data" chunk of the chunks from place on, or -1."""
+        passed, b = [], self.b
+        while place not in self._riff and place + 8 <= len(b):
+            passed.append(place)
+            size = int.from_bytes(b[place + 4 : place + 8], "little")
+            place += 8 + size + size % 2
+        fmt, data = self._riff.get(place, (-1, -1))
+        for at in reversed(passed):
+            name = b[at : at + 4]
+            fmt, data = at if name == b"fmt " else fmt, at if name == b"data" else data
+            self._riff[at] = fmt, data
+        return self._riff.get(passed[0], (fmt, data)) if passed else (fmt, data)
+
+    def png_end(self, place: int) -> int:
+        """Behind the IEND chunk that the chunks from place lead to, each with its checksum, or -1."""
+
+        def step(at):
+            if at + 12 > len(self.b):
+                return None, -1
+            end = at + 8 + int.from_bytes(self.b[at : at + 4], "big")
+            if end + 4 > len(self.b) or self.crc(at + 4, end) != int.from_bytes(self.b[end : end + 4], "big"):
+                return None, -1
+            return (None, end + 4) if self.b[at + 4 : at + 8] == b"IEND" else (end + 4, None)
+
+        return self.walked(place, step, self._png)
+
+    def gif_end(self, place: int) -> int:
+        """Behind the trailer that the blocks from place lead to, or -1."""
+        b = self.b
+
+        def block(at):
+            """Past a run of sub-blocks."""
+            if at >= len(b) or not b[at]:
+                return None, at + 1
+            return at + 1 + b[at], None
+
+        def step(at):
+            if at >= len(b):
+                return None, -1
+            if b[at] == 0x3B:
+                return None, at + 1
+            if b[at] == 0x21:
+                data = at + 2
+            elif b[at] == 0x2C and at + 10 <= len(b):
+                data = at + 11 + (3 << (b[at + 9] & 7) + 1 if b[at + 9] & 0x80 else 0)
+            else:
+                return None, -1
+            return self.walked(data, block, self._gif_data), None
+
+        return self.walked(place, step, self._gif)
 
     def zero(self, place: int) -> int:
         """The next zero byte, or -1."""
@@ -156,17 +274,13 @@ def _wav(v: Value, at: int):
     if at + 12 > len(b) or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
-    place, bits, data = at + 12, None, None
-    while place + 8 <= min(end, len(b)):
-        size = int.from_bytes(b[place + 4 : place + 8], "little")
-        if b[place : place + 4] == b"fmt ":
-            bits = int.from_bytes(b[place + 22 : place + 24], "little")
-        elif b[place : place + 4] == b"data":
-            data = (place + 8, size)
-        place += 8 + size + size % 2
-    if bits is None or data is None or sum(data) > len(b) or end > len(b):
+    if end > len(b):
+        return None
+    fmt, data = v.riff_chunks(at + 12)
+    if fmt < 0 or data < 0 or max(fmt, data) + 8 > end:
         return None
-    return end - at, data[0], data[1]
+    size = int.from_bytes(b[data + 4 : data + 8], "little")
+    return (end - at, data + 8, size) if data + 8 + size <= end else None
 
 
 def _bmp(v: Value, at: int):
@@ -196,40 +310,14 @@ def _whole(at: int, end: int):
 
 
 def _png(v: Value, at: int):
-    b, place, chunks = v.b, at + 8, []
-    if b[place : place + 8] != b"\0\0\0\x0dIHDR":
-        return None
-    while place + 12 <= len(b):
-        size = int.from_bytes(b[place : place + 4], "big")
-        if place + 12 + size > len(b):
-            return None
-        chunks.append((place + 4, place + 8 + size))
-        place += 12 + size
-        if b[chunks[-1][0] : chunks[-1][0] + 4] == b"IEND":
-            fits = all(zlib.crc32(b[x:y]) == int.from_bytes(b[y : y + 4], "big") for x, y in chunks)
-            return _whole(at, place) if fits else None
-    return None
+    return _whole(at, v.png_end(at + 8)) if v.b[at + 8 : at + 16] == b"\0\0\0\x0dIHDR" else None
 
 
 def _gif(v: Value, at: int):
     b = v.b
     if b[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(b):
         return None
-    place = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-    while place < len(b):
-        kind = b[place]
-        if kind == 0x3B:
-            return _whole(at, place + 1)
-        if kind == 0x21:
-            place += 2
-        elif kind == 0x2C and place + 10 <= len(b):
-            place += 10 + (3 << (b[place + 9] & 7) + 1 if b[place + 9] & 0x80 else 0) + 1
-        else:
-            return None
-        while place < len(b) and b[place]:
-            place += 1 + b[place]
-        place += 1
-    return None
+    return _whole(at, v.gif_end(at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)))
 
 
 def _jpeg(v: Value, at: int):
