@@ -38,8 +38,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer splits a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP = ("source", "lang", "tokenizer")
-#: Pieces whose counts a task remembers.
-MEMORY = 300_000
+#: Pieces whose counts a task remembers, and the characters of the longest.
+MEMORY, LONGEST = 300_000, 64
 
 
 @lru_cache(2)
@@ -53,9 +53,11 @@ def _encoder(path: str):
 
     class Known(dict):
         def __missing__(self, piece):
-            if len(self) >= MEMORY:
-                self.clear()
-            n = self[piece] = len(encode(piece))
+            n = len(encode(piece))
+            if len(piece) <= LONGEST:
+                if len(self) >= MEMORY:
+                    self.clear()
+                self[piece] = n
             return n
 
     return regex.compile(PATTERN).findall, Known()
