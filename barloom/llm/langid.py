@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barloom.llm._run import held_out, kept, small_batches, table, written
+from barloom.llm._run import held_out, kept, packed, small_batches, table, unpacked, written
 from barloom.llm._text import _BYTE, LETTER_WORDS, SLICE_BYTES, Words, mix, slices
 
 BUCKETS = 1 << 16
@@ -347,9 +347,10 @@ def labelled(column: pa.Array, model: Model):
 def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     """The kept columns, lang_pred, score and spans (first word, last word, lang) of each row's text."""
     spark, keep = docs.sparkSession, kept(keep, "lang_pred", "score", "spans")
+    found = packed(docs, keep, text=F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")))
     small_batches(spark)
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("lang", pa.string())]))
-    schema = StructType([docs.schema[c] for c in keep] + list(StructType.fromDDL("lang_pred string, score double, spans array<struct<first_word:long,last_word:long,lang:string>>")))
+    schema = StructType([found.schema["row"]] + list(StructType.fromDDL("lang_pred string, score double, spans array<struct<first_word:long,last_word:long,lang:string>>")))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -359,7 +360,7 @@ def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
             if mod is None:
                 lang, score, spans = ["und"] * b.num_rows, [0.0] * b.num_rows, [[]] * b.num_rows
             else:
-                for _, w, best, mass in labelled(b.column("_text"), mod):
+                for _, w, best, mass in labelled(b.column("text"), mod):
                     total = mass.sum(1)
                     top = mass.argmax(1)
                     lang += [mod.langs[j] if t > 0 else "und" for j, t in zip(top, total, strict=True)]
@@ -373,10 +374,9 @@ def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                         t = w.text[a]
                         own[t].append({"first_word": int(a - w.first[t]), "last_word": int(z - w.first[t]), "lang": mod.langs[best[a]]})
                     spans += own
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], schema.names)
 
-    found = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")).alias("_text"))
-    return found.mapInArrow(run, schema)
+    return unpacked(found.mapInArrow(run, schema), keep, "lang_pred", "score", "spans")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

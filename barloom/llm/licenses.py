@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._run import kept, table
+from barloom.llm._run import kept, packed, table, unpacked
 
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -78,7 +78,8 @@ def offsets(words: list[str], phrases: tuple[str, ...]) -> list[int]:
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, tuple[str, tuple[str, ...]]] = NOTICES, *keep: str) -> DataFrame:
     """The kept columns, n_words, places (template, first word, share in place) of docs (text), and base and all labels."""
-    keep = kept(keep, "n_words", "places")
+    given, keep = kept(keep, "n_words", "places"), ["row"]
+    docs = packed(docs, given, text=F.col("text"))
     templates = [(label, phrase.split(), ()) for phrase, label in base.items()] + [(label, text.split(), keys) for label, (text, keys) in notices.items()]
     n_base = len(base)
     often = document_frequency(docs, sorted({w for _, words, _ in templates for w in words}))
@@ -130,7 +131,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, tuple[
     enough = F.coalesce(enough, F.array().cast("array<struct<t:int,first:int,share:double,whole:boolean>>"))
     rows = rows.select(*keep, F.size("_words").cast("long").alias("n_words"), F.inline(F.array(F.struct(enough.alias("_place")))))
     found = F.transform("_place", lambda p: F.struct(F.element_at(names, p["t"] + 1).alias("label"), p["first"].cast("long").alias("first_word"), p["share"].alias("share"), (p["t"] < n_base).alias("is_base")))
-    return rows.select(*keep, "n_words", found.alias("places"))
+    return unpacked(rows.select(*keep, "n_words", found.alias("places")), given, "n_words", "places")
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._run import kept, table, written
+from barloom.llm._run import kept, packed, table, unpacked, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A longer list of rules isn't part of the plan, but a table.
@@ -134,7 +134,8 @@ def _joined(rows: DataFrame, rules: tuple[Rule, ...], index: dict[str, list[int]
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERNS, *keep: str) -> DataFrame:
     """The kept columns, host, path, rule, verdict, matched (names of all matching rules) and n_candidates of pages (url)."""
-    keep = kept(keep, "host", "path", "rule", "verdict", "matched", "n_candidates")
+    given, keep = kept(keep, "host", "path", "rule", "verdict", "matched", "n_candidates"), ["row"]
+    pages = packed(pages, given, url=F.col("url"))
     named = F.contains(F.col("url"), F.lit("://"))
     whole = F.translate(F.when(named, F.col("url")), UPPER, LOWER)  # null where no rule may look
     rows = pages.select(*keep, whole.alias("_whole"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
@@ -146,7 +147,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERNS, *ke
         rows = (_inline if len(rules) <= INLINE else _joined)(rows, rules, index, keep)
     longest = F.array_max(F.filter("_hits", lambda r: r["size"] > 0))
     blocked = F.exists("_hits", lambda r: (r["size"] == 0) & (r["verdict"] == "block"))
-    return rows.select(
+    out = rows.select(
         *keep,
         "host",
         "path",
@@ -155,6 +156,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERNS, *ke
         F.array_sort(F.transform("_hits", lambda r: r["name"])).alias("matched"),
         "n_candidates",
     )
+    return unpacked(out, given, "host", "path", "rule", "verdict", "matched", "n_candidates")
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:

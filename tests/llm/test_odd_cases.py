@@ -5,8 +5,10 @@ import random
 import struct
 import time
 import zipfile
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,10 @@ def _page(body, n, checked):
     return page[:22] + struct.pack("<I", media._crc(page, 0x04C11DB7, 32)) + page[26:] if checked else page
 
 
+#: A PNG up to its first chunk.
+PNG_HEAD = b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR" + bytes(13) + struct.pack(">I", zlib.crc32(b"IHDR" + bytes(13)))
+
+
 def _flac(frames):
     info = struct.pack(">HH", 192, 192) + bytes(6) + (44100 << 44 | 15 << 36 | 192 * frames).to_bytes(8, "big") + bytes(16)
     out = b"fLaC\0\0\0\x22" + info + b"\x84\0\0\x04abcd"
@@ -136,7 +142,7 @@ def test_containers_own_their_bytes():
     assert media.sniffed(media.bmp(b"z" * 64 + plain + bytes(-len(plain) % 64)))[4] == [("zip", 14 + 40 + 1024 + 64, len(plain))]
 
 
-@pytest.mark.parametrize("unit", [b"%PDF-", b"%PDF-1.4 ", b"%PDF-1.4 %%EOF", b"PK\x03\x04", b"PK\x03\x04PK\x05\x06", b"\xff\xd8\xff\xda\0\x04ab", b"OggS\0", b"fLaC\0\0\0\x22", b"\x1f\x8b\x08"])
+@pytest.mark.parametrize("unit", [b"%PDF-", b"%PDF-1.4 ", b"%PDF-1.4 %%EOF", b"PK\x03\x04", b"PK\x03\x04PK\x05\x06", b"\xff\xd8\xff\xda\0\x04ab", b"OggS\0", b"fLaC\0\0\0\x22", b"\x1f\x8b\x08", b"GIF89a", b"GIF89a\0\0\0\0\0\0\0,123456789", b"RIFF\x10\0\0\0WAVEfmt \0\0\0\0", b"RIFF\0\0\0\0WAVE", PNG_HEAD, PNG_HEAD + b"\0\x01\0\0", b"BM" + bytes(52), b"P5\n9 9\n255\n"])
 def test_many_false_beginnings_take_linear_time(unit):
     def took(n):
         began = time.perf_counter()
@@ -168,7 +174,7 @@ def test_variants_of_one_template(spark, monkeypatch):
 
 def test_kept_names_give_way_to_results(spark):
     docs = spark.createDataFrame([(1, "one two three", "kept", 7)], "doc_id long, text string, score string, n_words int")
-    docs = docs.select("*", *(F.lit("old").alias(c) for c in ("predicted", "lang_pred", "spans", "passages", "n_tokens", "media", "media_type", "declared", "host", "rule", "verdict")))
+    docs = docs.select("*", *(F.lit("old").alias(c) for c in ("row", "key", "_words", "_place", "_norm", "_hits", "_whole", "_text", "predicted", "lang_pred", "spans", "passages", "n_tokens", "media", "media_type", "declared", "host", "rule", "verdict")))
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     every = docs.columns
     assert [r.score for r in quality.quality(docs, labels, *every).collect()] != ["kept"]
@@ -187,3 +193,47 @@ def test_scratch_is_shared_and_cleared(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(_run, "scratch", lambda spark: f"{tmp_path}/shared/{len(_run._MADE)}")
     assert _run.written(spark.range(3)).count() == 3 and len(list((tmp_path / "shared").iterdir())) == 1
     assert _run.cleared(spark) == 1 and not list((tmp_path / "shared").iterdir())
+
+
+def test_chunked_formats_end_where_their_chunks_lead():
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    png = PNG_HEAD + chunk(b"IDAT", bytes(range(256)) * 200) + chunk(b"IDAT", b"ab") + chunk(b"IEND", b"")
+    assert media.sniffed(png + b"rest")[:2] == ("png", len(png))
+    assert media.sniffed(png[:20_000] + b"?" + png[20_001:])[0] is None and media.sniffed(png[:-1])[0] is None
+    block = b"\x05abcde\0"
+    gif = b"GIF89a\x01\0\x01\0\x80\0\0" + bytes(6) + b"!\xfe" + block + b",\0\0\0\0\x01\0\x01\0\0\x02" + block + b";"
+    assert media.sniffed(gif + b"rest")[:2] == ("gif", len(gif)) and media.sniffed(gif[:-1])[0] is None
+    odd = b"RIFF" + struct.pack("<I", 4 + 8 + 16 + 8 + 4 + 8 + 3 + 1) + b"WAVEfmt " + struct.pack("<I", 16) + bytes(16) + b"LIST\x04\0\0\0abcd" + b"data\x03\0\0\0xyz\0"
+    assert media.sniffed(odd + b"rest")[:4] == ("wav", len(odd), len(odd) - 4, 3) and media.sniffed(odd[:-1])[0] is None
+    rng = random.Random(3)
+    b = rng.randbytes(60_000)
+    for _ in range(40):
+        x, y = sorted(rng.randrange(len(b)) for _ in range(2))
+        assert media.Value(b).crc(x, y) == zlib.crc32(b[x:y])
+
+
+def test_segments_of_a_long_text_take_linear_time():
+    rng = np.random.RandomState(4)
+    s = np.where(rng.rand(2_000_000) < 0.1, rng.rand(2_000_000) * 3, -rng.rand(2_000_000))
+    began = time.perf_counter()
+    for a in (s, np.abs(s) * np.where(np.arange(len(s)) % 3, -0.4, 1.0)):
+        total = np.concatenate([[0], a.cumsum()])
+        win = np.flatnonzero(a > 0)
+        assert toxicity.segments(win, a[win], total[win])
+    assert time.perf_counter() - began < 30
+
+
+def test_a_repeated_labelled_id_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, "the same text")] * 3000 + [(1, f"other {i}") for i in range(300)] + [(i, "") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    rows = _run.labelled(docs, labels, "quality", 10_000, 1 << 30).collect()
+    assert len(rows) == len({(r.doc_id, r.text) for r in rows}) and sum(r.doc_id == 1 for r in rows) in (0, 301)
+    for most, size in ((100, 1 << 30), (10_000, 900)):
+        few = _run.labelled(docs, labels, "quality", most, size).collect()
+        assert len(few) <= 2 * most and sum(len(r.text) for r in few) <= 2 * size + 100
+
+
+def test_long_pieces_are_not_remembered():
+    split, known = tokencounts._encoder(tokencounts.TOKENIZER)
+    known.clear()
+    assert known["x" * 5000] > 100 and len(known) == 0 and known["word"] >= 1 and len(known) == 1
