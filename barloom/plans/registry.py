@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("bars", "quality", "state", "models", "news", "alerts", "universe", "stored", "reads", "backtest", "forecasters")
+MODULES: tuple[str, ...] = ("bars", "quality", "state", "models", "news", "alerts", "universe", "stored", "reads", "backtest", "forecasters", "folds")
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def registered_sql(name: str) -> str:
+    """The SQL of a query of a module that is loaded already, to build on."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f"barloom.plans.{m}")
