@@ -70,11 +70,16 @@ def identical(folds: DataFrame, key: tuple[str, ...] = ("asset",)) -> DataFrame:
     return series.groupBy(*key, "_s").agg(F.array_sort(F.collect_list("model")).alias("models")).where(F.size("models") > 1).drop("_s")
 
 
-def probe_points(series: DataFrame, most: int = 25, warmup: int = 400, key: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """Evenly spaced positions (key, at) of series (key, n) at which look-ahead is probed: at most `most`, after the warm-up."""
-    room = F.col("n") - warmup
-    step = F.greatest(F.lit(1), F.floor(room / most))
-    return series.where(room > 0).select(*key, F.explode(F.slice(F.sequence(F.lit(warmup).cast("long"), F.col("n") - 1, step.cast("long")), 1, most)).alias("at"))
+def probe_points(series: DataFrame, horizon: int, most: int = 25, warmup: int = 400, key: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """At most `most` positions (key, probe, at) of series (key, n) at which look-ahead is probed: spread evenly from the warm-up to a horizon before the last bar.
+
+    A series that is too short for that is probed over its second half.
+    """
+    whole = F.col("n") - horizon - 1 > warmup
+    df = series.withColumn("_from", F.when(whole, warmup).otherwise(F.greatest(F.lit(1), F.floor(F.col("n") / 2)))).withColumn("_to", F.when(whole, F.col("n") - horizon - 1).otherwise(F.col("n") - 1))
+    df = df.where("_to > _from").withColumn("_c", F.least(F.lit(most), F.col("_to") - F.col("_from")))
+    df = df.select(*key, "_from", ((F.col("_to") - F.col("_from")) / F.col("_c")).alias("_step"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c").cast("long") - 1)).alias("probe"))
+    return df.select(*key, F.col("probe").cast("int").alias("probe"), F.floor(F.col("_from") + F.col("probe") * F.col("_step")).alias("at"))
 
 
 def prediction_distance(a: Column, b: Column, confidence_a: Column, confidence_b: Column) -> Column:

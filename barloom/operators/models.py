@@ -169,8 +169,8 @@ def technical(features: DataFrame) -> DataFrame:
     return features.withColumn("p", F.when(some, from_edge(edge * 0.5)).otherwise(uniform())).withColumn("confidence", F.when(some, sure).otherwise(0.0))
 
 
-def cross_asset(ctx: DataFrame, horizon: int, key=KEY) -> DataFrame:
-    """The median move of the other assets at the same time against the own one.
+def cross_asset(ctx: DataFrame, horizon: int, key=KEY, moment: tuple[str, ...] = ("timeframe", "open_time")) -> DataFrame:
+    """The median move of the other assets at the same moment against the own one.
 
     A moment's moves are sorted once; without an asset's own one their median lies among
     the few in the middle, which are all that its rows get.
@@ -178,7 +178,6 @@ def cross_asset(ctx: DataFrame, horizon: int, key=KEY) -> DataFrame:
     order = Window.partitionBy(*key).orderBy("open_time")
     old = F.lag("close", horizon).over(order)
     df = ctx.withColumn("_own", F.when(old > 0, (F.col("close") - old) / old * 100))
-    moment = ("timeframe", "open_time")
     every = df.where("_own IS NOT NULL").groupBy(*moment).agg(F.array_sort(F.collect_list(F.struct(F.col("_own").alias("x"), "asset"))).alias("_all"))
     first = F.greatest(F.lit(0), F.floor(F.size("_all") / 2).cast("int") - 1)
     every = every.select(*moment, F.size("_all").alias("_n"), first.alias("_a"), F.slice("_all", first + 1, 3).alias("_mid"))
@@ -246,23 +245,26 @@ def similarity_model(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("p", F.when(some, from_edge(edge * 0.6)).otherwise(uniform())).withColumn("confidence", F.when(some, 0.20 + F.least(F.lit(0.35), F.col("n") / 400)).otherwise(0.0))
 
 
-def walk_forward(bars: DataFrame, horizon: int, warmup: int = WARMUP, key=KEY, timeframe: str = "1h") -> DataFrame:
-    """One row a model and evaluation point of bars of one timeframe: key, as_of, model, p, confidence, threshold, realised, truth, regime."""
+def forecasters(bars: DataFrame, ctx: DataFrame, keep: Column, horizon: int, key=KEY, timeframe: str = "1h", moment: tuple[str, ...] = ("timeframe", "open_time")) -> dict[str, DataFrame]:
+    """Of each forecaster that reads bars, what it says where `keep` holds: the columns of ctx (contexts of bars), p and confidence."""
     from barloom.operators.indicators import recursive, windowed
 
-    ctx = coarse_regime(contexts(bars, horizon, key), key=key).withColumn("regime", F.col("regime"))
-    keep = (F.col("bar") >= warmup) & ((F.col("bar") - warmup) % horizon == 0)
-    feats = recursive(windowed(ctx, timeframe, key), key)
-    parts = {
+    return {
         "baseline_climatology": climatology(bars, ctx.where(keep), horizon, key),
         "baseline_persistence": persistence(ctx, horizon, key).where(keep),
         "baseline_uniform": ctx.where(keep).withColumn("p", uniform()).withColumn("confidence", F.lit(0.0)),
-        "technical": technical(feats).where(keep),
+        "technical": technical(recursive(windowed(ctx, timeframe, key), key)).where(keep),
         "timeseries": timeseries(ctx, horizon, key).where(keep),
-        "crossasset": cross_asset(ctx, horizon, key).where(keep),
+        "crossasset": cross_asset(ctx, horizon, key, moment).where(keep),
     }
+
+
+def walk_forward(bars: DataFrame, horizon: int, warmup: int = WARMUP, key=KEY, timeframe: str = "1h") -> DataFrame:
+    """One row a model and evaluation point of bars of one timeframe: key, as_of, model, p, confidence, threshold, realised, truth, regime."""
+    ctx = coarse_regime(contexts(bars, horizon, key), key=key).withColumn("regime", F.col("regime"))
+    keep = (F.col("bar") >= warmup) & ((F.col("bar") - warmup) % horizon == 0)
     out = None
-    for name, df in parts.items():
+    for name, df in forecasters(bars, ctx, keep, horizon, key, timeframe).items():
         part = df.where("realised IS NOT NULL").select(*key, F.col("open_time").alias("as_of"), F.lit(name).alias("model"), "p", F.col("confidence").cast("double").alias("confidence"), "threshold", "realised", "regime", "typical")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("truth", outcome(F.col("realised"), F.col("threshold")))

@@ -226,7 +226,7 @@ def chains(detections: DataFrame, length: int = 2, within: int = 12, key=KEY) ->
     return steps.where(close).select(*key, F.array(*(F.col(f"k{i}") for i in reversed(range(length)))).alias("chain"), "bar")
 
 
-def chain_statistics(bars: DataFrame, detections: DataFrame, lengths: tuple[int, ...] = (2, 3), horizons: tuple[int, ...] = (12, 48), within: int = 12, least: int = 20, key=KEY) -> DataFrame:
+def chain_statistics(bars: DataFrame, detections: DataFrame, lengths: tuple[int, ...] = (2, 3), horizons: tuple[int, ...] = (12, 48), within: int = 12, least: int = 25, key=KEY) -> DataFrame:
     """Of each series, chain and horizon: how often the close was higher after thinned occurrences than after any moment, tested over all chains of the series.
 
     detections has key, bar and kind. A chain is tested if it occurred `least` times and five thinned occurrences have an outcome.

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from barloom.functions.numbers import rounded
 from barloom.operators import backtest as b
 from barloom.operators import evaluation as e
+from barloom.operators import probe
+from barloom.plans.models import H
 from barloom.plans.registry import query
 from barloom.plans.sql import bars as sql_bars
 from barloom.plans.stored import _FC, _p, forecasts
@@ -53,9 +55,28 @@ def fold_table(spark, sf):
     return b.fold_table(n, 6, warmup=100, rolling=True)
 
 
-@query("probe_points", f"WITH {sql_bars()}, s AS (SELECT asset, count(*) AS n FROM bars GROUP BY 1), p AS (SELECT asset, unnest(range(400, n, greatest(1, (n - 400) // 25))) AS pos FROM s WHERE n > 400) SELECT asset, pos AS \"at\" FROM p QUALIFY row_number() OVER (PARTITION BY asset ORDER BY pos) <= 25")
+#: Points from bar 400 to a horizon before the last; of a short series over its second half.
+_SPREAD = """sn AS (SELECT asset, count(*) AS n FROM bars GROUP BY 1), sr AS (SELECT asset, n, CASE WHEN n - 7 > 400 THEN 400 ELSE greatest(1, n // 2) END AS a, CASE WHEN n - 7 > 400 THEN n - 7 ELSE n - 1 END AS z FROM sn),
+  sp AS (SELECT *, least(25, z - a) AS c, unnest(range(0, least(25, z - a))) AS probe FROM sr WHERE z > a), pp AS (SELECT asset, probe, n, floor(a + probe * ((z - a)::DOUBLE / c))::BIGINT AS pos FROM sp)"""
+
+
+@query("probe_points", f"WITH {sql_bars()}, {_SPREAD} SELECT asset, probe::INT AS probe, pos AS \"at\" FROM pp")
 def probe_points(spark, sf):
-    return b.probe_points(event_bars(spark, sf).groupBy("asset").agg(F.count("*").alias("n")))
+    return b.probe_points(event_bars(spark, sf).groupBy("asset").agg(F.count("*").alias("n")), H)
+
+
+@query(
+    "forecaster_probe",
+    f"""WITH {sql_bars()}, {_SPREAD}, o AS (SELECT asset, open_time, row_number() OVER (PARTITION BY asset ORDER BY open_time) - 1 AS pos FROM bars), t AS (SELECT o.open_time FROM pp JOIN o USING (asset, pos) WHERE asset = (SELECT asset FROM sn ORDER BY n DESC, asset LIMIT 1)),
+    m(model) AS (VALUES ('baseline_climatology'), ('baseline_persistence'), ('baseline_uniform'), ('technical'), ('timeseries'), ('crossasset'), ('technical of stored features'))
+    SELECT model, count(*) AS points, 0::BIGINT AS leaks, CASE WHEN model = 'baseline_uniform' THEN 'inconclusive' ELSE 'clean' END AS verdict FROM m, t JOIN bars USING (open_time) GROUP BY 1""",
+)
+def forecaster_probe(spark, sf):
+    """Every forecaster that reads bars, and the technical one on stored features, against corrupted futures and pasts. None may see ahead, and all but the uniform one must respond."""
+    bars = event_bars(spark, sf)
+    times = probe.probe_times(bars, H)
+    said = probe.bar_forecasts(bars, times, H).unionByName(probe.feature_forecasts(bars, times))
+    return b.leak_verdict(probe.responses(said)).select("model", "points", "leaks", "verdict")
 
 
 _BARE = "b AS (SELECT asset, open_time, close, row_number() OVER (PARTITION BY asset ORDER BY open_time) - 1 AS bar FROM bars)"

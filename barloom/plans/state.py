@@ -149,7 +149,7 @@ def regime_labels(spark, sf):
     "chain_statistics",
     f"""WITH RECURSIVE {sql_bars()}, b AS (SELECT asset, close, volume, row_number() OVER w - 1 AS bar, lag(close) OVER w AS last, lead(close, 6) OVER w AS e6, lead(close, 12) OVER w AS e12 FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time)),
     d AS (SELECT asset, bar, CASE WHEN close > 1.5 * last THEN 'jump' WHEN close * 1.5 < last THEN 'fall' WHEN volume >= 5 THEN 'busy' END AS kind FROM b), g AS (SELECT asset, bar, kind, lag(kind) OVER w AS k1, lag(bar) OVER w AS b1, lag(kind, 2) OVER w AS k2, lag(bar, 2) OVER w AS b2 FROM d WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY asset ORDER BY bar)),
-    c AS (SELECT asset, bar, k1 || '>' || kind AS chain FROM g WHERE bar - b1 <= 6 UNION ALL SELECT asset, bar, k2 || '>' || k1 || '>' || kind FROM g WHERE bar - b1 <= 6 AND b1 - b2 <= 6), f AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY asset, chain) >= 20),
+    c AS (SELECT asset, bar, k1 || '>' || kind AS chain FROM g WHERE bar - b1 <= 6 UNION ALL SELECT asset, bar, k2 || '>' || k1 || '>' || kind FROM g WHERE bar - b1 <= 6 AND b1 - b2 <= 6), f AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY asset, chain) >= 25),
     o AS (SELECT f.asset, chain, h, f.bar, (CASE h WHEN 6 THEN e6 ELSE e12 END - close) / close * 100 AS ret, row_number() OVER (PARTITION BY f.asset, chain, h ORDER BY f.bar) AS k FROM f JOIN b USING (asset, bar), (VALUES (6), (12)) v(h) WHERE CASE h WHEN 6 THEN e6 ELSE e12 END IS NOT NULL),
     r AS (SELECT asset, chain, h, k, bar AS last, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.asset, o.chain, o.h, o.k, CASE WHEN o.bar - r.last >= o.h THEN o.bar ELSE r.last END, o.bar - r.last >= o.h FROM r JOIN o ON o.asset = r.asset AND o.chain = r.chain AND o.h = r.h AND o.k = r.k + 1),
     m AS (SELECT asset, h, count(*) AS bn, count(*) FILTER (CASE h WHEN 6 THEN e6 ELSE e12 END > close) AS bs FROM b, (VALUES (6), (12)) v(h) WHERE bar % h = 0 AND CASE h WHEN 6 THEN e6 ELSE e12 END IS NOT NULL GROUP BY 1, 2),
