@@ -8,12 +8,15 @@ same step runs in batch and as a stream's state.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numbers import mad_scale
+from barloom.operators.records import directional_faults
 
 KEY = ("asset", "source", "timeframe")
 #: Severities, their default by kind, and the budget's limits.
@@ -24,12 +27,13 @@ SEVERITY = {
 }
 LIMITS = {"per_hour": 6, "per_day": 30, "cooldown_h": 4, "repeat_h": 12, "reserve_hour": 2, "reserve_day": 8, "digest_h": 6}
 ALERT = "asset string, timeframe string, at timestamp_ntz, kind string, level int, title string, value double"
+ALERT_COLUMNS = ("asset", "timeframe", "at", "kind", "level", "title", "value")
 
 
-def _alert(df: DataFrame, when: Column, kind: Column | str, title: Column, value: Column, timeframe: Column | None = None) -> DataFrame:
+def _alert(df: DataFrame, when: Column, kind: Column | str, title: Column, value: Column, timeframe: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     k = F.lit(kind) if isinstance(kind, str) else kind
     levels = F.create_map(*(F.lit(x) for p in SEVERITY.items() for x in p))
-    return df.where(when).select("asset", (F.lit(None).cast("string") if timeframe is None else timeframe).alias("timeframe"), F.col("at").cast("timestamp_ntz").alias("at"), k.alias("kind"), levels[k].alias("level"), title.alias("title"), value.cast("double").alias("value"))
+    return df.where(when).select("asset", (F.lit(None).cast("string") if timeframe is None else timeframe).alias("timeframe"), F.col("at").cast("timestamp_ntz").alias("at"), k.alias("kind"), levels[k].alias("level"), title.alias("title"), value.cast("double").alias("value"), *(c for c in carry if c in df.columns))
 
 
 def volume_rule(bars: DataFrame, threshold: float = 3.5, key=KEY) -> DataFrame:
@@ -96,9 +100,10 @@ def news_rule(events: DataFrame, least: float = 0.75) -> DataFrame:
 
 
 def prediction_rules(panel: DataFrame) -> DataFrame:
-    """panel (asset, at, published, passed): strong predictions for what is published, and super-predictions where the gate passed too."""
-    strong = _alert(panel, F.col("published"), "strong_prediction", F.concat(F.lit("prediction for "), "asset"), F.lit(None))
-    return strong.unionByName(_alert(panel, F.col("published") & F.coalesce("passed", F.lit(False)), "super_prediction", F.concat(F.lit("super prediction for "), "asset"), F.lit(None)))
+    """panel (asset, at, published, passed, confidence, invalidation): strong predictions for what is published, and super-predictions where the gate passed too."""
+    carry = ("confidence", "invalidation")
+    strong = _alert(panel, F.col("published"), "strong_prediction", F.concat(F.lit("prediction for "), "asset"), F.lit(None), carry=carry)
+    return strong.unionByName(_alert(panel, F.col("published") & F.coalesce("passed", F.lit(False)), "super_prediction", F.concat(F.lit("super prediction for "), "asset"), F.lit(None), carry=carry))
 
 
 def invalidation_rule(open_calls: DataFrame) -> DataFrame:
@@ -121,10 +126,11 @@ class Budget:
         self.scopes: dict = dict(s.get("scopes", {}))
         self.keys: dict = dict(s.get("keys", {}))
         self.held: Counter = Counter(s.get("held", {}))
+        self.kinds: Counter = Counter(s.get("kinds", {}))
         self.last_digest = s.get("last_digest")
 
     def state(self) -> dict:
-        return {"sent": self.sent, "scopes": self.scopes, "keys": self.keys, "held": dict(self.held), "last_digest": self.last_digest}
+        return {"sent": self.sent, "scopes": self.scopes, "keys": self.keys, "held": dict(self.held), "kinds": dict(self.kinds), "last_digest": self.last_digest}
 
     def admit(self, at: float, kind: str, asset: str, level: int, key: str) -> str:
         """Why the alert is held, or an empty text if it is sent. at: seconds."""
@@ -148,18 +154,26 @@ class Budget:
                     break
         if why:
             self.held[why] += 1
+            self.kinds[kind] += 1
         else:
             self.sent.append((at, level))
             self.scopes[scope] = self.keys[key] = at
         return why
 
-    def digest(self, at: float) -> str:
-        """What was held since the last digest, at most one each digest_h hours; empty if nothing is due."""
+    def digest(self, at: float) -> tuple[int, str] | None:
+        """How many alerts were held since the last digest, and of what: at most one each digest_h hours. Sent whatever the budget, and counted by it."""
         if not self.held or (self.last_digest is not None and at - self.last_digest < self.limits["digest_h"] * 3600):
-            return ""
-        text = ", ".join(f"{n} {why}" for why, n in self.held.most_common())
-        self.held, self.last_digest = Counter(), at
-        return text
+            return None
+        most = lambda c, n: sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]
+        text = ", ".join(f"{n} {why}" for why, n in most(self.held, None)) + "; most held: " + ", ".join(f"{kind} x{n}" for kind, n in most(self.kinds, 5))
+        total = sum(self.held.values())
+        self.held, self.kinds, self.last_digest = Counter(), Counter(), at
+        self.sent.append((at, LEVELS["info"]))
+        return total, text
+
+    def moment(self, at: float, alerts: list[tuple[str, str, int, str]]) -> tuple[list[str], tuple[int, str] | None]:
+        """Why each of a moment's alerts (kind, asset, level, key), most severe first, is held, and the digest that is then due."""
+        return [self.admit(at, *x) for x in alerts], self.digest(at)
 
 
 def capacity(alerts: DataFrame, limits: dict | None = None) -> DataFrame:
@@ -171,25 +185,58 @@ def capacity(alerts: DataFrame, limits: dict | None = None) -> DataFrame:
     return sent.withColumn("hour_left", left(m["per_hour"], 3600)).withColumn("day_left", left(m["per_day"], 86400)).drop("_s")
 
 
-def digests(admitted: DataFrame, every_h: int = 6) -> DataFrame:
-    """What a recipient was spared: of each stretch of so many hours in which alerts were held, one digest alert that counts them by reason."""
-    stretch = F.window(F.col("at").cast("timestamp"), f"{every_h} hours")
-    by = admitted.where("held <> ''").groupBy("recipient", stretch.alias("_w"), "held").agg(F.count("*").alias("n"))
-    g = by.groupBy("recipient", "_w").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "held"))).alias("_r"))
-    reasons = F.array_join(F.transform("_r", lambda x: F.concat((-x["o"]).cast("string"), F.lit(" "), x["held"])), ", ")
-    return g.select("recipient", F.lit("SYSTEM").alias("asset"), F.col("_w.end").cast("timestamp_ntz").alias("at"), F.lit("suppression_digest").alias("kind"), F.lit(SEVERITY["suppression_digest"]).alias("level"), F.concat(F.col("n").cast("string"), F.lit(" alerts suppressed: "), reasons).alias("title"), F.col("n").cast("double").alias("value"))
+def folded(rows: pd.DataFrame, budget: Budget, columns: list[str], recipient: str = "recipient") -> pd.DataFrame:
+    """One recipient's alerts, moment by moment, through the budget: the columns and held, digests among them."""
+    rows = rows.sort_values(["at", "level", "_key"], ascending=[True, False, True], ignore_index=True)
+    seconds = (rows["at"] - pd.Timestamp("1970-01-01")).dt.total_seconds()
+    held, said = [], []
+    for at, group in rows.groupby(seconds, sort=True):
+        why, digest = budget.moment(float(at), [(k, a, int(v), d) for k, a, v, d in zip(group.kind, group.asset, group.level, group._key, strict=True)])
+        held += why
+        if digest:
+            own = {recipient: group[recipient].iloc[0], "at": group["at"].iloc[0], "asset": "SYSTEM", "kind": "suppression_digest", "level": SEVERITY["suppression_digest"], "title": f"{digest[0]} alerts suppressed: {digest[1]}", "value": float(digest[0]), "held": ""}
+            said.append([own.get(c) for c in (*columns, "held")])
+    rows["held"] = held
+    out = rows[[*columns, "held"]]
+    return pd.concat([out, pd.DataFrame(said, columns=out.columns).astype(out.dtypes.to_dict())], ignore_index=True) if said else out
 
 
 def admit(alerts: DataFrame, recipient: str = "recipient", limits: dict | None = None) -> DataFrame:
-    """alerts with held: why each isn't sent, empty if it is. Alerts of one moment go by severity; one group a recipient."""
-    cols = alerts.columns
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "level", "_key"], ascending=[True, False, True], ignore_index=True)
-        b = Budget(limits)
-        seconds = (pdf["at"] - pd.Timestamp("1970-01-01")).dt.total_seconds()
-        pdf["held"] = [b.admit(t, k, a, int(v), d) for t, k, a, v, d in zip(seconds, pdf.kind, pdf.asset, pdf.level, pdf._key, strict=True)]
-        return pdf[[*cols, "held"]]
+    """alerts with held: why each isn't sent, empty if it is; and the digests that tell a recipient of what was held.
 
+    A recipient's alerts of one moment go by severity, then a digest if one is due. One group a recipient.
+    """
+    cols = alerts.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema) + ", held string"
-    return alerts.withColumn("_key", dedup_key()).groupBy(recipient).applyInPandas(fold, schema)
+    return alerts.withColumn("_key", dedup_key()).groupBy(recipient).applyInPandas(lambda pdf: folded(pdf, Budget(limits), cols, recipient), schema)
+
+
+def raised(rules: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """The alerts of all rules in one plan, with the rule's name, and (rule, error) of each that can't be planned over its inputs: one broken rule doesn't silence the others."""
+    out, rejected = None, []
+    for name, rule in rules.items():
+        try:
+            part = rule()
+            said = {c: F.col(c) if c in part.columns else F.lit(None) for c in ("confidence", "invalidation")}
+            part = part.select(*ALERT_COLUMNS, said["confidence"].cast("double").alias("confidence"), said["invalidation"].cast("array<string>").alias("invalidation"), F.lit(name).alias("rule"))
+        except AnalysisException as e:
+            rejected.append((name, e.getCondition() or "failed"))
+            continue
+        out = part if out is None else out.unionByName(part)
+    return out, rejected
+
+
+def run(rules: dict[str, Callable[[], DataFrame]], recipient: Column, spark: SparkSession, limits: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """One run of the engine: the rules' alerts, admitted within each recipient's budget with digests, and what was rejected (rule, asset, at, error).
+
+    Alerts without an asset, a moment, a title or a known kind are rejected themselves, and directional ones without confidence or invalidation.
+    """
+    alerts, broken = raised(rules)
+    whole = spark.createDataFrame([(r, None, None, e) for r, e in broken], "rule string, asset string, at timestamp_ntz, error string")
+    if alerts is None:
+        return spark.createDataFrame([], f"recipient string, {ALERT}, rule string, held string"), whole
+    fault = F.when(F.col("asset").isNull(), "no asset").when(F.col("at").isNull(), "no moment").when(F.coalesce(F.trim("title"), F.lit("")) == "", "no title").when(F.col("level").isNull(), "unknown kind").otherwise(F.col("fault"))
+    alerts = directional_faults(alerts)
+    sound = alerts.where(fault.isNull()).select(recipient.alias("recipient"), *ALERT_COLUMNS, "rule")
+    faulty = alerts.select("rule", "asset", "at", fault.alias("error")).where("error IS NOT NULL")
+    return admit(sound, limits=limits), whole.unionByName(faulty)

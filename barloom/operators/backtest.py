@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.evaluation import BASELINE, paired_p
 from barloom.operators.patterns import benjamini_hochberg
+from barloom.sources.tables import stored
 
 #: Fixed value: a skill over climatology that no sound model has.
 IMPLAUSIBLE = 0.25
@@ -56,6 +57,39 @@ def fold_scores(scores: DataFrame, key: tuple[str, ...] = ("asset",), baseline:
     return g.withColumn("beats_baseline", (F.col("n") >= 30) & (F.col("skill") > 0.01) & F.col("significant"))
 
 
+def fold_run(forecasts: DataFrame, independence: DataFrame, horizon: int, k: int = 5, warmup: int = 400, least: int = 50, rolling: bool = False, excluded: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Each fold of each asset by itself: weights and curves fitted on its training rows only, models and ensemble scored on its test rows.
+
+    forecasts: POINT, model, regime, p, confidence, threshold, close, data_quality, truth. excluded has the models that leak.
+    Gives weights (asset, fold, model, slice), records (the same), scores of the test rows, the ensemble's points, and a summary
+    (asset, fold). A training row belongs to as many folds as train on it, so all folds are one plan.
+    """
+    from barloom.operators import ensemble
+    from barloom.operators.evaluation import SCOPE, against_baseline, scored
+
+    rows = scored(forecasts if excluded is None else forecasts.join(excluded.select("model"), "model", "left_anti"))
+    by, w = ("asset", "fold"), Window.partitionBy("asset")
+    times = rows.select("asset", "as_of").distinct().withColumn("_at", F.row_number().over(w.orderBy("as_of")) - 1)
+    folds = fold_table(times.groupBy("asset").agg(F.count("*").alias("n")), horizon, k, warmup, least, rolling)
+    placed = stored(rows.join(times, ["asset", "as_of"]).join(folds, "asset"))  # read by every fit and score below
+    train = placed.where((F.col("_at") >= F.greatest(F.col("train_start"), F.lit(warmup))) & (F.col("_at") < F.col("train_end"))).select(*rows.columns, "fold")
+    test = placed.where((F.col("_at") >= F.col("test_start")) & (F.col("_at") < F.col("test_end"))).select(*rows.columns, "fold")
+    on = (*SCOPE, "as_of", "fold")
+    weights = stored(ensemble.skill_weights(against_baseline(train, on=on, key=by), by))
+    records = stored(ensemble.calibration_records(train, by=by))
+    points = stored(ensemble.panel(test, weights, records, independence, by=by))
+    count = lambda df, name: df.groupBy(*by).agg(F.countDistinct("as_of").alias(name))
+    earned = weights.where("weight > 0").groupBy(*by).agg(F.countDistinct("model").alias("skilled"))
+    fits = records.groupBy(*by).agg(F.count(F.when(F.col("holdout") > 0, 1)).alias("fitted"), F.count(F.when(F.col("improved"), 1)).alias("usable"))
+    said = points.groupBy(*by).agg(F.count(F.when(F.col("published"), 1)).alias("published"), F.count(F.when(F.col("factors.calibration") == 0, 1)).alias("_not"))
+    out = folds.select(*by)
+    for part in (count(train, "train_points"), count(test, "test_points"), earned, fits, said):
+        out = out.join(part, list(by), "left")
+    names = ("train_points", "test_points", "skilled", "fitted", "usable", "published")
+    out = out.select(*by, *(F.coalesce(n, F.lit(0)).alias(n) for n in names), F.when(F.coalesce("usable", F.lit(0)) > 0, F.coalesce("_not", F.lit(0))).otherwise(0).alias("not_applicable"))
+    return {"weights": weights, "records": records, "scores": against_baseline(test, on=on, key=by), "points": points, "summary": out}
+
+
 def stability(folds: DataFrame, key: tuple[str, ...] = ("asset",)) -> DataFrame:
     """Of each model over a key's folds: mean and spread of the pooled skill, in how many folds it passes in some slice, whether in every one, and whether its best skill is implausible."""
     n = folds.groupBy(*key).agg(F.countDistinct("fold").alias("folds"))

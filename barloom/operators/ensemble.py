@@ -29,9 +29,9 @@ def sliced(forecasts: DataFrame, by: str = "regime") -> DataFrame:
     return forecasts.withColumn("slice", F.explode(F.array(F.lit("all"), F.col(by))))
 
 
-def skill_weights(report: DataFrame) -> DataFrame:
-    """model, slice, weight and samples of each slice of an evaluation (model, slice, n, skill, beats_baseline); weight is null where the slice failed its gate."""
-    return report.select("model", "slice", F.when(F.col("beats_baseline") & (F.col("skill") >= 0.01), F.round("skill", 5)).alias("weight"), F.col("n").alias("samples"))
+def skill_weights(report: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """model, slice, weight and samples of each slice of an evaluation (by, model, slice, n, skill, beats_baseline); weight is null where the slice failed its gate."""
+    return report.select(*by, "model", "slice", F.when(F.col("beats_baseline") & (F.col("skill") >= 0.01), F.round("skill", 5)).alias("weight"), F.col("n").alias("samples"))
 
 
 def _mapped(p: Column, curves: Column) -> Column:
@@ -41,28 +41,28 @@ def _mapped(p: Column, curves: Column) -> Column:
     return let(q, shares)
 
 
-def calibration_records(forecasts: DataFrame, least: int = FIT_ROWS, gain: float = FIT_GAIN) -> DataFrame:
-    """Of each model and slice: rows, error of the held-out rest before and after the curves fitted on the first FIT_SHARE, whether they are kept, up to when they know.
+def calibration_records(forecasts: DataFrame, least: int = FIT_ROWS, gain: float = FIT_GAIN, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of each model and slice, of each `by`: rows, error of the held-out rest before and after the curves fitted on the first FIT_SHARE, whether they are kept, up to when they know.
 
     forecasts: model, regime, asset, as_of, p, confidence, truth; abstentions (no confidence) are left out.
     """
-    rows = sliced(forecasts.where("confidence > 0")).select("model", "slice", "asset", "as_of", "p", "truth")
-    times = rows.groupBy("model", "slice", "as_of").agg(F.count("*").alias("_m"))
-    order = Window.partitionBy("model", "slice").orderBy("as_of")
-    times = times.select("model", "slice", "as_of", (F.sum("_m").over(order) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy("model", "slice")).alias("n"))
-    at = F.col("_before") + F.row_number().over(Window.partitionBy("model", "slice", "as_of").orderBy("asset")) - 1
-    rows = rows.join(times, ["model", "slice", "as_of"]).withColumn("_at", at).withColumn("_cut", F.greatest(F.lit(1), F.floor(F.col("n") * FIT_SHARE)))
+    key = (*by, "model", "slice")
+    rows = sliced(forecasts.where("confidence > 0")).select(*dict.fromkeys((*key, "asset")), "as_of", "p", "truth")
+    times = rows.groupBy(*key, "as_of").agg(F.count("*").alias("_m"))
+    order = Window.partitionBy(*key).orderBy("as_of")
+    times = times.select(*key, "as_of", (F.sum("_m").over(order) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy(*key)).alias("n"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(*key, "as_of").orderBy("asset")) - 1
+    rows = rows.join(times, [*key, "as_of"]).withColumn("_at", at).withColumn("_cut", F.greatest(F.lit(1), F.floor(F.col("n") * FIT_SHARE)))
     # What a model states repeats: from here on one row a slice, side of the cut, statement and truth.
-    rows = rows.groupBy("model", "slice", "n", "_cut", (F.col("_at") < F.col("_cut")).alias("_fits"), "p", "truth").agg(F.count("*").alias("_rows"), F.max("as_of").alias("as_of"))
+    rows = rows.groupBy(*key, "n", "_cut", (F.col("_at") < F.col("_cut")).alias("_fits"), "p", "truth").agg(F.count("*").alias("_rows"), F.max("as_of").alias("as_of"))
     fit, rest = rows.where("_fits"), rows.where("NOT _fits")
-    sizes = rows.groupBy("model", "slice").agg(F.first("n").alias("samples"), F.coalesce(F.sum(F.when(~F.col("_fits"), F.col("_rows"))), F.lit(0)).alias("holdout"), F.max(F.when(F.col("_fits"), F.col("as_of"))).alias("fitted_through"))
+    sizes = rows.groupBy(*key).agg(F.first("n").alias("samples"), F.coalesce(F.sum(F.when(~F.col("_fits"), F.col("_rows"))), F.lit(0)).alias("holdout"), F.max(F.when(F.col("_fits"), F.col("as_of"))).alias("fitted_through"))
     sizes = sizes.withColumn("_ok", (F.col("samples") >= least) & (F.col("holdout") >= HOLD_ROWS))
-    enough = sizes.where("_ok").select("model", "slice")
+    enough = sizes.where("_ok").select(*key)
     # A curve needs ten pairs and two different statements to have a shape.
-    curves = isotonic(fit.join(enough, ["model", "slice"], "left_semi"), weight="_rows").where("size(xs) >= 2")
-    wide = curves.groupBy("model", "slice").agg(F.map_from_entries(F.collect_list(F.struct("outcome", F.struct("xs", "ys")))).alias("curves"))
-    judged = rest.join(enough, ["model", "slice"], "left_semi").join(wide, ["model", "slice"], "left")
-    key = ("model", "slice")
+    curves = isotonic(fit.join(enough, list(key), "left_semi"), key, "_rows").where("size(xs) >= 2")
+    wide = curves.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("outcome", F.struct("xs", "ys")))).alias("curves"))
+    judged = rest.join(enough, list(key), "left_semi").join(wide, list(key), "left")
     before = calibration_error(reliability(judged, key, weight="_rows"), key, 5).withColumnRenamed("ece", "ece_before")
     after = calibration_error(reliability(judged.withColumn("p", _mapped(F.col("p"), F.col("curves"))), key, weight="_rows"), key, 5).withColumnRenamed("ece", "ece_after")
     out = sizes.join(before, list(key), "left").join(after, list(key), "left").join(wide, list(key), "left")
@@ -70,14 +70,14 @@ def calibration_records(forecasts: DataFrame, least: int = FIT_ROWS, gain: float
     return out.select(*key, "samples", F.when(F.col("_ok"), F.col("holdout")).otherwise(0).alias("holdout"), "ece_before", "ece_after", better.alias("improvement"), F.coalesce(better >= gain, F.lit(False)).alias("improved"), F.when(F.col("_ok"), F.col("fitted_through")).alias("fitted_through"), "curves")
 
 
-def calibrated(forecasts: DataFrame, records: DataFrame) -> DataFrame:
+def calibrated(forecasts: DataFrame, records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """forecasts with p mapped by their regime's record, else by that over all; and record (one applied or was measured), improvement, in_regime (a kept one of the regime applied).
 
     A record never maps a forecast from before it was fitted: that would calibrate the past with its future.
     """
-    by = records.select("model", F.col("slice").alias("_s"), F.struct("improved", "improvement", "fitted_through", "curves").alias("_r"))
-    df = forecasts.join(by.withColumnsRenamed({"_s": "regime", "_r": "_own"}), ["model", "regime"], "left")
-    df = df.join(by.where("_s = 'all'").select("model", F.col("_r").alias("_all")), "model", "left")
+    of = records.select(*by, "model", F.col("slice").alias("_s"), F.struct("improved", "improvement", "fitted_through", "curves").alias("_r"))
+    df = forecasts.join(of.withColumnsRenamed({"_s": "regime", "_r": "_own"}), [*by, "model", "regime"], "left")
+    df = df.join(of.where("_s = 'all'").select(*by, "model", F.col("_r").alias("_all")), [*by, "model"], "left")
     df = df.withColumn("_c", F.coalesce("_own", "_all"))
     known, kept = F.col("_c").isNotNull(), F.coalesce(F.col("_c.improved"), F.lit(False))
     early = kept & (F.col("as_of") <= F.col("_c.fitted_through"))
@@ -118,21 +118,22 @@ def independence_table(inputs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a.model").alias("model")).agg(F.round(1 / (1 + F.sum(overlap)), 4).alias("independence"))
 
 
-def panel(forecasts: DataFrame, weights: DataFrame, records: DataFrame, independence: DataFrame, min_edge: float = 0.04) -> DataFrame:
+def panel(forecasts: DataFrame, weights: DataFrame, records: DataFrame, independence: DataFrame, min_edge: float = 0.04, by: tuple[str, ...] = ()) -> DataFrame:
     """One row a point (POINT): the pooled p, agreement, contributions, factors, confidence, why it is suppressed, evidence, invalidation.
 
-    forecasts: POINT, model, regime, p, confidence, threshold, close, data_quality. weights: skill_weights.
+    forecasts: POINT, model, regime, p, confidence, threshold, close, data_quality. weights: skill_weights. by: columns that
+    forecasts, weights and records have, of which each value was fitted by itself.
     """
-    w = weights.select("model", F.col("slice").alias("_s"), F.struct("weight", "samples").alias("_w"))
-    df = calibrated(forecasts, records)
-    df = df.join(w.withColumnsRenamed({"_s": "regime", "_w": "_own"}), ["model", "regime"], "left").join(w.where("_s = 'all'").select("model", F.col("_w").alias("_all")), "model", "left")
+    w = weights.select(*by, "model", F.col("slice").alias("_s"), F.struct("weight", "samples").alias("_w"))
+    df = calibrated(forecasts, records, by)
+    df = df.join(w.withColumnsRenamed({"_s": "regime", "_w": "_own"}), [*by, "model", "regime"], "left").join(w.where("_s = 'all'").select(*by, "model", F.col("_w").alias("_all")), [*by, "model"], "left")
     df = df.join(independence, "model", "left").withColumn("_i", F.coalesce("independence", F.lit(1.0)))
     # A slice that failed its gate has no weight, and then the pooled slice counts, if that passed.
     df = df.withColumn("_skill", F.coalesce(F.col("_own.weight"), F.col("_all.weight"), F.lit(0.0))).withColumn("_n", F.coalesce(F.nullif(F.col("_own.samples"), F.lit(0)), F.col("_all.samples"), F.lit(0)))
     df = df.withColumn("_edge", F.col("p.up") - F.col("p.down")).withColumn("_share", F.when((F.col("confidence") > 0) & (F.col("_skill") > 0), F.round(F.col("_skill") * F.col("_i"), 6)))
     df = df.withColumn("_vote", F.when((F.col("confidence") <= 0) | (F.abs("_edge") < min_edge), None).otherwise(F.when(F.col("_edge") > 0, "up").otherwise("down")))
     side = lambda d, x: F.sum(F.when(F.col("_vote") == d, x).otherwise(0.0))
-    g = df.groupBy(*POINT, "regime").agg(
+    g = df.groupBy(*dict.fromkeys((*by, *POINT, "regime"))).agg(
         F.count("*").alias("members"), F.count("_vote").alias("votes"), side("up", F.col("_i")).alias("up_weight"), side("down", F.col("_i")).alias("down_weight"),
         F.count(F.when(F.col("_vote") == "up", 1)).alias("up_votes"), F.count(F.when(F.col("_vote") == "down", 1)).alias("down_votes"),
         F.coalesce(F.sum("_share"), F.lit(0.0)).alias("weight"), F.count("_share").alias("contributors"), F.max("_skill").alias("best_skill"), F.max("_n").alias("samples"),
@@ -142,8 +143,8 @@ def panel(forecasts: DataFrame, weights: DataFrame, records: DataFrame, independ
         F.array_sort(F.collect_list(F.when(F.col("_share").isNotNull(), F.struct((-F.col("_share")).alias("o"), "model", F.col("_edge").alias("edge"))))).alias("_by"),
         F.array_sort(F.collect_list(F.when(F.col("_vote").isNotNull(), F.struct("model", F.col("_vote").alias("vote"))))).alias("_votes"), F.array_sort(F.collect_list(F.when(F.col("_vote").isNull(), F.col("model")))).alias("abstained"),
     )
-    seen = weights.groupBy(F.col("slice").alias("regime")).agg(F.max("samples").alias("_regime_samples"))
-    g = g.join(seen, "regime", "left")
+    seen = weights.groupBy(*by, F.col("slice").alias("regime")).agg(F.max("samples").alias("_regime_samples"))
+    g = g.join(seen, [*by, "regime"], "left")
     total, up, down = F.round(F.col("up_weight") + F.col("down_weight"), 4), F.col("up_weight"), F.col("down_weight")
     g = g.withColumn("majority", F.when((up > 0) & (up > down + 1e-9), "up").when((down > 0) & (down > up + 1e-9), "down"))
     g = g.withColumn("effective", F.when(F.col("majority").isNotNull(), F.round(F.greatest(up, down), 4)).otherwise(0.0))

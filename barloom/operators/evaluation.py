@@ -31,17 +31,20 @@ def paired_p(n: Column, mean: Column, variance: Column) -> Column:
     return F.when(n < 5, 1.0).when(variance <= 0, F.when(mean <= 0, 1.0).otherwise(0.0)).otherwise(normal_tail(z))
 
 
-def against_baseline(scores: DataFrame, baseline: str = BASELINE, on: tuple[str, ...] = (*SCOPE, "as_of"), slices: tuple[str, ...] = ("regime",), recent: int | None = None, rate: float = 0.05) -> DataFrame:
-    """Of each model, over all and by slice: n, Brier of both, skill, p, significance over the whole family, beats_baseline."""
+def against_baseline(scores: DataFrame, baseline: str = BASELINE, on: tuple[str, ...] = (*SCOPE, "as_of"), slices: tuple[str, ...] = ("regime",), recent: int | None = None, rate: float = 0.05, key: tuple[str, ...] = ()) -> DataFrame:
+    """Of each model, over all and by slice: n, Brier of both, skill, p, significance over the whole family, beats_baseline.
+
+    With a key, which `on` must have, each of its values is an evaluation and a family of its own.
+    """
     base = scores.where(F.col("model") == baseline).select(*on, F.col("brier").alias("base_brier"))
     pairs = scores.where(F.col("model") != baseline).join(base, list(on))
     pairs = pairs.withColumn("slice", F.explode(F.array(F.lit("all"), *(F.col(s) for s in slices)))).withColumn("d", F.col("base_brier") - F.col("brier"))
     if recent:
-        w = Window.partitionBy("model", "slice").orderBy(F.desc("as_of"), *on)
+        w = Window.partitionBy(*key, "model", "slice").orderBy(F.desc("as_of"), *on)
         pairs = pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= recent)
-    g = pairs.groupBy("model", "slice").agg(F.count("*").alias("n"), F.avg("brier").alias("brier"), F.avg("base_brier").alias("base_brier"), F.avg("log_loss").alias("log_loss"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("d").alias("_m"), F.var_samp("d").alias("_v"))
+    g = pairs.groupBy(*key, "model", "slice").agg(F.count("*").alias("n"), F.avg("brier").alias("brier"), F.avg("base_brier").alias("base_brier"), F.avg("log_loss").alias("log_loss"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("d").alias("_m"), F.var_samp("d").alias("_v"))
     g = g.where("n >= 5").withColumn("skill", F.when(F.col("base_brier") > 0, 1 - F.col("brier") / F.col("base_brier")).otherwise(0.0)).withColumn("p_value", paired_p(F.col("n"), F.col("_m"), F.col("_v")))
-    g = benjamini_hochberg(g, "p_value", rate).drop("_m", "_v")
+    g = benjamini_hochberg(g, "p_value", rate, key).drop("_m", "_v")
     return g.withColumn("beats_baseline", (F.col("n") >= 30) & (F.col("skill") > 0.01) & F.col("significant"))
 
 
@@ -140,10 +143,10 @@ def isotonic(forecasts: DataFrame, key: tuple[str, ...] = ("model", "slice"), we
     def fit(group: pa.Table) -> pa.Table:
         x, y, w = (group.column(c).to_numpy() for c in ("x", "y", "w"))
         order = np.argsort(x, kind="stable")
-        head = {k: [group.column(k)[0].as_py()] for k in (*key, "outcome")}
+        head = {k: group.column(k).slice(0, 1) for k in (*key, "outcome")}
         return pa.table(head | {"xs": [x[order].tolist()], "ys": [pooled(x[order], y[order], w[order]).tolist()]})
 
-    kinds = ", ".join(f"{k} string" for k in (*key, "outcome"))
+    kinds = ", ".join(f"`{k}` {binned.schema[k].dataType.simpleString()}" for k in (*key, "outcome"))
     return binned.groupBy(*key, "outcome").applyInArrow(fit, f"{kinds}, xs array<double>, ys array<double>")
 
 
@@ -191,15 +194,6 @@ def resolve(ledger: DataFrame, bars: DataFrame, timeframe: str, now: str) -> Dat
     return scored(out)
 
 
-def independence(inputs: dict[str, tuple[str, ...]]) -> dict[str, float]:
-    """1 / (1 + the sum of the input overlaps with all other models)."""
-
-    def overlap(a, b):
-        return len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) & set(b) else 0.0
-
-    return {m: round(1 / (1 + sum(overlap(a, b) for n, b in inputs.items() if n != m)), 4) for m, a in inputs.items()}
-
-
 def correlation(returns: DataFrame, ts: str = "open_time", key: str = "asset", value: str = "ret", least: int = 30) -> DataFrame:
     """Pearson correlation of every unordered pair of keys over the times that both have; 0 with fewer than `least`. A join on time, then sums."""
     a = returns.select(F.col(key).alias("a"), F.col(ts).alias("t"), F.col(value).alias("x")).where("x IS NOT NULL")

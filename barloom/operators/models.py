@@ -245,6 +245,30 @@ def similarity_model(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("p", F.when(some, from_edge(edge * 0.6)).otherwise(uniform())).withColumn("confidence", F.when(some, 0.20 + F.least(F.lit(0.35), F.col("n") / 400)).otherwise(0.0))
 
 
+def similar(bars: DataFrame, ctx: DataFrame, keep: Column, horizon: int, key=KEY, timeframe: str = "1h", least: int = 400) -> DataFrame:
+    """What followed similar moments, from the series' bar `least` on; abstains where there are too few of them."""
+    from barloom.operators import similarity
+    from barloom.operators.indicators import recursive, windowed
+
+    f = recursive(windowed(bars, timeframe, key), key).withColumn("bar", F.col("bars_seen") - 1)
+    at = ctx.where(keep)
+    asked = at.where(F.col("bar") >= least - 1).select(*key, "bar")
+    found = similarity.verdicts(similarity.analogues(f, asked, horizon, key=key), bars, horizon, key=key)
+    said = similarity_model(found.select(*key, F.col("asked").alias("bar"), "n", "up_rate", F.coalesce("base_rate", F.lit(0.5)).alias("baseline")))
+    out = at.join(said.select(*key, "bar", F.col("p").alias("_p"), F.col("confidence").alias("_sure")), [*key, "bar"], "left")
+    return out.withColumn("p", F.coalesce("_p", uniform())).withColumn("confidence", F.coalesce("_sure", F.lit(0.0))).drop("_p", "_sure")
+
+
+def as_known(said: DataFrame, ctx: DataFrame, keep: Column, timeframe: str = "1h") -> DataFrame:
+    """What a forecaster of other inputs (asset, ts, p, confidence) last said by the close of each bar of ctx where `keep` holds; abstains before its first."""
+    from barloom.functions.grid import close_time
+    from barloom.operators.asof import last_before
+
+    at = ctx.where(keep).withColumn("_close", close_time(F.col("open_time"), timeframe))
+    out = last_before(at, said.select("asset", F.col("ts").alias("_ts"), F.col("p").alias("_p"), F.col("confidence").alias("_sure")), ["asset"], "_close", "_ts", ["_p", "_sure"])
+    return out.withColumn("p", F.coalesce("_p", uniform())).withColumn("confidence", F.coalesce("_sure", F.lit(0.0))).drop("_p", "_sure", "_close")
+
+
 def forecasters(bars: DataFrame, ctx: DataFrame, keep: Column, horizon: int, key=KEY, timeframe: str = "1h", moment: tuple[str, ...] = ("timeframe", "open_time")) -> dict[str, DataFrame]:
     """Of each forecaster that reads bars, what it says where `keep` holds: the columns of ctx (contexts of bars), p and confidence."""
     from barloom.operators.indicators import recursive, windowed
@@ -259,12 +283,18 @@ def forecasters(bars: DataFrame, ctx: DataFrame, keep: Column, horizon: int, key
     }
 
 
-def walk_forward(bars: DataFrame, horizon: int, warmup: int = WARMUP, key=KEY, timeframe: str = "1h") -> DataFrame:
-    """One row a model and evaluation point of bars of one timeframe: key, as_of, model, p, confidence, threshold, realised, truth, regime."""
+def walk_forward(bars: DataFrame, horizon: int, warmup: int = WARMUP, key=KEY, timeframe: str = "1h", others: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row a model and evaluation point of bars of one timeframe: key, as_of, model, p, confidence, threshold, realised, truth, regime.
+
+    The models that read bars, analogues among them, and `others` by name: what models of funding, states, moods or patterns
+    said when (asset, ts, p, confidence), each as of the point.
+    """
     ctx = coarse_regime(contexts(bars, horizon, key), key=key).withColumn("regime", F.col("regime"))
     keep = (F.col("bar") >= warmup) & ((F.col("bar") - warmup) % horizon == 0)
+    said = forecasters(bars, ctx, keep, horizon, key, timeframe) | {"similarity": similar(bars, ctx, keep, horizon, key, timeframe)}
+    said |= {name: as_known(df, ctx, keep, timeframe) for name, df in (others or {}).items()}
     out = None
-    for name, df in forecasters(bars, ctx, keep, horizon, key, timeframe).items():
+    for name, df in said.items():
         part = df.where("realised IS NOT NULL").select(*key, F.col("open_time").alias("as_of"), F.lit(name).alias("model"), "p", F.col("confidence").cast("double").alias("confidence"), "threshold", "realised", "regime", "typical")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("truth", outcome(F.col("realised"), F.col("threshold")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from barloom.functions.numbers import rounded
@@ -13,6 +15,7 @@ from barloom.plans.registry import query
 from barloom.plans.sql import bars as sql_bars
 from barloom.plans.stored import _PANEL
 from barloom.sources.bars import event_bars
+from barloom.sources.tables import stored
 
 
 @query("market_structure")
@@ -73,21 +76,43 @@ def volatility_alerts(spark, sf):
     return rounded(a.volatility_rule(event_bars(spark, sf), 1.3, 0.7).select("asset", "at", "kind", "value"))
 
 
-def _all_alerts(spark, sf):
+def _rules(spark, sf):
+    """All rules over the given tables, by name; each is planned when it is called."""
+    from barloom.operators.ensemble import gate
+    from barloom.operators.models import contexts
+
     b = event_bars(spark, sf)
-    states = coarse_regime(b).withColumnRenamed("open_time", "at")
-    return a.volume_rule(b, 2.5).unionByName(a.volatility_rule(b, 1.3, 0.7)).unionByName(a.regime_rule(states))
+    calls = cache(lambda: stored(_calls(spark, sf)))  # two rules read the panel
+    return {
+        "volume": lambda: a.volume_rule(b, 2.5),
+        "volatility": lambda: a.volatility_rule(b, 1.3, 0.7),
+        "regime": lambda: a.regime_rule(coarse_regime(b).withColumnRenamed("open_time", "at")),
+        "correlation": lambda: a.correlation_rule(a.rolling_pairs(contexts(b, 1)), 0.05),
+        "liquidation": lambda: a.liquidation_rule(_interest(spark, sf), 30.0, 60.0),
+        "data quality": lambda: a.quality_rule(_day_scores(spark, sf)),
+        "disagreement": lambda: a.disagreement_rule(calls()),
+        "news": lambda: a.news_rule(_big_news(spark, sf)),
+        "predictions": lambda: a.prediction_rules(gate(calls())),
+        "invalidation": lambda: a.invalidation_rule(_open_calls(spark, sf)),
+    }
+
+
+def _run(spark, sf):
+    """Who follows an asset is one recipient; news goes to sixteen desks."""
+    desk = F.when(F.col("kind") == "major_news", F.concat(F.lit("desk "), F.pmod(F.crc32(F.col("asset").cast("binary")), F.lit(16)).cast("string"))).otherwise(F.concat(F.lit("follower of "), "asset"))
+    return a.run(_rules(spark, sf), desk, spark)
 
 
 @query("admitted_alerts")
 def admitted_alerts(spark, sf):
-    """All bar rules' alerts through the rate budget; who follows an asset is one recipient."""
-    return rounded(a.admit(_all_alerts(spark, sf).withColumn("recipient", F.concat(F.lit("follower of "), "asset"))))
+    """All rules' alerts through the rate budget, with the digests of what was held."""
+    return rounded(_run(spark, sf)[0])
 
 
 @query("suppression_digests")
 def suppression_digests(spark, sf):
-    return a.digests(a.admit(_all_alerts(spark, sf).withColumn("recipient", F.concat(F.lit("follower of "), "asset"))))
+    """What each recipient was told of the alerts that were held."""
+    return _run(spark, sf)[0].where("kind = 'suppression_digest'").select("recipient", "at", "title", "value")
 
 
 @query(
@@ -121,15 +146,21 @@ def correlation_alerts(spark, sf):
     SELECT asset, t AS "at", round((peak - oi) / peak * 100, 6) AS value FROM w WHERE n >= 6 AND (peak - oi) / peak * 100 >= 30 AND abs(close - old) / old * 100 >= 60""",
 )
 def liquidation_alerts(spark, sf):
-    b = event_bars(spark, sf).select("asset", F.col("open_time").alias("at"), "close", (F.col("trades") * 10 + 100).cast("double").alias("open_interest"))
-    return rounded(a.liquidation_rule(b, 30.0, 60.0).select("asset", "at", "value"))
+    return rounded(a.liquidation_rule(_interest(spark, sf), 30.0, 60.0).select("asset", "at", "value"))
 
 
 @query("data_quality_alerts", "WITH s AS (SELECT event_type AS asset, date_trunc('day', ts)::TIMESTAMP AS t, count(*) / 80 AS score FROM events GROUP BY 1, 2) SELECT asset, t AS \"at\", printf('data quality degraded to %.2f', score) AS title FROM s WHERE score < 0.7")
 def data_quality_alerts(spark, sf):
+    return a.quality_rule(_day_scores(spark, sf)).select("asset", "at", "title")
+
+
+def _interest(spark, sf):
+    return event_bars(spark, sf).select("asset", F.col("open_time").alias("at"), "close", (F.col("trades") * 10 + 100).cast("double").alias("open_interest"))
+
+
+def _day_scores(spark, sf):
     """Days with few events have a low score."""
-    g = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("asset"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg((F.count("*") / 80).alias("score"))
-    return a.quality_rule(g).select("asset", "at", "title")
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("asset"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg((F.count("*") / 80).alias("score"))
 
 
 def _calls(spark, sf):
@@ -156,20 +187,26 @@ def prediction_alerts(spark, sf):
     SELECT asset, t AS "at", CASE WHEN up THEN 'a published up call has been invalidated' ELSE 'a published down call has been invalidated' END AS title, round(CASE WHEN up THEN entry * 0.5 ELSE entry * 1.5 END, 6) AS value FROM c WHERE entry IS NOT NULL AND CASE WHEN up THEN close <= entry * 0.5 ELSE close >= entry * 1.5 END""",
 )
 def invalidation_alerts(spark, sf):
+    return rounded(a.invalidation_rule(_open_calls(spark, sf)).select("asset", "at", "title", "value"))
+
+
+def _open_calls(spark, sf):
     """Every bar is a call of twelve bars earlier that is still open, wrong when the price has halved or risen by half."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("asset").orderBy("open_time")
     b = event_bars(spark, sf).select("asset", F.col("open_time").alias("at"), "close", F.lag("close", 12).over(w).alias("entry"), F.when(F.col("open") >= F.lag("open", 12).over(w), "up").otherwise("down").alias("direction"))
-    b = b.where("entry IS NOT NULL").withColumn("level", F.when(F.col("direction") == "up", F.col("entry") * 0.5).otherwise(F.col("entry") * 1.5))
-    return rounded(a.invalidation_rule(b).select("asset", "at", "title", "value"))
+    return b.where("entry IS NOT NULL").withColumn("level", F.when(F.col("direction") == "up", F.col("entry") * 0.5).otherwise(F.col("entry") * 1.5))
 
 
 @query("news_alerts", "SELECT doc_id AS item, substr(regexp_extract(text, '^([^.\\n]*)', 1), 1, 180) AS title FROM documents WHERE n_chars % 100 >= 75")
 def news_alerts(spark, sf):
+    return a.news_rule(_big_news(spark, sf)).select(F.col("asset").cast("long").alias("item"), "title")
+
+
+def _big_news(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    e = d.select(F.col("doc_id").cast("string").alias("asset"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("at"), (F.col("n_chars") % 100 / 100).alias("importance"), F.regexp_extract("text", r"^([^.\n]*)", 1).alias("title"))
-    return a.news_rule(e).select(F.col("asset").cast("long").alias("item"), "title")
+    return d.select(F.col("doc_id").cast("string").alias("asset"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("at"), (F.col("n_chars") % 100 / 100).alias("importance"), F.regexp_extract("text", r"^([^.\n]*)", 1).alias("title"))
 
 
 _STRUCT = f"""WITH {sql_bars()}, n AS (SELECT asset, open_time, high, low, close, row_number() OVER w - 1 AS bar, count(*) OVER a AS c, list(high) OVER a AS hs, list(low) OVER a AS ls FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time), a AS (PARTITION BY asset ORDER BY open_time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),

@@ -11,7 +11,7 @@ from barloom.operators import probe
 from barloom.plans.models import H
 from barloom.plans.registry import query
 from barloom.plans.sql import bars as sql_bars
-from barloom.plans.stored import _FC, _p, forecasts
+from barloom.plans.stored import _FC, _p, forecasts, independence
 from barloom.sources.bars import event_bars
 
 _AT = {"horizon": 4, "k": 5, "warmup": 40, "least": 20}
@@ -45,6 +45,42 @@ def identical_models(spark, sf):
     return b.identical(_folds(spark, sf)).select("asset", F.array_join("models", ",").alias("models"))
 
 
+_TRAIN = f"""{_FC}, tm AS (SELECT asset, as_of, row_number() OVER (PARTITION BY asset ORDER BY as_of) - 1 AS pos, count(*) OVER (PARTITION BY asset) AS n FROM (SELECT DISTINCT asset, as_of FROM sc)),
+  fl AS (SELECT DISTINCT asset, f.fold, 80 + f.fold * ((n - 85) // 5) AS train_end, 85 + f.fold * ((n - 85) // 5) AS test_start, CASE WHEN f.fold = 4 THEN n ELSE 85 + (f.fold + 1) * ((n - 85) // 5) END AS test_end FROM tm, (SELECT unnest(range(0, 5)) AS fold) f WHERE n - 85 >= 100),
+  pr AS (SELECT a.*, b.brier AS base, fl.fold FROM sc a JOIN sc b ON b.model = 'baseline_climatology' AND a.asset = b.asset AND a.as_of = b.as_of JOIN tm ON tm.asset = a.asset AND tm.as_of = a.as_of JOIN fl ON fl.asset = a.asset AND pos >= 40 AND pos < train_end WHERE a.model <> 'baseline_climatology'),
+  r0 AS (SELECT asset, fold, model, slice, count(*) AS n, avg(brier) AS brier, avg(base) AS base_brier, avg(base - brier) AS mm, var_samp(base - brier) AS vv FROM (SELECT *, unnest(['all', regime]) AS slice FROM pr) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5),
+  r1 AS (SELECT *, 1 - brier / base_brier AS skill, {_p('n', 'mm', 'vv')} AS p_value FROM r0), r2 AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY asset, fold) AS c FROM r1 WINDOW w AS (PARTITION BY asset, fold ORDER BY p_value)),
+  r3 AS (SELECT *, coalesce(p_value <= max(CASE WHEN p_value <= i * 0.05 / c THEN p_value END) OVER (PARTITION BY asset, fold), false) AS significant FROM r2)"""
+
+
+@query(
+    "fold_weights",
+    f"WITH {_TRAIN} SELECT asset, fold::INT AS fold, model, slice, n AS samples, CASE WHEN n >= 30 AND skill > 0.01 AND significant THEN round(skill, 5) END AS weight FROM r3",
+)
+def fold_weights(spark, sf):
+    """What each fold's training rows, and nothing else, earn each model."""
+    return _run(spark, sf)["weights"]
+
+
+@query("fold_runs")
+def fold_runs(spark, sf):
+    """Fitted on training rows, scored on test rows: weights and curves of each fold, and how often the ensemble speaks."""
+    return _run(spark, sf)["summary"]
+
+
+def _run(spark, sf):
+    return b.fold_run(forecasts(spark, sf), independence(spark), **_AT)
+
+
+@query(
+    "fold_points",
+    f"""WITH {_TRAIN} SELECT asset, fold::INT AS fold, count(*) FILTER (pos >= 40 AND pos < train_end) AS train_points, count(*) FILTER (pos >= test_start AND pos < test_end) AS test_points FROM tm JOIN fl USING (asset) GROUP BY 1, 2""",
+)
+def fold_points(spark, sf):
+    """How many times each fold learns from and is tested at."""
+    return _run(spark, sf)["summary"].select("asset", "fold", "train_points", "test_points")
+
+
 @query(
     "fold_table",
     f"""WITH {sql_bars()}, s AS (SELECT asset, count(*) AS n FROM bars GROUP BY 1), f AS (SELECT asset, n, unnest(range(0, 5)) AS fold, (n - 207) // 5 AS size FROM s WHERE n - 207 >= 250)

@@ -14,6 +14,7 @@ from barloom.operators import ensemble as s
 from barloom.operators import evaluation as e
 from barloom.operators import models as m
 from barloom.plans.registry import query
+from barloom.sources.tables import stored
 
 MODELS = ("baseline_climatology", "baseline_persistence", "technical", "timeseries", "similarity", "regime", "sentiment", "crossasset")
 #: How much of the truth each model's statement has, in tenths.
@@ -144,13 +145,15 @@ _MAPPED = """, cx AS (SELECT fc.*, coalesce(a.improved, b.improved) AS kept, CAS
 
 @query("calibrated_forecasts", f"WITH {_FC}{_CURVES}{_MAPPED} SELECT model, asset, as_of, round(pu, 5) AS up, round(pf, 5) AS flat, round(pd, 5) AS down, record, in_regime FROM ca WHERE confidence > 0")
 def calibrated_forecasts(spark, sf):
-    f = forecasts(spark, sf).persist()
+    f = stored(forecasts(spark, sf))
     out = s.calibrated(f, s.calibration_records(f)).where("confidence > 0")
     return rounded(out.select("model", "asset", "as_of", "p.up", "p.flat", "p.down", "record", "in_regime"), 5)
 
 
-_FREE = ", ".join(f"('{k}', {v})" for k, v in e.independence({n: m.INPUTS[n] for n in MODELS}).items())
-_PANEL = f"""{_REPORT}{_CURVES}{_MAPPED}, free(model, i) AS (VALUES {_FREE}),
+#: What the eight models read, as declared.
+_FREE = """inp(model, reads) AS (VALUES ('baseline_climatology', ['price']), ('baseline_persistence', ['price']), ('technical', ['features']), ('timeseries', ['price']), ('similarity', ['features', 'price']), ('regime', ['state']), ('sentiment', ['news']), ('crossasset', ['peers'])),
+  free AS (SELECT a.model, round(1 / (1 + sum(len(list_intersect(a.reads, b.reads)) / len(list_distinct(a.reads || b.reads)))), 4) AS i FROM inp a JOIN inp b ON a.model <> b.model GROUP BY 1)"""
+_PANEL = f"""{_REPORT}{_CURVES}{_MAPPED}, {_FREE},
   sk AS (SELECT ca.*, i, coalesce(a.w, b.w, 0) AS skill, coalesce(a.n, b.n, 0) AS ns, pu - pd AS edge FROM ca JOIN free USING (model) LEFT JOIN (SELECT model, slice, n, CASE WHEN beats THEN round(skill, 5) END AS w FROM rep) a ON a.model = ca.model AND a.slice = regime LEFT JOIN (SELECT model, slice, n, CASE WHEN beats THEN round(skill, 5) END AS w FROM rep) b ON b.model = ca.model AND b.slice = 'all'),
   sv AS (SELECT *, CASE WHEN confidence > 0 AND skill > 0 THEN round(skill * i, 6) END AS share, CASE WHEN confidence <= 0 OR abs(edge) < 0.04 THEN NULL WHEN edge > 0 THEN 'up' ELSE 'down' END AS vote FROM sk),
   pg AS (SELECT asset, as_of, regime, count(*) AS members, count(vote) AS votes, coalesce(sum(i) FILTER (vote = 'up'), 0) AS uw, coalesce(sum(i) FILTER (vote = 'down'), 0) AS dw, count(*) FILTER (vote = 'up') AS uv, count(*) FILTER (vote = 'down') AS dv, coalesce(sum(share), 0) AS weight, count(share) AS contributors, max(skill) AS best, max(ns) AS ns,
@@ -164,11 +167,15 @@ _PANEL = f"""{_REPORT}{_CURVES}{_MAPPED}, free(model, i) AS (VALUES {_FREE}),
   po AS (SELECT *, CASE WHEN open THEN su / weight ELSE 1 / 3.0 END AS pu, CASE WHEN open THEN sf / weight ELSE 1 / 3.0 END AS pf, CASE WHEN open THEN sd / weight ELSE 1 / 3.0 END AS pd FROM pm), pp AS (SELECT *, open AND abs(pu - pd) >= 0.08 AS published FROM po)"""
 
 
+def independence(spark):
+    """How much each model counts by what it shares with the others; one row a model."""
+    return s.independence_table(spark.createDataFrame([(n, x) for n in MODELS for x in m.INPUTS[n]], "model string, input string"))
+
+
 def _panel(spark, sf):
-    f = forecasts(spark, sf).persist()  # weights, records and the panel itself read it
+    f = stored(forecasts(spark, sf))  # weights, records and the panel itself read it
     weights = s.skill_weights(e.against_baseline(e.scored(f)))
-    free = spark.createDataFrame(list(e.independence({n: m.INPUTS[n] for n in MODELS}).items()), "model string, independence double")
-    return s.panel(f, weights, s.calibration_records(f), F.broadcast(free))
+    return s.panel(f, weights, s.calibration_records(f), independence(spark))
 
 
 @query(

@@ -60,20 +60,20 @@ def average_fold(bars: DataFrame, n: int = 9, key: tuple[str, ...] = ("asset",))
 
 
 def admitted(alerts: DataFrame, recipient: str = "recipient") -> DataFrame:
-    """The rate budget as a stream's state: alerts (recipient, at, kind, asset, level, title, timeframe, value) with held."""
+    """The rate budget as a stream's state: alerts (recipient, at, kind, asset, level, title, timeframe, value) with held, and the digests that fall due."""
     import json
 
-    from barloom.operators.alerts import Budget, dedup_key
+    from barloom.operators.alerts import Budget, dedup_key, folded
+
+    cols = [recipient, "at", "kind", "asset", "level", "title", "value"]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         b = Budget(state=json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(frames)).sort_values(["at", "level", "_key"], ascending=[True, False, True])
-        seconds = (rows["at"] - pd.Timestamp("1970-01-01")).dt.total_seconds()
-        rows["held"] = [b.admit(t, kind, a, int(v), d) for t, kind, a, v, d in zip(seconds, rows.kind, rows.asset, rows.level, rows._key, strict=True)]
+        rows = folded(pd.concat(list(frames)), b, cols, recipient)
         state.update((json.dumps(b.state()),))
-        yield rows[[recipient, "at", "kind", "asset", "level", "held"]]
+        yield rows
 
-    return alerts.withColumn("_key", dedup_key()).groupBy(recipient).applyInPandasWithState(step, f"{recipient} string, at timestamp_ntz, kind string, asset string, level int, held string", "budget string", "append", GroupStateTimeout.NoTimeout)
+    return alerts.withColumn("_key", dedup_key()).groupBy(recipient).applyInPandasWithState(step, f"{recipient} string, at timestamp_ntz, kind string, asset string, level int, title string, value double, held string", "budget string", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_sink(path: str):
