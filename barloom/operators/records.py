@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Event types that are faults of the pipeline and not of the market.
@@ -121,3 +121,31 @@ def quote_of(symbol: Column, asset: Column) -> Column:
     """What a symbol is quoted in: what follows the asset, by default USDT."""
     rest = F.when(F.startswith(symbol, asset), F.substr(symbol, F.length(asset) + 1))
     return F.coalesce(F.nullif(rest, F.lit("")), F.lit("USDT"))
+
+
+def ranked_statistics(stats: DataFrame, by: tuple[str, ...] = (), informative_only: bool = False, first: int | None = None, **where: str) -> DataFrame:
+    """Measured statistics (p_value, edge, informative, and `by`) of a scope, with their place: by p first, and within the admitted by the size of their edge, within the rejected by p.
+
+    first keeps so many of each value of `by`.
+    """
+    for c, v in where.items():
+        stats = stats.where(F.col(c) == v)
+    rest = [c for c in stats.columns if c not in ("p_value", "edge", "informative")]
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    admitted = F.when(F.col("informative"), -F.abs("edge")).otherwise(F.col("p_value"))
+    df = stats.where("informative") if informative_only else stats
+    df = df.withColumn("place", F.row_number().over(w.orderBy("p_value", *rest))).withColumn("place_in_group", F.row_number().over(w.partitionBy(*by, "informative").orderBy(admitted, *rest) if by else Window.partitionBy("informative").orderBy(admitted, *rest)))
+    return df if first is None else df.where(F.col("place") <= first)
+
+
+def passing(scores: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Of each `by`: the models that beat the baseline in some slice, and those that do in none."""
+    best = scores.groupBy(*by, "model").agg(F.max("beats_baseline").alias("_w"))
+    names = lambda w: F.array_sort(F.collect_list(F.when(w, F.col("model"))))
+    return best.groupBy(*by).agg(names(F.col("_w")).alias("passing"), names(~F.col("_w")).alias("failing"))
+
+
+def watch_list(assets: DataFrame, timeframes: tuple[str, ...]) -> DataFrame:
+    """What is polled: each of assets (asset, tier) at each live timeframe, but for the one of a minute below the first tier."""
+    each = assets.select("*", F.explode(F.array(*map(F.lit, timeframes))).alias("timeframe"))
+    return each.where((F.col("tier") <= 1) | (F.col("timeframe") != "1m"))

@@ -135,6 +135,59 @@ def rank_weight(timeframe: Column) -> Column:
     return 1 + 0.6 * ranks[timeframe]
 
 
+def described(states: Column, net: Column) -> Column:
+    """The members of a group, slowest first, and where they lean in sum if there are several."""
+    members = F.array_join(F.transform(F.reverse(states), lambda s: F.concat(s["timeframe"], F.lit(" "), s["direction"])), ", ")
+    lean = F.when(net > 0, "net bullish").when(net < 0, "net bearish").otherwise("net flat")
+    return F.when(F.size(states) == 0, "none").when(F.size(states) == 1, members).otherwise(F.concat(members, F.lit(" — "), lean))
+
+
+def interpretation(name: Column, alignment: Column, regime: Column, bias: Column, high: Column, low: Column) -> Column:
+    """One sentence that a reader can check against the chart. The texts are fixed values."""
+    say = lambda text, *xs: F.format_string(text, *xs)
+    return (
+        F.when(alignment == "insufficient_evidence", say("%s has no usable timeframe.", name))
+        .when(alignment == "pullback_in_uptrend", say("%s is in a pullback within a larger uptrend: higher timeframes [%s] are net constructive while lower timeframes [%s] are correcting. This is a short-term retracement inside a bullish structure, not a bearish market.", name, high, low))
+        .when(alignment == "rally_in_downtrend", say("%s is rallying inside a larger downtrend: higher timeframes [%s] are net negative while lower timeframes [%s] are bouncing. This is a counter-trend move, not a confirmed recovery.", name, high, low))
+        .when(alignment == "possible_reversal", say("%s may be turning: the higher-timeframe trend [%s] is losing strength while lower timeframes [%s] have already reversed. Treat this as an unconfirmed transition, not an established trend in either direction.", name, high, low))
+        .when(alignment == "aligned_bullish", say("%s is bullish across the hierarchy [%s; %s] in a %s regime. Timeframes corroborate each other.", name, high, low, regime))
+        .when(alignment == "aligned_bearish", say("%s is bearish across the hierarchy [%s; %s] in a %s regime. Timeframes corroborate each other.", name, high, low, regime))
+        .when(alignment == "rangebound", say("%s has no clear directional structure on any timeframe [%s; %s]. Rangebound conditions.", name, high, low))
+        .otherwise(say("%s shows conflicting signals without a clean hierarchy [%s; %s]. Bias reads %s, but the timeframes do not corroborate it — treat directional conclusions with caution.", name, high, low, bias))
+    )
+
+
+def build(features: DataFrame, asked: DataFrame, trust: DataFrame | None = None) -> DataFrame:
+    """The state of each asked (asset, as_of) from the newest features of each timeframe that were known by then, and the trust in them.
+
+    features: asset, timeframe, known (when its bar closed) and the columns of a feature vector, of all timeframes together. trust:
+    asset, timeframe, ts, score, as of the same moment; 1 before the first. Only the rows that are asked for are classified.
+    """
+    from barloom.operators.asof import last_before
+
+    frames = features.select("timeframe").distinct()
+    points = asked.select("asset", "as_of").distinct().crossJoin(F.broadcast(frames))  # a row for each timeframe of the grid
+    values = [c for c in features.columns if c not in ("asset", "timeframe", "known")]
+    rows = last_before(points, features.withColumn("_known", F.col("known")), ["asset", "timeframe"], "as_of", "known", [*values, "_known"]).where("_known IS NOT NULL").drop("_known")
+    if trust is not None:
+        rows = last_before(rows, trust.select("asset", "timeframe", "ts", "score"), ["asset", "timeframe"], "as_of", "ts", ["score"]).withColumnRenamed("score", "_trust")
+    quality = F.coalesce("_trust", F.lit(1.0)) if trust is not None else F.lit(1.0)
+    states = classify(rows.withColumn("trust", quality), F.col("trust")).withColumn("volatility_pct", F.col("realised_vol_20"))
+    return hierarchy(states, quality="trust")
+
+
+def compact(features: DataFrame) -> DataFrame:
+    """features with bias_score, agreement, alignment and confidence of one timeframe, from its averages and structure; null without them."""
+    c, slope = F.col, lambda name, by: clip((F.col("close") - F.col(name)) / F.col(name) * by, -1, 1)
+    trend = F.coalesce(c("structure_trend"), F.lit(0.0))
+    known = (c("close") != 0) & (c("ema_21") != 0) & (c("sma_200") != 0)
+    bias = F.when(c("sma_200") > 0, slope("sma_200", 10) * 0.5).otherwise(0.0) + F.when(c("ema_21") > 0, slope("ema_21", 20) * 0.3).otherwise(0.0) + trend * 0.2
+    agreement = F.when((bias > 0) == (trend >= 0), 1.0).otherwise(0.4)
+    alignment = F.when((bias > 0.15) & (trend >= 0), "aligned_bullish").when((bias < -0.15) & (trend <= 0), "aligned_bearish").when(F.abs(bias) > 0.15, "conflicted").otherwise("rangebound")
+    new = {"bias_score": F.round(clip(bias, -1, 1), 4), "agreement": agreement, "alignment": alignment, "confidence": F.lit(0.5)}
+    return features.withColumns({n: F.when(known, x) for n, x in new.items()})
+
+
 def hierarchy(states: DataFrame, key: tuple[str, ...] = ("asset", "as_of"), quality: str | None = None) -> DataFrame:
     """Bias, agreement, alignment, regime, confidence and conflicts of each key, over its usable timeframes (confidence >= 0.25).
 
@@ -181,9 +234,10 @@ def hierarchy(states: DataFrame, key: tuple[str, ...] = ("asset", "as_of"), qual
     trust = _sum(F.col("s"), lambda s: s["confidence"] * s["w"]) / _sum(F.col("s"), lambda s: s["w"]) * (0.55 + 0.45 * F.col("agreement"))
     trust = trust * F.when(is_("conflicted"), 0.6).otherwise(1.0) * F.when(n < 2, 0.75).otherwise(1.0) * clip(F.col("q"), 0, 1)
     against = F.flatten(F.transform("high", lambda h: F.transform(F.filter("low", lambda x: F.signum(h["d"]) * F.signum(x["d"]) < 0), lambda x: F.concat(h["timeframe"], F.lit(" is "), h["direction"], F.lit(" while "), x["timeframe"], F.lit(" is "), x["direction"]))))
+    told = F.when(n > 0, F.col("alignment")).otherwise("insufficient_evidence")
+    label = F.when(n > 0, regime).otherwise("unknown")
+    words = interpretation(F.col(key[0]), told, label, F.col("bias"), described(F.col("high"), hs), described(F.col("low"), ls))
     return g.select(
-        *key, n.alias("timeframes"), F.col("bias_score"), "bias", "agreement",
-        F.when(n > 0, F.col("alignment")).otherwise("insufficient_evidence").alias("alignment"),
-        F.when(n > 0, regime).otherwise("unknown").alias("regime"),
+        *key, n.alias("timeframes"), F.col("bias_score"), "bias", "agreement", told.alias("alignment"), label.alias("regime"), words.alias("interpretation"),
         F.when(n > 0, clip(trust, 0, 1)).otherwise(0.0).alias("confidence"), F.slice(against, 1, 6).alias("conflicts"),
     )

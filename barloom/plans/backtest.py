@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.numbers import rounded
 from barloom.operators import backtest as b
 from barloom.operators import evaluation as e
-from barloom.operators import probe
+from barloom.operators import probe, records
 from barloom.plans.models import H
 from barloom.plans.registry import query
 from barloom.plans.sql import bars as sql_bars
@@ -31,6 +31,16 @@ def fold_scores(spark, sf):
     return rounded(_folds(spark, sf).select("asset", "fold", "model", "slice", "n", "skill", "p_value", "significant", "beats_baseline"))
 
 
+@query(
+    "passing_models",
+    f"WITH {_FOLDS}, b AS (SELECT asset, fold, model, bool_or(beats) AS w FROM fs GROUP BY 1, 2, 3) SELECT asset, fold, coalesce(string_agg(model, ',' ORDER BY model) FILTER (w), '') AS passing, coalesce(string_agg(model, ',' ORDER BY model) FILTER (NOT w), '') AS failing FROM b GROUP BY 1, 2",
+)
+def passing_models(spark, sf):
+    """Which models beat the baseline in some slice of a fold, and which in none."""
+    found = records.passing(_folds(spark, sf), ("asset", "fold"))
+    return found.select("asset", "fold", *(F.array_join(c, ",").alias(c) for c in ("passing", "failing")))
+
+
 @query(
     "fold_stability",
     f"""WITH {_FOLDS}, nf AS (SELECT asset, count(DISTINCT fold) AS folds FROM fs GROUP BY 1), st AS (SELECT asset, model, round(avg(skill) FILTER (slice = 'all'), 5) AS mean_skill, round(max(skill) FILTER (slice = 'all') - min(skill) FILTER (slice = 'all'), 5) AS spread, count(DISTINCT CASE WHEN beats THEN fold END) AS passes, max(skill) FILTER (slice = 'all') AS best_skill FROM fs GROUP BY 1, 2)

@@ -343,3 +343,15 @@ def alert_texts(spark, sf):
     level = F.when(F.col("severity") == "error", LEVELS["critical"]).when(F.col("severity") == "warning", LEVELS["warning"]).otherwise(LEVELS["info"])
     a = _quality_events(spark, sf).withColumn("level", level).withColumn("timeframe", F.lit("1h")).withColumn("title", F.col("message")).withColumn("confidence", F.lit(None).cast("double")).withColumn("invalidation", F.lit(None).cast("array<string>"))
     return a.select("asset", F.col("detected_at").alias("at"), r.rendered().alias("text"))
+
+
+@query(
+    "watch_list",
+    """WITH a AS (SELECT DISTINCT event_type AS asset, length(event_type) % 3 AS tier FROM events) SELECT asset, tier::INT AS tier, timeframe FROM a, (VALUES ('1m'), ('5m'), ('1h'), ('1d')) t(timeframe) WHERE tier <= 1 OR timeframe <> '1m'""",
+)
+def watch_list(spark, sf):
+    """What live ingestion polls; the tier of an asset is told from the length of its name."""
+    from barloom.operators import records
+
+    assets = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("asset"), (F.length("event_type") % 3).alias("tier")).distinct()
+    return records.watch_list(assets, ("1m", "5m", "1h", "1d"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.grid import floor_to, plus
+from barloom.functions.grid import plus
 from barloom.functions.numbers import rounded, sql_tail
 from barloom.operators import patterns as p
+from barloom.operators import records as rec
 from barloom.operators import state as s
 from barloom.operators.indicators import windowed
-from barloom.plans.registry import query
+from barloom.plans import alerts as _alerts  # noqa: F401  its SQL is used below
+from barloom.plans import bars as _bars  # noqa: F401
+from barloom.plans.registry import query, registered_sql
 from barloom.plans.sql import bars as sql_bars
 from barloom.plans.sql import r
 from barloom.sources.bars import event_bars
@@ -114,22 +117,48 @@ def momentum_state(spark, sf):
     return on.select("asset", "open_time", F.round(score, 3).alias("score"), s.direction(score).alias("direction"), F.round(0.9 * coherent * 0.8 * F.least(F.lit(1.0), 0.35 + 1.6 * F.abs(score)), 3).alias("confidence"))
 
 
-def _features(spark, sf, tf):
+FRAMES = ("15m", "1h", "4h", "1d")
+
+
+def _features(spark, sf):
+    """The feature vectors of all timeframes, each from its first bar on, and when they were known."""
     from barloom.operators.levels import vector
 
-    f = vector(event_bars(spark, sf, tf), tf, 1)
-    return s.classify(f).withColumn("volatility_pct", F.col("realised_vol_20")).withColumn("known", plus(F.col("open_time"), tf))
+    parts = None
+    for tf in FRAMES:
+        f = vector(event_bars(spark, sf, tf), tf, 1).withColumn("known", plus(F.col("open_time"), tf))
+        f = f.select("asset", "timeframe", "known", "close", *(c for c, t in f.dtypes if t in ("double", "bigint") and c not in ("close", "open", "high", "low", "quote_volume", "trades")))
+        parts = f if parts is None else parts.unionByName(f)
+    return parts
+
+
+def _days(spark, sf):
+    """Of each asset and day: how many of eighty events it had, at most 1, known at the day's end."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    e = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("asset"), (day + F.expr("INTERVAL 1 DAY")).alias("as_of"))
+    return e.agg(F.least(F.lit(1.0), F.count("*") / 80).alias("score"))
 
 
 @query("market_state")
 def market_state(spark, sf):
-    """The state of every asset at each day's start over four timeframes, from bars that were known by then."""
-    parts = None
-    for tf in ("15m", "1h", "4h", "1d"):
-        c = _features(spark, sf, tf).withColumn("as_of", floor_to(F.col("known"), "1d")).where("confidence IS NOT NULL")
-        last = c.groupBy("asset", "as_of").agg(F.max_by(F.struct("direction", "score", "strength", "confidence", "volatility_pct"), "known").alias("x")).select("asset", (F.col("as_of") + F.expr("INTERVAL 1 DAY")).alias("as_of"), F.lit(tf).alias("timeframe"), "x.*")
-        parts = last if parts is None else parts.unionByName(last)
-    return rounded(s.hierarchy(parts), 4)
+    """The state of every asset at each day's end over four timeframes, from bars and trust that were known by then, in words too."""
+    days = _days(spark, sf)
+    trust = days.select("asset", F.col("as_of").alias("ts"), "score", F.explode(F.array(*map(F.lit, FRAMES))).alias("timeframe"))
+    return rounded(s.build(_features(spark, sf), days, trust), 4)
+
+
+@query(
+    "compact_states",
+    f"""WITH w AS ({registered_sql("indicators_windowed")}), x AS ({registered_sql("indicators_recursive")}), t AS ({registered_sql("structure_trend")}), k AS (WITH {sql_bars()} SELECT asset, open_time, close FROM bars),
+    b AS (SELECT asset, open_time, coalesce(trend, 0) AS trend, greatest(-1, least(1, (close - sma_200) / sma_200 * 10)) * 0.5 + greatest(-1, least(1, (close - ema_21) / ema_21 * 20)) * 0.3 + coalesce(trend, 0) * 0.2 AS bias FROM k JOIN w USING (asset, open_time) JOIN x USING (asset, open_time) JOIN t USING (asset, open_time) WHERE sma_200 IS NOT NULL)
+    SELECT asset, open_time, round(greatest(-1, least(1, bias)), 4) AS bias_score, CASE WHEN (bias > 0) = (trend >= 0) THEN 1.0 ELSE 0.4 END::DOUBLE AS agreement, CASE WHEN bias > 0.15 AND trend >= 0 THEN 'aligned_bullish' WHEN bias < -0.15 AND trend <= 0 THEN 'aligned_bearish' WHEN abs(bias) > 0.15 THEN 'conflicted' ELSE 'rangebound' END AS alignment, 0.5::DOUBLE AS confidence FROM b""",
+)
+def compact_states(spark, sf):
+    """A bar's state in four numbers, as the walk-forward's regime model reads it."""
+    from barloom.operators.levels import vector
+
+    f = rounded(vector(event_bars(spark, sf), "1h", 200))
+    return s.compact(f).select("asset", "open_time", "bias_score", "agreement", "alignment", "confidence")
 
 
 @query(
@@ -168,3 +197,15 @@ def chain_statistics(spark, sf):
     found = b.select("asset", "source", "timeframe", (F.row_number().over(w) - 1).alias("bar"), kind.alias("kind")).where("kind IS NOT NULL")
     out = p.chain_statistics(b, found, horizons=(6, 12), within=6)
     return rounded(out.drop("source", "timeframe"))
+
+
+@query(
+    "ranked_statistics",
+    f"""WITH s AS ({registered_sql("chain_statistics")}), e AS (SELECT *, round(rate - baseline, 6) AS edge FROM s),
+    k AS (SELECT asset, chain, horizon, edge, p_value, significant AS informative, row_number() OVER (PARTITION BY asset ORDER BY p_value, asset, chain, horizon) AS place, row_number() OVER (PARTITION BY asset, significant ORDER BY CASE WHEN significant THEN -abs(edge) ELSE p_value END, asset, chain, horizon) AS place_in_group FROM e)
+    SELECT asset, chain, horizon, edge, p_value, informative, place::INT AS place, place_in_group::INT AS place_in_group FROM k WHERE place <= 40""",
+)
+def ranked_statistics(spark, sf):
+    """The measured chains of each asset in the order in which they are shown, forty at most."""
+    stats = chain_statistics(spark, sf).select("asset", "chain", "horizon", F.round(F.col("rate") - F.col("baseline"), 6).alias("edge"), "p_value", F.col("significant").alias("informative"))
+    return rec.ranked_statistics(stats, ("asset",), first=40)

@@ -178,6 +178,19 @@ def _panel(spark, sf):
     return s.panel(f, weights, s.calibration_records(f), independence(spark))
 
 
+@query(
+    "panel_members",
+    f"""WITH {_PANEL}, a AS (SELECT asset, as_of, list(sv.model || ':' || printf('%.6f', share) ORDER BY share DESC, sv.model) FILTER (share IS NOT NULL) AS ev, list(sv.model ORDER BY sv.model) FILTER (vote IS NULL) AS ab FROM sv GROUP BY 1, 2),
+    d AS (SELECT pp.asset, pp.as_of, list(sv.model ORDER BY sv.model) FILTER (vote IS NOT NULL AND (majority IS NULL OR vote <> majority)) AS di FROM pp JOIN sv ON sv.asset = pp.asset AND sv.as_of = pp.as_of GROUP BY 1, 2)
+    SELECT pp.asset, pp.as_of, CASE WHEN open THEN coalesce(array_to_string(ev[1:5], ','), '') END AS evidence, coalesce(array_to_string(di[1:4], ','), '') AS dissenters, coalesce(array_to_string(ab[1:6], ','), '') AS abstainers FROM pp JOIN a USING (asset, as_of) JOIN d USING (asset, as_of)""",
+)
+def panel_members(spark, sf):
+    """Which models carry a point, which speak against it and which are silent."""
+    out = _panel(spark, sf)
+    evidence = F.array_join(F.transform("evidence", lambda x: F.format_string("%s:%.6f", x["model"], x["weight"])), ",")
+    return out.select("asset", "as_of", evidence.alias("evidence"), F.array_join("dissenters", ",").alias("dissenters"), F.array_join("abstainers", ",").alias("abstainers"))
+
+
 @query(
     "ensemble_panel",
     f"""WITH {_PANEL} SELECT asset, as_of, members, votes, majority, round(consensus, 4) AS consensus, split, round(weight, 6) AS weight, floor(value * 100 + 0.25) / 100 AS value, limited_by, round(pu, 4) AS up, round(pf, 4) AS flat, round(pd, 4) AS down, published, reason,

@@ -98,3 +98,42 @@ def merged(batches: DataFrame, key: tuple[str, ...] = ("asset", "source", "timef
     # Every batch up to the first final one counts, then final ones only; the first makes the row, the others revise it.
     counted = F.size(F.filter("_b", lambda x: F.col("_first").isNull() | (x["batch"] <= F.col("_first")) | x["final"]))
     return g.select(*key, "row.*", (counted - 1).cast("long").alias("revision"))
+
+
+def feed_sink(path: str, least: int = 0):
+    """A foreachBatch function that appends a batch's sent alerts of a level to a feed of JSON lines, one partition a batch; a replayed batch replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.where((F.col("held") == "") & (F.col("level") >= least)) if "held" in batch.columns else batch.where(F.col("level") >= least)
+        rows.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return write
+
+
+def recorded(sink, runs: str, accepted: str = "true", **about: str):
+    """A foreachBatch function that passes a batch to `sink` and records the run once: when it began and ended, rows read, accepted and rejected, error.
+
+    The rows are counted while the sink writes them. A run is a partition named by its batch, so a replay adds none. A batch that
+    fails is recorded as failed, and fails still.
+    """
+    from datetime import UTC, datetime
+
+    from pyspark.sql import Observation
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, began, seen = batch.sparkSession, datetime.now(UTC), Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("read"), F.count(F.when(F.expr(accepted), 1)).alias("accepted"))
+        error = None
+        try:
+            sink(counted, number)
+        except Exception as e:
+            error = str(e)[:500]
+            raise
+        finally:
+            got = seen.get if error is None else {}
+            ended = datetime.now(UTC)
+            row = (began, ended, (ended - began).total_seconds(), got.get("read"), got.get("accepted"), None if error else got["read"] - got["accepted"], error, *about.values())
+            kinds = "began timestamp, ended timestamp, seconds double, read long, accepted long, rejected long, error string" + "".join(f", {c} string" for c in about)
+            spark.createDataFrame([row], kinds).coalesce(1).write.mode("overwrite").parquet(f"{runs}/batch={number}")
+
+    return write
