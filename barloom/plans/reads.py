@@ -355,3 +355,33 @@ def watch_list(spark, sf):
 
     assets = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("asset"), (F.length("event_type") % 3).alias("tier")).distinct()
     return records.watch_list(assets, ("1m", "5m", "1h", "1d"))
+
+
+@query(
+    "funding_bodies",
+    f"""WITH {_DER}, d AS (SELECT *, date_trunc('day', ts) AS day, day(ts) % 5 = 0 AS down FROM der) SELECT asset, CASE WHEN down THEN 'second' ELSE 'first' END AS source, epoch_us(ts) // 1000 AS ts_ms, rate, 8.0::DOUBLE AS interval_hours, CASE WHEN NOT down THEN mark_price END AS mark_price FROM d WHERE day(ts) % 10 <> 0""",
+)
+def funding_bodies(spark, sf):
+    """A day's rates of an asset as an answer of two providers: the first fails every fifth day, the second every tenth and knows no mark price."""
+    from barloom.sources import derivatives as d
+
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    row = lambda mark: F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("fundingTime"), F.col("rate").cast("string").alias("fundingRate"), mark.alias("markPrice"))
+    answers = derivatives(spark, sf).groupBy("asset", day.alias("day")).agg(F.to_json(F.collect_list(row(F.col("mark_price").cast("string")))).alias("first"), F.to_json(F.collect_list(row(F.lit("")))).alias("second"))
+    failed = F.lit('{"code": -1121}')
+    bodies = answers.select("asset", "day", F.col("day").alias("fetched_at"), F.explode(F.create_map(F.lit("first"), F.when(F.day("day") % 5 == 0, failed).otherwise(F.col("first")), F.lit("second"), F.when(F.day("day") % 10 == 0, failed).otherwise(F.col("second")))).alias("provider", "body"))
+    points, _ = d.first_capable(d.funding(bodies), ("first", "second"), ("asset", "day"))
+    return points.select("asset", "source", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "rate", "interval_hours", "mark_price")
+
+
+@query(
+    "own_indicators",
+    f"""WITH {sql_bars()}, w AS (SELECT *, row_number() OVER o AS n, max(high) OVER f AS t, min(low) OVER f AS b FROM bars WINDOW o AS (PARTITION BY asset ORDER BY open_time), f AS (PARTITION BY asset ORDER BY open_time ROWS 19 PRECEDING)),
+    x AS (SELECT *, CASE WHEN n >= 20 THEN CASE WHEN t > b THEN (close - b) / (t - b) ELSE 0.5 END END AS s FROM w)
+    SELECT asset, open_time, round(s, 6) AS range_share, round(CASE WHEN n >= 24 THEN avg(s) OVER (PARTITION BY asset ORDER BY open_time ROWS 4 PRECEDING) END, 6) AS range_share_mean FROM x""",
+)
+def own_indicators(spark, sf):
+    """Registered column builders, one of which reads the other."""
+    from barloom.operators.columns import with_indicators
+
+    return rounded(with_indicators(event_bars(spark, sf), "range_share", "range_share_mean").select("asset", "open_time", "range_share", "range_share_mean"))
