@@ -77,6 +77,16 @@ def contexts(bars: DataFrame, horizon: int, key=KEY) -> DataFrame:
     return df.withColumn("realised", F.when(F.col("close") > 0, (F.lead("close", horizon).over(order) - F.col("close")) / F.col("close") * 100))
 
 
+def expected_volatility(bars: DataFrame, horizon: int, key=KEY) -> DataFrame:
+    """bars with expected_volatility: the median absolute move (percent) of the last 100 over a horizon, which grows with its root; 0 before five moves."""
+    order = Window.partitionBy(*key).orderBy("open_time")
+    last = F.lag("close").over(order)
+    df = bars.withColumn("_r", F.when(last > 0, F.abs((F.col("close") - last) / last * 100)))
+    frame = order.rowsBetween(-99, 0)
+    typical = F.when(F.count("_r").over(frame) >= 5, F.percentile("_r", F.lit(0.5)).over(frame)).otherwise(0.0)
+    return df.withColumn("expected_volatility", typical * max(1, horizon) ** 0.5).drop("_r")
+
+
 def coarse_regime(bars: DataFrame, window: int = 100, key=KEY) -> DataFrame:
     """bars with drift (in units of noise) and regime: trend by 0.5 of noise, volatility by a typical move of 0.4 percent."""
     order = Window.partitionBy(*key).orderBy("open_time")

@@ -186,26 +186,28 @@ def story_events(told: DataFrame) -> DataFrame:
 def recycled(events: DataFrame, hours: int = RECYCLED_HOURS) -> DataFrame:
     """events with recycled_from: when the first earlier story began that is similar and more than `hours` older.
 
+    A story with the same first title isn't a re-telling but the same story, and doesn't count.
+
     Similarity is the Jaccard similarity of the stories' words by the later story's cycle's weights, at least SAME_STORY; a word that the
     cycle doesn't have weighs as much as its rarest. A story that reaches it shares a word outside the commonest ones that make up less than
     SAME_STORY of its own weight, so only its other words, the rarest, are looked up among the earlier stories.
     """
     from pyspark.sql import Window
 
-    told = events.select("cycle", "story", "earliest", "cycle_titles", "words", F.array_sort(F.array_distinct("words")).alias("signature"))
+    told = events.select("cycle", "story", "cluster_id", "earliest", "cycle_titles", "words", F.array_sort(F.array_distinct("words")).alias("signature"))
     used = told.select("cycle", "cycle_titles", F.explode("words").alias("token")).groupBy("cycle", "token").agg(F.count("*").alias("df"), F.first("cycle_titles").alias("n"))
     weights = used.select("cycle", "token", F.greatest(F.lit(FLOOR), F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("w"))
     unseen = weights.groupBy("cycle").agg(F.max("w").alias("unseen"))
-    # Of equal signatures the oldest comes first in any case.
-    known = told.groupBy("signature").agg(F.min("earliest").alias("began")).withColumn("known", F.sha2(F.array_join("signature", " "), 256))
-    posts = known.select("known", "began", "signature", F.explode("signature").alias("token"))
+    # Of equal signatures and first titles the oldest comes first in any case.
+    known = told.groupBy("signature", "cluster_id").agg(F.min("earliest").alias("began")).withColumn("known", F.sha2(F.concat_ws(" ", F.col("cluster_id"), F.col("signature")), 256)).withColumnRenamed("cluster_id", "titled")
+    posts = known.select("known", "began", "titled", "signature", F.explode("signature").alias("token"))
     often = posts.groupBy("token").agg(F.count("*").alias("often"))
-    own = told.select("cycle", "story", "earliest", F.explode("signature").alias("token")).join(weights, ["cycle", "token"]).join(often, "token")
+    own = told.select("cycle", "story", "cluster_id", "earliest", F.explode("signature").alias("token")).join(weights, ["cycle", "token"]).join(often, "token")
     story = Window.partitionBy("cycle", "story")
     own = own.withColumn("mass", F.sum("w").over(story)).withColumn("rest", F.sum("w").over(story.orderBy(F.desc("often"), "token").rowsBetween(Window.unboundedPreceding, 0)))
-    asked = own.where(F.col("rest") >= F.col("mass") * (SAME_STORY - 1e-9)).select("cycle", "story", "earliest", "token")
+    asked = own.where(F.col("rest") >= F.col("mass") * (SAME_STORY - 1e-9)).select("cycle", "story", "cluster_id", "earliest", "token")
     older = F.col("began") + F.expr(f"INTERVAL {hours} HOURS") < F.col("earliest")
-    pairs = asked.join(posts.select("token", "known", "began"), "token").where(older).select("cycle", "story", "known").distinct()
+    pairs = asked.join(posts.select("token", "known", "began", "titled"), "token").where(older & (F.col("titled") != F.col("cluster_id"))).select("cycle", "story", "known").distinct()
     mine = own.groupBy("cycle", "story").agg(F.first("mass").alias("mass"), F.collect_list(F.struct("token", "w")).alias("weighed"))
     both = pairs.join(mine, ["cycle", "story"]).join(known, "known")
     shared = F.aggregate(F.filter("weighed", lambda x: F.array_contains(F.col("signature"), x["token"])), F.lit(0.0), lambda a, x: a + x["w"])

@@ -51,6 +51,8 @@ IMPACT_PRIORS = {
 }
 #: What counts as elevated, bars before an event, events that a test and a finding need, slots that an event looks ahead for a bar.
 ELEVATED, BEFORE, LEAST_EVENTS, EVIDENCE, SLOTS = 1.5, 48, 5, 25, 8
+#: The asset of measurements over all assets.
+ANY = "ANY"
 
 
 def first_bars(events: DataFrame, bars: DataFrame, timeframe: str) -> DataFrame:
@@ -122,15 +124,26 @@ def impact(bars: DataFrame, events: DataFrame, timeframe: str = "1h", horizons:
     return long.withColumn("verdict", verdict).drop("_i", "hits", "base_hits", "base_n")
 
 
+def impact_verdicts(measured: DataFrame) -> DataFrame:
+    """Of each asset, category and horizon of impact's tests, what they come to in words. The texts are fixed values."""
+    said = lambda v: F.max((F.coalesce(F.col("verdict"), F.lit("")) == v).cast("int")) == 1
+    g = measured.groupBy("asset", "category", "horizon").agg(F.first("events").alias("events"), said("moves direction").alias("_d"), said("moves volatility").alias("_v"), said("suppresses volatility").alias("_c"))
+    few = F.format_string(f"insufficient evidence (%d events, need {EVIDENCE})", "events")
+    words = F.when(F.col("events") < EVIDENCE, few).when(F.col("_d"), "moves price directionally").when(F.col("_v"), "precedes elevated volatility, direction unpredictable").when(F.col("_c"), "followed by calmer-than-usual conditions").otherwise("no measurable impact")
+    return g.select("asset", "category", "horizon", "events", words.alias("verdict"))
+
+
 def impact_estimates(events: DataFrame, measured: DataFrame | None = None) -> DataFrame:
-    """events (category, importance, confidence, asset) with what they may bring: the category's prior, or what was measured for it with evidence, scaled by importance."""
+    """events (category, importance, confidence, asset) with what they may bring: the category's prior, or what was measured for it with evidence on the asset, else on ANY, scaled by importance."""
     prior = F.create_map(*(x for c, p in IMPACT_PRIORS.items() for x in (F.lit(c), F.struct(F.lit(p[0]).alias("vol"), F.lit(p[1]).alias("dir"), F.lit(p[2]).alias("hours")))))
     df = events.withColumn("_p", F.coalesce(prior[F.col("category")], F.struct(F.lit(1.0).alias("vol"), F.lit(0.0).alias("dir"), F.lit(6.0).alias("hours"))))
     if measured is None:
         df = df.withColumn("_m", F.lit(None).cast("struct<ratio:double,horizon:int,moves:boolean>"))
     else:
-        one = measured.where(F.col("events") >= EVIDENCE).groupBy("asset", "category").agg(F.max_by(F.struct(F.col("median_ratio").alias("ratio"), "horizon", (F.coalesce("verdict", F.lit("")) == "moves direction").alias("moves")), F.struct("horizon", "test")).alias("_m"))
-        df = df.join(one, ["asset", "category"], "left")
+        each = measured.where(F.col("events") >= EVIDENCE).groupBy("asset", "category", "horizon").agg(F.first("median_ratio").alias("ratio"), F.max(F.coalesce("verdict", F.lit("")) == "moves direction").alias("moves"))
+        one = each.groupBy("asset", "category").agg(F.max_by(F.struct("ratio", "horizon", "moves"), "horizon").alias("_m"))
+        anywhere = one.where(F.col("asset") == ANY).select("category", F.col("_m").alias("_any"))
+        df = df.join(one, ["asset", "category"], "left").join(anywhere, "category", "left").withColumn("_m", F.coalesce("_m", "_any")).drop("_any")
     scale, known = 0.6 + 0.8 * F.col("importance"), F.col("_m").isNotNull()
     return df.select(
         *events.columns,

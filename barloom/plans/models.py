@@ -86,6 +86,15 @@ def reliability_diagram(spark, sf):
     return rounded(e.reliability(f).select("outcome", "bin", "n", "mean_stated", "hits", "observed"))
 
 
+@query(
+    "expected_volatility",
+    f"""WITH {sql_bars()}, x AS (SELECT asset, open_time, abs((close - lag(close) OVER w) / lag(close) OVER w * 100) AS r FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time)),
+    m AS (SELECT asset, open_time, count(r) OVER f AS n, median(r) OVER f AS c FROM x WINDOW f AS (PARTITION BY asset ORDER BY open_time ROWS 99 PRECEDING)) SELECT asset, open_time, round(CASE WHEN n >= 5 THEN c ELSE 0 END * sqrt({H}), 6) AS expected_volatility FROM m""",
+)
+def expected_volatility(spark, sf):
+    return rounded(m.expected_volatility(event_bars(spark, sf), H).select("asset", "open_time", "expected_volatility"))
+
+
 @query(
     "correlation_matrix",
     f"WITH {sql_bars('1d')}, x AS (SELECT asset, open_time, (close - lag(close) OVER w) / lag(close) OVER w * 100 AS ret FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time)) SELECT p.asset AS a, q.asset AS b, count(*) AS n, round(CASE WHEN count(*) < 20 THEN 0 ELSE corr(p.ret, q.ret) END, 6) AS correlation FROM x p JOIN x q ON p.open_time = q.open_time AND p.asset < q.asset WHERE p.ret IS NOT NULL AND q.ret IS NOT NULL GROUP BY 1, 2",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numbers import rounded, sql_tail
 from barloom.operators import universe as u
-from barloom.plans.registry import query
+from barloom.plans.registry import query, registered_sql
 from barloom.plans.sql import bars as sql_bars
 from barloom.sources.bars import event_bars
 
@@ -64,11 +64,27 @@ def _horizon(h: int) -> str:
     SELECT asset, category, horizon::INT AS horizon, test, events, round(median_ratio, 6) AS median_ratio, round(mean_ratio, 6) AS mean_ratio, round(median_return_pct, 6) AS median_return_pct, round(rate, 6) AS rate, round(baseline, 6) AS baseline, round(p_value, 6) AS p_value, coalesce(p_value <= max(CASE WHEN p_value <= i * 0.05 / c THEN p_value END) OVER (PARTITION BY asset), false) AS significant FROM tr""",
 )
 def event_impact(spark, sf):
+    return rounded(_impact(spark, sf).drop("verdict"))
+
+
+def _impact(spark, sf):
     """Large single events as news about their type's bars; every seventh is recycled, every fifth user's about something else."""
     e = spark.read.parquet(f"{sf}/events.parquet").where("value > 80")
     kind = F.when(F.col("value") > 120, "etf").when(F.col("event_id") % 2 == 0, "enforcement").otherwise("macro")
     news = e.select(F.col("event_type").alias("asset"), kind.alias("category"), F.col("ts").alias("at"), F.when(F.col("user_id") % 5 == 0, 0.2).otherwise(0.8).alias("relevance"), (F.col("event_id") % 7 == 0).alias("is_recycled"))
-    return rounded(u.impact(event_bars(spark, sf), news).drop("verdict"))
+    return u.impact(event_bars(spark, sf), news)
+
+
+@query(
+    "impact_verdicts",
+    f"""WITH t AS ({registered_sql("event_impact")}), w AS (SELECT *, rate AS p, events AS n FROM t),
+    i AS (SELECT *, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) AS mid, 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n) AS half FROM w),
+    v AS (SELECT *, events >= 25 AND significant AND (mid - half > baseline OR mid + half < baseline) AS sure FROM i)
+    SELECT asset, category, horizon, any_value(events) AS events, CASE WHEN any_value(events) < 25 THEN 'insufficient evidence (' || any_value(events) || ' events, need 25)' WHEN bool_or(sure AND rate > baseline AND test = 'directional') THEN 'moves price directionally'
+      WHEN bool_or(sure AND rate > baseline AND test = 'elevated') THEN 'precedes elevated volatility, direction unpredictable' WHEN bool_or(sure AND rate < baseline AND test = 'elevated') THEN 'followed by calmer-than-usual conditions' ELSE 'no measurable impact' END AS verdict FROM v GROUP BY 1, 2, 3""",
+)
+def impact_verdicts(spark, sf):
+    return u.impact_verdicts(_impact(spark, sf))
 
 
 @query(

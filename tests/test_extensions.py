@@ -87,3 +87,16 @@ def test_own_folds_are_table_functions(spark):
     spark.createDataFrame(rows, "asset string, i int, close double").repartition(3).createOrReplaceTempView("own_closes")
     got = spark.sql("SELECT * FROM streak(TABLE(own_closes) PARTITION BY asset ORDER BY i)").collect()
     assert sorted((r.asset, r.i, r.n) for r in got) == [("A", 0, 0), ("A", 1, 1), ("A", 2, 2), ("A", 3, 0), ("A", 4, 1), ("B", 0, 0), ("B", 1, 0), ("B", 2, 1), ("B", 3, 2), ("B", 4, 0)]
+
+
+def test_measured_impact_of_an_asset_else_of_any(spark):
+    from barloom.operators import universe
+
+    tests = "asset string, category string, horizon int, test string, events long, median_ratio double, verdict string"
+    measured = spark.createDataFrame([("BTC", "etf", 6, "elevated", 40, 2.0, None), ("BTC", "etf", 6, "directional", 40, 2.0, "moves direction"), ("ANY", "etf", 24, "elevated", 30, 1.5, "moves volatility"), ("ANY", "macro", 6, "elevated", 10, 9.0, "moves volatility")], tests)
+    events = spark.createDataFrame([(a, c, 0.5, 0.4) for a in ("BTC", "ETH") for c in ("etf", "macro")], "asset string, category string, importance double, confidence double")
+    got = {(r.asset, r.category): (r.volatility_multiple, r.expected_hours, r.measured, r.direction_bias != 0, r.sureness) for r in universe.impact_estimates(events, measured).collect()}
+    assert got["BTC", "etf"] == (2.0, 6.0, True, True, 0.5) and got["ETH", "etf"] == (1.5, 24.0, True, False, 0.5)
+    assert not got["BTC", "macro"][2] and not got["ETH", "macro"][2] and got["ETH", "macro"][4] == 0.23
+    words = {(r.asset, r.category, r.horizon): r.verdict for r in universe.impact_verdicts(measured).collect()}
+    assert words == {("BTC", "etf", 6): "moves price directionally", ("ANY", "etf", 24): "precedes elevated volatility, direction unpredictable", ("ANY", "macro", 6): "insufficient evidence (10 events, need 25)"}
