@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numbers import rounded
-from barloom.plans import bars as _bars  # noqa: F401  its SQL is used below
+from barloom.operators.levels import vector
+from barloom.plans import alerts as _alerts  # noqa: F401  their SQL is used below
+from barloom.plans import bars as _bars  # noqa: F401
 from barloom.plans.registry import query, registered_sql
 from barloom.plans.sql import bars as sql_bars
 from barloom.sources.bars import event_bars
@@ -32,3 +34,14 @@ def folded_features(spark, sf):
     stored = features.history(b.where("at <= half"), most=None)
     out = features.folded(b.where(F.col("at") > F.col("half") - _AGAIN), "1h", stored)
     return rounded(out.select("asset", "open_time", "bars_seen", "refused", *_SHOWN))
+
+
+@query(
+    "feature_columns",
+    f"""WITH v AS ({registered_sql("feature_vectors")}), w AS ({registered_sql("indicators_windowed")}), r AS ({registered_sql("indicators_recursive")})
+    SELECT asset, open_time, {", ".join(_SHOWN)}, range_pct, change_pct, structure_trend FROM v JOIN w USING (asset, open_time) JOIN r USING (asset, open_time)""".replace(", sma_20,", ", w.sma_20,"),
+)
+def feature_columns(spark, sf):
+    """The columns of a stored feature vector that SQL can say, of every bar from the two hundredth on."""
+    out = vector(event_bars(spark, sf), "1h")
+    return rounded(out.select("asset", "open_time", *_SHOWN, "range_pct", "change_pct", "structure_trend"))
