@@ -11,7 +11,7 @@ from barloom.operators import alerts as a
 from barloom.operators import levels, similarity
 from barloom.operators.indicators import recursive, windowed
 from barloom.operators.models import coarse_regime
-from barloom.plans.registry import query
+from barloom.plans.registry import query, registered_sql
 from barloom.plans.sql import bars as sql_bars
 from barloom.plans.stored import _PANEL
 from barloom.sources.bars import event_bars
@@ -229,3 +229,15 @@ def structure_trend(spark, sf):
 )
 def feature_vectors(spark, sf):
     return rounded(levels.vector(event_bars(spark, sf), "1h").select("asset", "open_time", "sma_20", "range_pct", "change_pct", "structure_trend"))
+
+
+@query(
+    "budget_left",
+    f"""WITH v AS ({registered_sql("volume_alerts")}), s AS (SELECT asset, "at", epoch("at") AS s FROM v),
+    c AS (SELECT asset, "at", count(*) OVER (PARTITION BY asset ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS h, count(*) OVER (PARTITION BY asset ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS d FROM s)
+    SELECT asset AS recipient, "at", greatest(0, 6 - h)::INT AS hour_left, greatest(0, 30 - d)::INT AS day_left FROM c""",
+)
+def budget_left(spark, sf):
+    """What is left of the hour's and the day's budget after each alert, were all volume alerts sent to whoever follows the asset."""
+    sent = a.volume_rule(event_bars(spark, sf), 2.5).select(F.col("asset").alias("recipient"), "at", F.lit("").alias("held"))
+    return a.capacity(sent).select("recipient", "at", F.col("hour_left").cast("int").alias("hour_left"), F.col("day_left").cast("int").alias("day_left"))

@@ -146,3 +146,19 @@ def mood(spark, sf):
     sizes = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("item_id"), "n_chars")
     e = _stored_news(spark, sf).join(sizes, "item_id").withColumn("recycled_from", F.when(F.col("is_recycled"), F.lit("x"))).withColumn("confidence", F.lit(1.0)).withColumn("sentiment_score", (F.col("n_chars") % 21 - 10) / 10)
     return rounded(n.mood(e, ("category",)))
+
+
+_GRAMS = "CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
+
+
+@query(
+    "title_similarity",
+    f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), g AS (SELECT doc_id, list_distinct({_GRAMS}) AS g, lead(list_distinct({_GRAMS})) OVER (ORDER BY doc_id) AS h FROM t)
+    SELECT doc_id AS item_id, len(g)::INT AS shingles, round(CASE WHEN len(list_intersect(g, h)) > 0 THEN len(list_intersect(g, h)) / len(list_distinct(g || h)) ELSE 0 END, 6) AS similarity FROM g WHERE h IS NOT NULL""",
+)
+def title_similarity(spark, sf):
+    """Each title's pairs of words, and how many of them the next item's title shares."""
+    own = articles(spark, sf).select("item_id", n.title_shingles(F.col("title")).alias("g"))
+    after = own.select((F.col("item_id") - 1).alias("item_id"), F.col("g").alias("h"))  # ids run without a gap
+    out = own.join(after, "item_id")
+    return rounded(out.select("item_id", F.size("g").alias("shingles"), n.jaccard(F.col("g"), F.col("h")).alias("similarity")))

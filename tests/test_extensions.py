@@ -100,3 +100,17 @@ def test_measured_impact_of_an_asset_else_of_any(spark):
     assert not got["BTC", "macro"][2] and not got["ETH", "macro"][2] and got["ETH", "macro"][4] == 0.23
     words = {(r.asset, r.category, r.horizon): r.verdict for r in universe.impact_verdicts(measured).collect()}
     assert words == {("BTC", "etf", 6): "moves price directionally", ("ANY", "etf", 24): "precedes elevated volatility, direction unpredictable", ("ANY", "macro", 6): "insufficient evidence (10 events, need 25)"}
+
+
+def test_tables_are_made_once_and_events_appended(spark, tmp_path):
+    for _ in range(2):
+        store.create_table(spark, "own_log", "asset string, day date", ("day",))
+    spark.sql("INSERT INTO own_log VALUES ('A', DATE '2025-01-01')")
+    store.create_table(spark, "own_log", "asset string, day date", ("day",))
+    assert spark.table("own_log").collect()[0].asset == "A"
+    spark.sql("DROP TABLE own_log")
+    events = spark.createDataFrame([(AT, "x" * 3000), (AT + timedelta(days=1), None)], "detected_at timestamp_ntz, message string")
+    for _ in range(2):
+        store.append_events(events, f"{tmp_path}/log", 100)
+    got = spark.read.parquet(f"{tmp_path}/log")
+    assert got.count() == 4 and {len(r.message or "") for r in got.collect()} == {0, 100} and got.select("day").distinct().count() == 2
