@@ -56,6 +56,8 @@ BLOCK = 256
 #: Columns in which the shingles of crowded classes are counted, to put them in order.
 COUNTS = 1 << 20
 PACKS = 64
+#: Edges of a graph whose contraction is broadcast.
+FEW = 100_000
 #: Jaccard similarity of a link, in hundredths.
 SIMILAR = 75
 
@@ -210,7 +212,7 @@ def _columns(texts: DataFrame) -> np.ndarray:
 def _rest(hot: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect what the classes hot (node, label, n) of different labels link, found in an index of their shingles."""
     spark = hot.sparkSession
-    rows = written(texts.join(hot, "node"))
+    rows = written(texts.select("node", "text").join(hot, "node"))
     shared = spark.sparkContext.broadcast(_columns(rows))
 
     def rarest(batches):
@@ -242,10 +244,11 @@ def _rest(hot: DataFrame, texts: DataFrame) -> DataFrame:
     return found if crowd.isEmpty() else found.unionByName(_crowded(crowd.select("node", "token"), texts))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the similarity."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def _links(pairs: DataFrame, texts: DataFrame, where=None) -> DataFrame:
+    """The pairs (a, b) whose whole texts reach the similarity, of those that meet a condition on sig_a and sig_b."""
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b")), "b")
+    both = both if where is None else both.where(where)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
 
 
@@ -254,40 +257,54 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round contracts each node into its smallest neighbour, so the edges that
     are left shrink by a factor; ids that are hashes keep long paths from being in order.
+    A round of few edges broadcasts its contraction, and so needs neither a table of it nor a shuffle of the edges.
     """
-    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while True:
-        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        into = written(ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
-        if labels is None:
-            labels = into.select(F.col("a").alias("node"), F.col("to").alias("label"))
-        else:
-            labels = labels.join(into.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        moved = left.join(into, "a").select(F.col("to").alias("x"), "b").join(into.select(F.col("a").alias("b"), "to"), "b").select("x", F.col("to").alias("y"))
-        left = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if left.isEmpty():
-            return written(labels)
-        labels = written(labels)
+    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rounds = []
+    while n := left.count():
+        few = n <= FEW
+        ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("end")).select("end.*")
+        into = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
+        into = into if few else written(into)  # a table, so that a join with a hot node can be split
+        rounds.append((into, few))
+        moved = left.join(_small(into, few), "a").select(F.col("to").alias("x"), "b").join(_small(into.select(F.col("a").alias("b"), "to"), few), "b").select("x", F.col("to").alias("y"))
+        moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        left = written(moved if few else moved.distinct())
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    # From the last round back, so that each join is as small as its round.
+    labels, small = rounds.pop()
+    while rounds:
+        into, few = rounds.pop()
+        later = labels.select(F.col("a").alias("to"), F.col("to").alias("last"))
+        labels, small = into.join(_small(later, small), "to", "left").select("a", F.coalesce("last", "to").alias("to")), few
+    return written(labels.select(F.col("a").alias("node"), F.col("to").alias("label")))
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _relabelled(labels: DataFrame, to: DataFrame) -> DataFrame:
+    """labels (node, label) with the label in to (node, label) of what was a label."""
+    return written(labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after components that links (a, b) connect got one label."""
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    to = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return written(labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return _relabelled(labels, components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
 
-def _star(posts: DataFrame, turn: int, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+def _star(posts: DataFrame, turn: int, texts: DataFrame) -> DataFrame:
     """Links of the classes in posts (token, node, n, label) with an end of one of their postings, in another component: one comparison a class."""
     key = F.struct(F.xxhash64("label", F.lit(turn)).alias("key"), F.xxhash64("node", F.lit(turn)).alias("own"), "node", "n", "label")
     ends = written(posts.groupBy("token").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low.label <> high.label"))  # a table, so that a hot posting can be split
     met = posts.join(ends, "token").select("node", "n", "label", F.explode(F.array("low", "high")).alias("end")).where("label <> end.label")
     met = met.where(f"100 * least(n, end.n) >= {SIMILAR} * greatest(n, end.n)")
-    best = met.groupBy("node", F.col("end.node").alias("end")).count().groupBy("node").agg(F.max(F.struct("count", "end")).alias("best"))
-    star = best.select(F.least("node", "best.end").alias("a"), F.greatest("node", "best.end").alias("b")).distinct()
-    star = star.join(signatures.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(signatures.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    return _links(star.where(_collide("x", "y")).select("a", "b"), texts)
+    best = met.groupBy("node").agg(F.mode("end.node", True).alias("end"))
+    star = best.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    return _links(star, texts, _collide("sig_a", "sig_b"))
 
 
 def _collide(x: str, y: str):
@@ -327,41 +344,39 @@ def near_duplicates(docs: DataFrame, number: str | None = None) -> DataFrame:
     found = written(prefix.join(classes, "node"))
     posts = written(found.select("node", "n", F.explode("prefix.token").alias("token")))
     if own:
-        texts = written(docs.join(found.select("node", F.col("first.number").alias("number")), "number").select("node", "text"))
+        texts = written(docs.join(found.select("node", "sig", F.col("first.number").alias("number")), "number").select("node", "sig", "text"))
     else:
         wanted = found.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
         some_null = docs.where("doc_id IS NULL")
         texts = docs.join(wanted, "doc_id", "left_semi").unionByName(some_null).mapInArrow(_rekeyed, "doc_id long, text string, k1 long, k2 long")
-        texts = texts.join(found.select("node", "rep", "k1", "k2"), ["k1", "k2"])
-        texts = written(texts.where("doc_id <=> rep").select("node", "text").dropDuplicates(["node"]))
+        texts = texts.groupBy("k1", "k2").agg(F.any_value("text").alias("text"))  # any text of a class has all its shingles
+        texts = written(texts.join(found.select("node", "sig", "k1", "k2"), ["k1", "k2"]).select("node", "sig", "text"))
 
     # First the ends of each posting; crowded postings go on with other ends while a tenth of their classes finds a link.
-    labels = found.select("node", F.col("node").alias("label"))
-    links = written(_star(posts.join(labels, "node"), 0, found, texts))
-    labels, turn = _joined(labels, links), 1
-    mixed = _mixed(posts, labels)
-    while True:
-        crowd = mixed.where(f"many > {CROWD}")
-        waiting = crowd.select("node").distinct().count()
-        if not waiting:
-            break
-        links = written(_star(crowd, turn, found, texts))
-        if not links.isEmpty():
-            labels, turn = _joined(labels, links), turn + 1
-            mixed = _mixed(posts, labels)
+    links = written(_star(posts.withColumn("label", F.col("node")), 0, texts))
+    labels = _relabelled(found.select("node", F.col("node").alias("label")), components(links))
+    mixed, turn, more = _mixed(posts, labels), 0, []
+    while waiting := mixed.where(f"many > {CROWD}").select("node").distinct().count():
+        turn += 1
+        links = written(_star(mixed.where(f"many > {CROWD}"), turn, texts))
         if 10 * links.count() < waiting:
+            more.append(links)  # too few to sort the postings again
             break
+        labels = _joined(labels, links)
+        mixed = _mixed(posts, labels)
 
     # Then what different components still share.
     crowd = mixed.where(f"many > {CROWD}").select("node", "label", "n").distinct()
-    more = None if crowd.isEmpty() else written(_rest(crowd, texts))
+    if waiting:
+        more.append(written(_rest(crowd, texts)))
     held = written(mixed.where(f"many <= {CROWD}").join(found.select("node", "sig", F.col("prefix.token").alias("own")), "node"))
     a, b = held.alias("a"), held.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"), F.col("own").alias("other_own"))
     once = F.array_min(F.array_intersect("own", "other_own")) == F.col("a.token")
     near = F.expr(f"100 * least(n, m) >= {SIMILAR} * greatest(n, m)")
     pairs = a.join(b, (F.col("a.token") == b["token"]) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & near & _collide("sig", "other_sig") & once)
     last = written(_links(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), texts))
-    last = last if more is None else last.unionByName(more)
+    for links in more:
+        last = last.unionByName(links)
     if not last.isEmpty():
         labels = _joined(labels, last)
 

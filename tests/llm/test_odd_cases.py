@@ -153,6 +153,53 @@ def test_many_false_beginnings_take_linear_time(unit):
     assert min(took(40_000) for _ in range(2)) < 12 * max(0.02, min(took(10_000) for _ in range(3)))
 
 
+@pytest.mark.parametrize("few", [neardup.FEW if hasattr(neardup, "FEW") else 0, 5, 0])
+def test_components_of_long_paths_hubs_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few, raising=False)
+    rng = random.Random(4)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(400)]
+    edges = [*zip(ids[:90], ids[1:91], strict=True), *((ids[100], x) for x in ids[101:220]), *((ids[300 + rng.randrange(60)], ids[300 + rng.randrange(60)]) for _ in range(50)), (ids[250], ids[250])]
+    got = dict(map(tuple, neardup.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()))
+    want = {x: {x} for e in edges if e[0] != e[1] for x in e}
+    for x, y in edges:
+        if x != y and want[x] is not want[y]:
+            want[x] |= want[y]
+            for z in want[y]:
+                want[z] = want[x]
+    assert got.keys() == want.keys()
+    assert {frozenset(x for x in got if got[x] == label) for label in got.values()} == {frozenset(x) for x in want.values()}
+    assert neardup.components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
+def test_rounds_of_contraction_write_few_files(spark, monkeypatch):
+    """With many shuffle partitions and few links a run is bound by its writing tasks, a file each."""
+    monkeypatch.setattr(neardup, "CROWD", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    made = []
+
+    def written(df):
+        made.append(_run.written(df))
+        return made[-1]
+
+    monkeypatch.setattr(neardup, "written", written)
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        w = [f"t{i % 4}.{k}" if i < 160 else f"p{k}" if k < 40 else f"v{i}.{k}" for k in range(80)]
+        w[rng.randrange(80)] = f"u{i}"
+        rows.append((i, " ".join(w)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected_components(rows)
+    assert sum(len(df.inputFiles()) for df in made) <= 215
+
+
 def test_variants_of_one_template(spark, monkeypatch):
     """Crowded postings of one template, some variants too far from the others, and of a passage that no two may be linked by."""
     monkeypatch.setattr(neardup, "CROWD", 16)
