@@ -23,13 +23,14 @@ RETRACEMENTS = (0.236, 0.382, 0.5, 0.618, 0.786)
 
 
 def clusters(points: Column) -> Column:
-    """Levels of an array of (price, bar): points within NEAR_PCT of a cluster's lowest member join it; two touches make a level. Most touched first."""
+    """Levels of an array of (price, bar): points within NEAR_PCT of a cluster's lowest member join it, at a lowest price of 0 only points at 0; two touches make a level. Most touched first."""
     kind = "array<struct<first:double,total:double,n:int,seen_from:int,seen_to:int>>"
     s = F.array_sort(F.transform(points, lambda p: F.struct(p["price"].alias("price"), p["bar"].cast("int").alias("bar"))))
 
     def step(acc, p):
         last = F.try_element_at(acc, F.lit(-1))
-        joins = last.isNotNull() & (F.abs(p["price"] - last["first"]) / last["first"] * 100 <= NEAR_PCT)
+        near = F.when(last["first"] == 0, p["price"] == 0).otherwise(F.abs(p["price"] - last["first"]) / last["first"] * 100 <= NEAR_PCT)
+        joins = last.isNotNull() & near
         grown = F.struct(last["first"].alias("first"), (last["total"] + p["price"]).alias("total"), (last["n"] + 1).alias("n"), F.least(last["seen_from"], p["bar"]).alias("seen_from"), F.greatest(last["seen_to"], p["bar"]).alias("seen_to"))
         new = F.struct(p["price"].alias("first"), p["price"].alias("total"), F.lit(1).alias("n"), p["bar"].alias("seen_from"), p["bar"].alias("seen_to"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new))).cast(kind)
