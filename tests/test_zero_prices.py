@@ -41,3 +41,10 @@ def test_levels_at_zero(spark, zeros):
     got, sql = both(spark, zeros, "price_levels")
     assert got == sql
     assert [x[2] for x in got if x[:2] == ("some", 0.0)] == [14]
+
+
+def test_structure_with_prices_of_zero(spark, zeros):
+    rows = plans.queries()["market_structure"](spark, zeros).collect()
+    assert len(rows) == 3 * 35 and all(r.support is None or r.support >= 0 for r in rows)
+    assert any(r.support == 0 and r.asset == "some" for r in rows)
+    assert all(r.poc is None and r.trend == 0 and r.n_levels == 0 for r in rows if r.asset == "flat")
