@@ -48,3 +48,8 @@ def test_structure_with_prices_of_zero(spark, zeros):
     assert len(rows) == 3 * 35 and all(r.support is None or r.support >= 0 for r in rows)
     assert any(r.support == 0 and r.asset == "some" for r in rows)
     assert all(r.poc is None and r.trend == 0 and r.n_levels == 0 for r in rows if r.asset == "flat")
+
+
+def test_trend_with_prices_of_zero(spark, zeros):
+    got, sql = both(spark, zeros, "structure_trend")
+    assert got == sql and len(got) == 3 * 290
