@@ -16,6 +16,12 @@ def ratio(a: Column, b: Column, other: float | None = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(other).cast("double"))
 
 
+def divided(a: Column, b: Column) -> Column:
+    """a / b as DuckDB divides doubles: infinite where only b is 0, NaN where both are. Spark's own division fails there."""
+    odd = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+    return F.when(b != 0, a / b).when(b == 0, odd)
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 

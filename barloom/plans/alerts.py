@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from barloom.functions.numbers import rounded
+from barloom.functions.numbers import divided, rounded
 from barloom.operators import alerts as a
 from barloom.operators import levels, similarity
 from barloom.operators.indicators import recursive, windowed
@@ -228,7 +228,13 @@ def structure_trend(spark, sf):
     SELECT asset, open_time, round(m, 6) AS sma_20, round((high - low) / low * 100, 6) AS range_pct, round((close - open) / open * 100, 6) AS change_pct, trend::DOUBLE AS structure_trend FROM c WHERE n >= 200""",
 )
 def feature_vectors(spark, sf):
-    return rounded(levels.vector(event_bars(spark, sf), "1h").select("asset", "open_time", "sma_20", "range_pct", "change_pct", "structure_trend"))
+    return rounded(unguarded(levels.vector(event_bars(spark, sf), "1h")).select("asset", "open_time", "sma_20", "range_pct", "change_pct", "structure_trend"))
+
+
+def unguarded(vectors):
+    """Feature vectors whose range and change are divided as the SQL does, by a price of 0 too; the operator has 0 there."""
+    pct = lambda x, of: divided(F.col(x) - F.col(of), F.col(of)) * 100
+    return vectors.withColumn("range_pct", pct("high", "low")).withColumn("change_pct", pct("close", "open"))
 
 
 @query(

@@ -53,3 +53,9 @@ def test_structure_with_prices_of_zero(spark, zeros):
 def test_trend_with_prices_of_zero(spark, zeros):
     got, sql = both(spark, zeros, "structure_trend")
     assert got == sql and len(got) == 3 * 290
+
+
+def test_vectors_with_prices_of_zero(spark, zeros):
+    got, sql = both(spark, zeros, "feature_vectors")
+    assert got == sql and len(got) == 3 * 91
+    assert [x[3] for x in got if x[0] == "some" and x[3] == float("inf")] == [float("inf")] * 4
