@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numbers import rounded
 from barloom.operators.levels import vector
-from barloom.plans import alerts as _alerts  # noqa: F401  their SQL is used below
-from barloom.plans import bars as _bars  # noqa: F401
+from barloom.plans import alerts as _alerts
+from barloom.plans import bars as _bars  # noqa: F401  its SQL is used below
 from barloom.plans.registry import query, registered_sql
 from barloom.plans.sql import bars as sql_bars
 from barloom.sources.bars import event_bars
@@ -43,5 +43,5 @@ def folded_features(spark, sf):
 )
 def feature_columns(spark, sf):
     """The columns of a stored feature vector that SQL can say, of every bar from the two hundredth on."""
-    out = vector(event_bars(spark, sf), "1h")
+    out = _alerts.unguarded(vector(event_bars(spark, sf), "1h"))
     return rounded(out.select("asset", "open_time", *_SHOWN, "range_pct", "change_pct", "structure_trend"))

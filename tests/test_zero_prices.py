@@ -59,3 +59,10 @@ def test_vectors_with_prices_of_zero(spark, zeros):
     got, sql = both(spark, zeros, "feature_vectors")
     assert got == sql and len(got) == 3 * 91
     assert [x[3] for x in got if x[0] == "some" and x[3] == float("inf")] == [float("inf")] * 4
+
+
+def test_columns_with_prices_of_zero(spark, zeros):
+    got, sql = both(spark, zeros, "feature_columns")
+    held = [(a, b) for a, b in zip(got, sql, strict=True) if a[0] == "some"]
+    assert len(got) == 3 * 91 and all(a == b for a, b in held)
+    assert sum(x == float("inf") for a, _ in held for x in a) == 4
