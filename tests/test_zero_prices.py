@@ -66,3 +66,8 @@ def test_columns_with_prices_of_zero(spark, zeros):
     held = [(a, b) for a, b in zip(got, sql, strict=True) if a[0] == "some"]
     assert len(got) == 3 * 91 and all(a == b for a, b in held)
     assert sum(x == float("inf") for a, _ in held for x in a) == 4
+
+
+def test_states_with_prices_of_zero(spark, zeros):
+    got, sql = both(spark, zeros, "compact_states")
+    assert got == sql and len(got) == 3 * 91
