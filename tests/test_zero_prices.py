@@ -71,3 +71,8 @@ def test_columns_with_prices_of_zero(spark, zeros):
 def test_states_with_prices_of_zero(spark, zeros):
     got, sql = both(spark, zeros, "compact_states")
     assert got == sql and len(got) == 3 * 91
+
+
+def test_market_state_with_prices_of_zero(spark, zeros):
+    rows = plans.queries()["market_state"](spark, zeros).collect()
+    assert len({(r.asset, r.as_of) for r in rows}) == len(rows) == 3 * 13
