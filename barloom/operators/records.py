@@ -33,12 +33,10 @@ def state_actionable(confidence: Column, conflicted: Column) -> Column:
 
 
 def score_summary(scores: DataFrame, by: tuple[str, ...] = ("source",)) -> DataFrame:
-    """Mean and least score of each group, and which of its scopes (asset, timeframe) are degraded or unusable."""
-    scope = F.concat_ws("/", "asset", "timeframe")
-    return scores.groupBy(*by).agg(
-        F.round(F.avg("score"), 4).alias("mean"), F.min("score").alias("least"), F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("score") < 0.75, scope))).alias("degraded"), F.array_sort(F.collect_list(F.when(F.col("score") < 0.35, scope))).alias("unusable"),
-    )
+    """Mean and least score of each group, and which of its scopes (asset, timeframe) are degraded or unusable. Without `by` all scores are one group, none too."""
+    scope = F.struct("asset", "timeframe")
+    below = lambda x: F.transform(F.array_sort(F.collect_list(F.when(F.col("score") < x, scope))), lambda s: F.concat_ws("/", s["asset"], s["timeframe"]))
+    return scores.groupBy(*by).agg(F.round(F.avg("score"), 4).alias("mean"), F.min("score").alias("least"), F.count("*").alias("n"), below(0.75).alias("degraded"), below(0.35).alias("unusable"))
 
 
 def batch_verdicts(events: DataFrame, batch: tuple[str, ...]) -> DataFrame:
