@@ -2,19 +2,25 @@
 
 Parsing and classification are expressions. Articles are gathered into stories within
 a news cycle (a day by default): a cycle's articles are one group, in which an inverted
-token index keeps the comparisons to stories that share a token.
+token index keeps the comparisons to stories that share a token. Stories are looked up
+among all earlier ones block by block, each pair of blocks with such an index of its own.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.numbers import clip, let
+from barloom.sources.tables import stored
 
 #: Words that tell stories apart by nothing, names of assets, rules and lexicons.
 STOPWORDS = (
@@ -64,6 +70,8 @@ OUTLET_SUFFIX = r"\s+[-|–—]\s+[a-z0-9 .']{2,30}$"
 SAME_STORY = 0.30
 FLOOR = 0.15
 RECYCLED_HOURS = 36
+#: Stories a block that asks for earlier ones (whole cycles), and known stories a block.
+ASKING_A_BLOCK, KNOWN_A_BLOCK = 16_384, 65_536
 NEGATION_REACH = 3
 
 
@@ -183,39 +191,158 @@ def story_events(told: DataFrame) -> DataFrame:
     return out.withColumn("cluster_id", F.substring(F.sha2(normal_title(F.col("title")), 256), 1, 16)).withColumn("coverage", F.size("outlets"))
 
 
+def _boxed(**arrays) -> bytes:
+    """Arrays of any lengths as one Arrow message, which passes through Spark as it is."""
+    flat = [pa.array(x) for x in arrays.values()]
+    batch = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in flat], list(arrays))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unboxed(message: pa.Buffer) -> SimpleNamespace:
+    """The arrays by name, numbers as numpy's."""
+    batch = pa.ipc.open_stream(message).read_next_batch()
+    values = {n: batch.column(n).flatten() for n in batch.schema.names}
+    return SimpleNamespace(**{n: x if pa.types.is_string(x.type) else x.to_numpy() for n, x in values.items()})
+
+
+def _whole(batches) -> pa.Table | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held).combine_chunks() if held else None
+
+
+def _coded(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens, and of every token in lists its number and its list."""
+    lists = lists.combine_chunks()
+    tokens = lists.flatten().dictionary_encode()
+    return tokens.dictionary, tokens.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+
+
+def _micros(times: pa.ChunkedArray) -> np.ndarray:
+    return times.cast(pa.int64()).to_numpy()
+
+
+def _asking(batches):
+    """A block of whole cycles: each one's token weights, and its stories with their distinct tokens."""
+    t = _whole(batches)
+    if t is None:
+        return
+    t = t.sort_by([("cycle", "ascending"), ("story", "ascending")])
+    words, code, row = _coded(t["words"])
+    at, n_words = _micros(t["earliest"]), max(1, len(words))
+    cycles, cycle = np.unique(_micros(t["cycle"]), return_inverse=True)
+    titles = t["cycle_titles"].to_numpy()[np.searchsorted(cycle, np.arange(len(cycles)))]
+    used, df = np.unique(cycle[row] * n_words + code, return_counts=True)
+    weight = np.maximum(FLOOR, np.log((titles[used // n_words] + 1) / (df + 1)))
+    own = np.unique(row * n_words + code)
+    block = _boxed(
+        words=words, cycles=cycles, stories=np.bincount(cycle, minlength=len(cycles)), weights=np.bincount(used // n_words, minlength=len(cycles)), word=used % n_words, weight=weight,
+        story=t["story"].to_numpy(), titled=t["cluster_id"].combine_chunks(), earliest=at, tokens=np.bincount(own // n_words, minlength=t.num_rows), token=own % n_words,
+    )
+    yield pa.record_batch([pa.array([block], pa.binary()), pa.array([at.max()], pa.int64())], ["asking", "newest"])
+
+
+def _known(batches):
+    """Blocks of known stories, oldest first: when each began, its first title's hash and its tokens."""
+    t = _whole(batches)
+    if t is None:
+        return
+    t = t.sort_by([("began", "ascending"), ("titled", "ascending")])
+    for start in range(0, t.num_rows, KNOWN_A_BLOCK):
+        part = t.slice(start, KNOWN_A_BLOCK)
+        words, code, row = _coded(part["signature"])
+        began = _micros(part["began"])
+        block = _boxed(words=words, began=began, titled=part["titled"].combine_chunks(), tokens=np.bincount(row, minlength=part.num_rows), token=code)
+        yield pa.record_batch([pa.array([block], pa.binary()), pa.array([began[0]], pa.int64())], ["known", "oldest"])
+
+
+def _first_told(a: SimpleNamespace, k: SimpleNamespace, reach: int) -> list[tuple[int, int, int]]:
+    """cycle, story and beginning of the first similar known story of those stories of a that have one in k, more than `reach` microseconds older.
+
+    A story that is similar shares a word outside the commonest ones that make up less than SAME_STORY of the weight, so only the other words'
+    holders are candidates; what a candidate shares is summed over all words.
+    """
+    n, stop = len(k.began), np.cumsum(k.tokens)
+    start = stop - k.tokens
+    holder = np.repeat(np.arange(n), k.tokens)[np.argsort(k.token, kind="stable")]
+    end = np.cumsum(np.bincount(k.token, minlength=len(k.words)))
+    held = [holder[i:j] for i, j in zip(np.concatenate([[0], end[:-1]]), end, strict=True)]
+    often = np.diff(end, prepend=0)
+    place = pc.fill_null(pc.index_in(a.words, value_set=k.words), -1).to_numpy()
+    shared, weight = np.zeros(n), np.zeros(len(a.words))
+    older = np.searchsorted(k.began, a.earliest - reach)
+    own_stop, last_word, last_story, found = np.cumsum(a.tokens), np.cumsum(a.weights), np.cumsum(a.stories), []
+    for c, cycle in enumerate(a.cycles.tolist()):
+        stories = range(last_story[c] - a.stories[c], last_story[c])
+        if not older[stories.start : stories.stop].any():
+            continue
+        used = slice(last_word[c] - a.weights[c], last_word[c])
+        weight[a.word[used]] = a.weight[used]
+        w, here = np.full(len(k.words), a.weight[used].max()), place[a.word[used]]
+        w[here[here >= 0]] = a.weight[used][here >= 0]
+        mass = np.add.reduceat(w[k.token], start)
+        for i in stories:
+            token = a.token[own_stop[i] - a.tokens[i] : own_stop[i]]
+            own, at = weight[token], place[token]
+            total = own.sum()
+            at = at[at >= 0]
+            at = at[np.argsort(-often[at], kind="stable")]
+            asked = at[np.cumsum(w[at]) >= SAME_STORY * total * (1 - 1e-9)]
+            if not older[i] or not len(asked):
+                continue
+            near = np.concatenate([held[x] for x in asked.tolist()])
+            near = near[near < older[i]]
+            if not len(near):
+                continue
+            for x in at.tolist():
+                shared[held[x]] += w[x]
+            both = shared[near]
+            near = np.unique(near[both >= SAME_STORY * (total + mass[near] - both) * (1 - 1e-9)])
+            for x in at.tolist():
+                shared[held[x]] = 0.0
+            for j in near.tolist():
+                theirs = k.token[start[j] : stop[j]]
+                same = np.isin(theirs, at)
+                # Exact sums, so that a similarity doesn't depend on the order of words.
+                if k.titled[j] != a.titled[i] and math.fsum(w[theirs[same]]) / math.fsum([*own, *w[theirs[~same]]]) >= SAME_STORY:
+                    found.append((cycle, int(a.story[i]), int(k.began[j])))
+                    break
+    return found
+
+
+def _compared(reach: int):
+    def run(batches):
+        for b in batches:
+            found = [x for a, k in zip(b.column("asking"), b.column("known"), strict=True) for x in _first_told(_unboxed(a.as_buffer()), _unboxed(k.as_buffer()), reach)]
+            cycle, story, began = zip(*found, strict=True) if found else ((), (), ())
+            at = lambda x: pa.array(x, pa.int64()).cast(pa.timestamp("us"))
+            yield pa.record_batch([at(cycle), pa.array(story, pa.int64()), at(began)], ["cycle", "story", "began"])
+
+    return run
+
+
 def recycled(events: DataFrame, hours: int = RECYCLED_HOURS) -> DataFrame:
     """events with recycled_from: when the first earlier story began that is similar and more than `hours` older.
 
     A story with the same first title isn't a re-telling but the same story, and doesn't count.
 
     Similarity is the Jaccard similarity of the stories' words by the later story's cycle's weights, at least SAME_STORY; a word that the
-    cycle doesn't have weighs as much as its rarest. A story that reaches it shares a word outside the commonest ones that make up less than
-    SAME_STORY of its own weight, so only its other words, the rarest, are looked up among the earlier stories.
+    cycle doesn't have weighs as much as its rarest. Stories are compared in blocks, whole cycles with known stories in the order of time, and
+    a block's candidates stay in its task: only the first similar story leaves it.
     """
-    from pyspark.sql import Window
-
-    told = events.select("cycle", "story", "cluster_id", "earliest", "cycle_titles", "words", F.array_sort(F.array_distinct("words")).alias("signature"))
-    used = told.select("cycle", "cycle_titles", F.explode("words").alias("token")).groupBy("cycle", "token").agg(F.count("*").alias("df"), F.first("cycle_titles").alias("n"))
-    weights = used.select("cycle", "token", F.greatest(F.lit(FLOOR), F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("w"))
-    unseen = weights.groupBy("cycle").agg(F.max("w").alias("unseen"))
+    events = stored(events)
+    told = events.select("cycle", F.col("story").cast("long").alias("story"), "cluster_id", F.col("earliest").cast("timestamp_ntz").alias("earliest"), F.col("cycle_titles").cast("long").alias("cycle_titles"), "words").where("size(words) > 0")
     # Of equal signatures and first titles the oldest comes first in any case.
-    known = told.groupBy("signature", "cluster_id").agg(F.min("earliest").alias("began")).withColumn("known", F.sha2(F.concat_ws(" ", F.col("cluster_id"), F.col("signature")), 256)).withColumnRenamed("cluster_id", "titled")
-    posts = known.select("known", "began", "titled", "signature", F.explode("signature").alias("token"))
-    often = posts.groupBy("token").agg(F.count("*").alias("often"))
-    own = told.select("cycle", "story", "cluster_id", "earliest", F.explode("signature").alias("token")).join(weights, ["cycle", "token"]).join(often, "token")
-    story = Window.partitionBy("cycle", "story")
-    own = own.withColumn("mass", F.sum("w").over(story)).withColumn("rest", F.sum("w").over(story.orderBy(F.desc("often"), "token").rowsBetween(Window.unboundedPreceding, 0)))
-    asked = own.where(F.col("rest") >= F.col("mass") * (SAME_STORY - 1e-9)).select("cycle", "story", "cluster_id", "earliest", "token")
-    older = F.col("began") + F.expr(f"INTERVAL {hours} HOURS") < F.col("earliest")
-    pairs = asked.join(posts.select("token", "known", "began", "titled"), "token").where(older & (F.col("titled") != F.col("cluster_id"))).select("cycle", "story", "known").distinct()
-    mine = own.groupBy("cycle", "story").agg(F.first("mass").alias("mass"), F.collect_list(F.struct("token", "w")).alias("weighed"))
-    both = pairs.join(mine, ["cycle", "story"]).join(known, "known")
-    shared = F.aggregate(F.filter("weighed", lambda x: F.array_contains(F.col("signature"), x["token"])), F.lit(0.0), lambda a, x: a + x["w"])
-    both = both.withColumn("shared", shared).where(F.col("shared") >= F.col("mass") * (SAME_STORY - 1e-9))
-    other = both.select("cycle", "story", "began", "known", "mass", "shared", F.explode_outer(F.array_except("signature", F.col("weighed.token"))).alias("token"))
-    other = other.join(weights, ["cycle", "token"], "left").join(unseen, "cycle").withColumn("w", F.when(F.col("token").isNotNull(), F.coalesce("w", "unseen")).otherwise(0.0))
-    union = other.groupBy("cycle", "story", "known", "began").agg(F.first("shared").alias("shared"), (F.first("mass") + F.sum("w")).alias("union"))
-    first = union.where(F.col("shared") / F.col("union") >= SAME_STORY).groupBy("cycle", "story").agg(F.min("began").alias("recycled_from"))
+    known = told.groupBy(F.array_sort(F.array_distinct("words")).alias("signature"), F.col("cluster_id").alias("titled")).agg(F.min("earliest").alias("began"))
+    n = told.count()
+    asking = told.repartitionByRange(max(1, -(-n // ASKING_A_BLOCK)), "cycle").mapInArrow(_asking, "asking binary, newest long")
+    known = known.repartitionByRange(max(1, -(-n // KNOWN_A_BLOCK)), "began").mapInArrow(_known, "known binary, oldest long")
+    reach = hours * 3_600_000_000
+    pairs = stored(asking).join(stored(known), F.col("oldest") + reach < F.col("newest"))
+    first = pairs.select("asking", "known").mapInArrow(_compared(reach), "cycle timestamp_ntz, story long, began timestamp_ntz")
+    first = first.groupBy("cycle", "story").agg(F.min("began").cast(events.schema["earliest"].dataType).alias("recycled_from"))
     return events.join(first, ["cycle", "story"], "left")
 
 
