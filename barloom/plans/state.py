@@ -16,6 +16,7 @@ from barloom.plans.registry import query, registered_sql
 from barloom.plans.sql import bars as sql_bars
 from barloom.plans.sql import r
 from barloom.sources.bars import event_bars
+from barloom.sources.tables import stored
 
 _W = f"""WITH {sql_bars()}, o AS (SELECT *, row_number() OVER w AS rn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS t0 FROM bars WINDOW w AS (PARTITION BY asset ORDER BY open_time)),
   f AS (SELECT *, max(high) OVER p20 AS top, min(low) OVER p20 AS bottom, avg(volume) OVER p20 AS mv, avg(t0) OVER (PARTITION BY asset ORDER BY rn ROWS 13 PRECEDING) AS r14, avg(t0) OVER (PARTITION BY asset ORDER BY rn ROWS 9 PRECEDING) AS r10, avg(t0) OVER (PARTITION BY asset ORDER BY rn ROWS 4 PRECEDING) AS r5, avg(t0) OVER (PARTITION BY asset ORDER BY rn ROWS 49 PRECEDING) AS r50,
@@ -126,7 +127,7 @@ def _features(spark, sf):
 
     parts = None
     for tf in FRAMES:
-        f = vector(event_bars(spark, sf, tf), tf, 1).withColumn("known", plus(F.col("open_time"), tf))
+        f = vector(stored(event_bars(spark, sf, tf)), tf, 1).withColumn("known", plus(F.col("open_time"), tf))
         f = f.select("asset", "timeframe", "known", "close", *(c for c, t in f.dtypes if t in ("double", "bigint") and c not in ("close", "open", "high", "low", "quote_volume", "trades")))
         parts = f if parts is None else parts.unionByName(f)
     return parts
@@ -144,7 +145,7 @@ def market_state(spark, sf):
     """The state of every asset at each day's end over four timeframes, from bars and trust that were known by then, in words too."""
     days = _days(spark, sf)
     trust = days.select("asset", F.col("as_of").alias("ts"), "score", F.explode(F.array(*map(F.lit, FRAMES))).alias("timeframe"))
-    return rounded(s.build(_features(spark, sf), days, trust), 4)
+    return rounded(s.build(stored(_features(spark, sf)), days, trust), 4)
 
 
 @query(
